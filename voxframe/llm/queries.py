@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxframe.llm import decontaminate, mixing, simhash, tokens, toxicity
+from voxframe.llm import decontaminate, mixing, simhash, telephony, tokens, toxicity, warc
 from voxframe.workspace import new_path, write_table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -27,6 +27,12 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read(spark, tokens.write(table(spark, sf_dir, "documents"), new_path(spark, "tokens"), TOKENIZER))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    return warc.read(spark, folder, "verify").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count().alias("size"))
     rows = write_table(rows, "sizes")
@@ -46,7 +52,11 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.digest(found)
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op4_token_output, op6_source_mixing, op8_toxicity, op9_benchmark_decontamination)}
+def op10_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telephony.read(telephony.store(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op4_token_output, op5_warc, op6_source_mixing, op8_toxicity, op9_benchmark_decontamination, op10_telephony_audio)}
 
 ORACLE_SQL = {
     "op6_source_mixing": """
