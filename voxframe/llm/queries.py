@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxframe.llm import decontaminate, mixing, simhash, telephony, tokens, toxicity, warc
+from voxframe.llm import decontaminate, maintext, mixing, pii, simhash, suffixes, telephony, tokens, toxicity, warc
 from voxframe.workspace import new_path, write_table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -18,11 +18,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(suffixes.dedup(table(spark, sf_dir, "documents")))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex16("fp").alias("fingerprint"), "component_id")
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = maintext.extract(table(spark, sf_dir, "pages"), maintext.fit(), keep=["page_id", "url"])
+    return found.select("page_id", "url", F.col("_vx_main").alias("text"), F.length("_vx_main").cast("long").alias("n_chars"))
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read(spark, tokens.write(table(spark, sf_dir, "documents"), new_path(spark, "tokens"), TOKENIZER))
 
@@ -40,6 +49,10 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "size", F.col("_vx_source_size").alias("source_size"), F.col("_vx_target").alias("target"), (F.col("size") * F.col("_vx_copies")).alias("taken"))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents"), pii.fit(), keep=["doc_id"]))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -56,7 +69,7 @@ def op10_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.read(telephony.store(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op4_token_output, op5_warc, op6_source_mixing, op8_toxicity, op9_benchmark_decontamination, op10_telephony_audio)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_simhash_near_dedup, op3_main_text, op4_token_output, op5_warc, op6_source_mixing, op7_personal_data, op8_toxicity, op9_benchmark_decontamination, op10_telephony_audio)}
 
 ORACLE_SQL = {
     "op6_source_mixing": """
