@@ -44,6 +44,14 @@ def table(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     return symbols.astype(np.uint32), f.astype(np.uint64), bits
 
 
+def _places(symbols: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    if not len(symbols) or symbols[-1] >= 1 << 22:
+        return np.searchsorted(symbols, ids)
+    place = np.zeros(int(symbols[-1]) + 1, np.int32)
+    place[symbols] = np.arange(len(symbols))
+    return place[ids]
+
+
 def encode(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray) -> bytes:
     """A whole file of documents; ids: those of all documents, in order."""
     ids = np.ascontiguousarray(ids, "<u4")
@@ -51,7 +59,7 @@ def encode(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray) -> b
     low, shift, n = np.cumsum(f) - f, np.uint64(bits), len(ids)
     blocks = -(-n // BLOCK)
     at = np.zeros(blocks * BLOCK, np.int64)
-    at[:n] = np.searchsorted(symbols, ids)
+    at[:n] = _places(symbols, ids)
     at = at.reshape(blocks, STEPS, LANES).transpose(1, 0, 2).reshape(STEPS, blocks * LANES)
     live = (np.arange(blocks * BLOCK) < n).reshape(blocks, STEPS, LANES).transpose(1, 0, 2).reshape(STEPS, blocks * LANES)
     x = np.full(blocks * LANES, _LOW, np.uint64)

@@ -16,9 +16,11 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,82 +28,118 @@ from pyspark.sql import functions as F
 from voxframe.llm import files, rans
 from voxframe.workspace import small_batches
 
-#: Ids in a file about, chunks in the cache at most, documents encoded at once.
-FILE_IDS, CACHE, STEP = 4_000_000, 300_000, 100
+#: Ids in a file about, chunks in the cache at most, bytes of text encoded at once.
+FILE_IDS, CACHE, STEP = 4_000_000, 500_000, 6 << 20
+#: Stands between chunks that the library encodes together; a space goes where an ASCII or Latin-1 letter meets ASCII punctuation.
+SEPARATOR = "\x01"
+BEFORE_PUNCTUATION = r"([a-zÀ-ÖØ-öø-ÿ])([!-/:-@\[-`{-~])"
 
 
 class Encoder:
-    """Ids of texts by the tokenizers library, with a cache of chunks between white space."""
+    """Ids of texts by the tokenizers library, with a cache of chunks between white space.
+
+    Chunks are ASCII lower case and end where a letter meets punctuation, as the tokenizer lower-cases and splits there
+    too; texts that may hold a special token ("<|") are left as they are. When the cache is full, chunks used once go.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self._forget()
+        sep = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids
+        self.separator = sep[0] if len(sep) == 1 else None
+        self.at: dict[str, int] = {}
+        self.first, self.size, self.uses, self.ids, self.used = *(np.zeros(CACHE, np.int64) for _ in range(3)), np.zeros(1 << 20, np.uint32), 0
 
     def _forget(self) -> None:
-        self.at: dict[bytes, int] = {}
-        self.first, self.size, self.ids, self.used = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1 << 16, np.uint32), 0
-
-    def _learn(self, chunks: list[bytes]) -> None:
-        if len(self.at) + len(chunks) > CACHE:
-            self._forget()
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)]
-        size = np.array([len(i) for i in ids], np.int64)
-        flat = np.fromiter((x for i in ids for x in i), np.uint32, int(size.sum()))
-        if self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(len(flat), len(self.ids)), np.uint32)])
-        self.ids[self.used : self.used + len(flat)] = flat
+        """Keeps what was used more than once, half of the cache at most, the most used first."""
+        keep = np.flatnonzero(self.uses[: len(self.at)] > 1)
+        keep = np.sort(keep[np.argsort(-self.uses[keep], kind="stable")][: CACHE // 2])
+        chunks = list(self.at)
+        size = self.size[keep]
+        ids = self.ids[_ranges(self.first[keep], size)]
+        self.at = {chunks[k]: i for i, k in enumerate(keep.tolist())}
+        self.size[: len(keep)], self.first[: len(keep)] = size, np.cumsum(size) - size
+        self.ids[: len(ids)], self.used = ids, len(ids)
+        self.uses[:] = 0
+
+    def _library(self, texts: list[str]) -> list[list[int]]:
+        plain = [i for i, t in enumerate(texts) if SEPARATOR not in t and "<|" not in t] if self.separator is not None else []
+        out: list[list[int]] = [[]] * len(texts)
+        for at in range(0, len(plain), 500):
+            own = plain[at : at + 500]
+            ids = self.tokenizer.encode_batch_fast([f" {SEPARATOR} ".join(texts[i] for i in own)], add_special_tokens=False)[0].ids
+            cut = [-1, *(k for k, x in enumerate(ids) if x == self.separator), len(ids)]
+            for i, a, b in zip(own, cut, cut[1:]):
+                out[i] = ids[a + 1 : b]
+        rest = sorted(set(range(len(texts))) - set(plain))
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)):
+            out[i] = e.ids
+        return out
+
+    def _learn(self, chunks: list[str]) -> None:
+        ids = self._library(chunks)
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
         n = len(self.at)
-        self.first, self.size = (np.concatenate([old[:n], new]) for old, new in ((self.first, self.used + np.cumsum(size) - size), (self.size, size)))
+        if n + len(chunks) > len(self.first):
+            self.first, self.size, self.uses = (np.concatenate([x, np.zeros(len(chunks), np.int64)]) for x in (self.first, self.size, self.uses))
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.first[n : n + len(ids)], self.size[n : n + len(ids)] = self.used + np.cumsum(size) - size, size
         self.used += len(flat)
         self.at.update(zip(chunks, range(n, n + len(chunks))))
 
-    def encode(self, texts: list[bytes], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, each with end after it, and their numbers. Long texts are worked through in parts."""
-        parts, counts = [], np.zeros(len(texts), np.int64)
-        held, of, n = [], [], 0
-        for i, t in enumerate(texts):
-            chunks = t.split()
-            held += [(i, chunks[k : k + 50_000], k + 50_000 >= len(chunks)) for k in range(0, max(1, len(chunks)), 50_000)]
-        while held:
-            group, n = [], 0
-            while held and n < 100_000:
-                group.append(held.pop(0))
-                n += len(group[-1][1])
-            parts.append(self._group(group, end, counts))
-        return (np.concatenate(parts) if parts else np.empty(0, np.uint32)), counts
-
-    def _group(self, group: list[tuple[int, list[bytes], bool]], end: int | None, counts: np.ndarray) -> np.ndarray:
-        chunks = [c for _, cs, _ in group for c in cs]
-        if new := [c for c in dict.fromkeys(chunks) if c not in self.at]:
+    def encode(self, texts: pa.StringArray, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each with end after it, and their numbers. Arrow splits the texts and finds the distinct chunks."""
+        special = pc.match_substring(texts, "<|")
+        lower = pc.replace_substring_regex(pc.ascii_lower(texts), BEFORE_PUNCTUATION, r"\1 \2")
+        lists = pc.ascii_split_whitespace(pc.if_else(special, texts, lower))
+        words = lists.flatten().dictionary_encode()
+        chunks, of = words.dictionary.to_pylist(), words.indices.to_numpy(zero_copy_only=False)
+        if new := [c for c in chunks if c not in self.at]:
             if len(self.at) + len(new) > CACHE:
-                new = list(dict.fromkeys(chunks))
                 self._forget()
+                new = [c for c in chunks if c not in self.at]
             self._learn(new)
-        at = np.fromiter(map(self.at.__getitem__, chunks), np.int64, len(chunks))
+        places = np.fromiter(map(self.at.__getitem__, chunks), np.int64, len(chunks))
+        self.uses[places] += np.bincount(of, minlength=len(chunks))
+        at = places[of]
         size = self.size[at]
+        ids = self.ids[_ranges(self.first[at], size)]
         before = np.concatenate([[0], np.cumsum(size)])
-        out = self.ids[np.repeat(self.first[at] - before[:-1], size) + np.arange(before[-1])]
-        ends, k = [], 0
-        for i, cs, last in group:
-            counts[i] += before[k + len(cs)] - before[k] + (last and end is not None)
-            k += len(cs)
-            if last:
-                ends.append(before[k])
-        return out if end is None else np.insert(out, ends, end)
+        ends = before[lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py()] if len(texts) else np.empty(0, np.int64)
+        counts = np.diff(ends, prepend=0)
+        return (ids, counts) if end is None else (np.insert(ids, ends, end), counts + 1)
+
+
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... size[0] of them, then those of first[1] and so on."""
+    before = np.cumsum(size)
+    return np.repeat(first - before + size, size) + np.arange(before[-1] if len(before) else 0)
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The worker's encoder, kept from task to task."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end: int = 2, file_ids: int = FILE_IDS) -> list[tuple[str, int, int]]:
     """Writes the corpus below folder; (file, ids before it, ids) in order."""
     spark = docs.sparkSession
-    small_batches(spark, 500)
+    small_batches(spark, 1500)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, made = Encoder(tokenizer), TaskContext.get().partitionId(), []
+        encoder, part, made = encoder_of(tokenizer), TaskContext.get().partitionId(), []
         ids, docs_held, lengths, held = [], [], [], 0
 
         def flush() -> None:
@@ -112,11 +150,13 @@ def write(docs: DataFrame, folder: str, tokenizer: str, *, id_col: str = "doc_id
             ids, docs_held, lengths, held = [], [], [], 0
 
         for b in batches:
-            for at in range(0, b.num_rows, STEP):
-                new, counts = encoder.encode([t.as_buffer().to_pybytes() for t in b.column(1)[at : at + STEP]], end)
+            step = np.cumsum(pc.binary_length(b.column(1)).to_numpy(zero_copy_only=False)) // STEP
+            cuts = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), b.num_rows]
+            for at, to in zip(cuts, cuts[1:]):
+                new, counts = encoder.encode(b.column(1)[at:to], end)
                 ids.append(new)
                 lengths.append(counts)
-                docs_held += b.column(0)[at : at + STEP].to_pylist()
+                docs_held += b.column(0)[at:to].to_pylist()
                 held += len(new)
                 if held >= file_ids:
                     flush()
@@ -124,9 +164,9 @@ def write(docs: DataFrame, folder: str, tokenizer: str, *, id_col: str = "doc_id
             flush()
         yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.int64())], ["file", "n"])
 
-    made = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, "file string, n long").orderBy("file").collect()
+    made = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, "file string, n long").collect()
     before, out = 0, []
-    for file, k in made:  # a row a file
+    for file, k in sorted((r.file, r.n) for r in made):  # a row a file
         out.append((file, before, k))
         before += k
     return out
