@@ -281,8 +281,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
-    both = rows.select("_k", "doc_id", F.col("text").cast("binary").alias("text")).join(hits, F.col("_k") == F.col("doc"), "left")
-    return both.select("doc_id", "text", "hits").mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    # the columns are those that repeats() joins to its ranges, so Spark shuffles the texts once for both
+    both = rows.select("_k", *(["doc_id"] if again else []), F.col("text").cast("binary").alias("text")).join(hits, F.col("_k") == F.col("doc"), "left")
+    return both.select(F.col("doc_id" if again else "_k").alias("doc_id"), "text", "hits").mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
 
 
 def removed(hits: np.ndarray, length: int) -> np.ndarray:
