@@ -1,6 +1,336 @@
-"""Queries by name and their DuckDB SQL."""
+"""Queries by name over the driver's tables, and their DuckDB SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from voxframe.functions import text as t
+from voxframe.functions import vectors as v
+from voxframe.operators import attribution, identity, render, store
+from voxframe.operators.similarity import pairs_above
+from voxframe.plans import fixtures as fx
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+MATCH, REVIEW, ENROL, CLUSTER, FLOOR = 0.65, 0.50, 0.55, 0.65, 8.0
+
+
+def query(name: str, sql: str | None = None, ctes: tuple[str, ...] = ()):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = ("WITH " + ", ".join(ctes) + ("" if sql.startswith(",") else " ") if ctes else "") + sql
+        return f
+
+    return add
+
+
+VP, LOC, GS, ENR = (fx.VP,), (fx.VP, fx.LOC), (fx.VP, fx.LOC, fx.GS), (fx.VP, fx.LOC, fx.GS, fx.ENR)
+
+# --- scans, filters and orders of the store
+
+
+@query("sc2_media_files", "SELECT url, coalesce(lower(regexp_extract(url, '\\.[^./\\\\?#]+$')) IN ('.com', '.net', '.mp3', '.wav', '.flac'), false) AS is_media FROM pages")
+def _(s, d):
+    kinds = (".com", ".net", ".mp3", ".wav", ".flac")
+    return fx.table(s, d, "pages").select("url", t.lower(F.regexp_extract("url", r"\.[^./\\?#]+$", 0)).isin(*kinds).alias("is_media"))
+
+
+@query("sc7_files_by_status", "SELECT path, track, size, status FROM fl WHERE status = 'failed' ORDER BY path, track", (fx.FILES,))
+def _(s, d):
+    return fx.files(s, d).where("status = 'failed'").select("path", "track", "size", "status").orderBy("path", "track")
+
+
+@query("sc9_segments", "SELECT idx, text, local_label, seg_start, seg_end FROM seg WHERE file_id = 3 ORDER BY idx", (fx.SEG,))
+def _(s, d):
+    return fx.seg(s, d).where("file_id = 3").select("idx", "text", "local_label", "seg_start", "seg_end").orderBy("idx")
+
+
+@query("sc11_local_speakers", "SELECT id, file_id, label, total_dur, global_id FROM loc ORDER BY id", LOC)
+def _(s, d):
+    return fx.loc(s, d).select("id", "file_id", "label", "total_dur", "global_id").orderBy("id")
+
+
+@query("sc13_enrollments", "SELECT global_id, id, duration FROM enr ORDER BY global_id, id", ENR)
+def _(s, d):
+    return fx.enr(s, d).select("global_id", "id", "duration").orderBy("global_id", "id")
+
+
+@query("pf1_display_names", "SELECT id, CASE WHEN name <> '' THEN name ELSE printf('SPEAKER_%04d', id) END AS display FROM gs", GS)
+def _(s, d):
+    return fx.display(fx.gs(s, d)).select("id", "display")
+
+
+@query("pf6_speech_floor", f"SELECT id, total_dur FROM vp WHERE id % 11 = 0 AND total_dur < {FLOOR}", VP)
+def _(s, d):
+    return fx.vp(s, d).where(f"id % 11 = 0 and total_dur < {FLOOR}").select("id", "total_dur")
+
+
+@query("pf7_enrolled_hold_out", "SELECT id, global_id FROM loc WHERE global_id NOT IN (SELECT id FROM gs WHERE enrolled)", GS)
+def _(s, d):
+    held = fx.gs(s, d).where("enrolled").select(F.col("id").alias("global_id"))
+    return store.delete(fx.loc(s, d).select("id", "global_id"), held, "global_id")
+
+
+@query("pf8_transcript_search", "SELECT file_id, idx FROM seg WHERE contains(lower(local_label || ' ' || text), lower('_01 T'))", (fx.SEG,))
+def _(s, d):
+    return fx.seg(s, d).where(F.contains(F.lower(F.concat_ws(" ", "local_label", "text")), F.lower(F.lit("_01 T")))).select("file_id", "idx")
+
+
+# --- joins and folds of transcripts
+
+
+@query(
+    "jn1_overlap_speakers",
+    """, o AS (SELECT s.file_id, s.idx, speaker, sum(greatest(0, least(seg_end, t_end) - greatest(seg_start, t_start))) AS w FROM seg s JOIN trn t ON s.file_id = t.file_id AND t_start < seg_end AND t_end > seg_start GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY file_id, idx ORDER BY round(w, 6) DESC, speaker) AS n FROM o)
+SELECT file_id, idx, printf('speaker_%02d', speaker) AS label FROM r WHERE n = 1""",
+    (fx.SEG, fx.TRN),
+)
+def _(s, d):
+    return attribution.assign_speakers(fx.seg(s, d), fx.trn(s, d))
+
+
+@query(
+    "jn2_word_then_segment_speakers",
+    """, p AS (SELECT file_id, idx, true AS word, w_start AS a, w_end AS b FROM wrd UNION ALL SELECT file_id, idx, false, seg_start, seg_end FROM seg),
+o AS (SELECT p.file_id, p.idx, word, speaker, sum(greatest(0, least(b, t_end) - greatest(a, t_start))) AS w FROM p JOIN trn t ON p.file_id = t.file_id AND t_start < b AND t_end > a GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY file_id, idx ORDER BY word DESC, round(w, 6) DESC, speaker) AS n FROM o)
+SELECT file_id, idx, printf('speaker_%02d', speaker) AS label FROM r WHERE n = 1""",
+    (fx.SEG, fx.TRN, fx.WRD),
+)
+def _(s, d):
+    return attribution.assign_speakers(fx.seg(s, d), fx.trn(s, d), fx.wrd(s, d))
+
+
+def _folded(s: SparkSession, d: str) -> DataFrame:
+    rows = fx.seg(s, d).withColumn("kk", F.concat(F.lit("speaker_0"), F.expr("(idx div 2) % 2")))
+    return attribution.fold_runs(rows.withColumn("text", F.when(F.col("idx") % 5 == 3, "").otherwise(F.col("text"))), "kk")
+
+
+FOLD = """f AS (SELECT file_id, idx, 'speaker_0' || ((idx // 2) % 2) AS kk, CASE WHEN idx % 5 = 3 THEN '' ELSE text END AS text, seg_start FROM seg),
+g AS (SELECT *, CASE WHEN lag(kk) OVER (PARTITION BY file_id ORDER BY idx) IS NOT DISTINCT FROM kk THEN 0 ELSE 1 END AS new FROM f),
+h AS (SELECT *, sum(new) OVER (PARTITION BY file_id ORDER BY idx) AS run FROM g),
+blocks AS (SELECT file_id, run, first(kk) AS speaker, arg_min(seg_start, idx) AS start, string_agg(text, ' ' ORDER BY idx) AS body FROM h WHERE text <> '' GROUP BY file_id, run),
+b AS (SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY run) AS block, speaker, start, body FROM blocks)"""
+
+
+@query("wn1_folded_runs", "SELECT * FROM b", (fx.SEG, FOLD))
+def _(s, d):
+    return _folded(s, d)
+
+
+@query("wn8_cue_numbers", "SELECT file_id, idx, row_number() OVER (PARTITION BY file_id ORDER BY idx) AS cue FROM seg WHERE text <> ''", (fx.SEG,))
+def _(s, d):
+    return fx.seg(s, d).where("text <> ''").select("file_id", "idx", F.row_number().over(Window.partitionBy("file_id").orderBy("idx")).alias("cue"))
+
+
+@query("wn2_longest_turns", """, x AS (SELECT file_id, speaker, t_start, t_end - t_start AS dur FROM trn), y AS (SELECT *, max(dur) OVER (PARTITION BY file_id, speaker) AS top FROM x),
+r AS (SELECT *, row_number() OVER (PARTITION BY file_id, speaker ORDER BY dur DESC, t_start) AS k FROM y WHERE dur >= CASE WHEN top >= 3 THEN 3 ELSE 0.6 END)
+SELECT file_id, speaker, t_start, dur, k FROM r WHERE k <= 8""", (fx.SEG, fx.TRN))
+def _(s, d):
+    by = Window.partitionBy("file_id", "speaker")
+    rows = fx.trn(s, d).select("file_id", "speaker", "t_start", (F.col("t_end") - F.col("t_start")).alias("dur")).withColumn("top", F.max("dur").over(by))
+    rows = rows.where(F.col("dur") >= F.when(F.col("top") >= 3, 3.0).otherwise(0.6)).withColumn("k", F.row_number().over(by.orderBy(F.desc("dur"), "t_start")))
+    return rows.where("k <= 8").select("file_id", "speaker", "t_start", "dur", "k")
+
+
+@query("ag6_speech_by_speaker", "SELECT file_id, speaker, round(sum(t_end - t_start), 6) AS total FROM trn GROUP BY ALL", (fx.SEG, fx.TRN))
+def _(s, d):
+    return fx.trn(s, d).groupBy("file_id", "speaker").agg(F.round(F.sum(F.col("t_end") - F.col("t_start")), 6).alias("total"))
+
+
+TS = "printf('%02d:%02d:%02d{c}%03d', ms // 3600000, ms // 60000 % 60, ms // 1000 % 60, ms % 1000)"
+
+
+def _ts(col: str, c: str) -> str:
+    return TS.replace("{c}", c).replace("ms", f"floor(greatest({col}, 0::DOUBLE) * 1000 + 0.5)::BIGINT")
+
+
+_LINES = {
+    "rn1_srt": ("srt", f"SELECT file_id, string_agg(n || chr(10) || {_ts('seg_start', ',')} || ' --> ' || {_ts('seg_end', ',')} || chr(10) || '[' || label || '] ' || text || chr(10) || chr(10), '' ORDER BY idx) AS body FROM x GROUP BY file_id"),
+    "rn2_vtt": ("vtt", f"SELECT file_id, 'WEBVTT' || chr(10) || chr(10) || string_agg({_ts('seg_start', '.')} || ' --> ' || {_ts('seg_end', '.')} || chr(10) || '<v ' || label || '>' || text || '</v>' || chr(10) || chr(10), '' ORDER BY idx) AS body FROM x GROUP BY file_id"),
+    "rn3_txt": ("txt", "SELECT file_id, string_agg(label || ': ' || text || chr(10), '' ORDER BY idx) AS body FROM x GROUP BY file_id"),
+    "rn4_tsv": ("tsv", "SELECT file_id, 'start' || chr(9) || 'end' || chr(9) || 'speaker' || chr(9) || 'text' || chr(10) || string_agg(printf('%g', seg_start) || chr(9) || printf('%g', seg_end) || chr(9) || label || chr(9) || replace(replace(text, chr(9), ' '), chr(10), ' ') || chr(10), '' ORDER BY idx) AS body FROM x GROUP BY file_id"),
+}
+for _name, (_fmt, _sql) in _LINES.items():
+    query(_name, ", x AS (SELECT *, local_label AS label, row_number() OVER (PARTITION BY file_id ORDER BY idx) AS n FROM seg WHERE text <> '') " + _sql, (fx.SEG,))(lambda s, d, f=_fmt: render.render(fx.seg(s, d).withColumnRenamed("local_label", "label"), f))
+
+
+@query("rn5_markdown", f"SELECT file_id, string_agg('**' || speaker || '** `' || {_ts('start', '.')} || '`' || chr(10) || chr(10) || body || chr(10) || chr(10), '' ORDER BY block) AS body FROM b GROUP BY file_id", (fx.SEG, FOLD))
+def _(s, d):
+    return render.markdown(_folded(s, d))
+
+
+# --- scalar functions, each over a table's column
+
+
+def _scalar(name: str, source: str, key: str, f: Callable[[], Column], sql: str) -> None:
+    query(name, f"SELECT {key}, {sql} AS out FROM {source}")(lambda s, d: fx.table(s, d, source).select(key, f().alias("out")))
+
+
+def c(name: str) -> Column:
+    return F.col(name)
+
+
+_scalar("fn1_trim", "documents", "doc_id", lambda: t.trim(F.concat(F.lit(" \t\n"), F.substring("text", 1, 40), F.lit("\r\x0b \f"))), "regexp_replace(chr(32) || chr(9) || chr(10) || substr(text, 1, 40) || chr(13) || chr(11) || chr(32) || chr(12), '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g')")
+_scalar("fn2_lower", "documents", "doc_id", lambda: t.lower(c("text")), f"translate(text, '{t.UPPER}', '{t.LOWER}')")
+_scalar("fn3_starts_with", "documents", "doc_id", lambda: F.startswith("text", F.lit("The ")), "starts_with(text, 'The ')")
+_scalar("fn4_split", "documents", "doc_id", lambda: F.size(F.split("text", r"\.", -1)), "len(string_split(text, '.'))::INT")
+_scalar("fn5_join", "documents", "doc_id", lambda: F.concat_ws(", ", "lang", "source"), "concat_ws(', ', lang, source)")
+_scalar("fn6_replace_all", "documents", "doc_id", lambda: F.replace(c("text"), F.lit("the"), F.lit("THE")), "replace(text, 'the', 'THE')")
+_scalar("fn7_timestamp", "events", "event_id", lambda: F.concat(t.timestamp(c("value") * 97 - 50, True), F.lit(" "), t.timestamp(c("value") * 97 - 50, False)), f"{_ts('(value * 97 - 50)', ',')} || ' ' || {_ts('(value * 97 - 50)', '.')}")
+_DUR = "floor(greatest(value * 97 - 50, 0::DOUBLE) + 0.5)::BIGINT"
+_scalar("fn8_duration", "events", "event_id", lambda: t.duration(c("value") * 97 - 50), f"CASE WHEN {_DUR} >= 3600 THEN printf('%dh %02dm', {_DUR} // 3600, {_DUR} % 3600 // 60) WHEN {_DUR} >= 60 THEN printf('%dm %02ds', {_DUR} // 60, {_DUR} % 60) ELSE printf('%ds', {_DUR}) END")
+_scalar("fn9_clock", "events", "event_id", lambda: t.clock(c("value") * 97 - 50), f"CASE WHEN NOT value * 97 - 50 > 0 THEN '--:--' WHEN {_DUR} >= 3600 THEN printf('%d:%02d:%02d', {_DUR} // 3600, {_DUR} % 3600 // 60, {_DUR} % 60) ELSE printf('%d:%02d', {_DUR} // 60, {_DUR} % 60) END")
+_WHOLE = "greatest(value * 97 - 50, 0::DOUBLE)"
+_MS = f"(floor({_WHOLE})::BIGINT * 1000 + floor(({_WHOLE} - floor({_WHOLE})) * 1000 + 0.5)::BIGINT)"
+_scalar("fn10_stamp", "events", "event_id", lambda: t.stamp(c("value") * 97 - 50), f"printf('%02d:%02d:%02d.%03d', {_MS} // 3600000, {_MS} // 60000 % 60, {_MS} // 1000 % 60, {_MS} % 1000)")
+_scalar("fn11_sanitise_filename", "pages", "page_id", lambda: t.sanitise_filename(F.concat("url", F.lit(". ."))), "CASE WHEN regexp_replace(regexp_replace(url || '. .', '[\\x00-\\x1F<>:\"/\\\\|?*]', '_', 'g'), '[. ]+$', '') = '' THEN 'untitled' ELSE regexp_replace(regexp_replace(url || '. .', '[\\x00-\\x1F<>:\"/\\\\|?*]', '_', 'g'), '[. ]+$', '') END")
+_scalar("fn12_escape_json", "pages", "page_id", lambda: t.escape_json(F.concat("html", F.lit("\x01\t\r\n\\"))), "replace(replace(replace(replace(replace(replace(html || chr(1) || chr(9) || chr(13) || chr(10) || chr(92), chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"'), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r'), chr(9), chr(92) || 't'), chr(1), chr(92) || 'u0001')")
+_scalar("fn13_escape_markdown", "documents", "doc_id", lambda: t.escape_markdown(c("text")), "regexp_replace(text, '([\\\\`*_{}\\[\\]()#+\\-.!|])', '\\\\\\1', 'g')")
+_scalar("fn14_seconds", "events", "event_id", lambda: F.format_string("%.1fs", c("event_id") / 3.0), "printf('%.1fs', event_id / 3.0::DOUBLE)")
+_scalar("fn15_general_number", "events", "event_id", lambda: t.general(c("event_id") * 7 / F.lit(15.0)), "printf('%g', event_id * 7 / 15::DOUBLE)")
+_scalar("fn26_colour", "events", "event_id", lambda: F.pmod(c("user_id"), F.lit(16)).cast("long"), "(user_id % 16)::BIGINT")
+_scalar("fn31_prompt", "documents", "doc_id", lambda: F.concat(c("lang"), F.lit(" "), F.concat_ws(", ", "source", "lang"), F.lit(".")), "lang || ' ' || concat_ws(', ', source, lang) || '.'")
+
+
+@query("fn16_cosine", ", p AS (SELECT a.id, a.centroid AS x, b.centroid AS y FROM vp a JOIN vp b ON b.id = a.id + 1) SELECT id, round(list_cosine_similarity(x, y), 6) AS similarity FROM p", VP)
+def _(s, d):
+    a = fx.vp(s, d).select("id", "centroid")
+    b = a.select((F.col("id") - 1).alias("id"), F.col("centroid").alias("next"))
+    return a.join(b, "id").select("id", F.round(v.cosine(F.col("centroid"), F.col("next")), 6).alias("similarity"))
+
+
+@query("fn18_overlap", ", p AS (SELECT *, lead(t_start) OVER w AS b0, lead(t_end) OVER w AS b1, row_number() OVER w AS n FROM trn WINDOW w AS (PARTITION BY file_id ORDER BY t_start, t_end, speaker)) SELECT file_id, n, round(greatest(0::DOUBLE, least(t_end, b1) - greatest(t_start, b0)), 6) AS seconds FROM p WHERE b0 IS NOT NULL", (fx.SEG, fx.TRN))
+def _(s, d):
+    by = Window.partitionBy("file_id").orderBy("t_start", "t_end", "speaker")
+    p = fx.trn(s, d).select("file_id", "t_start", "t_end", F.lead("t_start").over(by).alias("b0"), F.lead("t_end").over(by).alias("b1"), F.row_number().over(by).alias("n")).where("b0 is not null")
+    return p.select("file_id", "n", F.round(v.overlap(F.col("t_start"), F.col("t_end"), F.col("b0"), F.col("b1")), 6).alias("seconds"))
+
+
+# --- aggregates, identities and changes of the store
+
+REPORT = """SELECT gs.id, CASE WHEN name <> '' THEN name ELSE printf('SPEAKER_%04d', gs.id) END AS display, enrolled,
+ (SELECT count(DISTINCT file_id) FROM loc WHERE global_id = gs.id) AS n_files, (SELECT count(*) FROM enr WHERE global_id = gs.id) AS n_clips,
+ (SELECT count(*) FROM loc WHERE global_id = gs.id) AS n_locals, coalesce((SELECT sum(total_dur) FROM loc WHERE global_id = gs.id), 0::DOUBLE) AS total_dur FROM gs"""
+
+
+@query("id16_speaker_report", REPORT + " ORDER BY enrolled DESC, total_dur DESC, id", ENR)
+def _(s, d):
+    return identity.report(fx.gs(s, d), fx.loc(s, d), fx.enr(s, d)).orderBy(F.desc("enrolled"), F.desc("total_dur"), "id")
+
+
+@query("id17_speaker", f"SELECT * FROM ({REPORT}) WHERE id = 20", ENR)
+def _(s, d):
+    return identity.report(fx.gs(s, d), fx.loc(s, d), fx.enr(s, d)).where("id = 20")
+
+
+@query("ag1_store_counts", "SELECT (SELECT count(*) FROM fl) AS files, (SELECT count(*) FROM seg) AS segments, (SELECT count(*) FROM gs) AS speakers, (SELECT count(*) FROM gs WHERE name <> '') AS named, (SELECT count(*) FROM gs WHERE enrolled) AS enrolled, (SELECT count(*) FROM enr) AS clips", (fx.FILES, fx.SEG, *ENR))
+def _(s, d):
+    return store.counts(fx.files(s, d), fx.seg(s, d), fx.gs(s, d), fx.enr(s, d))
+
+
+@query("ag4_usage", "SELECT global_id, count(*) AS n_locals, count(DISTINCT file_id) AS n_files, sum(total_dur) AS total_dur FROM loc GROUP BY global_id", LOC)
+def _(s, d):
+    return identity.usage(fx.loc(s, d))
+
+
+@query("ag5_weighted_centroids", ", x AS (SELECT gt, unnest(range(64)) AS pos, unnest(centroid) AS x, greatest(total_dur, 1) AS w FROM vp), m AS (SELECT gt, pos, sum(x * w) / sum(w) AS x FROM x GROUP BY ALL) SELECT gt, pos::INT AS pos, round(x / sqrt(sum(x * x) OVER (PARTITION BY gt)), 6) AS x FROM m", VP)
+def _(s, d):
+    return identity.weighted_centroids(fx.vp(s, d), "gt", "centroid", "total_dur").select("gt", "pos", F.round("x", 6).alias("x"))
+
+
+@query("ag14_channel_correlation", "SELECT user_id, round(CASE WHEN var_pop(value) * var_pop(event_id) <= 1e-6 THEN 1 ELSE abs(covar_pop(value, event_id)) / sqrt(var_pop(value) * var_pop(event_id)) END, 6) AS r FROM events GROUP BY user_id")
+def _(s, d):
+    e = fx.table(s, d, "events")
+    spread = F.var_pop("value") * F.var_pop("event_id")
+    g = e.groupBy("user_id").agg(spread.alias("spread"), F.covar_pop("value", "event_id").alias("c"))
+    return g.select("user_id", F.round(F.when(F.col("spread") <= 1e-6, 1.0).otherwise(F.abs("c") / F.sqrt("spread")), 6).alias("r"))
+
+
+@query("ag11_rms", "SELECT user_id, round(sqrt(avg(value * value)), 6) AS rms FROM events GROUP BY user_id")
+def _(s, d):
+    return fx.table(s, d, "events").groupBy("user_id").agg(F.round(F.sqrt(F.avg(F.col("value") * F.col("value"))), 6).alias("rms"))
+
+
+@query("ag13_order_statistics", "SELECT user_id, (list_sort(list(value)))[count(*) // 2 + 1] AS p50, (list_sort(list(value)))[count(*) // 10 + 1] AS p10 FROM events GROUP BY user_id")
+def _(s, d):
+    by = Window.partitionBy("user_id")
+    rows = fx.table(s, d, "events").select("user_id", "value", F.row_number().over(by.orderBy("value")).alias("k"), F.count("*").over(by).alias("n"))
+    return rows.groupBy("user_id").agg(F.max(F.when(F.col("k") == F.expr("n div 2 + 1"), F.col("value"))).alias("p50"), F.max(F.when(F.col("k") == F.expr("n div 10 + 1"), F.col("value"))).alias("p10"))
+
+
+@query("wn10_latest_state", "SELECT user_id, arg_max(event_type, event_id) AS stage, arg_max(value, event_id) AS value FROM events GROUP BY user_id")
+def _(s, d):
+    return fx.table(s, d, "events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("stage"), F.max_by("value", "event_id").alias("value"))
+
+
+@query("wn9_running_progress", "SELECT user_id, event_id, count(*) OVER w AS files, round(sum(value) OVER w, 4) AS seconds FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)")
+def _(s, d):
+    by = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return fx.table(s, d, "events").select("user_id", "event_id", F.count("*").over(by).alias("files"), F.round(F.sum("value").over(by), 4).alias("seconds"))
+
+
+DUPES = f"""gf AS (SELECT DISTINCT global_id, file_id FROM loc), td AS (SELECT global_id, sum(total_dur) AS d FROM loc GROUP BY global_id),
+rk AS (SELECT gs.*, row_number() OVER (ORDER BY enrolled DESC, coalesce(d, 0) DESC, id) AS k FROM gs LEFT JOIN td ON td.global_id = gs.id),
+pr AS (SELECT a.id AS left_id, b.id AS right_id, list_cosine_similarity(a.centroid, b.centroid) AS s FROM rk a JOIN rk b ON a.k < b.k AND NOT (a.enrolled AND b.enrolled)),
+sh AS (SELECT DISTINCT p.global_id AS a, q.global_id AS b FROM gf p JOIN gf q ON p.file_id = q.file_id AND p.global_id <> q.global_id)"""
+
+
+@query("jn5_duplicate_candidates", f"SELECT left_id, right_id, round(s, 6) AS similarity FROM pr ANTI JOIN sh ON sh.a = left_id AND sh.b = right_id WHERE s >= {REVIEW} AND s < {MATCH} AND (left_id + right_id) % 7 <> 0", (*GS, DUPES))
+def _(s, d):
+    g = fx.gs(s, d)
+    ids = g.select(F.col("id").alias("low")).join(g.select(F.col("id").alias("high")), F.expr("low < high and (low + high) % 7 = 0"))
+    found = identity.duplicate_candidates(g, fx.loc(s, d), ids, REVIEW, MATCH)
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+@query("jn4_similar_speakers", f"SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.centroid, b.centroid), 6) AS sim FROM vp a JOIN vp b ON a.id < b.id WHERE list_cosine_similarity(a.centroid, b.centroid) >= {MATCH}", VP)
+def _(s, d):
+    return pairs_above(fx.vp(s, d).select("id", F.col("centroid").alias("v")), MATCH).withColumn("sim", F.round("sim", 6))
+
+
+@query("id3_enrolled_matches", f", x AS (SELECT l.id AS local_id, e.global_id, greatest(0, max(list_cosine_similarity(l.centroid, e.centroid))) AS s FROM vp l, enr e GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY local_id ORDER BY round(s, 9) DESC, global_id) AS n FROM x WHERE s >= {ENROL}) SELECT local_id, global_id, round(s, 6) AS similarity FROM r WHERE n = 1", ENR)
+def _(s, d):
+    return identity.best_enrolled(fx.vp(s, d), fx.enr(s, d), ENROL).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("id9_merge", "SELECT CASE WHEN global_id = 7 THEN 8 ELSE global_id END AS global_id, count(*) AS n_locals, count(DISTINCT file_id) AS n_files, sum(total_dur) AS total_dur FROM loc GROUP BY 1", LOC)
+def _(s, d):
+    return identity.usage(identity.merge(fx.loc(s, d), 7, 8))
+
+
+@query("sk1_upsert_files", "SELECT coalesce(n.path, o.path) AS path, coalesce(n.track, o.track) AS track, coalesce(n.size, o.size) AS size, coalesce(n.mtime, o.mtime) AS mtime, CASE WHEN n.path IS NULL OR (o.path IS NOT NULL AND n.size = o.size AND abs(n.mtime - o.mtime) < 1) THEN o.status ELSE 'pending' END AS status FROM scan n FULL JOIN fl o ON n.path = o.path AND n.track = o.track", (fx.FILES, fx.SCAN))
+def _(s, d):
+    return store.upsert_files(fx.files(s, d), fx.scan(s, d))
+
+
+@query("pf9_job_selection", "SELECT n.path, n.track, CASE WHEN o.path IS NULL THEN 'new' WHEN n.size = o.size AND abs(n.mtime - o.mtime) < 1 THEN CASE WHEN o.status = 'done' THEN 'same' ELSE 'redo' END ELSE 'changed' END AS action FROM scan n LEFT JOIN fl o ON n.path = o.path AND n.track = o.track", (fx.FILES, fx.SCAN))
+def _(s, d):
+    return store.classify_files(fx.files(s, d), fx.scan(s, d))
+
+
+@query("sk15_unused_identities", ", g AS (SELECT id, name, enrolled FROM gs UNION ALL SELECT id + 1000, name, enrolled FROM gs) SELECT id, name, enrolled FROM g WHERE name = '' AND NOT enrolled AND id NOT IN (SELECT global_id FROM loc)", GS)
+def _(s, d):
+    g = fx.gs(s, d).select("id", "name", "enrolled")
+    return identity.unused(g.unionByName(g.withColumn("id", F.col("id") + 1000)), fx.loc(s, d))
+
+
+@query("sk20_dismissed_pairs", "SELECT DISTINCT least(l_partkey, l_suppkey) AS low, greatest(l_partkey, l_suppkey) AS high FROM lineitem WHERE l_linenumber = 1")
+def _(s, d):
+    low, high = v.canonical_pair(F.col("l_partkey"), F.col("l_suppkey"))
+    return fx.table(s, d, "lineitem").where("l_linenumber = 1").select(low.alias("low"), high.alias("high")).distinct()
+
+
+@query("se3_globals_in_files", "SELECT DISTINCT file_id, global_id FROM loc", LOC)
+def _(s, d):
+    return fx.loc(s, d).select("file_id", "global_id").distinct()
+
+
+@query("id13_constrained_clusters")
+def _(s, d):
+    return identity.cluster(fx.vp(s, d), CLUSTER)
