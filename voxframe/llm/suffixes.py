@@ -7,8 +7,10 @@ them by name, and those alone with their name are unique and drop out.
    anchor) stands for all positions that chose it, a range of up to length - GRAM + 1 neighbours. Equal strings choose equal grams,
    so positions with an anchor that occurs once are unique.
 2. Names of the string that the range's positions cover together. Of ranges with equal names all but the first repeat, at all their positions.
-3. The first ranges of those that share an anchor with an unlike range are taken apart: a position is named by the pair of names of its
-   HALF first bytes and of the HALF bytes that end the string, and of equal pairs all but the first repeat.
+3. The first ranges of those that share an anchor with an unlike range are cut into cells of CELL positions, counted from the
+   anchor, and named by the length - CELL + 1 bytes that all strings of a cell hold. Cells alone with their name are unique.
+4. The positions of the other cells are taken apart: each is named by the pair of names of its half first bytes (the largest power of
+   two below length) and of as many bytes that end the string, and of equal pairs all but the first repeat.
 
 A task first settles what repeats inside its own batch, so a large group of copies sends about a row a batch, not a row a
 copy, to where its name is gathered. Sorts spill; a name's rows stream through the scan, none are collected.
@@ -34,8 +36,20 @@ from voxframe.workspace import small_batches, write_table
 
 #: Bytes of a gram; bytes hashed at once; rows of a sorted stream scanned at once.
 GRAM, PIECE, SCAN = 36, 1 << 18, 100_000
-#: Positions in a packed range: start << 32 | number << 8 | whether it is known to repeat.
-START, COUNT = np.int64(32), np.int64(8)
+#: Positions in a cell.
+CELL = 8
+#: A packed range of positions: start, number, how far the anchor is from the start, whether it is known to repeat.
+START, COUNT, ANCHOR = np.int64(32), np.int64(12), np.int64(1)
+LONGEST = 1 << 19
+
+
+def packed(start: np.ndarray, count: np.ndarray, anchor: np.ndarray | int = 0, known: int = 0) -> np.ndarray:
+    return start << START | count << COUNT | np.int64(anchor) << ANCHOR | np.int64(known)
+
+
+def unpacked(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, number, distance of the anchor."""
+    return at >> START, (at >> COUNT) & ((1 << 20) - 1), (at >> ANCHOR) & ((1 << 11) - 1)
 
 
 class Hasher:
@@ -97,7 +111,7 @@ def windows_of(texts: list[bytes], length: int, piece: int) -> Iterator[tuple[np
 
 
 def ranges_of(texts: list[bytes], length: int, piece: int = PIECE) -> Iterator[tuple[np.ndarray, ...]]:
-    """For each buffer: anchor's name, name of what the range covers, text, first position, number of positions."""
+    """For each buffer: anchor's name, name of what the range covers, text, first position, number of positions, distance of the anchor."""
     one, two = _pair(2 * piece + 2 * length)
     width = length - GRAM + 1
     for data, parts in windows_of(texts, length, piece):
@@ -123,14 +137,14 @@ def ranges_of(texts: list[bytes], length: int, piece: int = PIECE) -> Iterator[t
         nxt = np.searchsorted(edge, first, "right")
         count = np.where(nxt < len(edge), edge[np.minimum(nxt, len(edge) - 1)], len(anchor)) - first
         p = np.array(parts, np.int64)[of[first]]
-        yield g[anchor[first]].view(np.int64), two.name(first, first + count - 1 + length).view(np.int64), p[:, 0], p[:, 1] + first - p[:, 2], count
+        yield g[anchor[first]].view(np.int64), two.name(first, first + count - 1 + length).view(np.int64), p[:, 0], p[:, 1] + first - p[:, 2], count, anchor[first] - first
 
 
 def names_of(text: bytes, wanted: np.ndarray, length: int, piece: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Positions, and the names of the first and of the last HALF bytes of the strings that start there; wanted: packed ranges."""
     one, _ = _pair(2 * piece + 2 * length)
     half = np.int64(1 << ((length - 1).bit_length() - 1))
-    start, count = wanted >> START, (wanted >> COUNT) & ((1 << 24) - 1)
+    start, count, _ = unpacked(wanted)
     at = np.unique(np.repeat(start - np.cumsum(count) + count, count) + np.arange(count.sum()))
     for data, parts in windows_of([text], length, piece):
         _, begin, _, n = parts[0]
@@ -141,7 +155,27 @@ def names_of(text: bytes, wanted: np.ndarray, length: int, piece: int = PIECE) -
             yield own, one.name(i, i + half).view(np.int64), one.name(i + length - half, i + length).view(np.int64)
 
 
-def _settle(a: np.ndarray, b: np.ndarray, doc: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
+def cells_of(text: bytes, wanted: np.ndarray, length: int, piece: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Names and packed ranges of the cells of packed ranges: the range's positions with the same (anchor - position) // CELL."""
+    one, _ = _pair(2 * piece + 2 * length)
+    start, count, far = unpacked(np.sort(wanted))
+    low, high = (far - count + 1) // CELL, far // CELL
+    n = high - low + 1
+    k = np.repeat(np.arange(len(n)), n)
+    cell = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + low[k]
+    anchor = (start + far)[k]
+    first, last = np.maximum(start[k], anchor - cell * CELL - CELL + 1), np.minimum((start + count - 1)[k], anchor - cell * CELL)
+    core = anchor - cell * CELL
+    for at in range(0, max(1, len(text)), piece):  # a cell's core is hashed with the piece where it starts
+        own = np.flatnonzero((core >= at) & (core < at + piece))
+        if len(own):
+            one.load(np.frombuffer(text[at : at + piece + length], np.uint8))
+            i = core[own] - at
+            name = _mixed(one.name(i, i + length - CELL + 1) + cell[own].astype(np.uint64))
+            yield name.view(np.int64), packed(first[own], last[own] - first[own] + 1, anchor[own] - first[own])
+
+
+def _settle(a: np.ndarray, b: np.ndarray, doc: np.ndarray, start: np.ndarray, count: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, ...]:
     """Rows a, b, doc, packed range. What repeats within the batch is joined to runs, marked, and dealt by place, not by name."""
     order = np.lexsort((start, doc, b, a))
     again = np.zeros(len(a), bool)
@@ -151,12 +185,11 @@ def _settle(a: np.ndarray, b: np.ndarray, doc: np.ndarray, start: np.ndarray, co
     run = run[np.lexsort((start[run], doc[run]))]
     d, s, e = doc[run], start[run], start[run] + count[run]
     cut = np.ones(len(run), bool)
-    cut[1:] = (d[1:] != d[:-1]) | (s[1:] != e[:-1])
+    cut[1:] = (d[1:] != d[:-1]) | (s[1:] != e[:-1]) | (s[1:] // LONGEST != s[:-1] // LONGEST)
     at = np.flatnonzero(cut)
     d, s, e = d[at], s[at], e[np.append(at[1:], len(run)) - 1] if len(run) else e
     place = _mixed(d.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + s.astype(np.uint64)).view(np.int64)
-    packed = start[keep] << START | count[keep] << COUNT
-    return np.append(a[keep], place), np.append(b[keep], place), np.append(doc[keep], d), np.append(packed, s << START | (e - s) << COUNT | 1)
+    return np.append(a[keep], place), np.append(b[keep], place), np.append(doc[keep], d), np.append(packed(start[keep], count[keep], far[keep]), packed(s, e - s, 0, 1))
 
 
 _ROWS = "a long, b long, doc long, at long"
@@ -173,8 +206,8 @@ def _anchors(length: int, piece: int):
             docs, texts = b.column(0).to_numpy(), [t.as_buffer().to_pybytes() for t in b.column(1)]
             found = list(ranges_of(texts, length, piece))
             if found:
-                g, u, k, start, count = (np.concatenate(c) for c in zip(*found))
-                yield from _batch(_settle(g, u, docs[k], start, count), ["a", "b", "doc", "at"])
+                g, u, k, start, count, far = (np.concatenate(c) for c in zip(*found))
+                yield from _batch(_settle(g, u, docs[k], start, count, far), ["a", "b", "doc", "at"])
 
     return run
 
@@ -182,13 +215,27 @@ def _anchors(length: int, piece: int):
 def _pairs(length: int, piece: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(x, y, np.full(len(at), doc), at, np.ones(len(at), np.int64)) for doc, text, wanted in zip(b.column(0).to_pylist(), b.column(1), b.column(2)) for at, x, y in names_of(text.as_buffer().to_pybytes(), np.array(wanted.as_py(), np.int64), length, piece)]
+            found = [(x, y, np.full(len(at), doc), at, np.ones(len(at), np.int64), np.zeros(len(at), np.int64)) for doc, text, wanted in zip(b.column(0).to_pylist(), b.column(1), b.column(2)) for at, x, y in names_of(text.as_buffer().to_pybytes(), np.array(wanted.as_py(), np.int64), length, piece)]
             if found:
                 yield from _batch(_settle(*(np.concatenate(c) for c in zip(*found))), ["a", "b", "doc", "at"])
 
     return run
 
 
+def _cells(length: int, piece: int):
+    """Rows whose b differs from row to row, so that all rows that share their a are open."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(a, np.full(len(a), doc), at) for doc, text, wanted in zip(b.column(0).to_pylist(), b.column(1), b.column(2)) for a, at in cells_of(text.as_buffer().to_pybytes(), np.array(wanted.as_py(), np.int64), length, piece)]
+            if found:
+                a, doc, at = (np.concatenate(c) for c in zip(*found))
+                own = _mixed(_mixed(doc.astype(np.uint64)) + at.astype(np.uint64)).view(np.int64)
+                yield from _batch((a, own, doc, at), ["a", "b", "doc", "at"])
+
+    return run
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by a, b, document and place: doc, at, open. All but the first of equal (a, b) repeat (open 0); the first of an (a, b) whose a
     has another b is open (1); what is left is unique and dropped. Keeps one row from batch to batch."""
@@ -251,15 +298,20 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]
 
 def repeats(rows: DataFrame, length: int = 100, piece: int = PIECE) -> DataFrame:
     """doc, at (packed range of positions whose string starts earlier, too): from rows _k, text."""
-    if length < GRAM + 2:
-        raise ValueError(f"strings of {GRAM + 2} bytes at least")
+    if not GRAM + 2 <= length <= GRAM + 2000:
+        raise ValueError(f"strings of {GRAM + 2} to {GRAM + 2000} bytes")
     spark = rows.sparkSession
     small_batches(spark, 1000)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.select("_k", F.col("text").cast("binary").alias("text"))
     ranked = write_table(_ranked(rows.mapInArrow(_anchors(length, piece), _ROWS), parts), "ranked")
-    open_ = ranked.where("open = 1").groupBy("doc").agg(F.collect_list("at").alias("open_at"))
-    apart = rows.join(open_, F.col("_k") == F.col("doc")).select("_k", "text", "open_at").mapInArrow(_pairs(length, piece), _ROWS)
+
+    def again(ranked: DataFrame, named) -> DataFrame:
+        """What named() makes of the open ranges and their texts."""
+        open_ = ranked.where("open = 1").groupBy("doc").agg(F.collect_list("at").alias("open_at"))
+        return rows.join(open_, F.col("_k") == F.col("doc")).select("_k", "text", "open_at").mapInArrow(named(length, piece), _ROWS)
+
+    apart = again(_ranked(again(ranked, _cells), parts), _pairs)
     return ranked.where("open = 0").select("doc", "at").unionByName(_ranked(apart, parts).where("open = 0").select("doc", "at"))
 
 
@@ -289,8 +341,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
 def removed(hits: np.ndarray, length: int) -> np.ndarray:
     """Maximal runs [start, end) that the strings at the positions of packed ranges cover."""
     start = np.sort(hits)
-    end = np.maximum.accumulate((start >> START) + ((start >> COUNT) & ((1 << 24) - 1)) - 1 + length) if len(start) else start
-    start = start >> START
+    start, count, _ = unpacked(start)
+    end = np.maximum.accumulate(start + count - 1 + length) if len(start) else start
     cut = np.ones(len(start), bool)
     cut[1:] = start[1:] > end[:-1]
     at = np.flatnonzero(cut)
