@@ -93,7 +93,7 @@ def write(pages: DataFrame, folder: str, *, min_bytes: int = 0, compress: int |
             flush()
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["file"])
 
-    return [r.file for r in rows.mapInArrow(run, "file string").orderBy("file").collect()]  # a row a file
+    return sorted(r.file for r in rows.mapInArrow(run, "file string").collect())  # a row a file
 
 
 class _Stream:
