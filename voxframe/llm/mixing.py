@@ -16,6 +16,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxframe.workspace import write_table
+
+#: Tables of a row a source are broadcast up to so many sources; beyond, joins shuffle.
+FEW_SOURCES = 50_000
 #: Rows of a source in a bucket of the rank axis, about; buckets are summed before any order by document is made.
 BUCKET_ROWS = 1000
 
@@ -71,9 +75,11 @@ def mix(rows: DataFrame, sizes: DataFrame | None = None, *, id_col: str = "doc_i
     targets = targets.withColumn("_vx_whole", whole).withColumn("_vx_rest", F.col("_vx_target") - F.col("_vx_whole") * F.col("_vx_source_size"))
     targets = targets.withColumn("_vx_p", F.when(F.col("_vx_source_size") > 0, F.col("_vx_rest") / F.col("_vx_source_size")).otherwise(0.0))
     targets = targets.withColumn("_vx_n", F.ceil(F.col("_vx_rows") / BUCKET_ROWS)).select("_vx_key", "_vx_rank", "_vx_source_size", "_vx_target", "_vx_whole", "_vx_rest", "_vx_p", "_vx_n")
+    targets = write_table(targets, "targets")
+    by_source = F.broadcast if targets.count() <= FEW_SOURCES else (lambda df: df)
 
     def ranked(df: DataFrame, by: str, key: str) -> DataFrame:
-        df = df.join(targets, F.col(by).eqNullSafe(F.col("_vx_key"))).drop("_vx_key")
+        df = df.join(by_source(targets), F.col(by).eqNullSafe(F.col("_vx_key"))).drop("_vx_key")
         df = df.withColumn("_vx_q", F.when(F.col("_vx_p") > 0, pareto_rank(uniform(key, seed), F.col("_vx_p"))))
         return df.withColumn("_vx_b", F.floor(F.col("_vx_q") / (1 + F.col("_vx_q")) * F.col("_vx_n")))
 
@@ -81,7 +87,7 @@ def mix(rows: DataFrame, sizes: DataFrame | None = None, *, id_col: str = "doc_i
     up_to = Window.partitionBy("_vx_rank").orderBy("_vx_b").rowsBetween(Window.unboundedPreceding, 0)
     sums = sums.withColumn("_vx_cum", F.sum("_vx_w").over(up_to)).where(F.col("_vx_cum") >= F.col("_vx_rest"))
     edge = sums.groupBy("_vx_rank").agg(F.min_by(F.struct(F.col("_vx_b").alias("b"), (F.col("_vx_cum") - F.col("_vx_w")).alias("before")), "_vx_b").alias("_vx_edge"))
-    placed = ranked(rows, source, id_col).join(edge, "_vx_rank", "left")
+    placed = ranked(rows, source, id_col).join(by_source(edge), "_vx_rank", "left")
     inside = F.col("_vx_edge").isNotNull() & (F.col("_vx_b") == F.col("_vx_edge.b"))
     clear = placed.where(~F.coalesce(inside, F.lit(False))).withColumn("_vx_pick", F.when((F.col("_vx_p") > 0) & (F.col("_vx_edge").isNull() | (F.col("_vx_b") < F.col("_vx_edge.b"))), 1).otherwise(0))
     order = Window.partitionBy("_vx_rank", "_vx_b").orderBy("_vx_q", id_col, size).rowsBetween(Window.unboundedPreceding, 0)
