@@ -103,9 +103,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array([present(t.as_py(), shared.value).astype("<i2").tobytes() for t in b.column(0)], pa.binary())], ["y", "x"])
 
-    found = sample.mapInArrow(rows, "y int, x binary").orderBy("y", "x").toArrow()
-    xs = [np.frombuffer(x.as_py(), "<i2") for x in found.column("x")]
-    w, b = _logistic(xs, found.column("y").to_numpy(), ratio, l2, steps)
+    found = sample.mapInArrow(rows, "y int, x binary").collect()  # max_toxic + max_clean rows at most
+    found = sorted((r.y, bytes(r.x)) for r in found)
+    w, b = _logistic([np.frombuffer(x, "<i2") for _, x in found], np.array([y for y, _ in found]), ratio, l2, steps)
     return Model(slot, w * ratio, b + bias - float(np.log(m[1] / m[0])))
 
 
