@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -11,6 +13,19 @@ from pyspark.sql import DataFrame, SparkSession
 _made: list[tuple[SparkSession, str]] = []
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Lets the session's Python workers import this package: by path in local mode, else as a zip that Spark hands out."""
+    root, context = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), spark.sparkContext
+    known = context.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or root in known:
+        return spark
+    context.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
+    if not context.master.startswith("local"):
+        at = tempfile.mkdtemp(prefix="voxframe-")
+        context.addPyFile(shutil.make_archive(f"{at}/voxframe", "zip", root, "voxframe"))
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; where it is unset (tests, local mode) a temporary folder."""
     at = spark.conf.get("spark.checkpoint.dir", None)
