@@ -71,7 +71,7 @@ def held_out(id_col: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = 4000, max_clean: int = 8000, features: int = 4096, l2: float = 0.02, steps: int = 200) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = 4000, max_clean: int = 8000, features: int = 1024, l2: float = 0.3, steps: int = 200) -> Model:
     """The model; labels of held-out rows are not read."""
     spark = docs.sparkSession
     small_batches(spark, 1000)
