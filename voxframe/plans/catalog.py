@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from voxframe.functions import text as t
 from voxframe.functions import vectors as v
-from voxframe.operators import attribution, identity, render, store
+from voxframe.operators import attribution, identity, matching, render, store
 from voxframe.operators.similarity import pairs_above
 from voxframe.plans import fixtures as fx
+from voxframe.streaming import events as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -334,3 +335,34 @@ def _(s, d):
 @query("id13_constrained_clusters")
 def _(s, d):
     return identity.cluster(fx.vp(s, d), CLUSTER)
+
+
+@query("id4_file_resolution")
+def _(s, d):
+    return matching.resolve_batch(fx.vp(s, d), fx.gs(s, d), fx.enr(s, d), enrol=ENROL, match=MATCH, floor=FLOOR)
+
+
+@query("id14_recluster")
+def _(s, d):
+    return matching.recluster(fx.gs(s, d), fx.loc(s, d), threshold=CLUSTER, floor=FLOOR)
+
+
+@query("id11_refreshed_enrollment", ", x AS (SELECT global_id, unnest(range(64)) AS pos, unnest(centroid) AS x, greatest(duration, 1) AS w FROM enr), m AS (SELECT global_id, pos, sum(x * w) / sum(w) AS x FROM x GROUP BY ALL) SELECT global_id, pos::INT AS pos, round(x / sqrt(sum(x * x) OVER (PARTITION BY global_id)), 6) AS x FROM m", ENR)
+def _(s, d):
+    return identity.weighted_centroids(fx.enr(s, d), "global_id", "centroid", "duration").select("global_id", "pos", F.round("x", 6).alias("x"))
+
+
+@query("sk8_assigned_segments", "SELECT s.file_id, s.idx, l.global_id FROM seg s LEFT JOIN (SELECT file_id, label, global_id FROM loc) l ON l.file_id = s.file_id AND l.label = s.local_label", (fx.SEG, *LOC))
+def _(s, d):
+    l = fx.loc(s, d).select("file_id", F.col("label").alias("local_label"), "global_id")
+    return fx.seg(s, d).select("file_id", "idx", "local_label").join(l, ["file_id", "local_label"], "left").select("file_id", "idx", "global_id")
+
+
+@query("ag19_people_in_files", "SELECT file_id, count(DISTINCT global_id) AS people, count(DISTINCT label) AS labels FROM loc GROUP BY file_id", LOC)
+def _(s, d):
+    return fx.loc(s, d).groupBy("file_id").agg(F.countDistinct("global_id").alias("people"), F.countDistinct("label").alias("labels"))
+
+
+@query("st7_stream_latest_state", "SELECT user_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id")
+def _(s, d):
+    return stream.latest_snapshot(s, f"{d}/event[s].parquet", fx.table(s, d, "events").schema, "user_id", "event_id", ["event_type", "value"])
