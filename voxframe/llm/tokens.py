@@ -16,7 +16,6 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -64,33 +63,31 @@ class Encoder:
         self.ids[: len(ids)], self.used = ids, len(ids)
         self.uses[:] = 0
 
-    def _library(self, texts: list[str]) -> list[list[int]]:
-        plain = [i for i, t in enumerate(texts) if SEPARATOR not in t and "<|" not in t] if self.separator is not None else []
-        out: list[list[int]] = [[]] * len(texts)
-        for at in range(0, len(plain), 500):
-            own = plain[at : at + 500]
-            ids = self.tokenizer.encode_batch_fast([f" {SEPARATOR} ".join(texts[i] for i in own)], add_special_tokens=False)[0].ids
-            cut = [-1, *(k for k, x in enumerate(ids) if x == self.separator), len(ids)]
-            for i, a, b in zip(own, cut, cut[1:]):
-                out[i] = ids[a + 1 : b]
-        rest = sorted(set(range(len(texts))) - set(plain))
-        for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)):
-            out[i] = e.ids
-        return out
+    def _library(self, chunks: list[str]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+        """Groups of the chunks with their ids and numbers of ids; most are encoded as one text with separators between them."""
+        plain, rest = [], []
+        for c in chunks:
+            (rest if self.separator is None or SEPARATOR in c or "<|" in c else plain).append(c)
+        for at in range(0, len(plain), 300):
+            own = plain[at : at + 300]
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {SEPARATOR} ".join(own)], add_special_tokens=False)[0].ids, np.uint32)
+            cut = np.flatnonzero(ids == self.separator)
+            yield own, np.delete(ids, cut), np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1
+        if rest:
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+            yield rest, np.array([x for i in ids for x in i], np.uint32), np.array([len(i) for i in ids])
 
     def _learn(self, chunks: list[str]) -> None:
-        ids = self._library(chunks)
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
-        n = len(self.at)
-        if n + len(chunks) > len(self.first):
-            self.first, self.size, self.uses = (np.concatenate([x, np.zeros(len(chunks), np.int64)]) for x in (self.first, self.size, self.uses))
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.first[n : n + len(ids)], self.size[n : n + len(ids)] = self.used + np.cumsum(size) - size, size
-        self.used += len(flat)
-        self.at.update(zip(chunks, range(n, n + len(chunks))))
+        for own, flat, size in self._library(chunks):
+            n = len(self.at)
+            if n + len(own) > len(self.first):
+                self.first, self.size, self.uses = (np.concatenate([x, np.zeros(max(len(own), len(x) // 2), np.int64)]) for x in (self.first, self.size, self.uses))
+            while self.used + len(flat) > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
+            self.ids[self.used : self.used + len(flat)] = flat
+            self.first[n : n + len(own)], self.size[n : n + len(own)] = self.used + np.cumsum(size) - size, size
+            self.used += len(flat)
+            self.at.update(zip(own, range(n, n + len(own))))
 
     def encode(self, texts: pa.StringArray, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with end after it, and their numbers. Arrow splits the texts and finds the distinct chunks."""
