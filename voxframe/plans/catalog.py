@@ -366,3 +366,84 @@ def _(s, d):
 @query("st7_stream_latest_state", "SELECT user_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id")
 def _(s, d):
     return stream.latest_snapshot(s, f"{d}/event[s].parquet", fx.table(s, d, "events").schema, "user_id", "event_id", ["event_type", "value"])
+
+
+# --- more of the store, windows and scalar functions
+
+
+@query("sc14_global_centroid", ", one AS (SELECT unnest(range(64)) AS pos, unnest(centroid) AS x FROM gs WHERE id = 12) SELECT pos::INT AS pos, round(x, 6) AS x FROM one", GS)
+def _(s, d):
+    return fx.gs(s, d).where("id = 12").select(F.posexplode("centroid").alias("pos", "x")).select("pos", F.round("x", 6).alias("x"))
+
+
+@query("sk4_cleared_segments", "SELECT file_id, idx FROM seg WHERE file_id % 3 <> 0", (fx.SEG,))
+def _(s, d):
+    rows = fx.seg(s, d).select("file_id", "idx")
+    return store.delete(rows, rows.where("file_id % 3 = 0").select("file_id").distinct(), "file_id")
+
+
+@query("sk2_file_status", "SELECT path, CASE WHEN size > 2000 THEN 'running' ELSE status END AS status FROM fl", (fx.FILES,))
+def _(s, d):
+    f = fx.files(s, d).select("path", "size", "status")
+    return store.update(f, f.where("size > 2000").select("path", F.lit("running").alias("status")), "path", ["status"]).select("path", "status")
+
+
+@query("sk21_recorded_outputs", "SELECT user_id, event_type, arg_max(value, event_id) AS value FROM events GROUP BY ALL")
+def _(s, d):
+    rows = fx.table(s, d, "events").select("user_id", "event_type", "value", "event_id")
+    return store.last_wins(rows, ["user_id", "event_type"], F.col("event_id")).select("user_id", "event_type", "value")
+
+
+@query("id5_minted_identities", f", m AS (SELECT id FROM vp WHERE id % 11 = 0 AND total_dur >= {FLOOR}) SELECT id AS local_id, 200 + row_number() OVER (ORDER BY id) AS global_id FROM m", VP)
+def _(s, d):
+    m = fx.vp(s, d).where(f"id % 11 = 0 and total_dur >= {FLOOR}").select(F.col("id").alias("local_id"))
+    top = fx.gs(s, d).agg(F.max("id").alias("top"))
+    return m.withColumn("k", F.row_number().over(Window.orderBy("local_id"))).join(top, F.lit(True)).select("local_id", (F.col("top") + F.col("k")).alias("global_id"))
+
+
+@query("jn6_shared_files", "SELECT DISTINCT p.global_id AS a, q.global_id AS b FROM loc p JOIN loc q ON p.file_id = q.file_id AND p.global_id < q.global_id", LOC)
+def _(s, d):
+    f = fx.loc(s, d).select("global_id", "file_id").distinct()
+    return f.select(F.col("global_id").alias("a"), "file_id").join(f.select(F.col("global_id").alias("b"), "file_id"), "file_id").where("a < b").select("a", "b").distinct()
+
+
+@query("jn10_named_segments", "SELECT s.file_id, s.idx, coalesce(CASE WHEN g.name <> '' THEN g.name ELSE printf('SPEAKER_%04d', g.id) END, s.local_label) AS speaker FROM seg s LEFT JOIN loc l ON l.file_id = s.file_id AND l.label = s.local_label LEFT JOIN gs g ON g.id = l.global_id", (fx.SEG, *GS))
+def _(s, d):
+    who = fx.loc(s, d).select("file_id", F.col("label").alias("local_label"), F.col("global_id").alias("id")).join(fx.display(fx.gs(s, d)).select("id", "display"), "id")
+    return fx.seg(s, d).select("file_id", "idx", "local_label").join(who, ["file_id", "local_label"], "left").select("file_id", "idx", F.coalesce("display", "local_label").alias("speaker"))
+
+
+@query("ag8_cluster_votes", ", n AS (SELECT gt, global_id, count(*) AS n FROM loc GROUP BY ALL) SELECT gt, global_id FROM n QUALIFY row_number() OVER (PARTITION BY gt ORDER BY n DESC, global_id) = 1", LOC)
+def _(s, d):
+    n = fx.loc(s, d).groupBy("gt", "global_id").agg(F.count("*").alias("n"))
+    return n.groupBy("gt").agg(F.max_by("global_id", F.struct("n", -F.col("global_id"))).alias("global_id"))
+
+
+@query("wn3_sliding_windows", "SELECT doc_id, unnest(CASE WHEN n_chars <= 400 THEN [0] ELSE range(0, n_chars - 400 + 1, 150) END) AS start FROM documents")
+def _(s, d):
+    starts = F.when(F.col("n_chars") <= 400, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n_chars") - 400, F.lit(0).cast("long")), F.lit(150).cast("long")))
+    return fx.table(s, d, "documents").select("doc_id", F.explode(starts).alias("start"))
+
+
+@query("wn4_word_ends", "SELECT file_id, idx, w_pos, round(coalesce(lead(w_start) OVER (PARTITION BY file_id, idx ORDER BY w_pos), w_end), 6) AS w_end FROM wrd", (fx.SEG, fx.WRD))
+def _(s, d):
+    by = Window.partitionBy("file_id", "idx").orderBy("w_pos")
+    return fx.wrd(s, d).select("file_id", "idx", F.col("w_pos").cast("long").alias("w_pos"), F.round(F.coalesce(F.lead("w_start").over(by), "w_end"), 6).alias("w_end"))
+
+
+@query("wn7_padded_chunks", "SELECT file_id, speaker, round(greatest(t_start - 0.3, 0), 6) AS a, round(least(t_end + 0.3, max(t_end) OVER (PARTITION BY file_id)), 6) AS b FROM trn", (fx.SEG, fx.TRN))
+def _(s, d):
+    end = F.max("t_end").over(Window.partitionBy("file_id"))
+    return fx.trn(s, d).select("file_id", "speaker", F.round(F.greatest(F.col("t_start") - 0.3, F.lit(0.0)), 6).alias("a"), F.round(F.least(F.col("t_end") + 0.3, end), 6).alias("b"))
+
+
+@query("fn20_output_paths", "SELECT doc_id, '/out/' || source || '/' || doc_id || CASE WHEN doc_id % 3 > 0 THEN '.track' || (doc_id % 3 + 1) ELSE '' END || '.' || lower('SRT') AS path FROM documents")
+def _(s, d):
+    track = F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit(".track"), (F.col("doc_id") % 3 + 1).cast("string"))).otherwise("")
+    stem = t.sanitise_filename(F.col("doc_id").cast("string"))
+    return fx.table(s, d, "documents").select("doc_id", F.concat(F.lit("/out/"), "source", F.lit("/"), stem, track, F.lit("."), t.lower(F.lit("SRT"))).alias("path"))
+
+
+@query("fn30_usable_clips", "SELECT id, duration, duration >= 3 AS usable FROM enr", ENR)
+def _(s, d):
+    return fx.enr(s, d).select("id", "duration", (F.col("duration") >= 3).alias("usable"))
