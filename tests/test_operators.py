@@ -142,3 +142,27 @@ def test_entry_without_the_llm_folder(spark, tmp_path):
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(sorted(n[:2] for n in e.queries())[0], len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": ""}, check=True).stdout.split()
     assert int(said[-2]) > 50 and int(said[-1]) > 50
+
+
+def test_merge_and_split(spark):
+    ids = spark.createDataFrame([(1, "", False, [1.0]), (2, "Bo", False, [2.0]), (3, "", False, [3.0])], "id long, name string, enrolled boolean, centroid array<double>")
+    loc = spark.createDataFrame([(10, 1, 1, [1.0]), (11, 2, 2, [2.0]), (12, 3, 3, [3.0]), (13, 4, 1, [4.0])], "id long, file_id long, global_id long, centroid array<double>")
+    clips = spark.createDataFrame([(5, 2)], "id long, global_id long")
+    gone = spark.createDataFrame([(1, 2), (1, 3)], "low long, high long")
+    i, l, c, d = identity.merge_identities(ids, loc, clips, gone, 2, 1)
+    assert sorted((r.id, r.name) for r in i.collect()) == [(1, "Bo"), (3, "")]
+    assert {r.id: r.global_id for r in l.collect()} == {10: 1, 11: 1, 12: 3, 13: 1} and c.first().global_id == 1
+    assert [(r.low, r.high) for r in d.collect()] == [(1, 3)]
+    assert identity.merge_identities(ids, loc, clips, gone, 1, 1) == (ids, loc, clips, gone)
+    i, l = identity.split_local(ids, loc, 12)
+    assert sorted(r.id for r in i.collect()) == [1, 2, 4] and {r.id: r.global_id for r in l.collect()}[12] == 4
+
+
+def test_json_transcript(spark):
+    import json
+
+    seg = spark.createDataFrame([(1, 0, 'say "hi"\n', None, None, None, 0.0, 1.5), (1, 1, "", "x", "x", 4, 1.5, 2.0), (1, 2, "d\\", "Ann", "x", 4, 2.0, 3.25)], "file_id long, idx long, text string, label string, local_label string, global_id long, seg_start double, seg_end double")
+    files = spark.createDataFrame([(1, "/a\"b.wav", 0, 1, 3.25, "en", ""), (2, "/c.wav", 0, 1, 0.0, "", "")], "file_id long, source string, track int, track_count int, duration double, language string, model string")
+    got = {r.file_id: json.loads(r.body) for r in render.json(seg, files).collect()}
+    assert [(s["start"], s["end"], s["speaker"], s["speaker_id"], s["text"]) for s in got[1]["segments"]] == [(0, 1.5, "", -1, 'say "hi"\n'), (2, 3.25, "Ann", 4, "d\\")]
+    assert got[1]["source"] == '/a"b.wav' and got[2]["segments"] == []

@@ -59,6 +59,26 @@ def merge(locals_: DataFrame, source: int, into: int) -> DataFrame:
     return locals_.withColumn("global_id", F.when(F.col("global_id") == source, F.lit(into).cast("long")).otherwise(F.col("global_id")))
 
 
+def merge_identities(identities: DataFrame, locals_: DataFrame, clips: DataFrame, dismissed: DataFrame, source: int, into: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The four tables after the merge: locals and clips move, the survivor keeps its name or takes the other's, its centroid stays unless it has clips (see
+    weighted_centroids), dismissals that name the source go. Merging an identity with itself changes nothing."""
+    if source == into:
+        return identities, locals_, clips, dismissed
+    gone = identities.where(F.col("id") == source).select(F.col("name").alias("_name"))
+    named = F.when((F.col("id") == into) & (F.coalesce("name", F.lit("")) == ""), F.col("_name")).otherwise(F.col("name"))
+    kept = identities.where(F.col("id") != source).join(gone, F.lit(True), "left").withColumn("name", named).drop("_name")
+    return kept, merge(locals_, source, into), merge(clips, source, into), dismissed.where((F.col("low") != source) & (F.col("high") != source))
+
+
+def split_local(identities: DataFrame, locals_: DataFrame, local_id: int) -> tuple[DataFrame, DataFrame]:
+    """Identities and locals after the local has been given an identity of its own, with its centroid; identities left without use go."""
+    fresh = identities.agg((F.coalesce(F.max("id"), F.lit(0)) + 1).alias("_fresh"))
+    moved = locals_.join(fresh, F.lit(True)).withColumn("global_id", F.when(F.col("id") == local_id, F.col("_fresh")).otherwise(F.col("global_id"))).drop("_fresh")
+    own = locals_.where(F.col("id") == local_id).join(fresh, F.lit(True)).select(F.col("_fresh").alias("id"), F.lit("").alias("name"), F.lit(False).alias("enrolled"), "centroid")
+    all_ids = identities.select("id", "name", "enrolled", "centroid").unionByName(own)
+    return all_ids.join(unused(all_ids, moved).select("id"), "id", "left_anti"), moved
+
+
 def unused(identities: DataFrame, locals_: DataFrame) -> DataFrame:
     """Identities to delete: no name, not enrolled, no local refers to them."""
     refs = locals_.where("global_id is not null").select(F.col("global_id").alias("id")).distinct()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from voxframe.functions import text as t
 
-FORMATS = ("srt", "vtt", "txt", "tsv", "md")
+FORMATS = ("srt", "vtt", "txt", "tsv", "md", "json")
 
 
 def _joined(rows: DataFrame, line: Column, order: str = "idx") -> DataFrame:
@@ -37,6 +37,23 @@ def render(segments: DataFrame, fmt: str) -> DataFrame:
     raise ValueError(f"unknown format {fmt}")
 
 
+def json(segments: DataFrame, files: DataFrame) -> DataFrame:
+    """file_id, body: segments as above with global_id (null: -1) and local_label; files: file_id, source, track, track_count, duration, language, model. Numbers have six digits."""
+    rows = segments.where(F.col("text") != "")
+
+    def quoted(c: Column) -> Column:
+        return F.concat(F.lit('"'), t.escape_json(F.coalesce(c, F.lit(""))), F.lit('"'))
+
+    def member(name: str, value: Column, last: bool = False) -> Column:
+        return F.concat(F.lit(f'      "{name}": '), value, F.lit("" if last else ",\n"))
+
+    parts = [member("start", t.general(F.col("seg_start"))), member("end", t.general(F.col("seg_end"))), member("speaker", quoted(F.col("label"))), member("speaker_id", F.coalesce("global_id", F.lit(-1)).cast("string")), member("local_label", quoted(F.col("local_label"))), member("text", quoted(F.col("text")), True)]
+    body = rows.select("file_id", F.struct("idx", F.concat(F.lit("    {\n"), *parts, F.lit("\n    }")).alias("line")).alias("x")).groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), ",\n").alias("segments"))
+    head = [("source", quoted(F.col("source"))), ("track", F.col("track").cast("string")), ("track_count", F.col("track_count").cast("string")), ("duration", t.general(F.col("duration"))), ("language", quoted(F.col("language"))), ("model", quoted(F.col("model")))]
+    top = F.concat(F.lit("{\n"), *[F.concat(F.lit(f'  "{k}": '), v, F.lit(",\n")) for k, v in head], F.lit('  "segments": [\n'), F.coalesce("segments", F.lit("")), F.lit("\n  ]\n}\n"))
+    return files.join(body, "file_id", "left").select("file_id", top.alias("body"))
+
+
 def markdown(blocks: DataFrame) -> DataFrame:
     """file_id, body from folded blocks (attribution.fold_runs), without the head."""
     name = F.when(F.coalesce(F.col("speaker"), F.lit("")) == "", "Unattributed").otherwise(F.col("speaker"))

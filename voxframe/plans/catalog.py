@@ -447,3 +447,22 @@ def _(s, d):
 @query("fn30_usable_clips", "SELECT id, duration, duration >= 3 AS usable FROM enr", ENR)
 def _(s, d):
     return fx.enr(s, d).select("id", "duration", (F.col("duration") >= 3).alias("usable"))
+
+
+@query(
+    "rn6_json",
+    """, x AS (SELECT *, replace(replace(replace(replace(replace(text, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r'), chr(9), chr(92) || 't') AS e FROM seg WHERE text <> ''),
+y AS (SELECT file_id, string_agg('    {' || chr(10) || '      "start": ' || printf('%g', seg_start) || ',' || chr(10) || '      "end": ' || printf('%g', seg_end) || ',' || chr(10) || '      "speaker": "' || local_label || '",' || chr(10) || '      "speaker_id": -1,' || chr(10) || '      "local_label": "' || local_label || '",' || chr(10) || '      "text": "' || e || '"' || chr(10) || '    }', ',' || chr(10) ORDER BY idx) AS s, max(seg_end) AS d FROM x GROUP BY file_id)
+SELECT file_id, '{' || chr(10) || '  "source": "/in/' || file_id || '.wav",' || chr(10) || '  "track": 0,' || chr(10) || '  "track_count": 1,' || chr(10) || '  "duration": ' || printf('%g', d) || ',' || chr(10) || '  "language": "",' || chr(10) || '  "model": "",' || chr(10) || '  "segments": [' || chr(10) || s || chr(10) || '  ]' || chr(10) || '}' || chr(10) AS body FROM y""",
+    (fx.SEG,),
+)
+def _(s, d):
+    rows = fx.seg(s, d).withColumn("label", F.col("local_label")).withColumn("global_id", F.lit(None).cast("long"))
+    files = rows.where("text <> ''").groupBy("file_id").agg(F.max("seg_end").alias("duration")).select("file_id", F.concat(F.lit("/in/"), "file_id", F.lit(".wav")).alias("source"), F.lit(0).alias("track"), F.lit(1).alias("track_count"), "duration", F.lit("").alias("language"), F.lit("").alias("model"))
+    return render.json(rows, files)
+
+
+@query("id10_split", ", l AS (SELECT id, CASE WHEN id = 44 + 1 THEN 201 ELSE global_id END AS global_id FROM loc) SELECT global_id, count(*) AS n FROM l GROUP BY global_id", GS)
+def _(s, d):
+    _ids, moved = identity.split_local(fx.gs(s, d), fx.loc(s, d), 45)
+    return moved.groupBy("global_id").agg(F.count("*").alias("n"))
