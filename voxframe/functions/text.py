@@ -83,10 +83,44 @@ def escape_markdown(c: Column) -> Column:
     return F.regexp_replace(c, r"([\\`*_{}\[\]()#+\-.!|])", r"\\$1")
 
 
+def fixed(x: Column, places: int, width: int = 0) -> Column:
+    """A number with so many places, right-aligned in the width; values midway between two numbers go to the even one."""
+    return F.format_string(f"%{width or ''}.{places}f", F.bround(x, places))
+
+
 def general(x: Column) -> Column:
-    """A number as C's %g prints it, for 0 and sizes from 1e-4 below 1e6."""
-    size = F.abs(x)
-    shown = F.format_string("%.0f", x)
-    for bound, places in ((1e5, 1), (1e4, 2), (1e3, 3), (1e2, 4), (1e1, 5), (1.0, 6), (0.1, 7), (0.01, 8), (0.001, 9)):
-        shown = F.when(size < bound, F.format_string(f"%.{places}f", x)).otherwise(shown)
-    return F.when(shown.contains("."), F.regexp_replace(shown, r"\.?0+$", "")).otherwise(shown)
+    """A number as C's %g prints it: six digits, an exponent below 1e-4 and from 1e6."""
+    sci = F.format_string("%.5e", x)
+    power = F.substring_index(sci, "e", -1).cast("int")
+
+    def bare(shown: Column) -> Column:
+        return F.when(shown.contains("."), F.regexp_replace(shown, r"\.?0+$", "")).otherwise(shown)
+
+    plain = F.format_string("%.0f", x)
+    for p in range(4, -5, -1):
+        plain = F.when(power <= p, F.format_string(f"%.{5 - p}f", x)).otherwise(plain)
+    shown = F.when((power < -4) | (power >= 6), F.concat(bare(F.substring_index(sci, "e", 1)), F.lit("e"), F.substring_index(sci, "e", -1))).otherwise(bare(plain))
+    return F.when(x == 0, "0").otherwise(shown)
+
+
+def common_root(paths: Column) -> Column:
+    """The longest folder that all paths of an array share; empty if there is none."""
+    parents = F.transform(paths, lambda p: F.split(F.regexp_replace(p, "/[^/]*$", ""), "/", -1))
+    first = F.element_at(parents, 1)
+
+    def shared(a: Column, b: Column) -> Column:
+        same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
+        n = F.array_position(same, False)
+        return F.when(n > 0, F.slice(a, F.lit(1), (n - 1).cast("int"))).otherwise(a)
+
+    root = F.array_join(F.aggregate(parents, first, shared), "/")
+    return F.when(F.size(paths) > 0, F.when((root == "") & F.startswith(F.element_at(paths, 1), F.lit("/")), "/").otherwise(root)).otherwise("")
+
+
+def output_path(root: Column, source: Column, track: Column, tracks: Column, fmt: Column, mirror: Column | None = None) -> Column:
+    """Where a transcript goes: root, the source's folder below mirror (if it lies there), its stem, .trackN where there are several, the format in small letters."""
+    folder, name = F.regexp_replace(source, "/[^/]*$", ""), F.substring_index(source, "/", -1)
+    below = F.lit("") if mirror is None else F.when(F.startswith(folder, F.concat(mirror, F.lit("/"))), F.concat(F.substring(folder, F.length(mirror) + 2, F.length(folder)), F.lit("/"))).otherwise("")
+    stem = F.when(F.regexp_like(name, F.lit(r"^.+\.[^.]*$")), F.regexp_replace(name, r"\.[^.]*$", "")).otherwise(name)
+    shown = F.concat(sanitise_filename(stem), F.when(tracks > 1, F.concat(F.lit(".track"), (track + 1).cast("string"))).otherwise(""), F.lit("."), lower(fmt))
+    return F.concat(root, F.lit("/"), below, shown)

@@ -11,13 +11,13 @@ from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxframe.functions.text import display_name
-from voxframe.functions.vectors import cosine
+from voxframe.functions.text import display_name, lower
+from voxframe.functions.vectors import l2_normalise
 from voxframe.operators.components import connected_components
-from voxframe.operators.similarity import pairs_above
+from voxframe.operators.similarity import candidates, pairs_above
 
 
 def usage(locals_: DataFrame) -> DataFrame:
@@ -41,6 +41,59 @@ def weighted_centroids(vectors: DataFrame, key: str, v: str, weight: str) -> Dat
     return parts.withColumn("norm", norm).select(key, "pos", F.when(F.col("norm") > 0, F.col("x") / F.col("norm")).otherwise(F.col("x")).alias("x"))
 
 
+def centroid_arrays(vectors: DataFrame, key: str, v: str, weight: str) -> DataFrame:
+    """key, centroid: weighted_centroids with a vector in an array."""
+    x = F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"])
+    return weighted_centroids(vectors, key, v, weight).groupBy(key).agg(x.alias("centroid"))
+
+
+def refresh_enrolment(identities: DataFrame, clips: DataFrame) -> DataFrame:
+    """Identities with clips have their clips' mean (by length, 1 s at least) and are enrolled; others aren't, and keep their centroid."""
+    rows = clips.where(F.size("centroid") > 0).select("global_id", "centroid", F.greatest(F.lit(1.0), F.col("duration")).alias("w"))
+    mean = centroid_arrays(rows, "global_id", "centroid", "w").select(F.col("global_id").alias("id"), F.col("centroid").alias("_mean"))
+    joined = identities.join(mean, "id", "left").withColumn("enrolled", F.col("_mean").isNotNull()).withColumn("centroid", F.coalesce("_mean", "centroid"))
+    return joined.select(*identities.columns)
+
+
+def fold(identities: DataFrame, matches: DataFrame) -> DataFrame:
+    """id, centroid, n_locals, total_dur of identities (the same columns) after one match each (global_id, centroid, total_dur): a centroid weighs as many locals as it has, 1 at least."""
+    m = matches.select(F.col("global_id").alias("id"), F.col("centroid").alias("_c"), F.col("total_dur").alias("_d"))
+    n = F.greatest(F.lit(1), F.col("n_locals"))
+    new = l2_normalise(F.zip_with("centroid", "_c", lambda a, b: (a * n + b) / (n + 1)))
+    hit = F.col("_c").isNotNull() & (F.size("centroid") > 0)
+    joined = identities.join(m, "id", "left")
+    return joined.select("id", F.when(hit, new).otherwise(F.col("centroid")).alias("centroid"), F.when(hit, F.col("n_locals") + 1).otherwise(F.col("n_locals")).alias("n_locals"), F.when(hit, F.col("total_dur") + F.col("_d")).otherwise(F.col("total_dur")).alias("total_dur"))
+
+
+def longest_turns(turns: DataFrame, most: int = 8, least: float = 3.0, relaxed: float = 0.6) -> DataFrame:
+    """The longest turns of each file_id, speaker as file_id, speaker, t_start, dur, k: of at least the first length, or of the second where none is."""
+    by = Window.partitionBy("file_id", "speaker")
+    rows = turns.withColumn("dur", F.col("t_end") - F.col("t_start")).withColumn("_top", F.max("dur").over(by))
+    rows = rows.where(F.col("dur") >= F.when(F.col("_top") >= least, least).otherwise(relaxed)).withColumn("k", F.row_number().over(by.orderBy(F.desc("dur"), "t_start")))
+    return rows.where(F.col("k") <= most).drop("_top")
+
+
+def voiceprints(turns: DataFrame, **choice) -> DataFrame:
+    """file_id, speaker, n_segments, total_dur, centroid from turns with vectors; total_dur counts all turns. Speakers without a turn long enough are left out."""
+    total = turns.groupBy("file_id", "speaker").agg(F.sum(F.col("t_end") - F.col("t_start")).alias("total_dur"))
+    chosen = longest_turns(turns, **choice).where("vector is not null").withColumn("_who", F.struct("file_id", "speaker"))
+    n = chosen.groupBy("file_id", "speaker").agg(F.count("*").alias("n_segments"))
+    centre = centroid_arrays(chosen, "_who", "vector", "dur").select("_who.file_id", "_who.speaker", "centroid")
+    return n.join(total, ["file_id", "speaker"]).join(centre, ["file_id", "speaker"])
+
+
+def resolve_targets(asked: DataFrame, identities: DataFrame) -> DataFrame:
+    """who, action (join, create, error), id of rows who: digits name an id that must exist; a name joins its only bearer (letters folded as ASCII), else it is new or ambiguous."""
+    digits = F.col("who").rlike("^[0-9]+$")
+    keyed = asked.select("who", F.when(digits, F.concat(F.lit("#"), F.regexp_replace("who", "^0+(?=[0-9])", ""))).otherwise(F.concat(F.lit("@"), lower(F.col("who")))).alias("_key")).distinct()
+    names = identities.select(F.concat(F.lit("@"), lower(F.coalesce("name", F.lit("")))).alias("_key"), "id")
+    known = identities.select(F.concat(F.lit("#"), F.col("id").cast("string")).alias("_key"), "id").unionByName(names)
+    found = known.join(keyed.select("_key").distinct(), "_key", "left_semi").groupBy("_key").agg(F.count("*").alias("_n"), F.min("id").alias("_id"))
+    rows = keyed.join(found, "_key", "left")
+    action = F.when(F.col("_n") == 1, "join").when(F.col("_n").isNull() & F.startswith("_key", F.lit("@")), "create").otherwise("error")
+    return rows.select("who", action.alias("action"), F.when(F.col("_n") == 1, F.col("_id")).alias("id"))
+
+
 def duplicate_candidates(identities: DataFrame, locals_: DataFrame, dismissed: DataFrame, low: float, high: float) -> DataFrame:
     """left_id, right_id, similarity of identities in the band that are not both enrolled, share no file and are not dismissed; left is first by enrolled, speech, id."""
     speech = usage(locals_).select("global_id", "total_dur")
@@ -87,8 +140,8 @@ def unused(identities: DataFrame, locals_: DataFrame) -> DataFrame:
 
 def best_enrolled(locals_: DataFrame, clips: DataFrame, threshold: float) -> DataFrame:
     """local_id, global_id, similarity: the enrolled identity with the nearest clip; several locals may share one (ties: lowest id)."""
-    sims = locals_.select(F.col("id").alias("local_id"), "centroid").join(clips.select("global_id", F.col("centroid").alias("clip")), F.lit(True))
-    sims = sims.groupBy("local_id", "global_id").agg(F.greatest(F.lit(0.0), F.max(cosine(F.col("centroid"), F.col("clip")))).alias("similarity")).where(F.col("similarity") >= threshold)
+    near = candidates(locals_, clips, threshold).join(clips.select(F.col("id").alias("other_id"), "global_id"), "other_id")
+    sims = near.groupBy("local_id", "global_id").agg(F.greatest(F.lit(0.0), F.max("sim")).alias("similarity"))
     best = sims.groupBy("local_id").agg(F.max_by(F.struct("global_id", "similarity"), F.struct("similarity", -F.col("global_id"))).alias("m"))
     return best.select("local_id", "m.global_id", "m.similarity")
 
@@ -145,3 +198,9 @@ def cluster(locals_: DataFrame, threshold: float, average: bool = True) -> DataF
     rows = locals_.join(parts, "id", "left")
     grouped = rows.where("component is not null").groupBy("component").applyInPandas(one, "id long, cluster long")
     return grouped.unionByName(rows.where("component is null").select("id", F.col("id").alias("cluster")))
+
+
+def merge_into(left: Column, left_name: Column, left_files: Column, right: Column, right_name: Column, right_files: Column) -> Column:
+    """The identity that a merge keeps: the named one, else the one in more files, else the left; names as displayed."""
+    unnamed = [F.startswith(n, F.lit("SPEAKER_")) for n in (left_name, right_name)]
+    return F.when((unnamed[0] & ~unnamed[1]) | ((unnamed[0] == unnamed[1]) & (right_files > left_files)), right).otherwise(left)

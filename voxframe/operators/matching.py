@@ -7,15 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxframe.operators.identity import cluster, greedy
-from voxframe.operators.similarity import pairs_above
-
-
-def candidates(locals_: DataFrame, others: DataFrame, threshold: float) -> DataFrame:
-    """local_id, other_id, sim of the pairs at or above threshold; both sides id, centroid. Compared in blocks."""
-    both = locals_.select((F.col("id") * 2).alias("id"), F.col("centroid").alias("v")).unionByName(others.select((F.col("id") * 2 + 1).alias("id"), F.col("centroid").alias("v")))
-    found = pairs_above(both.where(F.size("v") > 0), threshold).where("a % 2 <> b % 2")
-    odd = F.col("a") % 2 == 1
-    return found.select(F.expr("(CASE WHEN a % 2 = 1 THEN b ELSE a END) div 2").alias("local_id"), F.when(odd, F.expr("a div 2")).otherwise(F.expr("b div 2")).alias("other_id"), "sim")
+from voxframe.operators.similarity import candidates
 
 
 def resolve_batch(locals_: DataFrame, identities: DataFrame, clips: DataFrame, *, enrol: float = 0.55, match: float = 0.65, floor: float = 8.0, collapse: bool = True) -> DataFrame:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,7 +59,38 @@ def json(segments: DataFrame, files: DataFrame) -> DataFrame:
     return files.join(body, "file_id", "left").select("file_id", top.alias("body"))
 
 
-def markdown(blocks: DataFrame) -> DataFrame:
-    """file_id, body from folded blocks (attribution.fold_runs), without the head."""
+def markdown(blocks: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """file_id, body from folded blocks (attribution.fold_runs); below a head where files (as for json, source: the name shown) are given, with a row for each."""
     name = F.when(F.coalesce(F.col("speaker"), F.lit("")) == "", "Unattributed").otherwise(F.col("speaker"))
-    return _joined(blocks.withColumnRenamed("body", "_said"), F.concat(F.lit("**"), name, F.lit("** `"), t.timestamp(F.col("start"), False), F.lit("`\n\n"), F.col("_said"), F.lit("\n\n")), "block")
+    body = _joined(blocks.withColumnRenamed("body", "_said"), F.concat(F.lit("**"), name, F.lit("** `"), t.timestamp(F.col("start"), False), F.lit("`\n\n"), F.col("_said"), F.lit("\n\n")), "block")
+    if files is None:
+        return body
+
+    def line(shown: Column, when: Column) -> Column:
+        return F.when(when, F.concat(shown, F.lit("  \n"))).otherwise("")
+
+    language, model = F.coalesce("language", F.lit("")), F.coalesce("model", F.lit(""))
+    head = F.concat(F.lit("# "), "source", F.lit("\n\n"), line(F.format_string("Track %d of %d", F.col("track") + 1, F.col("track_count")), F.col("track_count") > 1), F.lit("Duration: "), t.duration(F.col("duration")), F.lit("  \n"), line(F.concat(F.lit("Language: "), language), language != ""), line(F.concat(F.lit("Model: "), model), model != ""), F.lit("\n---\n\n"))
+    return files.join(body, "file_id", "left").select("file_id", F.concat(head, F.coalesce("body", F.lit(""))).alias("body"))
+
+
+def write_files(bodies: DataFrame, paths: DataFrame, root: str) -> DataFrame:
+    """file_id, path, n_bytes of the transcripts written below root, a folder that the executors share: rows file_id, body and file_id, path (relative).
+
+    Each is written under a name of its own and then renamed, so a reader never sees a part and a task that runs twice does no harm.
+    """
+    base = root.removeprefix("file://")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = b.to_pylist()
+            for r in rows:
+                at, data = os.path.join(base, r["path"]), r["body"].encode()
+                os.makedirs(os.path.dirname(at), exist_ok=True)
+                with open(f"{at}.{uuid.uuid4().hex}", "wb") as f:
+                    f.write(data)
+                os.replace(f.name, at)
+                r["n_bytes"] = len(data)
+            yield pa.RecordBatch.from_pylist([{k: r[k] for k in ("file_id", "path", "n_bytes")} for r in rows], pa.schema([("file_id", pa.int64()), ("path", pa.string()), ("n_bytes", pa.int64())]))
+
+    return bodies.join(paths, "file_id").select(F.col("file_id").cast("long"), "path", "body").mapInArrow(run, "file_id long, path string, n_bytes long")

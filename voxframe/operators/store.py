@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from voxframe.functions.vectors import canonical_pair
+
 
 def classify_files(stored: DataFrame, seen: DataFrame) -> DataFrame:
     """path, track, action of each file seen: new; same (size equal, mtime within a second, done); redo (same but not done); changed."""
@@ -38,6 +40,81 @@ def last_wins(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(order.desc()))).where("_n = 1").drop("_n")
 
 
+def put_locals(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Locals after an upsert on (file_id, label), one fresh row a key: centroid, n_segments and total_dur are replaced, id, global_id and similarity stay. New rows have ids above all others, by file and label."""
+    own = ["centroid", "n_segments", "total_dur"]
+    new = fresh.select("file_id", "label", *[F.col(c).alias(f"_{c}") for c in own], F.col("global_id").alias("_g"), F.col("similarity").alias("_s"), F.lit(True).alias("_hit"))
+    kept = stored.join(new.drop("_g", "_s"), ["file_id", "label"], "left")
+    kept = kept.select(*[F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in own else F.col(c) for c in stored.columns])
+    return kept.unionByName(_with_ids(fresh.join(stored, ["file_id", "label"], "left_anti"), stored, ["file_id", "label"]).select(*stored.columns))
+
+
+def _with_ids(rows: DataFrame, stored: DataFrame, order: list[str]) -> DataFrame:
+    """Rows with an id above the stored ones by the order. Numbers are dealt a range at a time, so no task sees all rows."""
+    top = stored.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long").alias("_top"))
+    parts = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    parts = parts.withColumn("_k", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).select("_part", "_before")
+    numbered = parts.join(F.broadcast(before), "_part").join(F.broadcast(top), F.lit(True))  # a row a partition, and one row
+    return numbered.withColumn("id", F.col("_top") + F.col("_before") + F.col("_k")).drop("_top", "_before", "_k", "_part")
+
+
+def mint(stored: DataFrame, rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows with id: new identities, numbered above the stored ones."""
+    return _with_ids(rows, stored, order)
+
+
+def dismiss(stored: DataFrame, pairs: DataFrame) -> DataFrame:
+    """low, high after pairs (a, b in any order) have been dismissed too; each once."""
+    low, high = canonical_pair(F.col("a"), F.col("b"))
+    return stored.select("low", "high").unionByName(pairs.select(low.alias("low"), high.alias("high"))).distinct()
+
+
+def undismiss(stored: DataFrame, pairs: DataFrame) -> DataFrame:
+    low, high = canonical_pair(F.col("a"), F.col("b"))
+    return stored.join(pairs.select(low.alias("low"), high.alias("high")), ["low", "high"], "left_anti")
+
+
+def cascade(files: DataFrame, children: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
+    """The tables after the files with these ids have gone: rows of children that refer to them by file_id go too."""
+    keys = gone.select(F.col("id").alias("file_id"))
+    return {"files": files.join(gone.select("id"), "id", "left_anti")} | {k: delete(v, keys, "file_id") for k, v in children.items()}
+
+
+def forget(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows after the identities with these ids have gone: references to them are null."""
+    g = gone.select(F.col("id").alias("global_id"), F.lit(True).alias("_gone")).distinct()
+    joined = rows.join(g, "global_id", "left")
+    return joined.select(*[F.when(F.col("_gone"), None).otherwise(F.col(c)).alias(c) if c == "global_id" else F.col(c) for c in rows.columns])
+
+
+def align_or_replace(old: DataFrame, new: DataFrame, columns: list[str]) -> DataFrame:
+    """Segments after labels have come: in files where both have the same idx the columns are updated in place, other files of new replace the old ones. Files not in new stay."""
+    both = old.select("file_id", "idx", F.lit(1).alias("_o")).join(new.select("file_id", "idx", F.lit(1).alias("_n")), ["file_id", "idx"], "full")
+    fit = both.groupBy("file_id").agg(F.max("_n").alias("_seen"), F.bool_and(F.col("_o").isNotNull() & F.col("_n").isNotNull()).alias("_fit")).where("_seen = 1").drop("_seen")
+    fresh = new.select("file_id", "idx", *[F.col(c).alias(f"_new_{c}") for c in columns])
+    inside = old.join(fit.where("_fit"), "file_id").join(fresh, ["file_id", "idx"])
+    inside = inside.select(*[F.col(f"_new_{c}").alias(c) if c in columns else F.col(c) for c in old.columns])
+    replaced = new.join(fit.where("not _fit"), "file_id").select(*old.columns)
+    return inside.unionByName(replaced).unionByName(old.join(fit, "file_id", "left_anti").select(*old.columns))
+
+
+def commit(tables: dict[str, DataFrame], root: str, version: int) -> None:
+    """Writes the tables as one version; it holds once its mark is there, so a failed commit leaves the former version in place. Versions are copies to go back to."""
+    spark = next(iter(tables.values())).sparkSession
+    for name, rows in tables.items():
+        rows.write.mode("overwrite").parquet(f"{root}/v{version}/{name}")
+    spark.range(1).select(F.lit(version).alias("version"), F.array(*[F.lit(n) for n in sorted(tables)]).alias("tables")).coalesce(1).write.mode("overwrite").json(f"{root}/marks/v{version}")
+
+
+def current(spark: SparkSession, root: str, version: int | None = None) -> dict[str, DataFrame]:
+    """The tables of the last version committed, or of an earlier one."""
+    marks = spark.read.json(f"{root}/marks/*")
+    row = (marks.where(F.col("version") == version) if version is not None else marks.orderBy(F.desc("version"))).head()
+    return {name: spark.read.parquet(f"{root}/v{row.version}/{name}") for name in row.tables}
+
+
 def counts(files: DataFrame, segments: DataFrame, identities: DataFrame, clips: DataFrame) -> DataFrame:
     """One row: files, segments, speakers, named, enrolled, clips."""
     parts = [files.agg(F.count("*").alias("files")), segments.agg(F.count("*").alias("segments")), identities.agg(F.count("*").alias("speakers"), F.count_if(F.col("name") != "").alias("named"), F.count_if("enrolled").alias("enrolled")), clips.agg(F.count("*").alias("clips"))]

@@ -12,23 +12,10 @@ from voxframe.functions import vectors as v
 from voxframe.operators import attribution, identity, matching, render, store
 from voxframe.operators.similarity import pairs_above
 from voxframe.plans import fixtures as fx
+from voxframe.plans.registry import ORACLE_SQL, QUERIES, query
 from voxframe.streaming import events as stream
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 MATCH, REVIEW, ENROL, CLUSTER, FLOOR = 0.65, 0.50, 0.55, 0.65, 8.0
-
-
-def query(name: str, sql: str | None = None, ctes: tuple[str, ...] = ()):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = f
-        if sql:
-            ORACLE_SQL[name] = ("WITH " + ", ".join(ctes) + ("" if sql.startswith(",") else " ") if ctes else "") + sql
-        return f
-
-    return add
-
-
 VP, LOC, GS, ENR = (fx.VP,), (fx.VP, fx.LOC), (fx.VP, fx.LOC, fx.GS), (fx.VP, fx.LOC, fx.GS, fx.ENR)
 
 # --- scans, filters and orders of the store
@@ -133,10 +120,7 @@ def _(s, d):
 r AS (SELECT *, row_number() OVER (PARTITION BY file_id, speaker ORDER BY dur DESC, t_start) AS k FROM y WHERE dur >= CASE WHEN top >= 3 THEN 3 ELSE 0.6 END)
 SELECT file_id, speaker, t_start, dur, k FROM r WHERE k <= 8""", (fx.SEG, fx.TRN))
 def _(s, d):
-    by = Window.partitionBy("file_id", "speaker")
-    rows = fx.trn(s, d).select("file_id", "speaker", "t_start", (F.col("t_end") - F.col("t_start")).alias("dur")).withColumn("top", F.max("dur").over(by))
-    rows = rows.where(F.col("dur") >= F.when(F.col("top") >= 3, 3.0).otherwise(0.6)).withColumn("k", F.row_number().over(by.orderBy(F.desc("dur"), "t_start")))
-    return rows.where("k <= 8").select("file_id", "speaker", "t_start", "dur", "k")
+    return identity.longest_turns(fx.trn(s, d)).select("file_id", "speaker", "t_start", "dur", "k")
 
 
 @query("ag6_speech_by_speaker", "SELECT file_id, speaker, round(sum(t_end - t_start), 6) AS total FROM trn GROUP BY ALL", (fx.SEG, fx.TRN))
@@ -466,3 +450,6 @@ def _(s, d):
 def _(s, d):
     _ids, moved = identity.split_local(fx.gs(s, d), fx.loc(s, d), 45)
     return moved.groupBy("global_id").agg(F.count("*").alias("n"))
+
+
+from voxframe.plans import run_queries, store_queries  # noqa: E402,F401  they register their own
