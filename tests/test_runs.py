@@ -62,10 +62,11 @@ def test_upsert_of_locals_and_versions(spark, tmp_path):
     got = store.put_locals(old, new).orderBy("id").collect()
     assert [(r.id, r.label, r.total_dur, r.global_id) for r in got] == [(5, "a", 3.0, 9), (7, "b", 2.0, None), (8, "c", 1.0, None), (9, "b", 1.0, None)]
     at = f"file://{tmp_path}/s"
-    store.commit({"l": old}, at, 1)
-    store.commit({"l": new.drop("id")}, at, 2)
+    assert store.last_version(spark, at) is None
+    store.commit({"l": old, "m": old}, at)
+    store.commit({"l": new.drop("id")}, at)
     new.drop("id").limit(0).write.parquet(f"{at}/v3/l")  # a commit that stopped before its mark
-    assert store.current(spark, at)["l"].count() == 3 and store.current(spark, at, 1)["l"].count() == 2
+    assert store.current(spark, at)["l"].count() == 3 and store.current(spark, at)["m"].count() == 2 and store.current(spark, at, 1)["l"].count() == 2
 
 
 def test_alignment(spark):

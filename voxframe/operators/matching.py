@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxframe.operators import store
 from voxframe.operators.identity import cluster, greedy
 from voxframe.operators.similarity import candidates
 
@@ -52,8 +53,7 @@ def recluster(identities: DataFrame, locals_: DataFrame, *, threshold: float = 0
     claims = rows.groupBy("cluster").agg(F.count("*").alias("n")).join(by_name, "cluster", "left").join(by_vote, "cluster", "left").withColumn("claim", F.coalesce("by_name", "by_vote"))
     keeps = F.row_number().over(Window.partitionBy("claim").orderBy(F.desc("n"), "cluster")) == 1
     claims = claims.withColumn("own", F.when(F.col("claim").isNotNull() & keeps, F.col("claim")))
-    fresh = claims.where("own is null").select("cluster", F.row_number().over(Window.orderBy("cluster")).alias("k"))
-    top = identities.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    ids = claims.join(fresh, "cluster", "left").join(top, F.lit(True)).select("cluster", F.coalesce("own", F.col("top") + F.col("k")).alias("new_id"))
+    fresh = store.mint(identities, claims.where("own is null").select("cluster"), ["cluster"]).withColumnRenamed("id", "fresh")
+    ids = claims.join(fresh, "cluster", "left").select("cluster", F.coalesce("own", "fresh").alias("new_id"))
     out = rows.join(ids, "cluster")
     return out.select("id", "cluster", F.col("new_id").alias("global_id"), (~F.col("global_id").eqNullSafe(F.col("new_id"))).alias("reassigned"))

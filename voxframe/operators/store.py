@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxframe.functions.vectors import canonical_pair
+from voxframe.workspace import write_table
 
 
 def classify_files(stored: DataFrame, seen: DataFrame) -> DataFrame:
@@ -52,7 +55,8 @@ def put_locals(stored: DataFrame, fresh: DataFrame) -> DataFrame:
 def _with_ids(rows: DataFrame, stored: DataFrame, order: list[str]) -> DataFrame:
     """Rows with an id above the stored ones by the order. Numbers are dealt a range at a time, so no task sees all rows."""
     top = stored.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long").alias("_top"))
-    parts = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    # written once: ranges are drawn from samples, so a second evaluation could draw others
+    parts = write_table(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "numbered")
     parts = parts.withColumn("_k", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).select("_part", "_before")
@@ -100,19 +104,41 @@ def align_or_replace(old: DataFrame, new: DataFrame, columns: list[str]) -> Data
     return inside.unionByName(replaced).unionByName(old.join(fit, "file_id", "left_anti").select(*old.columns))
 
 
-def commit(tables: dict[str, DataFrame], root: str, version: int) -> None:
-    """Writes the tables as one version; it holds once its mark is there, so a failed commit leaves the former version in place. Versions are copies to go back to."""
+def last_version(spark: SparkSession, root: str) -> int | None:
+    """The number of the last version committed; None without one."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{root}/marks")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = [p.getPath().getParent().getName() for p in (fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{root}/marks/*/_SUCCESS")) or [])]
+    return max((int(n[1:]) for n in done), default=None)
+
+
+def commit(tables: dict[str, DataFrame], root: str) -> int:
+    """Writes the tables as the next version and returns its number; tables not given are those of the version before, by reference.
+
+    A version holds once its mark is complete, so a commit that fails leaves the former one in place. Two writers of one version: the second fails.
+    """
     spark = next(iter(tables.values())).sparkSession
+    last = last_version(spark, root)
+    paths = {} if last is None else _mark(spark, root, last)
+    version, tag = (last or 0) + 1, uuid.uuid4().hex[:8]
     for name, rows in tables.items():
-        rows.write.mode("overwrite").parquet(f"{root}/v{version}/{name}")
-    spark.range(1).select(F.lit(version).alias("version"), F.array(*[F.lit(n) for n in sorted(tables)]).alias("tables")).coalesce(1).write.mode("overwrite").json(f"{root}/marks/v{version}")
+        paths[name] = f"v{version}-{tag}/{name}"
+        rows.write.parquet(f"{root}/{paths[name]}")
+    spark.createDataFrame(sorted(paths.items()), "name string, path string").coalesce(1).write.json(f"{root}/marks/v{version}")
+    return version
+
+
+def _mark(spark: SparkSession, root: str, version: int) -> dict[str, str]:
+    return {r.name: r.path for r in spark.read.schema("name string, path string").json(f"{root}/marks/v{version}").collect()}
 
 
 def current(spark: SparkSession, root: str, version: int | None = None) -> dict[str, DataFrame]:
     """The tables of the last version committed, or of an earlier one."""
-    marks = spark.read.json(f"{root}/marks/*")
-    row = (marks.where(F.col("version") == version) if version is not None else marks.orderBy(F.desc("version"))).head()
-    return {name: spark.read.parquet(f"{root}/v{row.version}/{name}") for name in row.tables}
+    version = last_version(spark, root) if version is None else version
+    if version is None:
+        raise ValueError(f"no version below {root}")
+    return {name: spark.read.parquet(f"{root}/{path}") for name, path in _mark(spark, root, version).items()}
 
 
 def counts(files: DataFrame, segments: DataFrame, identities: DataFrame, clips: DataFrame) -> DataFrame:

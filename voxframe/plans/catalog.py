@@ -269,7 +269,8 @@ sh AS (SELECT DISTINCT p.global_id AS a, q.global_id AS b FROM gf p JOIN gf q ON
 @query("jn5_duplicate_candidates", f"SELECT left_id, right_id, round(s, 6) AS similarity FROM pr ANTI JOIN sh ON sh.a = left_id AND sh.b = right_id WHERE s >= {REVIEW} AND s < {MATCH} AND (left_id + right_id) % 7 <> 0", (*GS, DUPES))
 def _(s, d):
     g = fx.gs(s, d)
-    ids = g.select(F.col("id").alias("low")).join(g.select(F.col("id").alias("high")), F.expr("low < high and (low + high) % 7 = 0"))
+    low, high = g.select(F.col("id").alias("low"), (F.col("id") % 7).alias("r")), g.select(F.col("id").alias("high"), ((7 - F.col("id") % 7) % 7).alias("r"))
+    ids = low.join(high, "r").where("low < high").select("low", "high")
     found = identity.duplicate_candidates(g, fx.loc(s, d), ids, REVIEW, MATCH)
     return found.withColumn("similarity", F.round("similarity", 6))
 
@@ -381,8 +382,7 @@ def _(s, d):
 @query("id5_minted_identities", f", m AS (SELECT id FROM vp WHERE id % 11 = 0 AND total_dur >= {FLOOR}) SELECT id AS local_id, 200 + row_number() OVER (ORDER BY id) AS global_id FROM m", VP)
 def _(s, d):
     m = fx.vp(s, d).where(f"id % 11 = 0 and total_dur >= {FLOOR}").select(F.col("id").alias("local_id"))
-    top = fx.gs(s, d).agg(F.max("id").alias("top"))
-    return m.withColumn("k", F.row_number().over(Window.orderBy("local_id"))).join(top, F.lit(True)).select("local_id", (F.col("top") + F.col("k")).alias("global_id"))
+    return store.mint(fx.gs(s, d).select("id"), m, ["local_id"]).select("local_id", F.col("id").alias("global_id"))
 
 
 @query("jn6_shared_files", "SELECT DISTINCT p.global_id AS a, q.global_id AS b FROM loc p JOIN loc q ON p.file_id = q.file_id AND p.global_id < q.global_id", LOC)

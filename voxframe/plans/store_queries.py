@@ -149,8 +149,8 @@ def _(s, d):
 @query("sk24_committed_version", "SELECT file_id, count(*) AS n FROM loc WHERE file_id % 2 = 0 GROUP BY file_id", LOC)
 def _(s, d):
     root, loc = new_path(s, "store"), fx.loc(s, d).select("id", "file_id")
-    store.commit({"locals": loc}, root, 1)
-    store.commit({"locals": store.current(s, root)["locals"].where("file_id % 2 = 0")}, root, 2)
+    store.commit({"locals": loc}, root)
+    store.commit({"locals": store.current(s, root)["locals"].where("file_id % 2 = 0")}, root)
     return store.current(s, root)["locals"].groupBy("file_id").agg(F.count("*").alias("n"))
 
 
