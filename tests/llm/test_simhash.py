@@ -69,3 +69,15 @@ def test_large_group_in_blocks(spark, monkeypatch):
         for a, b in found:
             best[a] = best[b] = min(best[a], best[b])
     assert best == want
+
+
+def test_null_and_repeated_ids_link_by_fingerprint(spark, monkeypatch):
+    chain, twin, nulls = 0, 0x5A5A << 40, 0x33CC << 20
+    rows = [(1, chain), (None, chain | 0b111), (2, chain | 0b111111), (7, twin), (7, twin ^ 1), (8, twin ^ 0b1111), (None, nulls), (None, nulls ^ 1), (9, -1)]
+    docs = spark.createDataFrame([(i, "x", f) for i, f in rows], "doc_id long, text string, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda d, *_: d.select("doc_id", "fp"))
+    monkeypatch.setattr(simhash, "fingerprint_column", lambda d, *_: d.withColumn("_vx_fp", d.fp))
+    got = {(r.doc_id, r.fp): r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert got == dict(zip(rows, [1, 1, 1, 7, 7, 7, None, None, 9]))
+    kept = simhash.keep_one(docs).collect()
+    assert sorted(r.doc_id or -1 for r in kept) == [-1, 1, 7, 9]

@@ -9,8 +9,8 @@ A key with many fingerprints (a large group of near copies) never yields its pai
 size, a block compares its fingerprints with numpy and returns a spanning forest of its links.
 
 Defined cases: null and empty texts and texts without words have the fingerprint 0 and are linked like others; equal
-texts share a fingerprint; ids may repeat; a null id never becomes a component's id; an empty table gives an empty table; columns other than
-id and text are not read.
+texts share a fingerprint; ids may repeat; fingerprints are the nodes of the graph, so rows with a null or repeated id link as others do, but a null
+id becomes a component's id only if all its ids are null; an empty table gives an empty table; columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -144,12 +144,20 @@ def forest(t_fp: np.ndarray, t_node: np.ndarray, q_fp: np.ndarray, q_node: np.nd
     return a[a != b], b[a != b]
 
 
+def _linked(nodes: DataFrame, max_bits: int = 3) -> DataFrame:
+    """fp, first, component (its smallest fp) of the fingerprints that have a link; nodes: fp distinct, first (smallest non-null id)."""
+    parts = connected_components(links(nodes.select("fp", F.col("fp").alias("node")), max_bits))
+    return nodes.join(parts.withColumnRenamed("node", "fp"), "fp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 3) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id that links reach): one row for each row of docs."""
     rows = write_table(fingerprints(docs, id_col, text_col), "simhash")
-    nodes = write_table(rows.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    parts = connected_components(links(nodes.where("node is not null"), max_bits))
-    classes = nodes.join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    nodes = write_table(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    linked = _linked(nodes, max_bits)
+    least = linked.groupBy("component").agg(F.min("first").alias("least"))
+    found = linked.join(least, "component").select("fp", "least")
+    classes = nodes.join(found, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -161,11 +169,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """The rows of docs that lead their group of near copies (smallest id), once each; rows with a null id stay only if no other row is near."""
     rows = fingerprint_column(docs, text_col)
     rows = write_table(rows, "simhash")
-    nodes = write_table(rows.groupBy("_vx_fp").agg(F.min(F.col(f"`{id_col}`").cast("long")).alias("node")).withColumnRenamed("_vx_fp", "fp"), "nodes")
-    parts = connected_components(links(nodes.where("node is not null")))
-    leads = nodes.join(parts, "node", "left").where(F.col("component").isNull() | (F.col("component") == F.col("node")))
-    leads = leads.select(F.col("fp").alias("_vx_lead"), F.col("node").alias("_vx_node"))
-    led = rows.join(leads, (F.col("_vx_fp") == F.col("_vx_lead")) & F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_vx_node")))
+    nodes = write_table(rows.groupBy("_vx_fp").agg(F.min(F.col(f"`{id_col}`").cast("long")).alias("first")).withColumnRenamed("_vx_fp", "fp"), "nodes")
+    linked = write_table(_linked(nodes), "linked")
+    best = linked.groupBy("component").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "fp")).alias("s"))
+    leads = nodes.join(linked.select("fp"), "fp", "left_anti").select("fp", "first").unionByName(best.select("s.fp", "s.first"))
+    leads = leads.select(F.col("fp").alias("_vx_lead"), F.col("first").alias("_vx_first"))
+    led = rows.join(leads, (F.col("_vx_fp") == F.col("_vx_lead")) & F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_vx_first")))
     return led.dropDuplicates(["_vx_fp"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
