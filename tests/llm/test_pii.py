@@ -69,3 +69,17 @@ def test_odd_rows(spark, model):
     assert got[1].spans == got[2].spans == "" and got[3].spans == "email:9:34" and got[4].spans == "phone:500005:500019"
     assert got[None].spans == "email:18:24,ip:25:33,phone:2:17" and (got[None].n_email, got[None].n_ip, got[None].n_card, got[None].n_phone) == (1, 1, 0, 1)
     assert pii.find(docs.limit(0), model).count() == 0
+
+
+def test_long_addresses_are_found_whole(model):
+    for item in ("maria.del.carmen.fernandez.de.la.vega.y.gonzalez.lopez [at] mail.example.org", "bo.li [at] departamento-de-lenguas-modernas-y-clasicas-universidad.org"):
+        text = f"please write to {item} today"
+        assert model.added(text, []) == [("email", 16, 16 + len(item))]
+
+
+def test_zones_hold_every_segment_about_a_trigger():
+    text = "".join(f"{'word' * 40}." for _ in range(30)) + "7" + "".join(f".{'word' * 40}" for _ in range(30))
+    [(a, b)] = pii.zones(text, [])
+    at = text.index("7")
+    assert len(pii._ATOM.findall(text[a:at])) == len(pii._ATOM.findall(text[at + 1 : b])) == pii.MAX_ATOMS
+    assert pii._whole(text, a, b)

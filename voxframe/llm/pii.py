@@ -6,8 +6,8 @@ time, with score 0. Dynamic programming picks boundaries and kinds together. Bas
 touches them. It is trained by maximum likelihood on sentences made by training_sentences(), which are written in other ways than
 the base patterns know (brackets for @, no plus sign, dots between groups of a card) and hold numbers that are no personal data.
 
-Zones are the text about digits, @ and bracketed "at" that base spans leave. Elsewhere no segment is a candidate, so the best
-labelling of a text is that of its zones.
+Zones are the text about digits, @ and bracketed "at" that base spans leave, as far as a segment reaches: every segment with
+one of these in it is a candidate. Elsewhere no segment is, so the best labelling of a text is that of its zones.
 
 Defined cases: null and empty texts have no spans; equal texts have equal spans; repeated rows are searched each; an empty table
 gives an empty table; texts of any length are searched whole; columns kept pass through, whatever their names are, but for _vx_spans.
@@ -43,6 +43,7 @@ _DIGIT, _TWO_DIGITS = re.compile(r"[0-9]"), re.compile(r"[0-9][\x20-]?[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 _TRIGGER = re.compile(r"[0-9@]|[\[({<]\x20?at\x20?[\])}>]", re.I)
 _ATOM = re.compile(r"[^\W\d_]+|[0-9]+|.", re.S)
+_ATOMS = re.compile(rf"(?:[^\W\d_]++|[0-9]++|.){{0,{MAX_ATOMS}}}+", re.S)
 
 
 def luhn(digits: str) -> bool:
@@ -81,6 +82,22 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
+def _left(text: str, at: int) -> int:
+    """Where the MAX_ATOMS atoms before at begin, AROUND characters before it at least."""
+    size = 8 * AROUND
+    while True:
+        before = text[max(0, at - size) : at][::-1]
+        reach = _ATOMS.match(before).end()
+        if reach < len(before) or size >= at:
+            return max(0, at - max(reach, AROUND))
+        size *= 4
+
+
+def _right(text: str, at: int) -> int:
+    """Where the MAX_ATOMS atoms from at on end, AROUND characters after it at least."""
+    return min(len(text), max(_ATOMS.match(text, at).end(), at + AROUND))
+
+
 def zones(text: str, taken: list[Span]) -> Iterator[tuple[int, int]]:
     """Spans of text about triggers, cut at base spans."""
     walls = sorted((a, b) for _, a, b in taken)
@@ -92,13 +109,14 @@ def zones(text: str, taken: list[Span]) -> Iterator[tuple[int, int]]:
             k += 1
         if k < len(walls) and walls[k][0] < b:
             continue
-        if start >= 0 and a - AROUND <= end and not (k and walls[k - 1][1] > start and walls[k - 1][0] >= start):
-            end = min(n, b + AROUND, walls[k][0] if k < len(walls) else n)
+        left, right = _left(text, a), _right(text, b)
+        if start >= 0 and left <= end and not (k and walls[k - 1][1] > start and walls[k - 1][0] >= start):
+            end = max(end, min(right, walls[k][0] if k < len(walls) else n))
             continue
         if start >= 0:
             yield start, end
-        start = max(0, a - AROUND, walls[k - 1][1] if k else 0)
-        end = min(n, b + AROUND, walls[k][0] if k < len(walls) else n)
+        start = max(left, walls[k - 1][1] if k else 0)
+        end = min(right, walls[k][0] if k < len(walls) else n)
     if start >= 0:
         yield start, end
 
