@@ -76,3 +76,10 @@ def test_corpus_round_trip(spark, sf, monkeypatch):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert tokens.read(spark, tokens.write(docs, new_path(spark, "t"), PATH)).count() == 0
+
+
+def test_capitals_with_combining_marks():
+    texts = ["H\u0331a b", "T\u0308.x", "W\u030aY\u030aJ\u030c", "H\u1dc4\u0331", "Hello E\u0301t."]
+    ids, counts = tokens.Encoder(PATH).encode(pa.array(texts), 2)
+    assert ids.tolist() == [x for w in plain(texts) for x in w]
+    assert counts.tolist() == [len(w) for w in plain(texts)]

@@ -31,6 +31,8 @@ from voxframe.workspace import small_batches
 FILE_IDS, CACHE, STEP = 4_000_000, 500_000, 6 << 20
 #: Stands between chunks that the library encodes together; a space goes where an ASCII or Latin-1 letter meets ASCII punctuation.
 SEPARATOR = "\x01"
+#: Texts with a special token or a combining mark are left as they are.
+AS_IS = r"<\||[\x{0300}-\x{036F}]"
 BEFORE_PUNCTUATION = r"([a-zÀ-ÖØ-öø-ÿ])([!-/:-@\[-`{-~])"
 
 
@@ -38,7 +40,8 @@ class Encoder:
     """Ids of texts by the tokenizers library, with a cache of chunks between white space.
 
     Chunks are ASCII lower case and end where a letter meets punctuation, as the tokenizer lower-cases and splits there
-    too; texts that may hold a special token ("<|") are left as they are. When the cache is full, chunks used once go.
+    too; texts that may hold a special token ("<|") are left as they are, and so are those with combining marks, which the
+    tokenizer composes before it lower-cases. When the cache is full, chunks used once go.
     """
 
     def __init__(self, path: str):
@@ -91,7 +94,7 @@ class Encoder:
 
     def encode(self, texts: pa.StringArray, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with end after it, and their numbers. Arrow splits the texts and finds the distinct chunks."""
-        special = pc.match_substring(texts, "<|")
+        special = pc.match_substring_regex(texts, AS_IS)
         lower = pc.replace_substring_regex(pc.ascii_lower(texts), BEFORE_PUNCTUATION, r"\1 \2")
         lists = pc.ascii_split_whitespace(pc.if_else(special, texts, lower))
         words = lists.flatten().dictionary_encode()
