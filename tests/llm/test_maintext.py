@@ -56,3 +56,11 @@ def test_odd_rows(spark, model):
     assert by[9].count("\n\n") == 19_999 and by[5] == "" and by[6] == ""
     assert all(r._vx_main == "" for r in got.where("html is null or html = ''").collect())
     assert m.extract(pages.limit(0), model).count() == 0
+
+
+def test_formulas_drawings_and_objects_are_inline():
+    page = "<p>where <math><semantics><mi>x</mi><mo>&lt;</mo><mn>3</mn><annotation encoding='application/x-tex'>x \\lt 3</annotation></semantics></math> is<p>see <object data='a.pdf'><param name='q'>the report</object> and <canvas>a chart</canvas> here<p>a <svg><title>icon</title><style>b{}</style><path d='M0'/><text x='1'>North <tspan>Sea</tspan></text><text/></svg> map"
+    assert [b.text for b in m.blocks(page)] == ["where x<3 is", "see the report and a chart here", "a North Sea map"]
+    for tag in ("math", "object", "svg", "canvas", "math><annotation"):
+        assert [b.text for b in m.blocks(f"<p>a</p><{tag}><p>b</p><p>c</p>")] == ["a", "b", "c"], tag
+    assert [b.text for b in m.blocks("<p>a <svg><foreignObject>b <svg><desc>no</desc></svg> c</foreignObject> no</svg> d <svg/> e")] == ["a b c d e"]

@@ -5,8 +5,8 @@ and role of its ancestors, and traits of its text (words, links, punctuation, pl
 and other; it is trained by maximum likelihood on the labelled pages that training_pages() makes from many layouts, and decoded by Viterbi.
 
 Defined cases: null and empty html give the empty text; html without a main block gives the empty text; broken html is read
-leniently (open elements end with their parent, a paragraph ends at the next block, an open comment or script ends
-with the page); equal pages give equal texts; repeated rows are read each; an empty table gives an empty table; columns kept pass through, whatever their names are, but for _vx_main.
+leniently (open elements end with their parent, a paragraph ends at the next block, a drawing too, an open comment or script ends
+with the page); formulas, the text of drawings and what stands in object and canvas are inline text, a template is never shown; equal pages give equal texts; repeated rows are read each; an empty table gives an empty table; columns kept pass through, whatever their names are, but for _vx_main.
 """
 
 from __future__ import annotations
@@ -28,7 +28,9 @@ from voxframe.workspace import small_batches
 
 # Fixed sets of HTML elements.
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe label legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
-RAW = frozenset("script style noscript template textarea svg math canvas object iframe".split())
+RAW = frozenset("script style noscript template textarea iframe".split())
+#: In a drawing only these show text; of a formula all is shown but its annotations.
+DRAWN, NOTES = frozenset("text foreignobject".split()), frozenset("annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag on the left ends an open element on the right that stands in the same parent.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -61,8 +63,9 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     held: list[tuple[str, bool]] = []
+    drawn: list[bool] = []  # for each open svg, whether text about it is hidden
     links = at = 0
-    low = None
+    low, hidden = None, False
 
     def flush() -> None:
         nonlocal held
@@ -77,9 +80,10 @@ def blocks(page: str) -> list[Block]:
     while at < n:
         m = _TAG.search(page, at)
         if not m:
-            held.append((page[at:], links > 0))
+            if not hidden:
+                held.append((page[at:], links > 0))
             break
-        if m.start() > at:
+        if m.start() > at and not hidden:
             held.append((page[at : m.start()], links > 0))
         at = m.end()
         tag = m[2]
@@ -95,7 +99,26 @@ def blocks(page: str) -> list[Block]:
         if tag not in BLOCKS and tag not in RAW:
             if tag == "br":
                 held.append((" ", False))
+            elif tag == "svg":
+                held.append((" ", False))
+                if m[1]:
+                    hidden = drawn.pop() if drawn else False
+                elif not m[3].rstrip().endswith("/"):
+                    drawn.append(hidden)
+                    hidden = True
+            elif drawn and tag in DRAWN or tag in NOTES:
+                if not m[3].rstrip().endswith("/"):
+                    held.append((" ", False))
+                    hidden = (tag in NOTES) != bool(m[1])
+            elif tag == "math" and m[1] and not drawn:
+                hidden = False
             continue
+        if hidden and tag in BLOCKS:
+            if drawn and tag == "title":
+                continue
+            # a block ends what is open of drawings and formulas
+            drawn.clear()
+            hidden = False
         if m[1]:
             if tag in RAW:
                 continue
