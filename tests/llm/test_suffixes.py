@@ -57,3 +57,41 @@ def test_odd_rows(spark):
     by = {(r.doc_id, r.n_bytes): r.n_removed for r in s.digest(s.dedup(none)).collect()}
     assert by == {(None, 150): 149, (1, 120): 120, (1, 180): 174}
     assert s.dedup(df.limit(0)).count() == 0
+
+
+def thue_morse(n, swap=False):
+    return "".join("AB"[bin(i).count("1") % 2 ^ swap] for i in range(n))
+
+
+def test_structured_strings_are_told_apart(spark):
+    """Strings on which polynomial hashes modulo 2**64 collide."""
+    r = random.Random(8)
+    edge = lambda: "".join(r.choice("cdefgh") for _ in range(r.randint(300, 900)))
+    rows = [(i, edge() + thue_morse(r.choice([256, 1024, 2048]), bool(i % 2)) + edge()) for i in range(40)]
+    rows += [(100 + i, rows[i][1][: 700 + 90 * i]) for i in range(0, 40, 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for length in (100, 128, 300, 500, 2036):
+        assert got(s.dedup(df, length=length)) == plain(rows, length), length
+
+
+def test_growth_ends_at_the_length_and_at_most_doubles():
+    for length in range(s.GRAM + 2, s.GRAM + 2001):
+        steps = s.growth(length)
+        assert steps[0][0] == s.GRAM and steps[-1][1] == length and all(a < b <= 2 * a for a, b in steps)
+        assert all(x[1] == y[0] for x, y in zip(steps, steps[1:])) and len(steps) <= 12
+
+
+def test_a_passage_in_every_document_is_spread(spark):
+    """One passage in all documents: few of its rows reach the task of its rank."""
+    r = random.Random(3)
+    passage = "".join(r.choice("abcdefghij ") for _ in range(700))
+    rows = [(i, "".join(r.choice("klmnopqrst ") for _ in range(150)) + passage) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        units = df.select("doc_id", df.text.cast("binary").alias("text")).mapInArrow(s._anchors(100, s.PIECE), s._ROWS)
+        sizes = [x["count"] for x in units.groupBy("a").count().collect()]
+        assert max(sizes) < 100 and sum(sizes) > 9000
+        assert got(s.dedup(df)) == plain(rows, 100)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

@@ -92,9 +92,11 @@ SELECT doc_id, size, source_size, target,
 """,
     "op1_suffix_dedup": """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-s AS (SELECT doc_id, h, unnest(range(0, greatest(0, len(h) // 2 - 99))) AS p FROM d),
-k AS (SELECT doc_id, p, row_number() OVER (PARTITION BY substr(h, 2 * p + 1, 200) ORDER BY doc_id, p) AS n FROM s),
-g AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS new FROM k WHERE n > 1),
+t AS (SELECT doc_id, o, substr(h, 2 * o + 1, 1198) AS c FROM (SELECT doc_id, h, unnest(range(0, greatest(0, len(h) // 2 - 99), 500)) AS o FROM d)),
+s AS (SELECT doc_id, o + i AS p, md5_number(substr(c, 2 * i + 1, 200)) AS m FROM (SELECT doc_id, o, c, unnest(range(0, len(c) // 2 - 99)) AS i FROM t)),
+f AS (SELECT m, min((doc_id, p)) AS first FROM s GROUP BY m HAVING count(*) > 1),
+k AS (SELECT doc_id, p FROM s JOIN f USING (m) WHERE (doc_id, p) <> first),
+g AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS new FROM k),
 u AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM g),
 r AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM u GROUP BY doc_id, run),
 c AS (SELECT *, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM r),

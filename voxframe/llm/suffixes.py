@@ -1,21 +1,27 @@
-"""Exact substring dedup by distributed prefix doubling over positions.
+"""Exact substring dedup by distributed prefix doubling.
 
-A position is where a string of `length` bytes starts. Positions are told apart by names of growing strings: Spark deals and sorts
-them by name, and those alone with their name are unique and drop out.
+A position is where a string of `length` bytes starts; it repeats if its string also starts earlier. Positions carry ranks of growing
+prefixes: equal strings have equal ranks. In each round a position's rank is paired with the rank of the place as far on as the prefix grows,
+Spark sorts the pairs, positions alone with their pair are unique and drop out, and the pair is the rank of the next round, until
+the prefixes reach `length`.
 
-1. Names of GRAM bytes. Only winnowed positions are named: of any `length` consecutive bytes the gram with the least hash (the
-   anchor) stands for all positions that chose it, a range of up to length - GRAM + 1 neighbours. Equal strings choose equal grams,
-   so positions with an anchor that occurs once are unique.
-2. Names of the string that the range's positions cover together. Of ranges with equal names all but the first repeat, at all their positions.
-3. The first ranges of those that share an anchor with an unlike range are cut into cells of CELL positions, counted from the
-   anchor, and named by the length - CELL + 1 bytes that all strings of a cell hold. Cells alone with their name are unique.
-4. The positions of the other cells are taken apart: each is named by the pair of names of its half first bytes (the largest power of
-   two below length) and of as many bytes that end the string, and of equal pairs all but the first repeat.
+Neighbours advance together while their strings share bytes. A unit is a range of up to w positions; all their strings hold the same core of
+length - w + 1 bytes, and it's the core that has the rank.
 
-A task first settles what repeats inside its own batch, so a large group of copies sends about a row a batch, not a row a
-copy, to where its name is gathered. Sorts spill; a name's rows stream through the scan, none are collected.
+1. Round 0 ranks the grams of GRAM bytes. Of any `length` consecutive bytes the gram with the least hash (the anchor) stands for
+   the positions that chose it, so a unit has up to length - GRAM + 1 of them; equal strings choose equal anchors. Units whose anchor occurs
+   once drop out. Of units that agree in all bytes that they cover, all but the first repeat at all positions.
+2. The first ones of units that share their anchor with an unlike unit go on, with the bytes that they cover. Each round splits a unit, at places counted from the
+   anchor, into units whose cores are up to twice as long (growth()), ranks a core by the pair (rank of its first bytes, rank of its last bytes, at the
+   offset by which it grows), sorts the pairs and drops what is alone.
+3. In the last round a unit is one position and the core its string: all but the first of equal pairs repeat.
 
-Names are 64-bit polynomial hashes. Two unlike strings are taken as equal only if they agree in two names: about n * n / 2**128 for n positions.
+Ranks are names, so that a rank is had from the bytes at hand without a join: 64 bits of XXH3 each, the pair and a third of the whole core under
+other seeds. Unlike cores are taken as equal only if two of these agree by chance (128 bits); covers are compared by XXH3's 128 bits. The
+hash of grams only chooses anchors and deals units; a collision there costs time, not truth.
+
+A task first settles what repeats, or is sure to go on, inside its batch and under keys that it has met: a large group of copies, or a passage in many
+unlike texts, sends a few rows a task, not a row a copy, to where its rank is sorted, and the others are dealt by their place. Sorts spill; a rank's rows stream through the scan, none are collected.
 
 Defined cases: null and empty texts have no bytes; texts under `length` bytes keep all; rows with equal ids and equal texts are
 one document and report the same; rows with equal ids and unlike texts are documents in the order of a hash of the text; null ids come first; an
@@ -24,21 +30,22 @@ empty table gives an empty table; other columns are not read. Long texts are has
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxframe.workspace import small_batches, write_table
 
-#: Bytes of a gram; bytes hashed at once; rows of a sorted stream scanned at once.
-GRAM, PIECE, SCAN = 36, 1 << 18, 100_000
-#: Positions in a cell.
-CELL = 8
-#: A packed range of positions: start, number, how far the anchor is from the start, whether it is known to repeat.
+#: Bytes of a gram; bytes hashed at once; rows of a sorted stream scanned at once; keys that a task remembers.
+GRAM, PIECE, SCAN, HELD = 36, 1 << 18, 100_000, 20_000
+#: Unlike units of a batch that share an anchor and are sent to its place.
+CROWD = 8
+#: A packed range of positions: start, number, how far the anchor is from the start, whether it is known to repeat; negative if it is known to share its anchor.
+OPEN = np.int64(-(2**63))
 START, COUNT, ANCHOR = np.int64(32), np.int64(12), np.int64(1)
 LONGEST = 1 << 19
 
@@ -49,27 +56,23 @@ def packed(start: np.ndarray, count: np.ndarray, anchor: np.ndarray | int = 0, k
 
 def unpacked(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, number, distance of the anchor."""
+    at = at & ~OPEN
     return at >> START, (at >> COUNT) & ((1 << 20) - 1), (at >> ANCHOR) & ((1 << 11) - 1)
 
 
-class Hasher:
-    """Names of substrings of a buffer of up to `size` bytes: (S[j] - S[i]) / B**i modulo 2**64, S the sums of table[byte] * B**place."""
+class Grams:
+    """Hashes of the grams of a buffer of up to `size` bytes: polynomials modulo 2**64, mixed."""
 
-    def __init__(self, size: int, seed: int):
+    def __init__(self, size: int, seed: int = 1):
         rng = np.random.default_rng(seed)
         self.table = rng.integers(0, 2**64, 256, dtype=np.uint64)
         base = int(rng.integers(0, 2**62)) * 2 + 1
         self.up, self.down = _powers(base, size + 1), _powers(pow(base, -1, 2**64), size + 1)
 
-    def load(self, data: np.ndarray) -> None:
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.table[data] * self.up[: len(data)], out=self.sums[1:])
-
-    def name(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        return (self.sums[j] - self.sums[i]) * self.down[i]
-
-    def grams(self, n: int) -> np.ndarray:
-        return (self.sums[n:] - self.sums[:-n]) * self.down[: len(self.sums) - n]
+    def of(self, data: np.ndarray, n: int = GRAM) -> np.ndarray:
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(self.table[data] * self.up[: len(data)], out=sums[1:])
+        return _mixed((sums[n:] - sums[:-n]) * self.down[: len(sums) - n])
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -85,16 +88,26 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-_hashers: dict[int, tuple[Hasher, Hasher]] = {}
+_grams: dict[int, Grams] = {}
+
+
+def _grams_of(size: int) -> Grams:
+    if size not in _grams:
+        _grams[size] = Grams(size)
+    return _grams[size]
 
 
-def _pair(size: int) -> tuple[Hasher, Hasher]:
-    if size not in _hashers:
-        _hashers[size] = Hasher(size, 1), Hasher(size, 2)
-    return _hashers[size]
+def growth(length: int) -> list[tuple[int, int]]:
+    """Bytes of a core before and after each round: at most doubled, and near the end a unit goes to about a quarter of its positions."""
+    out, core = [], GRAM
+    while core < length:
+        width = length - core + 1
+        out.append((core, min(2 * core, length - width // 4 if width > 8 else length)))
+        core = out[-1][1]
+    return out
 
 
-def windows_of(texts: list[bytes], length: int, piece: int) -> Iterator[tuple[np.ndarray, list[tuple[int, int, int, int]]]]:
+def windows_of(texts: list[bytes], length: int, piece: int) -> Iterator[tuple[bytes, list[tuple[int, int, int, int]]]]:
     """Buffers of up to about 2 * piece bytes, with their parts: text, where the part starts in it, where in the buffer, number of positions."""
     held, parts, n = [], [], 0
     for k, t in enumerate(texts):
@@ -104,21 +117,18 @@ def windows_of(texts: list[bytes], length: int, piece: int) -> Iterator[tuple[np
             parts.append((k, at, n, len(own) - length + 1))
             n += len(own)
             if n >= piece:
-                yield np.frombuffer(b"".join(held), np.uint8), parts
+                yield b"".join(held), parts
                 held, parts, n = [], [], 0
     if held:
-        yield np.frombuffer(b"".join(held), np.uint8), parts
+        yield b"".join(held), parts
 
 
 def ranges_of(texts: list[bytes], length: int, piece: int = PIECE) -> Iterator[tuple[np.ndarray, ...]]:
-    """For each buffer: anchor's name, name of what the range covers, text, first position, number of positions, distance of the anchor."""
-    one, two = _pair(2 * piece + 2 * length)
-    width = length - GRAM + 1
-    for data, parts in windows_of(texts, length, piece):
-        one.load(data)
-        two.load(data)
-        g = _mixed(one.grams(GRAM))
-        bits = np.uint64(max(1, len(g) - 1).bit_length())
+    """For each buffer: anchor's rank, name (two numbers) of what the unit covers, text, first position, number of positions, distance of the anchor."""
+    size, width = 2 * piece + 2 * length, length - GRAM + 1
+    grams, bits = _grams_of(size), np.uint64(size.bit_length())  # the same bits in all buffers, so ties go the same way
+    for raw, parts in windows_of(texts, length, piece):
+        g = grams.of(np.frombuffer(raw, np.uint8))
         least = (g >> bits << bits) | np.arange(len(g), dtype=np.uint64)
         reach = 1
         while 2 * reach <= width:
@@ -137,125 +147,218 @@ def ranges_of(texts: list[bytes], length: int, piece: int = PIECE) -> Iterator[t
         nxt = np.searchsorted(edge, first, "right")
         count = np.where(nxt < len(edge), edge[np.minimum(nxt, len(edge) - 1)], len(anchor)) - first
         p = np.array(parts, np.int64)[of[first]]
-        yield g[anchor[first]].view(np.int64), two.name(first, first + count - 1 + length).view(np.int64), p[:, 0], p[:, 1] + first - p[:, 2], count, anchor[first] - first
-
-
-def names_of(text: bytes, wanted: np.ndarray, length: int, piece: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Positions, and the names of the first and of the last HALF bytes of the strings that start there; wanted: packed ranges."""
-    one, _ = _pair(2 * piece + 2 * length)
-    half = np.int64(1 << ((length - 1).bit_length() - 1))
-    start, count, _ = unpacked(wanted)
-    at = np.unique(np.repeat(start - np.cumsum(count) + count, count) + np.arange(count.sum()))
-    for data, parts in windows_of([text], length, piece):
-        _, begin, _, n = parts[0]
-        own = at[np.searchsorted(at, begin) : np.searchsorted(at, begin + n)]
-        if len(own):
-            one.load(data)
-            i = own - begin
-            yield own, one.name(i, i + half).view(np.int64), one.name(i + length - half, i + length).view(np.int64)
-
-
-def cells_of(text: bytes, wanted: np.ndarray, length: int, piece: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Names and packed ranges of the cells of packed ranges: the range's positions with the same (anchor - position) // CELL."""
-    one, _ = _pair(2 * piece + 2 * length)
-    start, count, far = unpacked(np.sort(wanted))
-    low, high = (far - count + 1) // CELL, far // CELL
+        view, name = memoryview(raw), xxhash.xxh3_128_digest
+        cover = np.frombuffer(b"".join([name(view[i:j]) for i, j in zip(first.tolist(), (first + count - 1 + length).tolist())]), np.int64).reshape(-1, 2)
+        yield g[anchor[first]].view(np.int64), cover[:, 0], cover[:, 1], p[:, 0], p[:, 1] + first - p[:, 2], count, anchor[first] - first
+
+
+def units_of(at: np.ndarray, covers: pa.Array, length: int, core: int, longer: int) -> tuple[np.ndarray, ...]:
+    """The units into which packed ranges split when their cores grow from core to longer bytes: ranks of the cores' first and last `core` bytes, a name of
+    the core, the range that the unit comes from, its packed range, and what it covers (in the last round nothing). covers: bytes of each range."""
+    width = length - longer + 1
+    start, count, far = unpacked(at)
+    low, high = (far - count + 1) // width, far // width
     n = high - low + 1
     k = np.repeat(np.arange(len(n)), n)
     cell = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + low[k]
     anchor = (start + far)[k]
-    first, last = np.maximum(start[k], anchor - cell * CELL - CELL + 1), np.minimum((start + count - 1)[k], anchor - cell * CELL)
-    core = anchor - cell * CELL
-    for at in range(0, max(1, len(text)), piece):  # a cell's core is hashed with the piece where it starts
-        own = np.flatnonzero((core >= at) & (core < at + piece))
-        if len(own):
-            one.load(np.frombuffer(text[at : at + piece + length], np.uint8))
-            i = core[own] - at
-            name = _mixed(one.name(i, i + length - CELL + 1) + cell[own].astype(np.uint64))
-            yield name.view(np.int64), packed(first[own], last[own] - first[own] + 1, anchor[own] - first[own])
-
-
-def _settle(a: np.ndarray, b: np.ndarray, doc: np.ndarray, start: np.ndarray, count: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Rows a, b, doc, packed range. What repeats within the batch is joined to runs, marked, and dealt by place, not by name."""
-    order = np.lexsort((start, doc, b, a))
-    again = np.zeros(len(a), bool)
-    again[order[1:]] = (a[order[1:]] == a[order[:-1]]) & (b[order[1:]] == b[order[:-1]])
-    keep = ~again
-    run = np.flatnonzero(again)
+    begin = anchor - cell * width
+    first, last = np.maximum(start[k], begin - width + 1), np.minimum((start + count - 1)[k], begin)
+    offsets = np.frombuffer(covers.buffers()[1], np.int32, len(covers) + 1, 4 * covers.offset).astype(np.int64)
+    view, shift, name = memoryview(covers.buffers()[2] or b""), (offsets[:-1] - start)[k], xxhash.xxh3_64_intdigest
+    i, c = (begin + shift).tolist(), cell.tolist()
+    one = np.array([name(view[x : x + core], 4 * q) for x, q in zip(i, c)], np.uint64).view(np.int64)
+    two = np.array([name(view[x + longer - core : x + longer], 4 * q + 1) for x, q in zip(i, c)], np.uint64).view(np.int64)
+    all_ = np.array([name(view[x : x + longer], 4 * q + 2) for x, q in zip(i, c)], np.uint64).view(np.int64)
+    held = [None] * len(k) if longer == length else [bytes(view[x:y]) for x, y in zip((first + shift).tolist(), (last + length + shift).tolist())]
+    return one, two, all_, k, packed(first, last - first + 1, anchor - first), pa.array(held, pa.binary())
+
+
+def _place(doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return _mixed(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + at.astype(np.uint64)).view(np.int64)
+
+
+def _repeated(a: np.ndarray, b: np.ndarray, c: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether an equal (a, b, c) comes before a row in the batch, and whether any row is equal to it."""
+    order = np.lexsort((start, doc, c, b, a))
+    like = (a[order[1:]] == a[order[:-1]]) & (b[order[1:]] == b[order[:-1]]) & (c[order[1:]] == c[order[:-1]])
+    again, twin = np.zeros(len(a), bool), np.zeros(len(a), bool)
+    again[order[1:]] = like
+    twin[order[1:]] |= like
+    twin[order[:-1]] |= like
+    return again, twin
+
+
+class _Met:
+    """HELD keys at most that a task remembers, each with a place."""
+
+    def __init__(self):
+        self.at: dict[tuple[int, int, int], tuple[int, int]] = {}
+        self.first = np.empty(0, np.int64)
+
+    def held(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> list[tuple[int, tuple[int, int, int]]]:
+        """The rows whose key is remembered."""
+        maybe = np.flatnonzero(np.isin(a, self.first)).tolist() if len(self.first) else []
+        return [(i, key) for i in maybe if (key := (int(a[i]), int(b[i]), int(c[i]))) in self.at]
+
+    def learn(self, a: np.ndarray, b: np.ndarray, c: np.ndarray, doc: np.ndarray, start: np.ndarray) -> None:
+        if len(a) and len(self.at) < HELD:
+            for x in zip(*(v[: HELD - len(self.at)].tolist() for v in (a, b, c, doc, start))):
+                self.at.setdefault(x[:3], x[3:])
+            self.first = np.unique(np.array([k[0] for k in self.at], np.int64))
+
+
+def _crowded(met: _Met, a: np.ndarray) -> np.ndarray:
+    """Rows of unlike units that need not come to their anchor's place: it is shared by many here, and two unlike units or more of this task are sent there."""
+    order = np.argsort(a, kind="stable")
+    new = np.ones(len(a), bool)
+    new[1:] = a[order[1:]] != a[order[:-1]]
+    group = np.cumsum(new) - 1
+    head = np.flatnonzero(new)
+    many = np.bincount(group) > CROWD
+    out, none = np.zeros(len(a), bool), np.zeros(len(a), np.int64)
+    out[order] = many[group] & (np.arange(len(a)) - head[group] >= 2)
+    out[[i for i, _ in met.held(a, none, none)]] = True
+    own = a[order[head[many]]]
+    met.learn(own, *(none[: len(own)],) * 4)
+    return out
+
+
+def _settle(met: _Met, a: np.ndarray, b: np.ndarray, c: np.ndarray, doc: np.ndarray, at: np.ndarray, shared: _Met | None = None) -> tuple[np.ndarray, ...]:
+    """Rows a, b, c, doc, at. What is known to repeat is joined to runs, marked, and dealt by place, not by rank; with shared, so is what is known to be open."""
+    start, count, _ = unpacked(at)
+    again, twin = _repeated(a, b, c, doc, start)
+    for i, key in met.held(a, b, c):  # a later place of a key that was sent repeats
+        place = (int(doc[i]), int(start[i]))
+        if met.at[key] < place:
+            again[i] = True
+        else:
+            met.at[key] = place
+    new = np.flatnonzero(twin & ~again)
+    met.learn(a[new], b[new], c[new], doc[new], start[new])
+    keep, run = np.flatnonzero(~again), np.flatnonzero(again)
+    if shared is not None:
+        crowd = _crowded(shared, a[keep])
+        place = np.where(crowd, _place(doc[keep], at[keep]), 0)
+        own = [np.where(crowd, place, x[keep]) for x in (a, b, c)] + [doc[keep], np.where(crowd, at[keep] | OPEN, at[keep])]
+    else:
+        own = [x[keep] for x in (a, b, c, doc, at)]
     run = run[np.lexsort((start[run], doc[run]))]
     d, s, e = doc[run], start[run], start[run] + count[run]
     cut = np.ones(len(run), bool)
     cut[1:] = (d[1:] != d[:-1]) | (s[1:] != e[:-1]) | (s[1:] // LONGEST != s[:-1] // LONGEST)
-    at = np.flatnonzero(cut)
-    d, s, e = d[at], s[at], e[np.append(at[1:], len(run)) - 1] if len(run) else e
-    place = _mixed(d.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + s.astype(np.uint64)).view(np.int64)
-    return np.append(a[keep], place), np.append(b[keep], place), np.append(doc[keep], d), np.append(packed(start[keep], count[keep], far[keep]), packed(s, e - s, 0, 1))
+    head = np.flatnonzero(cut)
+    d, s, e = d[head], s[head], e[np.append(head[1:], len(run)) - 1] if len(run) else e
+    place = _place(d, s)
+    return tuple(np.append(x, y) for x, y in zip(own, (place, place, place, d, packed(s, e - s, 0, 1))))
 
 
-_ROWS = "a long, b long, doc long, at long"
+_NAMES = ["a", "b", "c", "doc", "at"]
+_ROWS = "a long, b long, c long, doc long, at long"
+_UNITS = f"{_ROWS}, s binary"
 
 
-def _batch(columns: tuple[np.ndarray, ...], names: list[str]) -> Iterator[pa.RecordBatch]:
+def _batch(columns: tuple, names: list[str]) -> Iterator[pa.RecordBatch]:
     for i in range(0, len(columns[0]), 50_000):
-        yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 50_000]) for c in columns], names)
+        yield pa.RecordBatch.from_arrays([c[i : i + 50_000] if isinstance(c, pa.Array) else pa.array(c[i : i + 50_000]) for c in columns], names)
 
 
 def _anchors(length: int, piece: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            docs, texts = b.column(0).to_numpy(), [t.as_buffer().to_pybytes() for t in b.column(1)]
+        met, shared = _Met(), _Met()
+        for batch in batches:
+            docs, texts = batch.column(0).to_numpy(), [t.as_buffer().to_pybytes() for t in batch.column(1)]
             found = list(ranges_of(texts, length, piece))
             if found:
-                g, u, k, start, count, far = (np.concatenate(c) for c in zip(*found))
-                yield from _batch(_settle(g, u, docs[k], start, count, far), ["a", "b", "doc", "at"])
+                g, b, c, k, start, count, far = (np.concatenate(x) for x in zip(*found))
+                yield from _batch(_settle(met, g, b, c, docs[k], packed(start, count, far), shared), _NAMES)
 
     return run
 
 
-def _pairs(length: int, piece: int):
+def _split(met: _Met, doc: np.ndarray, at: np.ndarray, covers: pa.Array, length: int, core: int, longer: int) -> Iterator[pa.RecordBatch]:
+    """Rows of the units of ranges. Before the last round, units with an equal in the batch are marked as known to go on and all but one dealt by place."""
+    a, b, c, k, at, s = units_of(at, covers, length, core, longer)
+    doc = doc[k]
+    if longer == length:
+        rows = _settle(met, a, b, c, doc, at)
+        yield from _batch((*rows, pa.nulls(len(rows[0]), pa.binary())), [*_NAMES, "s"])
+        return
+    again, twin = _repeated(a, b, c, doc, at)
+    again[[i for i, _ in met.held(a, b, c)]] = True  # the task has sent one that is marked
+    twin |= again
+    new = np.flatnonzero(twin & ~again)
+    met.learn(a[new], b[new], c[new], doc[new], at[new])
+    place = _place(doc, at)
+    yield from _batch((*(np.where(again, place, x) for x in (a, b, c)), doc, at | twin, s), [*_NAMES, "s"])
+
+
+def _begin(length: int, core: int, longer: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [(x, y, np.full(len(at), doc), at, np.ones(len(at), np.int64), np.zeros(len(at), np.int64)) for doc, text, wanted in zip(b.column(0).to_pylist(), b.column(1), b.column(2)) for at, x, y in names_of(text.as_buffer().to_pybytes(), np.array(wanted.as_py(), np.int64), length, piece)]
-            if found:
-                yield from _batch(_settle(*(np.concatenate(c) for c in zip(*found))), ["a", "b", "doc", "at"])
+        met = _Met()
+        for batch in batches:
+            doc, at, covers = [], [], []
+            for d, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                own = np.sort(np.array(wanted.as_py(), np.int64))
+                start, count, _ = unpacked(own)
+                view = memoryview(text.as_buffer())
+                covers += [view[i:j] for i, j in zip(start.tolist(), (start + count - 1 + length).tolist())]
+                doc.append(np.full(len(own), d))
+                at.append(own)
+            if doc:
+                doc, at = np.concatenate(doc), np.concatenate(at)
+                for i in range(0, len(doc), SCAN):
+                    yield from _split(met, doc[i : i + SCAN], at[i : i + SCAN], pa.array([bytes(x) for x in covers[i : i + SCAN]], pa.binary()), length, core, longer)
 
     return run
 
 
-def _cells(length: int, piece: int):
-    """Rows whose b differs from row to row, so that all rows that share their a are open."""
+def _next(length: int, core: int, longer: int):
+    """Of units sorted by rank those that aren't alone, split for cores of `longer` bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [(a, np.full(len(a), doc), at) for doc, text, wanted in zip(b.column(0).to_pylist(), b.column(1), b.column(2)) for a, at in cells_of(text.as_buffer().to_pybytes(), np.array(wanted.as_py(), np.int64), length, piece)]
-            if found:
-                a, doc, at = (np.concatenate(c) for c in zip(*found))
-                own = _mixed(_mixed(doc.astype(np.uint64)) + at.astype(np.uint64)).view(np.int64)
-                yield from _batch((a, own, doc, at), ["a", "b", "doc", "at"])
+        met, waits, gone_on = _Met(), None, None  # the last row if it is alone so far, the last rank if it isn't
+        for batch in batches:
+            rows = pa.Table.from_batches([batch] if waits is None else [waits, batch]).combine_chunks().to_batches()[0] if batch.num_rows else None
+            if rows is None:
+                continue
+            a, b, c, doc, at = (rows.column(i).to_numpy() for i in range(5))
+            new = np.ones(len(a), bool)
+            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])
+            group = np.cumsum(new) - 1
+            on = (np.bincount(group) > 1) | (np.bincount(group, at & 1) > 0)
+            if gone_on == (a[0], b[0], c[0]):
+                on[0] = True
+            waits = None if on[-1] else rows.slice(len(a) - 1)
+            gone_on = (a[-1], b[-1], c[-1]) if on[-1] else None
+            keep = np.flatnonzero(on[group])
+            for i in range(0, len(keep), SCAN):
+                k = keep[i : i + SCAN]
+                yield from _split(met, doc[k], at[k] >> 1 << 1, rows.column(5).take(pa.array(k)), length, core, longer)
 
     return run
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by a, b, document and place: doc, at, open. All but the first of equal (a, b) repeat (open 0); the first of an (a, b) whose a
-    has another b is open (1); what is left is unique and dropped. Keeps one row from batch to batch."""
+    """Rows sorted by a, b, c, document and place: doc, at, open. All but the first of equal (a, b, c) repeat (open 0); the first of an (a, b, c) whose a
+    has another is open (1), and so is what is known to be; what is left is unique and dropped. Keeps one row from batch to batch."""
     held, n, last, before = [], 0, None, None
 
     def flush(end: bool) -> Iterator[pa.RecordBatch]:
         nonlocal held, n, last, before
         if held:
-            a, b, doc, at = (np.concatenate(c) for c in zip(*held))
+            a, b, c, doc, at = (np.concatenate(x) for x in zip(*held))
         else:
-            a = b = doc = at = np.empty(0, np.int64)
+            a = b = c = doc = at = np.empty(0, np.int64)
         held, n = [], 0
         new = np.ones(len(a), bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])
         if len(a) and last is not None:
-            new[0] = (a[0], b[0]) != last
-        last = (a[-1], b[-1]) if len(a) else last
-        known = (at & 1) > 0
-        hit = ~new | known
-        head = np.flatnonzero(new & ~known)
+            new[0] = (a[0], b[0], c[0]) != last
+        last = (a[-1], b[-1], c[-1]) if len(a) else last
+        known, apart = (at & 1) > 0, at < 0
+        hit = (~new | known) & ~apart
+        head = np.flatnonzero(new & ~known & ~apart)
         ha, hd, hp = a[head], doc[head], at[head]
         shared = np.zeros(len(head), bool)
         if before is not None:  # the last head of the batch before waits for its neighbour
@@ -268,21 +371,16 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(ha) and not end:
             before = (ha[-1], hd[-1], hp[-1], shared[-1])
             hd, hp, shared = hd[:-1], hp[:-1], shared[:-1]
-        yield from _batch((np.append(doc[hit], hd[shared]), np.append(at[hit] >> 1 << 1, hp[shared]), np.append(np.zeros(hit.sum(), np.int32), np.ones(shared.sum(), np.int32))), ["doc", "at", "open"])
+        yield from _batch((np.concatenate([doc[hit], hd[shared], doc[apart]]), np.concatenate([at[hit] >> 1 << 1, hp[shared], at[apart] & ~OPEN]), np.repeat(np.array([0, 1], np.int32), [hit.sum(), shared.sum() + apart.sum()])), ["doc", "at", "open"])
 
     for batch in batches:
-        held.append([c.to_numpy() for c in batch.columns])
+        held.append([x.to_numpy() for x in batch.columns])
         n += batch.num_rows
         if n >= SCAN:
             yield from flush(False)
     yield from flush(True)
 
 
-def _ranked(rows: DataFrame, parts: int) -> DataFrame:
-    """doc, at, open: Spark deals rows by their first name and sorts them by both names and place."""
-    return rows.repartition(parts, "a").sortWithinPartitions("a", "b", "doc", "at").mapInArrow(_scan, "doc long, at long, open int")
-
-
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
     """_k, doc_id, text, and whether a _k may repeat: _k orders documents like their ids and is one for rows with equal ids and texts. It is the id itself unless ids repeat or are null."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -304,15 +402,15 @@ def repeats(rows: DataFrame, length: int = 100, piece: int = PIECE) -> DataFrame
     small_batches(spark, 1000)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.select("_k", F.col("text").cast("binary").alias("text"))
-    ranked = write_table(_ranked(rows.mapInArrow(_anchors(length, piece), _ROWS), parts), "ranked")
-
-    def again(ranked: DataFrame, named) -> DataFrame:
-        """What named() makes of the open ranges and their texts."""
-        open_ = ranked.where("open = 1").groupBy("doc").agg(F.collect_list("at").alias("open_at"))
-        return rows.join(open_, F.col("_k") == F.col("doc")).select("_k", "text", "open_at").mapInArrow(named(length, piece), _ROWS)
-
-    apart = again(_ranked(again(ranked, _cells), parts), _pairs)
-    return ranked.where("open = 0").select("doc", "at").unionByName(_ranked(apart, parts).where("open = 0").select("doc", "at"))
+    ranked = rows.mapInArrow(_anchors(length, piece), _ROWS).repartition(parts, "a").sortWithinPartitions(*_NAMES)
+    ranked = write_table(ranked.mapInArrow(_scan, "doc long, at long, open int"), "ranked")
+    open_ = ranked.where("open = 1").groupBy("doc").agg(F.collect_list("at").alias("open_at"))
+    first, *later = growth(length)
+    units = rows.join(open_, F.col("_k") == F.col("doc")).select("_k", "text", "open_at").mapInArrow(_begin(length, *first), _UNITS)
+    for core, longer in later:
+        units = units.repartition(parts, "a", "b", "c").sortWithinPartitions("a", "b", "c").mapInArrow(_next(length, core, longer), _UNITS)
+    settled = units.select(*_NAMES).repartition(parts, "a", "b", "c").sortWithinPartitions(*_NAMES).mapInArrow(_scan, "doc long, at long, open int")
+    return ranked.where("open = 0").select("doc", "at").unionByName(settled.where("open = 0").select("doc", "at"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, piece: int = PIECE) -> DataFrame:
