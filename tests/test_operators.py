@@ -8,6 +8,7 @@ from voxframe.functions import text as t
 from voxframe.functions import vectors as v
 from voxframe.operators import attribution, identity, render, store
 from voxframe.operators.components import connected_components
+from voxframe.operators.joins import spread_join
 from voxframe.operators.similarity import pairs_above
 
 
@@ -52,6 +53,19 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_a_key_with_half_of_all_rows_is_spread(spark):
+    big = spark.range(0, 20_000, 1, 8).select(F.when(F.col("id") % 2 == 0, -7).when(F.col("id") % 40 == 1, None).otherwise(F.col("id")).alias("k"), "id")
+    side = big.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = spread_join(big, side, "k", "n", 20_000)
+        sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+        assert max(sizes) <= 2 * sum(sizes) / len(sizes)
+        assert sorted(map(tuple, got.collect())) == sorted((-7, i, 0) if i % 2 == 0 else (i, i, i) for i in range(20_000) if i % 40 != 1)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_pairs_in_blocks(spark):
     x = np.random.default_rng(1).normal(size=(70, 5))
     x[3] = 0

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxframe.operators.joins import spread_join
 from voxframe.workspace import write_table
 
 
@@ -12,13 +13,13 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
     """node, component (its smallest node) of every node that has a link to another node.
 
     Nodes are non-null longs. Each round rewires every link to the smallest known neighbour; rounds grow with the
-    logarithm of the longest path. Only counts reach the driver. Neighbour minima are partial aggregates, so a hub
-    with many links is summed before the shuffle. Repeated links and self-links change nothing.
+    logarithm of the longest path. Only counts reach the driver. Neighbour minima are partial aggregates, and a hub's minimum is brought to
+    its links by spread_join, so no task holds all links of a hub. Repeated links and self-links change nothing.
     """
     edges = write_table(_tidy(links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"))), "cc")
     before = _state(edges)
     for _ in range(max_rounds):
-        edges = write_table(_small_star(_large_star(edges)), "cc")
+        edges = write_table(_small_star(_large_star(edges, before[0]), before[0]), "cc")
         now = _state(edges)
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
@@ -36,12 +37,14 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return _tidy(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("_n"))
+    led = spread_join(both.where("v > u"), least, "u", "_n", 2 * n)
+    return _tidy(led.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    return _tidy(edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))))
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n"))
+    led = spread_join(edges, least, "u", "_n", n)
+    return _tidy(led.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))))
