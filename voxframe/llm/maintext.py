@@ -6,7 +6,7 @@ and other; it is trained by maximum likelihood on the labelled pages that traini
 
 Defined cases: null and empty html give the empty text; html without a main block gives the empty text; broken html is read
 leniently (open elements end with their parent, a paragraph ends at the next block, a drawing too, an open comment or script ends
-with the page); formulas, the text of drawings and what stands in object and canvas are inline text, a template is never shown; equal pages give equal texts; repeated rows are read each; an empty table gives an empty table; columns kept pass through, whatever their names are, but for _vx_main.
+with the page, a tag whose end or closing quote is missing ends at the next < or >); any page is read in linear time; formulas, the text of drawings and what stands in object and canvas are inline text, a template is never shown; equal pages give equal texts; repeated rows are read each; an empty table gives an empty table; columns kept pass through, whatever their names are, but for _vx_main.
 """
 
 from __future__ import annotations
@@ -35,19 +35,45 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: An opening tag on the left ends an open element on the right that stands in the same parent.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
-_TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|<!--|<[!?][^>]*>""")
+#: A tag to its >, quotes kept; a tag that never ends so goes to the next < or >; then comments and declarations. Nothing is read twice for long, so a page is read in linear time.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)(?:((?:"[^"]*"|'[^']*'|[^<>"'])*+)>|([^<>]*+)>?)|<!--|<[!?][^>]*+>?""")
+_ENDING = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*+>?", re.I | re.A) for tag in RAW}
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 MAIN, OTHER = 0, 1
 
 
+class Node:
+    """A kind of element: its parent's kind and its own names. One object for equal ones of a page."""
+
+    __slots__ = ("parent", "names", "new", "size", "inside")
+
+    def __init__(self, parent: Node | None, names: tuple[str, ...], new: tuple[str, ...]):
+        self.parent, self.names, self.new = parent, names, new  # new: names that no ancestor has
+        self.size = len(names) + (parent.size if parent else 0)
+        self.inside: float | None = None
+
+    @property
+    def own(self) -> str:
+        return self.names[0] if self.names else "none"
+
+
 @dataclass
 class Block:
-    path: tuple[str, ...]  # names of ancestors, then of the element itself
+    node: Node
     text: str
     linked: int = 0  # characters of the text inside links
     main: bool = False  # in training pages
 
+    @property
+    def path(self) -> tuple[str, ...]:
+        """Names of ancestors, then of the element itself."""
+        out, node = [], self.node
+        while node:
+            out += reversed(node.names)
+            node = node.parent
+        return tuple(reversed(out))
+
 
 def _names(tag: str, attributes: str) -> tuple[str, ...]:
     """The tag, and tag-free words of class, id and role."""
@@ -61,11 +87,13 @@ def _names(tag: str, attributes: str) -> tuple[str, ...]:
 def blocks(page: str) -> list[Block]:
     """The leaf blocks with text, in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    kinds: dict[tuple[Node, tuple[str, ...]], Node] = {}
+    stack: list[Node] = [Node(None, (), ())]
+    names_open: dict[str, int] = {}
     held: list[tuple[str, bool]] = []
     drawn: list[bool] = []  # for each open svg, whether text about it is hidden
     links = at = 0
-    low, hidden = None, False
+    hidden = False
 
     def flush() -> None:
         nonlocal held
@@ -73,9 +101,24 @@ def blocks(page: str) -> list[Block]:
             text = " ".join(references.unescape("".join(t for t, _ in held)).split())
             if text:
                 linked = sum(len(t) for t, in_link in held if in_link)
-                out.append(Block(tuple(n for _, names in stack for n in names), text, min(len(text), linked)))
+                out.append(Block(stack[-1], text, min(len(text), linked)))
             held = []
 
+    def push(names: tuple[str, ...]) -> None:
+        key = stack[-1], names
+        node = kinds.get(key)
+        if node is None:
+            node = kinds[key] = Node(*key, tuple(n for n in dict.fromkeys(names) if not names_open.get(n)))
+        stack.append(node)
+        for n in names:
+            names_open[n] = names_open.get(n, 0) + 1
+
+    def pop() -> str:
+        node = stack.pop()
+        for n in node.names:
+            names_open[n] -= 1
+        return node.own
+
     n = len(page)
     while at < n:
         m = _TAG.search(page, at)
@@ -86,31 +129,32 @@ def blocks(page: str) -> list[Block]:
         if m.start() > at and not hidden:
             held.append((page[at : m.start()], links > 0))
         at = m.end()
-        tag = m[2]
+        slash, tag, inner, loose = m.groups()
         if tag is None:
             if m.group() == "<!--":
-                end = page.find("-->", at)
+                end = page.find("-->", at - 2)
                 at = n if end < 0 else end + 3
             continue
         tag = tag.lower()
         if tag == "a":
-            links = 0 if m[1] else 1
+            links = 0 if slash else 1
             continue
+        inner = loose if inner is None else inner
         if tag not in BLOCKS and tag not in RAW:
             if tag == "br":
                 held.append((" ", False))
             elif tag == "svg":
                 held.append((" ", False))
-                if m[1]:
+                if slash:
                     hidden = drawn.pop() if drawn else False
-                elif not m[3].rstrip().endswith("/"):
+                elif not inner.rstrip().endswith("/"):
                     drawn.append(hidden)
                     hidden = True
             elif drawn and tag in DRAWN or tag in NOTES:
-                if not m[3].rstrip().endswith("/"):
+                if not inner.rstrip().endswith("/"):
                     held.append((" ", False))
-                    hidden = (tag in NOTES) != bool(m[1])
-            elif tag == "math" and m[1] and not drawn:
+                    hidden = (tag in NOTES) != bool(slash)
+            elif tag == "math" and slash and not drawn:
                 hidden = False
             continue
         if hidden and tag in BLOCKS:
@@ -119,34 +163,30 @@ def blocks(page: str) -> list[Block]:
             # a block ends what is open of drawings and formulas
             drawn.clear()
             hidden = False
-        if m[1]:
+        if slash:
             if tag in RAW:
                 continue
             flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if names_open.get(tag):
+                while pop() != tag:
+                    pass
             links = 0
             continue
         if tag in RAW:
-            if m[3].rstrip().endswith("/"):
+            if inner.rstrip().endswith("/"):
                 continue
-            low = page.lower() if low is None else low
-            low = low if len(low) == n else page
-            end = low.find(f"</{tag}", at)
-            close = -1 if end < 0 else page.find(">", end)
-            at = n if close < 0 else close + 1
+            end = _ENDING[tag].search(page, at)
+            at = end.end() if end else n
             held.append((" ", False))
             continue
         flush()
         links = 0
-        if stack and stack[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
-            stack.pop()
-        while stack and stack[-1][0] in _ENDS.get(tag, ()):
-            stack.pop()
-        if tag not in VOID and not m[3].endswith("/"):
-            stack.append((tag, _names(tag, m[3])))
+        if stack[-1].own in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
+            pop()
+        while stack[-1].own in _ENDS.get(tag, ()):
+            pop()
+        if tag not in VOID and not inner.endswith("/"):
+            push(_names(tag, inner))
     flush()
     return out
 
@@ -179,24 +219,31 @@ class Model:
 
     weight: dict[str, float]
     pairs: np.ndarray  # [same path or not, label before, label]
-    _paths: dict = field(default_factory=dict)
     _texts: dict = field(default_factory=dict)
 
-    def _sum(self, cache: dict, key: tuple, names: list[str]) -> float:
-        if len(cache) > 200_000:
-            cache.clear()
-        cache[key] = s = sum(self.weight.get(f, 0.0) for f in names)
-        return s
+    def _inside(self, node: Node) -> float:
+        """Weights of the names of the element and its ancestors, each name once."""
+        way = []
+        while node and node.inside is None:
+            way.append(node)
+            node = node.parent
+        total = node.inside if node else 0.0
+        for node in reversed(way):
+            total += sum(self.weight.get(f"in {n}", 0.0) for n in node.new)
+            node.inside = total
+        return total
 
     def scores(self, found: list[Block]) -> list[float]:
-        out = []
+        """What path_features and text_features of each block weigh."""
+        out, get = [], self.weight.get
         for i, b in enumerate(found):
-            s = self._paths.get(b.path)
-            if s is None:
-                s = self._sum(self._paths, b.path, path_features(b.path))
-            key = (traits(b, i, len(found)), _own(b.path))
+            key = (traits(b, i, len(found)), b.node.own)
             e = self._texts.get(key)
-            out.append(s + (self._sum(self._texts, key, text_features(*key)) if e is None else e))
+            if e is None:
+                if len(self._texts) > 200_000:
+                    self._texts.clear()
+                e = self._texts[key] = sum(get(f, 0.0) for f in text_features(*key))
+            out.append(self._inside(b.node) + get(f"own {b.node.own}", 0.0) + get(f"depth {min(8, b.node.size)}", 0.0) + e)
         return out
 
     def labels(self, found: list[Block]) -> list[int]:
@@ -207,7 +254,7 @@ class Model:
         scores, back = self.scores(found), []
         m, o = scores[0], 0.0
         for i in range(1, len(found)):
-            (mm, mo), (om, oo) = pairs[found[i].path == found[i - 1].path]
+            (mm, mo), (om, oo) = pairs[found[i].node is found[i - 1].node]
             from_m, from_o = m + mm >= o + om, m + mo >= o + oo
             back.append((from_m, from_o))
             m, o = scores[i] + (m + mm if from_m else o + om), (m + mo if from_o else o + oo)
@@ -223,10 +270,6 @@ class Model:
         return "\n\n".join(b.text for b, k in zip(found, self.labels(found)) if k == MAIN)
 
 
-def _own(path: tuple[str, ...]) -> str:
-    return next((n for n in reversed(path) if not n.startswith(".")), "none")
-
-
 def training_pages(n: int = 500, seed: int = 9) -> list[tuple[str, list[str]]]:
     """Made-up pages of many layouts with the texts of their main blocks, in order."""
     r = random.Random(seed)
@@ -337,8 +380,8 @@ def fit(pages: list[tuple[str, list[str]]] | None = None, steps: int = 120, l2:
     col, row = [], []
     for k, found in enumerate(data):
         for i, b in enumerate(found):
-            live[i, k], gold[i, k], same[i, k] = True, b.main, i > 0 and b.path == found[i - 1].path
-            fs = [f for f in path_features(b.path) if seen[f] > 2] + text_features(traits(b, i, len(found)), _own(b.path))
+            live[i, k], gold[i, k], same[i, k] = True, b.main, i > 0 and b.node is found[i - 1].node
+            fs = [f for f in path_features(b.path) if seen[f] > 2] + text_features(traits(b, i, len(found)), b.node.own)
             ids = [names.setdefault(f, len(names)) for f in fs]
             col += ids
             row += [i * z + k] * len(ids)

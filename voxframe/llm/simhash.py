@@ -6,7 +6,8 @@ its halves, and every match is verified on the complete distance. With half as k
 size: n fingerprints meet n * n * 66 / 2**32 others.
 
 A key with many fingerprints (a large group of near copies) never yields its pairs: it is cut into blocks of bounded
-size, a block compares its fingerprints with numpy and returns a spanning forest of its links.
+size, a block compares its fingerprints with numpy and returns a spanning forest of its links. The class of a fingerprint that many documents share
+(exact copies, empty texts) is brought to them by a broadcast of bounded size, so they aren't dealt to one task.
 
 Defined cases: null and empty texts and texts without words have the fingerprint 0 and are linked like others; equal
 texts share a fingerprint; ids may repeat; fingerprints are the nodes of the graph, so rows with a null or repeated id link as others do, but a null
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxframe.operators.components import connected_components
+from voxframe.operators.joins import spread_join
 from voxframe.workspace import small_batches, write_table
 
 #: Bytes of a text that are split into words at once.
@@ -153,12 +155,12 @@ def _linked(nodes: DataFrame, max_bits: int = 3) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 3) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id that links reach): one row for each row of docs."""
     rows = write_table(fingerprints(docs, id_col, text_col), "simhash")
-    nodes = write_table(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    nodes = write_table(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "nodes")
     linked = _linked(nodes, max_bits)
     least = linked.groupBy("component").agg(F.min("first").alias("least"))
     found = linked.join(least, "component").select("fp", "least")
-    classes = nodes.join(found, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = write_table(nodes.join(found, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"), "n"), "classes")
+    return spread_join(rows, classes, "fp", "n", rows.count()).select("doc_id", "fp", "component_id")
 
 
 def hex16(fp: str) -> F.Column:
