@@ -81,14 +81,18 @@ c AS (SELECT *, total - coalesce(sum(cap) OVER (ORDER BY pos ROWS BETWEEN UNBOUN
         sum(w) OVER (ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::BIGINT AS den FROM o),
 k AS (SELECT arg_min(num, pos) AS num, arg_min(den, pos) AS den, min(pos) AS pos FROM c WHERE num::HUGEINT * w <= cap::HUGEINT * den),
 t AS (SELECT source, rk, source_size, CASE WHEN c.pos >= k.pos THEN (k.num * w)::DOUBLE / k.den::DOUBLE ELSE cap::DOUBLE END AS target FROM c LEFT JOIN k ON true),
-p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t),
-r AS (SELECT *, target - whole * source_size AS rest, CASE WHEN source_size > 0 THEN (target - whole * source_size) / source_size ELSE 0.0 END AS p FROM p),
-u AS (SELECT d.doc_id, d.size, r.*, (('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, 'null') || '|11'), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
-      FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
-q AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) * ((1 - p) / p) END AS q FROM u),
-n AS (SELECT *, sum(size) OVER (PARTITION BY rk ORDER BY q, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT AS cum FROM q)
+r AS (SELECT *, target - whole * source_size AS rest FROM (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t)),
+z AS (SELECT rk, size, rest, sum(k * size) OVER (PARTITION BY rk ORDER BY size DESC)::BIGINT AS above, sum(k * size * size) OVER (PARTITION BY rk)::HUGEINT AS squares,
+        sum(k * size * size) OVER (PARTITION BY rk ORDER BY size DESC)::HUGEINT AS square FROM (SELECT source, size, count(*)::HUGEINT AS k FROM d WHERE size > 0 GROUP BY ALL) x JOIN r ON x.source IS NOT DISTINCT FROM r.source WHERE rest > 0),
+y AS (SELECT rk, any_value(rest) AS rest, any_value(squares) AS squares, min({'size': size, 'above': above, 'below': squares - square}) FILTER (above::DOUBLE + (squares - square)::DOUBLE / size::DOUBLE <= rest) AS c FROM z GROUP BY rk),
+x AS (SELECT rk, c.size AS sure, rest - coalesce(c.above, 0) AS remains, coalesce(c.below, squares)::DOUBLE AS below FROM y),
+u AS (SELECT d.doc_id, d.size, r.*, sure, remains, CASE WHEN below > 0 THEN remains / below ELSE 0 END AS f, (('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, 'null') || '|11'), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
+      FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source LEFT JOIN x ON r.rk = x.rk),
+p AS (SELECT *, coalesce(size >= sure, false) AS certain, CASE WHEN coalesce(size >= sure, false) OR f = 0 THEN NULL ELSE least(f * greatest(size, 1), 1.0::DOUBLE) END AS p FROM u),
+q AS (SELECT *, (u / (1 - u)) * ((1 - p) / p) AS q FROM p),
+n AS (SELECT *, CASE WHEN q IS NOT NULL THEN sum(size) OVER (PARTITION BY rk, q IS NULL ORDER BY q, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT END AS cum FROM q)
 SELECT doc_id, size, source_size, target,
-  size * (whole + CASE WHEN p > 0 AND (cum <= rest OR cum - rest < rest - (cum - size)) THEN 1 ELSE 0 END) AS taken FROM n
+  size * (whole + certain::BIGINT + CASE WHEN cum <= remains OR cum - remains < remains - (cum - size) THEN 1 ELSE 0 END) AS taken FROM n
 """,
     "op1_suffix_dedup": """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
