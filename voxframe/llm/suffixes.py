@@ -16,8 +16,8 @@ length - w + 1 bytes, and it's the core that has the rank.
    offset by which it grows), sorts the pairs and drops what is alone.
 3. In the last round a unit is one position and the core its string: all but the first of equal pairs repeat.
 
-Ranks are names, so that a rank is had from the bytes at hand without a join: 64 bits of XXH3 each, the pair and a third of the whole core under
-other seeds. Unlike cores are taken as equal only if two of these agree by chance (128 bits); covers are compared by XXH3's 128 bits. The
+Ranks are names, so that a rank is had from the bytes at hand without a join: 64 bits of XXH3 each, joined with one half each of 128 bits
+of the whole core, so that unlike cores are taken as equal only if 128 bits agree by chance; covers are compared by XXH3's 128 bits, too. The
 hash of grams only chooses anchors and deals units; a collision there costs time, not truth.
 
 A task first settles what repeats, or is sure to go on, inside its batch and under keys that it has met: a large group of copies, or a passage in many
@@ -48,6 +48,7 @@ CROWD = 8
 OPEN = np.int64(-(2**63))
 START, COUNT, ANCHOR = np.int64(32), np.int64(12), np.int64(1)
 LONGEST = 1 << 19
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def packed(start: np.ndarray, count: np.ndarray, anchor: np.ndarray | int = 0, known: int = 0) -> np.ndarray:
@@ -153,8 +154,8 @@ def ranges_of(texts: list[bytes], length: int, piece: int = PIECE) -> Iterator[t
 
 
 def units_of(at: np.ndarray, covers: pa.Array, length: int, core: int, longer: int) -> tuple[np.ndarray, ...]:
-    """The units into which packed ranges split when their cores grow from core to longer bytes: ranks of the cores' first and last `core` bytes, a name of
-    the core, the range that the unit comes from, its packed range, and what it covers (in the last round nothing). covers: bytes of each range."""
+    """The units into which packed ranges split when their cores grow from core to longer bytes: ranks of the cores' first and last `core` bytes, each
+    joined with half a name of the whole core, the range that the unit comes from, its packed range, and what it covers (in the last round nothing). covers: bytes of each range."""
     width = length - longer + 1
     start, count, far = unpacked(at)
     low, high = (far - count + 1) // width, far // width
@@ -167,15 +168,16 @@ def units_of(at: np.ndarray, covers: pa.Array, length: int, core: int, longer: i
     offsets = np.frombuffer(covers.buffers()[1], np.int32, len(covers) + 1, 4 * covers.offset).astype(np.int64)
     view, shift, name = memoryview(covers.buffers()[2] or b""), (offsets[:-1] - start)[k], xxhash.xxh3_64_intdigest
     i, c = (begin + shift).tolist(), cell.tolist()
-    one = np.array([name(view[x : x + core], 4 * q) for x, q in zip(i, c)], np.uint64).view(np.int64)
-    two = np.array([name(view[x + longer - core : x + longer], 4 * q + 1) for x, q in zip(i, c)], np.uint64).view(np.int64)
-    all_ = np.array([name(view[x : x + longer], 4 * q + 2) for x, q in zip(i, c)], np.uint64).view(np.int64)
+    one = np.array([name(view[x : x + core], 2 * q) for x, q in zip(i, c)], np.uint64)
+    two = np.array([name(view[x + longer - core : x + longer], 2 * q + 1) for x, q in zip(i, c)], np.uint64)
+    whole = np.frombuffer(b"".join([xxhash.xxh3_128_digest(view[x : x + longer], q) for x, q in zip(i, c)]), np.uint64).reshape(-1, 2)
+    one, two = ((x * _ODD ^ y).view(np.int64) for x, y in ((one, whole[:, 0]), (two, whole[:, 1])))
     held = [None] * len(k) if longer == length else [bytes(view[x:y]) for x, y in zip((first + shift).tolist(), (last + length + shift).tolist())]
-    return one, two, all_, k, packed(first, last - first + 1, anchor - first), pa.array(held, pa.binary())
+    return one, two, k, packed(first, last - first + 1, anchor - first), pa.array(held, pa.binary())
 
 
 def _place(doc: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return _mixed(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + at.astype(np.uint64)).view(np.int64)
+    return _mixed(doc.astype(np.uint64) * _ODD + at.astype(np.uint64)).view(np.int64)
 
 
 def _repeated(a: np.ndarray, b: np.ndarray, c: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -250,7 +252,7 @@ def _settle(met: _Met, a: np.ndarray, b: np.ndarray, c: np.ndarray, doc: np.ndar
     head = np.flatnonzero(cut)
     d, s, e = d[head], s[head], e[np.append(head[1:], len(run)) - 1] if len(run) else e
     place = _place(d, s)
-    return tuple(np.append(x, y) for x, y in zip(own, (place, place, place, d, packed(s, e - s, 0, 1))))
+    return tuple(np.append(x, y) for x, y in zip(own, (place, place, place if shared is not None else np.zeros_like(place), d, packed(s, e - s, 0, 1))))
 
 
 _NAMES = ["a", "b", "c", "doc", "at"]
@@ -278,7 +280,8 @@ def _anchors(length: int, piece: int):
 
 def _split(met: _Met, doc: np.ndarray, at: np.ndarray, covers: pa.Array, length: int, core: int, longer: int) -> Iterator[pa.RecordBatch]:
     """Rows of the units of ranges. Before the last round, units with an equal in the batch are marked as known to go on and all but one dealt by place."""
-    a, b, c, k, at, s = units_of(at, covers, length, core, longer)
+    a, b, k, at, s = units_of(at, covers, length, core, longer)
+    c = np.zeros_like(a)
     doc = doc[k]
     if longer == length:
         rows = _settle(met, a, b, c, doc, at)
@@ -290,7 +293,7 @@ def _split(met: _Met, doc: np.ndarray, at: np.ndarray, covers: pa.Array, length:
     new = np.flatnonzero(twin & ~again)
     met.learn(a[new], b[new], c[new], doc[new], at[new])
     place = _place(doc, at)
-    yield from _batch((*(np.where(again, place, x) for x in (a, b, c)), doc, at | twin, s), [*_NAMES, "s"])
+    yield from _batch((*(np.where(again, place, x) for x in (a, b)), c, doc, at | twin, s), [*_NAMES, "s"])
 
 
 def _begin(length: int, core: int, longer: int):
