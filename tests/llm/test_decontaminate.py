@@ -59,6 +59,32 @@ def test_odd_rows(spark, monkeypatch):
 
 
 def test_longest_matches():
-    t = d.TestSet([("i", " ".join(f"w{k}" for k in range(30)))], 10)
-    w = t.numbers(d.words_of("x " + " ".join(f"w{k}" for k in range(5, 25)) + " y"))
-    assert t.search([(w, t.suffixes(w))]) == {0: [("i", 5, 1, 20)]}
+    block, known = d.Block([("i", " ".join(f"w{k}" for k in range(30)))], 10), d.vocabulary()
+    docs = [d.numbers(t, known) for t in ("none of it", "x " + " ".join(f"w{k}" for k in range(5, 25)) + " y", "")]
+    found = d.SuffixArray(docs, known, [10]).search(block)
+    assert [x.tolist() for x in found] == [[1], [0], [5], [1], [20]]
+
+
+def test_the_array_is_sorted():
+    known = d.vocabulary()
+    docs = [d.numbers(t, known) for t in ("a b a b a b c a b", "b a b c", "", "c")]
+    array = d.SuffixArray(docs, known, [1, 3, 5])
+    for n, (_, _, places) in array.sorted.items():
+        strings = [tuple(array.numbers[p : p + n]) for p in places]
+        assert strings == sorted(strings) and all(0 not in x for x in strings)
+        assert sorted(places) == [p for p in range(len(array.numbers) - n + 1) if 0 not in array.numbers[p : p + n]]
+
+
+def test_words_come_in_pieces(monkeypatch):
+    text = "Ab c" * 50 + " " + "x" * 30 + " y z"
+    whole = [w for part in d.words_of(text) for w in part]
+    monkeypatch.setattr(d, "PIECE", 7)
+    assert [w for part in d.words_of(text) for w in part] == whole and len(list(d.words_of(text))) > 5
+
+
+def test_more_blocks_than_a_pass_takes(spark, sf, monkeypatch):
+    docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    want = result(d.locate(docs, bench, keep=["doc_id"]))
+    monkeypatch.setattr(d, "MAX_BLOCKS", 3)
+    assert len(list(d.blocks_of(bench, "item_id", "text", 600))) > 6
+    assert result(d.locate(docs, bench, block_bytes=600)) == want

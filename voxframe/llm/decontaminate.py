@@ -1,115 +1,157 @@
 """Benchmark decontamination with suffix arrays of the training text.
 
-A task takes its documents in shards. Words become numbers (0: not in the test set), and the suffixes of a shard that begin like
-some test suffix (same first three words, by a hashed table; false positives only add suffixes) are sorted: the shard's suffix
-array. Suffixes left out can't be found by any search. Each test suffix of `window` words is then binary-searched, and all its places are read off
-the array; places that follow one another on the same diagonal are joined to the longest verbatim matches.
+A task takes its documents in shards. A shard's words become numbers of its own, and all its suffixes are ranked by growing prefixes (1, 2, 4 ... words; a rank is the
+place of a pair of shorter ranks among the sorted pairs) up to the window, and sorted: the shard's suffix array. It is built once. Every suffix of the test set is
+ranked by binary search at each length, as long as it is found, and all places of its window are read off the array; places that follow one another
+on the same diagonal are joined to the longest verbatim matches. To a search for windows an order by more words makes no difference.
 
-The test set is broadcast in blocks of bounded bytes; each block is searched in all documents.
+The test set is broadcast in blocks of bounded bytes, up to MAX_BLOCKS of them in a pass; a task holds one of several at a time. A larger test set takes more passes over the documents.
 
 Defined cases: null and empty texts have no words and no match; items without words match nothing; items of fewer words than the
 window are one window; repeated items are found once by id, a null id reads "null"; repeated documents are each searched; an empty table on either side
-gives no matches; columns kept are passed through, whatever their names are, but for _vx_matches and _vx_n_words.
+gives no matches; long texts are numbered in pieces; columns kept are passed through, whatever their names are, but for _vx_matches and _vx_n_words.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import count, repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxframe.workspace import small_batches, write_table
 
-#: Bytes of a shard's text before it is searched, and bits of the table of beginnings.
-SHARD, TABLE_BITS = 8 << 20, 20
+#: Bytes of a shard's text before it is searched; bytes of a text that are split into words at once; blocks of the test set in a pass.
+SHARD, PIECE, MAX_BLOCKS = 8 << 20, 1 << 20, 64
 _WORD_CHARS = bytes(range(0x30, 0x3A)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
 #: Lower case, and a space for whatever is no part of a word.
 _MAP = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c in _WORD_CHARS else 0x20 for c in range(256))
 MATCHES = "array<struct<item:string,item_pos:int,doc_pos:int,n_words:int>>"
+_MATCH = pa.list_(pa.struct([("item", pa.string()), ("item_pos", pa.int32()), ("doc_pos", pa.int32()), ("n_words", pa.int32())]))
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Runs of 0-9, a-z (A-Z lower-cased) and what is not ASCII."""
-    return (text or "").encode().translate(_MAP).split()
+def words_of(text: str | bytes | None) -> Iterator[list[bytes]]:
+    """Runs of 0-9, a-z (A-Z lower-cased) and what is not ASCII, in lists of bounded size."""
+    data = ((text or "").encode() if not isinstance(text, bytes) else text).translate(_MAP)
+    at = 0
+    while len(data) - at > PIECE:
+        cut = data.rfind(b" ", at, at + PIECE)
+        cut = data.find(b" ", at + PIECE) if cut < 0 else cut
+        if cut < 0:
+            break
+        yield data[at:cut].split()
+        at = cut + 1
+    yield (data[at:] if at else data).split()
 
 
-class TestSet:
-    """The windows of a block of items, as numbers, and what a shard needs to find them."""
+def numbers(text: str | bytes | None, vocabulary: defaultdict) -> np.ndarray:
+    return np.concatenate([np.fromiter(map(vocabulary.__getitem__, w), np.int64, len(w)) for w in words_of(text)])
 
-    __test__ = False
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int):
-        self.window, self.vocabulary = window, {}
-        where: dict[bytes, dict[int, int]] = defaultdict(dict)
-        beginnings: dict[int, set[int]] = defaultdict(set)
-        items = list(dict.fromkeys(items))
-        self.ids = [item for item, _ in items]
-        for n, (_, text) in enumerate(items):
-            w = np.array([self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in words_of(text)], np.uint32)
-            size = min(window, len(w))
-            for i in range(len(w) - size + 1 if size else 0):
-                where[w[i : i + size].astype(">u4").tobytes()].setdefault(n, i)
-                beginnings[min(3, size)].add(int(_mix(*w[i : i + min(3, size)].astype(np.uint64))))
-        self.windows = sorted((key, sorted(at.items())) for key, at in where.items())
-        self.tables = {}
-        for k, codes in beginnings.items():
-            self.tables[k] = np.zeros(1 << TABLE_BITS, bool)
-            self.tables[k][list(codes)] = True
-
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.uint32, len(words))
-
-    def suffixes(self, w: np.ndarray) -> np.ndarray:
-        """Positions of a document's suffixes that begin like a window."""
-        keep = np.zeros(len(w), bool)
-        v = w.astype(np.uint64)
-        for k, table in self.tables.items():
-            if len(w) >= k:
-                keep[: len(w) - k + 1] |= table[_mix(*(v[i : len(w) - k + 1 + i] for i in range(k)))]
-        return np.flatnonzero(keep & (w > 0))
-
-    def search(self, docs: list[tuple[np.ndarray, np.ndarray]]) -> dict[int, list[tuple[str, int, int, int]]]:
-        """docs: numbers and suffix positions. Matches by document's place in the list."""
-        array = sorted((w[p : p + self.window].astype(">u4").tobytes(), d, int(p)) for d, (w, at) in enumerate(docs) for p in at)
-        found: dict[int, dict[tuple[int, int], int]] = defaultdict(dict)
-        size: dict[tuple[int, int, int], int] = {}
-        lo = 0
-        for key, items in self.windows:  # in order, so each search begins where the last one ended
-            lo = bisect_left(array, (key,), lo)
-            hi = lo
-            while hi < len(array) and array[hi][0].startswith(key):
-                _, d, p = array[hi]
-                for n, i in items:
-                    if i <= found[d].get((n, p), i):
-                        found[d][n, p], size[d, n, p] = i, len(key) // 4
-                hi += 1
-        return {d: self._longest(d, at, size) for d, at in found.items()}
-
-    def _longest(self, d: int, at: dict[tuple[int, int], int], size: dict) -> list[tuple[str, int, int, int]]:
-        out: list[list] = []
-        for (n, p), i in sorted(at.items()):
-            if out and out[-1][0] == n and out[-1][4] == p - 1 and out[-1][5] == i - 1:
-                out[-1][3:] = [p + size[d, n, p] - out[-1][2], p, i]
-            else:
-                out.append([n, i, p, size[d, n, p], p, i])
-        return [(self.ids[n], i, p, k) for n, i, p, k, _, _ in out]
+def vocabulary() -> defaultdict:
+    """Numbers from 1 on, given as words are met."""
+    return defaultdict(count(1).__next__)
+
 
+def _joined(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The texts with a 0 after each, and where each begins."""
+    sizes = np.array([len(t) + 1 for t in texts], np.int64)
+    end = np.zeros(1, np.int64)
+    return np.concatenate([x for t in texts for x in (t, end)] or [end]), np.cumsum(sizes) - sizes
 
-def _mix(*numbers):
-    """Place of up to three numbers in a table of beginnings."""
-    code = numbers[0] * 0
-    with np.errstate(over="ignore"):
-        for x in numbers:
-            code = (code + x) * np.uint64(0x9E3779B97F4A7C15)
-            code = code ^ (code >> np.uint64(29))
-    return code >> np.uint64(64 - TABLE_BITS)
+
+class Block:
+    """A block of the test set: its words, the items' words as numbers (0 after each item) and their windows."""
+
+    def __init__(self, items: list[tuple[str, str | None]], window: int):
+        known, items = vocabulary(), list(dict.fromkeys(items))
+        self.ids = [item for item, _ in items]
+        texts = [numbers(text, known) for _, text in items]
+        self.words = list(known)
+        self.numbers, start = _joined(texts)
+        size = np.array([len(t) for t in texts], np.int64)
+        self.sizes = np.minimum(size, window)  # words of each item's windows
+        self.item = np.repeat(np.arange(len(texts)), size + 1) if texts else np.zeros(1, np.int64)
+        self.place = np.arange(len(self.numbers)) - (start[self.item] if texts else 0)
+        n = self.sizes[self.item] if texts else np.zeros(1, np.int64)
+        self.window = np.where((n > 0) & (self.place + n <= (size[self.item] if texts else 0)), n, 0)  # words of the window that begins here, or 0
+        self.lengths = sorted(set(self.window[self.window > 0].tolist()))
+
+
+class SuffixArray:
+    """The suffixes of a shard's documents, sorted by their first words."""
+
+    def __init__(self, docs: list[np.ndarray], known: dict[bytes, int], lengths: list[int]):
+        self.known, (self.numbers, self.start) = known, _joined(docs)
+        self.levels: list[tuple[int, np.ndarray]] = []  # length ranked so far, sorted pairs of ranks
+        self.sorted: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}  # by length: how far apart the pairs are, sorted pairs, places
+        rank, size, most = self.numbers, 1, max(lengths, default=0)
+        while True:
+            for n in lengths:
+                if size <= n < 2 * size:
+                    key, at = self._pairs(rank, n - size)
+                    order = np.argsort(key, kind="stable")
+                    self.sorted[n] = n - size, key[order], at[order]
+            if 2 * size > most:
+                return
+            key, at = self._pairs(rank, size)
+            keys, of = np.unique(key, return_inverse=True)
+            rank = np.zeros(len(rank), np.int64)
+            rank[at] = of + 1
+            self.levels.append((size, keys))
+            size *= 2
+
+    @staticmethod
+    def _pairs(rank: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a place's rank and that of the place step on, as one number, and the places that have both."""
+        n = len(rank) - step
+        at = np.flatnonzero((rank[:n] > 0) & (rank[step:] > 0)) if n > 0 else np.empty(0, np.int64)
+        return rank[at] << 32 | rank[at + step], at
+
+    def search(self, block: Block) -> tuple[np.ndarray, ...]:
+        """Longest matches with a block: document, item's place in the block, first word in the item, first word in the document, words."""
+        own = np.fromiter(map(self.known.get, block.words, repeat(0)), np.int64, len(block.words))
+        rank = np.where(block.numbers > 0, np.append(own, 0)[block.numbers - 1], 0)
+        test, place, size = [], [], []
+        for level in range(len(self.levels) + 1):
+            for n, (step, keys, places) in self.sorted.items():
+                if n.bit_length() - 1 == level:
+                    key, at = self._pairs(rank, step)
+                    at, key = at[m := block.window[at] == n], key[m]
+                    lo, hi = np.searchsorted(keys, key), np.searchsorted(keys, key, "right")
+                    at, lo, hi = at[m := hi > lo], lo[m], hi[m]
+                    # an item's equal windows find the same places: the first stands for them
+                    _, first = np.unique(np.stack([lo, block.item[at]]), axis=1, return_index=True)
+                    at, lo, k = at[first], lo[first], (hi - lo)[first]
+                    test.append(np.repeat(at, k))
+                    place.append(places[np.repeat(lo - np.cumsum(k) + k, k) + np.arange(k.sum())])
+                    size.append(np.full(k.sum(), n))
+            if level < len(self.levels):
+                step, keys = self.levels[level]
+                key, at = self._pairs(rank, step)
+                of = np.searchsorted(keys, key)
+                hit = np.flatnonzero(of < len(keys))
+                hit = hit[keys[of[hit]] == key[hit]]
+                rank = np.zeros(len(rank), np.int64)
+                rank[at[hit]] = of[hit] + 1
+        test, place, size = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (test, place, size))
+        item, word = block.item[test], block.place[test]
+        order = np.lexsort((place, item))
+        item, word, place, size = item[order], word[order], place[order], size[order]
+        new = np.ones(len(item), bool)
+        new[1:] = (np.diff(item) != 0) | (np.diff(place) != 1) | (np.diff(word) != 1)
+        head = np.flatnonzero(new)
+        last = np.append(head[1:], len(item)) - 1 if len(item) else head
+        doc = np.searchsorted(self.start, place[head], "right") - 1
+        order = np.argsort(doc, kind="stable")
+        head, last, doc = head[order], last[order], doc[order]
+        return doc, item[head], word[head], place[head] - self.start[doc], place[last] + size[last] - place[head]
 
 
 def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
@@ -130,53 +172,66 @@ def locate(docs: DataFrame, benchmark: DataFrame, *, keep: list[str] | None = No
     spark = docs.sparkSession
     small_batches(spark, 1000)
     keep = docs.columns if keep is None else keep
-    kept = docs.select(*keep).schema
+    kept = docs.select(*[F.col(f"`{c}`") for c in keep]).schema
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).cast("string").alias("_vx_text"), F.lit(None).cast(MATCHES).alias("_vx_matches"))
     n_words = T.StructField("_vx_n_words", T.IntegerType())
     mid, blocks = rows.schema, blocks_of(benchmark, item_col, item_text, block_bytes)
-    block, last = next(blocks, []), False
-    while not last:
-        after = next(blocks, None)
-        last = after is None
-        tests = spark.sparkContext.broadcast(TestSet(block, window))
-        out = T.StructType([*kept.fields, n_words, mid["_vx_matches"]]) if last else mid
-        rows = rows.mapInArrow(_searcher(tests, last), out)
-        if not last:
-            rows = write_table(rows, "searched")
-        block = after
-    return rows
-
-
-def _searcher(tests, last: bool):
-    def flush(held: list[pa.RecordBatch], docs: list, found_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-        found, at = tests.value.search([d for _, d in docs]), 0
+    out, block = T.StructType([*kept.fields, n_words, mid["_vx_matches"]]), next(blocks, [])
+    while True:
+        held = []
+        while block is not None and len(held) < MAX_BLOCKS:
+            held.append(Block(block, window))
+            block = next(blocks, None)
+        lengths = sorted({n for b in held for n in b.lengths})
+        tests = [spark.sparkContext.broadcast(b) for b in held]
+        rows = rows.mapInArrow(_searcher(tests, lengths, block is None), out if block is None else mid)
+        if block is None:
+            return rows
+        rows = write_table(rows, "searched")
+        for b in tests:
+            b.destroy()
+
+
+def _searcher(tests: list[Broadcast], lengths: list[int], last: bool):
+    def opened() -> Iterator[Block]:
+        for b in tests:
+            # one of several is read anew for each shard and not kept, so that a task holds one at a time
+            yield b.value if len(tests) == 1 or not b._path else b.load_from_path(b._path)
+
+    def flush(held: list[pa.RecordBatch], docs: list[np.ndarray], known: dict) -> Iterator[pa.RecordBatch]:
+        array, found = SuffixArray(docs, known, lengths), []
+        for block in opened():
+            doc, item, *rest = array.search(block)
+            found.append((doc, pa.array(block.ids, pa.string()).take(pa.array(item)), *rest))
+        doc = np.concatenate([f[0] for f in found])
+        order = np.argsort(doc, kind="stable")
+        parts = [pa.concat_arrays([f[1] for f in found]).take(pa.array(order)), *(pa.array(np.concatenate([f[k] for f in found])[order], pa.int32()) for k in (2, 3, 4))]
+        ends = np.cumsum(np.bincount(doc, minlength=len(docs)))
+        new = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.StructArray.from_arrays(parts, ["item", "item_pos", "doc_pos", "n_words"])).cast(_MATCH)
+        at = 0
         for b in held:
-            old = b.column(b.num_columns - 1).to_pylist()
-            new = [[*(old[i] or []), *({"item": m[0], "item_pos": m[1], "doc_pos": m[2], "n_words": m[3]} for m in found.get(at + i, ()))] for i in range(b.num_rows)]
+            own, old = new.slice(at, b.num_rows), b.column(b.num_columns - 1)
+            if old.null_count < len(old):
+                own = pa.array([[*(x or []), *y] for x, y in zip(old.to_pylist(), own.to_pylist())], _MATCH)
             arrays, names = b.columns[:-2], b.schema.names[:-2]
             if last:
-                arrays, names = [*arrays, pa.array([docs[at + i][0] for i in range(b.num_rows)], pa.int32())], [*names, "_vx_n_words"]
+                arrays, names = [*arrays, pa.array([len(w) for w in docs[at : at + b.num_rows]], pa.int32())], [*names, "_vx_n_words"]
             else:
                 arrays, names = [*arrays, b.column(b.num_columns - 2)], [*names, "_vx_text"]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(new, found_type)], [*names, "_vx_matches"])
+            yield pa.RecordBatch.from_arrays([*arrays, own], [*names, "_vx_matches"])
             at += b.num_rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, held, docs, size, kind = tests.value, [], [], 0, None
+        held, docs, size, known = [], [], 0, vocabulary()
         for b in batches:
-            kind = b.schema.field(b.num_columns - 1).type
-            for text in b.column(b.num_columns - 2):
-                words = words_of(text.as_py())
-                w = t.numbers(words)
-                at = t.suffixes(w)
-                docs.append((len(words), (w if len(at) else w[:0], at)))
+            docs += [numbers(t.as_buffer().to_pybytes() if t.is_valid else None, known) for t in b.column(b.num_columns - 2)]
             held.append(b)
             size += b.nbytes
             if size >= SHARD:
-                yield from flush(held, docs, kind)
-                held, docs, size = [], [], 0
+                yield from flush(held, docs, known)
+                held, docs, size, known = [], [], 0, vocabulary()
         if held:
-            yield from flush(held, docs, kind)
+            yield from flush(held, docs, known)
 
     return run
 
