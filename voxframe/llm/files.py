@@ -33,6 +33,28 @@ def read_whole(uri: str) -> bytes:
         return f.read()
 
 
+class Source:
+    """A file of which parts are read."""
+
+    def __init__(self, uri: str):
+        where, path = resolve(uri)
+        self.file = where.open_input_file(path)
+        self.size = self.file.size()
+
+    def read_at(self, at: int, n: int) -> bytes:
+        return self.file.read_at(n, at)
+
+
+class Held:
+    """The same for bytes at hand."""
+
+    def __init__(self, data: bytes):
+        self.data, self.size = data, len(data)
+
+    def read_at(self, at: int, n: int) -> bytes:
+        return self.data[at : at + n]
+
+
 def list_files(uri: str, suffix: str) -> list[tuple[str, int]]:
     """URIs and sizes of the files below a folder, in order of name; none if there is no such folder."""
     where, path = resolve(uri)

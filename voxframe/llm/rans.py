@@ -15,6 +15,8 @@ import zlib
 
 import numpy as np
 
+from voxframe.llm.files import Held, Source
+
 MAGIC, HEAD = b"VXTK0001", struct.Struct("<8sIIIQQQQQI")
 LANES, STEPS = 32, 512
 BLOCK = LANES * STEPS
@@ -85,16 +87,17 @@ def encode(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray) -> b
 
 
 class Reader:
-    """A file: documents' ids and lengths, and the token ids of any range, decoded from the blocks that hold it."""
+    """A file: documents' ids and lengths, and the token ids of any range. It reads the head, table, index and checkpoints, then the words of the blocks that hold the range."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, source: bytes | Source):
+        source = Held(source) if isinstance(source, bytes) else source
         try:
-            magic, self.bits, n_symbols, self.blocks, self.n, docs, n_freq, n_index, n_words, crc = HEAD.unpack_from(data)
+            magic, self.bits, n_symbols, self.blocks, self.n, docs, n_freq, n_index, n_words, crc = HEAD.unpack(source.read_at(0, HEAD.size))
         except struct.error as e:
             raise CorruptFile("the head is cut") from e
         n_points = self.blocks * (16 + 8 * LANES)
-        body = data[HEAD.size : HEAD.size + n_freq + n_index + n_points]
-        if magic != MAGIC or zlib.crc32(body) != crc or len(data) != HEAD.size + len(body) + 4 * n_words:
+        size = n_freq + n_index + n_points
+        if magic != MAGIC or source.size != HEAD.size + size + 4 * n_words or zlib.crc32(body := source.read_at(HEAD.size, size)) != crc:
             raise CorruptFile("the head or a size doesn't hold")
         raw = zlib.decompress(body[:n_freq])
         self.symbols = np.cumsum(np.frombuffer(raw, "<u4", n_symbols), dtype=np.uint32)
@@ -107,7 +110,7 @@ class Reader:
         p, b = body[n_freq + n_index :], self.blocks
         self.first, self.counts = np.frombuffer(p, "<u8", b).astype(np.int64), np.frombuffer(p, "<u4", b, 8 * b).astype(np.int64)
         self.crc, self.states = np.frombuffer(p, "<u4", b, 12 * b), np.frombuffer(p, "<u8", b * LANES, 16 * b)
-        self.words = np.frombuffer(data, "<u4", n_words, HEAD.size + len(body))
+        self.source, self.at, self.n_words = source, HEAD.size + size, n_words
 
     def decode(self, start: int = 0, stop: int | None = None) -> np.ndarray:
         """Ids from start to stop; blocks outside are not touched, each block's checksum is verified."""
@@ -125,7 +128,10 @@ class Reader:
     def _blocks(self, lo: int, hi: int) -> np.ndarray:
         n, shift, mask = hi - lo, np.uint64(self.bits), np.uint64((1 << self.bits) - 1)
         low, x = np.cumsum(self.f) - self.f, self.states[lo * LANES : hi * LANES].astype(np.uint64)
-        at, out = self.first[lo:hi].copy(), np.zeros((STEPS, n, LANES), "<u4")
+        begin = int(self.first[lo])
+        end = int(self.first[hi]) if hi < self.blocks else self.n_words
+        words = np.frombuffer(self.source.read_at(self.at + 4 * begin, 4 * (end - begin)), "<u4")
+        at, out = self.first[lo:hi] - begin, np.zeros((STEPS, n, LANES), "<u4")
         live = np.arange(BLOCK).reshape(STEPS, 1, LANES) < self.counts[None, lo:hi, None]
         for t in range(STEPS):
             on = live[t].reshape(-1)
@@ -137,9 +143,9 @@ class Reader:
             k = want.sum(1)
             if k.any():
                 where = (at[:, None] + np.cumsum(want, 1) - 1)[want]
-                if where[-1] >= len(self.words) or where.max() >= len(self.words):
+                if where.max() >= len(words):
                     raise CorruptFile("words are missing")
                 flat = want.reshape(-1)
-                x[flat] = (x[flat] << _32) | self.words[where].astype(np.uint64)
+                x[flat] = (x[flat] << _32) | words[where].astype(np.uint64)
                 at += k
         return np.ascontiguousarray(out.transpose(1, 0, 2)).reshape(-1)

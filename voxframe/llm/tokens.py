@@ -1,11 +1,11 @@
 """Token ids of a corpus in binary files, coded by a static range asymmetric numeral system (see rans.py).
 
 Documents are range-partitioned and sorted by id; a task tokenizes its documents and writes files of about FILE_IDS
-ids in order. Files are named by their place, written whole and renamed, so a repeated task writes them again. Reading
-starts a task a file; only sizes of files reach the driver.
+ids in order. Files are named by their place, written whole and renamed, so a repeated task writes them again. The list of files with
+the number of ids before each is a table; only its count reaches the driver. A range of ids is read from the blocks that hold it, by checkpoint.
 
-The tokenizer drops white space and nothing it does crosses it, so a text is split at ASCII white space and each distinct
-chunk is encoded by the tokenizers library once while it stays in a bounded cache; the ids are those of the whole text.
+A tokenizer of the known kind (CHUNKED) drops white space and nothing it does crosses it, so a text is split at ASCII white space and each distinct
+chunk is encoded by the tokenizers library once while it stays in a bounded cache; the ids are those of the whole text. Any other tokenizer encodes whole texts.
 
 Defined cases: null and empty texts are documents of the end id only; a null id comes first; rows with equal ids are
 documents one after another, in order of text; an empty table writes no file and reads back as an empty table; other columns are not read.
@@ -13,6 +13,7 @@ documents one after another, in order of text; an empty table writes no file and
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -21,19 +22,32 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxframe.llm import files, rans
-from voxframe.workspace import small_batches
+from voxframe.workspace import small_batches, write_table
 
 #: Ids in a file about, chunks in the cache at most, bytes of text encoded at once.
 FILE_IDS, CACHE, STEP = 4_000_000, 500_000, 6 << 20
+#: Tasks that read files at most; each takes its share.
+READERS = 100_000
 #: Stands between chunks that the library encodes together; a space goes where an ASCII or Latin-1 letter meets ASCII punctuation.
 SEPARATOR = "\x01"
 #: Texts with a special token or a combining mark are left as they are.
 AS_IS = r"<\||[\x{0300}-\x{036F}]"
 BEFORE_PUNCTUATION = r"([a-zÀ-ÖØ-öø-ÿ])([!-/:-@\[-`{-~])"
+# The normalizer and pre-tokenizer of tokenizers that may be given chunks.
+CHUNKED = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
 
 
 class Encoder:
@@ -49,6 +63,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        made = json.loads(self.tokenizer.to_str())
+        self.chunked = (made["normalizer"], made["pre_tokenizer"]) == CHUNKED and all(t["content"].startswith("<|") for t in made["added_tokens"])
         sep = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids
         self.separator = sep[0] if len(sep) == 1 else None
         self.at: dict[str, int] = {}
@@ -94,6 +110,9 @@ class Encoder:
 
     def encode(self, texts: pa.StringArray, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with end after it, and their numbers. Arrow splits the texts and finds the distinct chunks."""
+        if not self.chunked:
+            whole = [e.ids + [end] * (end is not None) for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.array([x for ids in whole for x in ids], np.uint32), np.array([len(ids) for ids in whole], np.int64)
         special = pc.match_substring_regex(texts, AS_IS)
         lower = pc.replace_substring_regex(pc.ascii_lower(texts), BEFORE_PUNCTUATION, r"\1 \2")
         lists = pc.ascii_split_whitespace(pc.if_else(special, texts, lower))
@@ -131,8 +150,8 @@ def encoder_of(path: str) -> Encoder:
     return _encoders[path]
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end: int = 2, file_ids: int = FILE_IDS) -> list[tuple[str, int, int]]:
-    """Writes the corpus below folder; (file, ids before it, ids) in order."""
+def write(docs: DataFrame, folder: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end: int = 2, file_ids: int = FILE_IDS) -> DataFrame:
+    """Writes the corpus below folder; a table of its files in order: file, before (ids before it), n (ids)."""
     spark = docs.sparkSession
     small_batches(spark, 1500)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -146,7 +165,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, *, id_col: str = "doc_id
             nonlocal ids, docs_held, lengths, held
             name = f"{folder}/part-{part:06d}-{len(made):06d}.vxtk"
             files.write_whole(name, [rans.encode(np.concatenate(ids), docs_held, np.concatenate(lengths))])
-            made.append((name, held))
+            made.append((part, len(made), name, held))
             ids, docs_held, lengths, held = [], [], [], 0
 
         for b in batches:
@@ -162,24 +181,23 @@ def write(docs: DataFrame, folder: str, tokenizer: str, *, id_col: str = "doc_id
                     flush()
         if docs_held:
             flush()
-        yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.int64())], ["file", "n"])
+        kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made) if made else [()] * 4, kinds)], ["part", "k", "file", "n"])
 
-    made = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, "file string, n long").collect()
-    before, out = 0, []
-    for file, k in sorted((r.file, r.n) for r in made):  # a row a file
-        out.append((file, before, k))
-        before += k
-    return out
+    made = write_table(rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, "part int, k int, file string, n long"), "files")
+    so_far = Window.rowsBetween(Window.unboundedPreceding, -1)
+    parts = made.groupBy("part").agg(F.sum("n").alias("all")).select("part", F.coalesce(F.sum("all").over(so_far.orderBy("part")), F.lit(0)).alias("first"))  # a row a partition
+    inside = F.coalesce(F.sum("n").over(so_far.partitionBy("part").orderBy("k")), F.lit(0))
+    return write_table(made.withColumn("inside", inside).join(parts, "part").select("file", (F.col("first") + F.col("inside")).alias("before"), "n"), "starts")
 
 
-def read(spark: SparkSession, written: list[tuple[str, int, int]]) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 and ids of every document, from the files, a task a file."""
+def read(spark: SparkSession, written: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of every document, from the files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in b.column(0).to_pylist():
-                file, before, n = written[k]
-                r = rans.Reader(files.read_whole(file))
+            for file, before, n in zip(*(c.to_pylist() for c in b.columns)):
+                r = rans.Reader(files.Source(file))
                 if r.n != n:
                     raise rans.CorruptFile(f"{file}: {r.n} ids, not {n}")
                 ids, ends = r.decode(), np.cumsum(r.lengths)
@@ -187,13 +205,13 @@ def read(spark: SparkSession, written: list[tuple[str, int, int]]) -> DataFrame:
                     own = [ids[e - m : e].tobytes() for e, m in zip(ends[at : at + 1000], r.lengths[at : at + 1000])]
                     yield pa.RecordBatch.from_arrays([pa.array(r.doc_ids[at : at + 1000], pa.int64()), pa.array(before + ends[at : at + 1000] - r.lengths[at : at + 1000]), pa.array(r.lengths[at : at + 1000]), pa.array([zlib.crc32(x) for x in own], pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return spark.range(0, len(written), 1, max(1, len(written))).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    tasks = max(1, min(READERS, written.count()))
+    return written.select("file", "before", "n").repartition(tasks).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def document_ids(written: list[tuple[str, int, int]], start: int, n: int) -> np.ndarray:
+def document_ids(written: DataFrame, start: int, n: int) -> np.ndarray:
     """The n ids from start on, from the blocks of the files that hold them."""
     out = []
-    for file, before, k in written:
-        if before < start + n and start < before + k:
-            out.append(rans.Reader(files.read_whole(file)).decode(max(0, start - before), min(k, start + n - before)))
+    for file, before, k in written.where((F.col("before") < start + n) & (F.col("before") + F.col("n") > start)).orderBy("before").select("file", "before", "n").collect():  # the files of the range
+        out.append(rans.Reader(files.Source(file)).decode(max(0, start - before), min(k, start + n - before)))
     return np.concatenate(out) if out else np.empty(0, "<u4")
