@@ -1,6 +1,8 @@
 import base64
+import gzip
 import hashlib
 import io
+import os
 from collections import defaultdict
 
 import pytest
@@ -67,3 +69,72 @@ def test_empty_and_cut(spark):
         list(warc.records(io.BytesIO(data[:-8])))
     with pytest.raises(ValueError):
         list(warc.records(io.BytesIO(data + data[:30])))
+
+
+def foreign(kind, block, fields=(), **more):
+    head = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:x:{kind}{len(block)}>"), ("WARC-Date", "2020-02-02T02:02:02Z"), *fields, *more.items(), ("Content-Length", len(block))]
+    return b"WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
+
+
+def hashed(kind, body, form):
+    digest = hashlib.new(kind, body).digest()
+    return f"{kind}:{digest.hex() if form == 'hex' else base64.b32encode(digest).decode()}"
+
+
+def test_foreign_archives(spark, tmp_path):
+    """Archives that this writer didn't make: all record types, other digests, chunked bodies, one member for all records, plain files, and damage."""
+    http = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n"
+    good = [
+        foreign("warcinfo", b"software: none\r\n", [("Content-Type", "application/warc-fields")]),
+        foreign("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", [("Content-Type", "application/http; msgtype=request")]),
+        foreign("response", http + b"one", [("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", hashed("sha256", b"one", "hex"))]),
+        foreign("response", http + b"three", [("Content-Type", "application/http"), ("WARC-Payload-Digest", hashed("md5", b"three", "base32"))]),
+        foreign("response", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n3\r\nfou\r\n1;x=y\r\nr\r\n0\r\n\r\n", [("Content-Type", "application/http"), ("WARC-Payload-Digest", hashed("sha1", b"four", "base32"))]),
+        foreign("resource", b"\0\1two", [("Content-Type", "image/x"), ("WARC-Payload-Digest", hashed("sha1", b"\0\1two", "base32"))]),
+        foreign("metadata", b"a: b\r\n\r\nc", [("Content-Type", "application/warc-fields")]),
+    ]
+    want = [("metadata", b"a: b\r\n\r\nc"), ("request", b""), ("resource", b"\0\1two"), ("response", b"four"), ("response", b"one"), ("response", b"three"), ("warcinfo", b"software: none\r\n")]
+    (tmp_path / "members.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in good))
+    (tmp_path / "one.warc.gz").write_bytes(gzip.compress(b"".join(good)))
+    (tmp_path / "plain.warc").write_bytes(b"".join(good))
+    rows = warc.read(spark, str(tmp_path)).collect()
+    assert sorted((r.record_type, bytes(r.payload)) for r in rows) == sorted(want * 3) and not any(r.error for r in rows)
+    heads = warc.read(spark, str(tmp_path), "none").collect()
+    assert sorted((r.record_type, r.record_id) for r in heads) == sorted((r.record_type, r.record_id) for r in rows)
+    only = warc.read(spark, str(tmp_path)).where("record_type = 'resource'").collect()
+    assert [bytes(r.payload) for r in only] == [b"\0\1two"] * 3
+
+    (tmp_path / "a_cut.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in good)[:-9])
+    (tmp_path / "b_wrong.warc").write_bytes(foreign("resource", b"x", [("WARC-Payload-Digest", hashed("sha1", b"y", "base32"))]) + foreign("resource", b"z", [("WARC-Payload-Digest", "crc9:12")]))
+    (tmp_path / "c_none.warc").write_bytes(b"<html>no archive\r\n\r\n")
+    (tmp_path / "d_length.warc").write_bytes(b"WARC/1.0\r\nWARC-Type: resource\r\n\r\nx")
+    (tmp_path / "e_empty.warc").write_bytes(b"")
+    rows = warc.read(spark, str(tmp_path)).collect()
+    wrong = sorted(r.error.rpartition("/")[2] for r in rows if r.error)
+    assert [w.split(".")[0] for w in wrong] == ["a_cut", "b_wrong", "b_wrong", "c_none", "d_length"]
+    assert len(rows) == 3 * len(good) + len(good) - 1 + 5
+    with pytest.raises(Exception, match="digest doesn't hold|is cut|no record"):
+        warc.read(spark, str(tmp_path), errors="raise").count()
+
+
+class Counted(io.BytesIO):
+    got = 0
+
+    def read(self, n=-1):
+        data = super().read(n)
+        self.got += len(data)
+        return data
+
+
+@pytest.mark.parametrize("level", [None, 1])
+def test_unwanted_payloads_are_not_read(level):
+    body = os.urandom(300_000)
+    data = [warc.record(i, "u", body, "D") for i in range(20)]
+    file = Counted(b"".join(x if level is None else warc.member(x, level) for x in data))
+    assert [h["x-page-id"] for h, _ in warc.records(file, warc.FEW)] == [str(i) for i in range(20)]
+    assert file.got < file.getbuffer().nbytes / 10
+    file = io.BytesIO(file.getvalue())
+    assert [warc.payload_of(h, block()) for h, block in warc.records(file)] == [body] * 20
+    assert level is None or gzip.decompress(warc.member(data[0], level)) == data[0]
+    with pytest.raises(ValueError):
+        list(warc.records(io.BytesIO(file.getvalue()[:-100_000]), warc.FEW))

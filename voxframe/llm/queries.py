@@ -39,7 +39,7 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), folder)
-    return warc.read(spark, folder, "verify").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.read(spark, folder, "verify", errors="raise").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

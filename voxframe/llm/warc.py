@@ -2,7 +2,12 @@
 
 The source plans its partitions from the files' sizes, takes predicates on header fields, reads a record's head first
 and decodes a payload only if the record is wanted and payloads are asked for. Records are gzip members of their own,
-or plain.
+or plain. The writer notes a member's length in the gzip head (extra field "sl"), and the reader seeks over members and plain blocks that aren't wanted; in
+archives of others, members without that note are inflated and dropped.
+
+Every record type is read. The payload is what follows the HTTP head of a block of HTTP (chunks of the transfer joined), else the whole block; a revisit has
+none. Digests are checked by the algorithm that they name, in base32 or hex. What is wrong with a record or an archive (cut, no record, a digest that doesn't hold or of an
+unknown algorithm) stands in the column error, and the other archives are read on; with option errors=raise it ends the job.
 
 Defined cases: null html is the empty payload; a null page_id is less than any other and has no header; a null url has
 no header; of repeated rows that hold a payload's largest page_id each is a response; an empty table writes nothing and reads back empty; other columns
@@ -13,6 +18,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
+import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -25,11 +32,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, StringStartsWith
 
 from voxframe.llm import files
+from voxframe.operators.joins import spread_join
 from voxframe.workspace import small_batches
 
-#: Payload bytes of an archive, about; rows of an Arrow batch; bytes read at once.
-FILE_BYTES, ROWS, CHUNK = 256 << 20, 256, 1 << 18
-SCHEMA = "record_id string, record_type string, page_id long, url string, date string, payload_bytes long, payload_digest string, refers_to long, payload binary"
+#: Payload bytes of an archive, about; rows of an Arrow batch; bytes read at once, if payloads are wanted and if not; bytes inflated at once for a head.
+FILE_BYTES, ROWS, CHUNK, FEW, HEAD = 256 << 20, 256, 1 << 18, 1 << 14, 1 << 12
+SCHEMA = "record_id string, record_type string, page_id long, url string, date string, payload_bytes long, payload_digest string, refers_to long, payload binary, error string"
 DATE = "1970-01-01T00:00:00Z"
 
 
@@ -55,11 +63,35 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
+def member(data: bytes, level: int) -> bytes:
+    """A gzip member that notes its compressed and its plain length."""
+    deflate = zlib.compressobj(level, zlib.DEFLATED, -15)
+    body = deflate.compress(data) + deflate.flush()
+    size = 24 + len(body) + 8
+    if max(size, len(data)) >= 1 << 32:
+        return zlib.compress(data, level, wbits=31)
+    head = struct.pack("<4BI2BH2sHII", 0x1F, 0x8B, 8, 4, 0, 0, 255, 12, b"sl", 8, size, len(data))
+    return head + body + struct.pack("<II", zlib.crc32(data), len(data))
+
+
+def noted(head: bytes) -> tuple[int, int] | None:
+    """The lengths that a gzip member notes, from its first bytes."""
+    if len(head) < 24 or not head[3] & 4:
+        return None
+    at, end = 12, min(len(head), 12 + struct.unpack_from("<H", head, 10)[0])
+    while at + 4 <= end:
+        name, n = struct.unpack_from("<2sH", head, at)
+        if name == b"sl" and n == 8 and at + 12 <= end:
+            return struct.unpack_from("<II", head, at + 4)
+        at += 4 + n
+    return None
+
+
 def roles(pages: DataFrame, min_bytes: int) -> DataFrame:
     """page_id and digest of the pages that repeat a payload of at least min_bytes, with the page_id that they refer to; only digests are shuffled."""
     own = pages.where(F.octet_length("html") >= min_bytes).select("page_id", F.sha1(F.col("html").cast("binary")).alias("digest"))
-    first = own.groupBy("digest").agg(F.max("page_id").alias("to"), F.count("*").alias("n")).where(F.col("n") > 1)
-    again = own.join(first.select("digest", "to"), "digest").where(~F.col("page_id").eqNullSafe(F.col("to")))
+    first = own.groupBy("digest").agg(F.max("page_id").alias("to"), F.count("*").alias("n"))
+    again = spread_join(own, first.where("n > 1"), "digest", "n", pages.count()).where(~F.col("page_id").eqNullSafe(F.col("to")))
     return again.select(F.col("page_id").alias("r_page"), F.col("digest").alias("r_digest"), "to").distinct()
 
 
@@ -85,7 +117,7 @@ def write(pages: DataFrame, folder: str, *, min_bytes: int = 0, compress: int |
             for page_id, url, html, digest, to, revisit in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), *(c.to_pylist() for c in b.columns[3:])):
                 payload, at = html.as_buffer().to_pybytes(), at + 1
                 data = record(page_id, url, payload, base32(bytes.fromhex(digest)), to, revisit, f"{part}.{at}")
-                chunks.append(data if compress is None else zlib.compress(data, compress, wbits=31))
+                chunks.append(data if compress is None else member(data, compress))
                 size += len(chunks[-1])
                 if size >= file_bytes:
                     flush()
@@ -97,76 +129,138 @@ def write(pages: DataFrame, folder: str, *, min_bytes: int = 0, compress: int |
 
 
 class _Stream:
-    """Bytes of an archive, inflated member by member, a chunk at a time."""
-
-    def __init__(self, source):
-        self.source, self.buffer, self.inflate, self.over = source, bytearray(), None, False
-        first = source.read(CHUNK)
-        self.gzip = first[:2] == b"\x1f\x8b"
-        self._take(first)
-
-    def _take(self, data: bytes) -> None:
-        self.over = not data
-        while data:
-            if not self.gzip:
-                self.buffer += data
-                return
-            self.inflate = self.inflate or zlib.decompressobj(31)
-            self.buffer += self.inflate.decompress(data)
-            data = self.inflate.unused_data
-            if self.inflate.eof:
-                self.inflate = None
-
-    def more(self) -> bool:
-        if not self.over:
-            self._take(self.source.read(CHUNK))
-        return not self.over
+    """Bytes of an archive that can be sought, inflated member by member, a piece at a time."""
+
+    def __init__(self, source, chunk: int = CHUNK):
+        self.source, self.chunk, self.out = source, chunk, bytearray()
+        self.size = source.seek(0, 2)
+        source.seek(0)
+        self.raw, self.at = source.read(chunk), 0  # what is read but not inflated, and where it stands in the file
+        self.gzip, self.inflate, self.end, self.plain = self.raw[:2] == b"\x1f\x8b", None, None, 0
+
+    def more(self, most: int) -> bool:
+        """Appends about `most` bytes to out; false at the end."""
+        if not self.raw:
+            self.raw = self.source.read(self.chunk)
+        if not self.raw:
+            if self.inflate:
+                raise ValueError("the archive is cut in a member")
+            return False
+        if not self.gzip:
+            self.out += self.raw
+            self.at, self.raw = self.at + len(self.raw), b""
+            return True
+        if self.inflate is None:
+            if len(self.raw) < 64:
+                self.raw += self.source.read(self.chunk)
+            sizes = noted(self.raw[:64])
+            self.end, self.plain = (self.at + sizes[0], sizes[1]) if sizes and not self.out else (None, 0)
+            self.inflate = zlib.decompressobj(31)
+        try:
+            self.out += self.inflate.decompress(self.raw, most)
+        except zlib.error as e:
+            raise ValueError(f"no gzip data: {e}") from e
+        left = self.inflate.unused_data if self.inflate.eof else self.inflate.unconsumed_tail
+        self.at, self.raw = self.at + len(self.raw) - len(left), left
+        if self.inflate.eof:
+            self.inflate = None
+        return True
 
     def until(self, mark: bytes) -> bytes | None:
         """What comes before mark, which is taken too; None at the end."""
-        at = self.buffer.find(mark)
-        while at < 0:
-            if not self.more():
-                if self.buffer.strip():
+        seen = 0
+        while (at := self.out.find(mark, max(0, seen - len(mark)))) < 0:
+            seen = len(self.out)
+            if not self.more(HEAD):
+                if self.out.strip():
                     raise ValueError("the archive is cut in a head")
                 return None
-            at = self.buffer.find(mark)
-        out = bytes(self.buffer[:at])
-        del self.buffer[: at + len(mark)]
+        out = bytes(self.out[:at])
+        del self.out[: at + len(mark)]
         return out
 
-    def take(self, n: int, keep: bool) -> bytes:
-        """The next n bytes; without keep they are dropped as they come."""
-        out = bytearray()
-        while n:
-            if not self.buffer and not self.more():
+    def take(self, n: int) -> bytes:
+        while len(self.out) < n:
+            if not self.more(max(HEAD, min(CHUNK, n - len(self.out)))):
                 raise ValueError("the archive is cut in a block")
-            part = self.buffer[:n]
-            del self.buffer[: len(part)]
-            n -= len(part)
-            if keep:
-                out += part
-        return bytes(out)
-
+        out = bytes(self.out[:n])
+        del self.out[:n]
+        return out
 
-def records(source) -> Iterator[tuple[dict[str, str], Callable[[bool], bytes]]]:
+    def skip(self, n: int, whole: int) -> None:
+        """Goes past n bytes; whole: bytes of the record, which may be those of its member."""
+        if len(self.out) >= n:
+            del self.out[:n]
+        elif not self.gzip or self.end and self.plain == whole:
+            to = self.end if self.gzip else self.at + n - len(self.out)
+            if to > self.size:
+                raise ValueError("the archive is cut in a block")
+            if to <= self.at + len(self.raw):
+                self.raw = self.raw[to - self.at :]
+            else:
+                self.source.seek(to)
+                self.raw = b""
+            self.at, self.inflate = to, None
+            self.out.clear()
+        else:
+            while n:
+                if not self.out and not self.more(CHUNK):
+                    raise ValueError("the archive is cut in a block")
+                k = min(n, len(self.out))
+                del self.out[:k]
+                n -= k
+
+
+def records(source, chunk: int = CHUNK) -> Iterator[tuple[dict[str, str], Callable[[], bytes]]]:
     """Head (names in lower case) and a function for the block of each record; blocks that aren't taken are skipped."""
-    stream = _Stream(source)
+    stream = _Stream(source, chunk)
     while (head := stream.until(b"\r\n\r\n")) is not None:
-        lines = head.decode("utf-8", "replace").strip().split("\r\n")
+        size, lines = len(head) + 4, head.decode("utf-8", "replace").strip().split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"no record begins here: {lines[0][:40]!r}")
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        left = int(fields["content-length"])
+        left = fields.get("content-length", "")
+        if not left.isdigit():
+            raise ValueError(f"a record's length is {left!r}")
+        left = int(left) + 4  # the block and two line ends
+        size += left
 
-        def block(keep: bool = True) -> bytes:
+        def block() -> bytes:
             nonlocal left
             n, left = left, 0
-            return stream.take(n, keep)
+            return stream.take(n)[:-4]
 
         yield fields, block
-        block(False)
-        stream.take(4, False)
+        if left:
+            stream.skip(left, size)
+
+
+def payload_of(head: dict[str, str], block: bytes) -> bytes:
+    """What follows the HTTP head, with the transfer's chunks joined; of other blocks the whole."""
+    if not head.get("content-type", "").lower().startswith("application/http"):
+        return block
+    http, _, body = block.partition(b"\r\n\r\n")
+    if not re.search(rb"^transfer-encoding:[^\r\n]*chunked", http, re.I | re.M):
+        return body
+    out, at = [], 0
+    while m := re.compile(rb"([0-9a-fA-F]+)[^\r\n]*\r\n").match(body, at):
+        n = int(m[1], 16)
+        if not n:
+            return b"".join(out)
+        out.append(body[m.end() : m.end() + n])
+        at = m.end() + n + 2
+    return body  # says chunked but isn't
+
+
+def checked(noted_digest: str | None, payload: bytes) -> tuple[str, str | None]:
+    """The payload's digest in the algorithm and the form of the one in the head (SHA-1 in base32 without one), and what is wrong."""
+    name, colon, want = (noted_digest or "").partition(":")
+    kind = name.lower().replace("-", "") if colon else "sha1"
+    if kind not in hashlib.algorithms_available or kind.startswith("shake"):
+        return want, f"the digest's algorithm {name!r} is unknown"
+    digest = hashlib.new(kind, payload).digest()
+    own = digest.hex() if want.lower() == digest.hex() else base32(digest)
+    return own, None if not noted_digest or own.rstrip("=") == want.rstrip("=") or own == want.lower() else "the payload's digest doesn't hold"
 
 
 @dataclass
@@ -190,7 +284,7 @@ _FIELDS = ("record_id", "record_type", "page_id", "url", "date", "payload_bytes"
 
 
 def _number(text: str | None) -> int | None:
-    return None if text is None else int(text)
+    return int(text) if text and text.lstrip("-").isdigit() else None
 
 
 def fields_of(head: dict[str, str]) -> dict:
@@ -209,14 +303,15 @@ def fields_of(head: dict[str, str]) -> dict:
 
 
 class WarcReader(DataSourceReader):
-    """Options: path; payload (none, verify: length and digest are taken from the payload and the digest is checked, or full: as verify, and the column is filled); partition_bytes."""
+    """Options: path; payload (none, verify: length and digest are taken from the payload and the digest is checked, or full: as verify, and the column is filled); partition_bytes; errors (column or raise)."""
 
     def __init__(self, options: dict[str, str]):
         self.path, self.payload = options["path"], options.get("payload", "full")
         self.partition_bytes = int(options.get("partition_bytes", 128 << 20))
         self.tests: list[Filter] = []
-        if self.payload not in ("none", "verify", "full"):
-            raise ValueError("payload is none, verify or full")
+        self.errors = options.get("errors", "column")
+        if self.payload not in ("none", "verify", "full") or self.errors not in ("column", "raise"):
+            raise ValueError("payload is none, verify or full; errors is column or raise")
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
@@ -237,28 +332,41 @@ class WarcReader(DataSourceReader):
             held += size
         return [FilePartition(x) for x in out] or [FilePartition([])]
 
+    def rows(self, name: str) -> Iterator[dict]:
+        where, path = files.resolve(name)
+        with where.open_input_file(path) as source:
+            found = records(source, FEW if self.payload == "none" else CHUNK)
+            while True:
+                try:
+                    head, block = next(found)
+                    row = fields_of(head) | {"payload": None, "error": None}
+                    if not all(_TESTS[type(f)](row[f.attribute[0]], f) for f in self.tests):
+                        continue
+                    if self.payload != "none" and row["record_type"] != "revisit":
+                        body = payload_of(head, block())
+                        digest, wrong = checked(head.get("warc-payload-digest"), body)
+                        row |= {"payload_bytes": len(body), "payload_digest": digest, "payload": body if self.payload == "full" else None, "error": wrong and f"{name}, {row['record_id']}: {wrong}"}
+                    yield row
+                except StopIteration:
+                    return
+                except ValueError as e:
+                    row = dict.fromkeys(_FIELDS) | {"payload": None, "error": f"{name}: {e}"}
+                    if all(_TESTS[type(f)](None, f) for f in self.tests):
+                        yield row
+                    return
+
     def read(self, partition: FilePartition) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("date", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
+        schema = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("date", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("error", pa.string())])
         held, size = [], 0
         for name in partition.files:
-            where, path = files.resolve(name)
-            with where.open_input_stream(path, compression=None) as source:
-                for head, block in records(source):
-                    row = fields_of(head)
-                    if not all(_TESTS[type(f)](row[f.attribute[0]], f) for f in self.tests):
-                        continue
-                    row["payload"] = None
-                    if self.payload != "none" and row["record_type"] == "response":
-                        body = block(True).partition(b"\r\n\r\n")[2]
-                        digest = base32(hashlib.sha1(body).digest())
-                        if row["payload_digest"] not in (None, digest):
-                            raise ValueError(f"{name}, {row['record_id']}: the payload's digest doesn't hold")
-                        row |= {"payload_bytes": len(body), "payload_digest": digest, "payload": body if self.payload == "full" else None}
-                        size += len(body) * (self.payload == "full")
-                    held.append(row)
-                    if len(held) >= 2000 or size >= 8 << 20:
-                        yield pa.RecordBatch.from_pylist(held, schema)
-                        held, size = [], 0
+            for row in self.rows(name):
+                if row["error"] and self.errors == "raise":
+                    raise ValueError(row["error"])
+                held.append(row)
+                size += len(row["payload"] or b"")
+                if len(held) >= 2000 or size >= 8 << 20:
+                    yield pa.RecordBatch.from_pylist(held, schema)
+                    held, size = [], 0
         if held:
             yield pa.RecordBatch.from_pylist(held, schema)
 
@@ -276,7 +384,7 @@ class WarcDataSource(DataSource):
 
 
 def read(spark: SparkSession, folder: str, payload: str = "full", **options: str) -> DataFrame:
-    """The records below folder."""
+    """The records below folder. Turns on the session's setting by which Python data sources are given predicates."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcDataSource)
     return spark.read.format("warc").options(path=folder, payload=payload, **options).load()
