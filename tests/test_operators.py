@@ -6,10 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 from voxframe.functions import text as t
 from voxframe.functions import vectors as v
-from voxframe.operators import attribution, identity, render, store
+from voxframe.operators import attribution, identity, render, similarity, store
 from voxframe.operators.components import connected_components
 from voxframe.operators.joins import spread_join
-from voxframe.operators.similarity import pairs_above
 
 
 def one(spark, column, *values):
@@ -66,13 +65,23 @@ def test_a_key_with_half_of_all_rows_is_spread(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
-def test_pairs_in_blocks(spark):
+@pytest.mark.parametrize("small", [0, 1 << 22])
+def test_similarity_joins(spark, monkeypatch, small):
+    monkeypatch.setattr(similarity, "BLOCK", 16)
+    monkeypatch.setattr(similarity, "SMALL", small)
     x = np.random.default_rng(1).normal(size=(70, 5))
-    x[3] = 0
+    x[3], x[9] = 0, x[8]
     n = x / np.maximum(np.sqrt((x * x).sum(1)), 1e-9)[:, None]
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)] + [(500, []), (501, None), (502, [1.0, 2.0]), (503, [2.0, 4.0])], "id long, v array<double>")
     want = {(i, j) for i, j in itertools.combinations(range(70), 2) if 0.3 <= n[i] @ n[j] < 0.8}
-    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, v array<double>")
-    assert {(r.a, r.b) for r in pairs_above(df, 0.3, 0.8, block=16).collect()} == want
+    got = similarity.pairs_above(df, 0.3, 0.8).collect()
+    assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
+    assert {(8, 9), (502, 503)} <= {(r.a, r.b) for r in similarity.pairs_above(df, 0.999).collect()}
+    left, right = df.where("id % 3 = 0").withColumnRenamed("v", "centroid"), df.where("id % 3 > 0").withColumnRenamed("v", "centroid")
+    got = similarity.candidates(left, right, 0.3).collect()
+    want = {(i, j) for i in range(70) for j in range(70) if i % 3 == 0 and j % 3 and n[i] @ n[j] >= 0.3}
+    assert {(r.local_id, r.other_id) for r in got if r.local_id < 500} == want and len(got) == len(want)
+    assert similarity.candidates(left.limit(0), right, 0.3).count() == similarity.candidates(left, right.limit(0), 0.3).count() == similarity.pairs_above(df.limit(0), 0.1).count() == 0
 
 
 def plain_clusters(v_, files, threshold):

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from voxframe.functions.text import display_name, lower
 from voxframe.functions.vectors import l2_normalise
 from voxframe.operators.components import connected_components
-from voxframe.operators.similarity import candidates, pairs_above
+from voxframe.operators.similarity import PLACES, candidates, pairs_above
 
 
 def usage(locals_: DataFrame) -> DataFrame:
@@ -158,27 +158,32 @@ def greedy(pairs: Iterable[tuple[float, int, int]], shared: bool = False) -> dic
 
 
 def agglomerate(v: np.ndarray, files: list[int], threshold: float, average: bool = True) -> list[int]:
-    """Cluster numbers by lowest member: merges the nearest two clusters while they are at least as near as threshold and share no file."""
+    """Cluster numbers by lowest member: merges the nearest two clusters (ties: the lowest members) while they are at least as near as threshold and share no file."""
     n = len(v)
-    sim = v @ v.T
-    size, held, alive, stamp = [1] * n, [{f} for f in files], [True] * n, [0] * n
-    of = list(range(n))
-    heap = [(-sim[i, j], i, j, 0, 0) for i in range(n) for j in range(i + 1, n) if sim[i, j] >= threshold and files[i] != files[j]]
+    sim = np.round(v @ v.T, PLACES)
+    file = np.array(files)
+    size, held, members, alive, stamp = np.ones(n), [{f} for f in files], [[i] for i in range(n)], np.ones(n, bool), [0] * n
+    near = np.argwhere(np.triu((sim >= threshold) & (file[:, None] != file[None, :]), 1))
+    heap = [(-sim[i, j], i, j, 0, 0) for i, j in near.tolist()]
     heapq.heapify(heap)
+    sim = v @ v.T
     while heap:
         _, i, j, si, sj = heapq.heappop(heap)
         if not (alive[i] and alive[j]) or (si, sj) != (stamp[i], stamp[j]):
             continue
         row = (size[i] * sim[i] + size[j] * sim[j]) / (size[i] + size[j]) if average else np.minimum(sim[i], sim[j])
         sim[i], sim[:, i] = row, row
-        size[i], held[i], alive[j], stamp[i] = size[i] + size[j], held[i] | held[j], False, stamp[i] + 1
-        of = [i if x == j else x for x in of]
-        for k in range(n):
-            if alive[k] and k != i and row[k] >= threshold and not held[i] & held[k]:
+        size[i], held[i], members[i], alive[j], stamp[i] = size[i] + size[j], held[i] | held[j], members[i] + members[j], False, stamp[i] + 1
+        shown = np.round(row, PLACES)
+        for k in np.flatnonzero(alive & (shown >= threshold)).tolist():
+            if k != i and held[i].isdisjoint(held[k]):
                 a, b = min(i, k), max(i, k)
-                heapq.heappush(heap, (-row[k], a, b, stamp[a], stamp[b]))
-    order = {c: m for m, c in enumerate(dict.fromkeys(of))}
-    return [order[c] for c in of]
+                heapq.heappush(heap, (-shown[k], a, b, stamp[a], stamp[b]))
+    out = [0] * n
+    for number, i in enumerate(np.flatnonzero(alive).tolist()):
+        for k in members[i]:
+            out[k] = number
+    return out
 
 
 def cluster(locals_: DataFrame, threshold: float, average: bool = True) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Similarity self-join of vectors in blocks."""
+"""Similarity joins of vectors, with themselves or with others."""
 
 from __future__ import annotations
 
@@ -6,43 +6,91 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Vectors of a block; a task compares two blocks.
-BLOCK = 512
+#: Vectors of a block; a task compares two blocks. Numbers of the smaller side that are broadcast at most; beyond, both sides are dealt in blocks.
+BLOCK, SMALL = 512, 1 << 22
+#: Places to which similarities are rounded, so that equal pairs tie whatever block they are compared in.
+PLACES = 9
 
 
-def pairs_above(vectors: DataFrame, low: float, high: float | None = None, block: int = BLOCK) -> DataFrame:
-    """a, b (a < b), sim of the pairs with low <= sim (< high); vectors: id long, v array<double>.
+def _by_size(ids: pa.Array, vectors: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each length of vectors their ids and the vectors scaled to length 1 (0 if near 0)."""
+    ids, sizes = ids.to_numpy(zero_copy_only=False), pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+    out = {}
+    for n in np.unique(sizes[sizes > 0]).tolist():
+        at = np.flatnonzero(sizes == n)
+        v = vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, n)
+        norm = np.sqrt((v * v).sum(1))
+        out[n] = ids[at], np.where(norm[:, None] > 1e-6, v / np.maximum(norm, 1e-300)[:, None], 0.0)
+    return out
 
-    Each vector is sent to a row of block pairs, each pair of blocks is one matrix product; no pair below low leaves its task.
-    """
-    n = max(1, math.ceil(vectors.count() / block))
-    own = vectors.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("x"))
-    dealt = own.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    dealt = dealt.select("id", "v", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), (F.col("x") <= F.col("y")).alias("left"))
-    top = math.inf if high is None else high
+
+def _compared(left: dict, right: dict, low: float, high: float, own: bool) -> pa.RecordBatch:
+    """a, b, sim of the pairs in the band; own: each pair of one table once, a < b."""
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+    for n in left.keys() & right.keys():
+        (a, x), (b, y) = left[n], right[n]
+        for at in range(0, len(a), BLOCK):
+            sim = np.round(x[at : at + BLOCK] @ y.T, PLACES)
+            hit = (sim >= low) & (sim < high)
+            if own:
+                hit &= a[at : at + BLOCK, None] < b[None, :]
+            i, j = np.nonzero(hit)
+            found.append((a[at : at + BLOCK][i], b[j], sim[i, j]))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["a", "b", "sim"])
+
+
+def _joined(left: DataFrame, right: DataFrame, low: float, high: float | None, own: bool) -> DataFrame:
+    top, out = math.inf if high is None else high, "a long, b long, sim double"
+    n_right, size = right.agg(F.count("*"), F.coalesce(F.sum(F.size("v")), F.lit(0))).first()
+    if size <= SMALL:  # so the broadcast is of SMALL numbers at most
+        rows = right.toArrow().combine_chunks()
+        whole = _by_size(rows.column("id").combine_chunks(), rows.column("v").combine_chunks()) if rows.num_rows else {}
+        shared = left.sparkSession.sparkContext.broadcast(whole)
+
+        def run(batches):
+            for b in batches:
+                yield _compared(_by_size(b.column(0), b.column(1)), shared.value, low, top, own)
+
+        return left.mapInArrow(run, out)
+    n_left = n_right if own else left.count()
+    nl, nr = max(1, math.ceil(n_left / BLOCK)), max(1, math.ceil(n_right / BLOCK))
+
+    def dealt(rows: DataFrame, n: int, others: int, side: int) -> DataFrame:
+        rows = rows.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("_own"))
+        if own:  # blocks i <= j: a vector of block k stands on the left of those from k on, on the right of those up to k
+            other = F.sequence(F.col("_own"), F.lit(n - 1)) if side == 0 else F.sequence(F.lit(0), F.col("_own"))
+        else:
+            other = F.sequence(F.lit(0), F.lit(others - 1))
+        i, j = ("_own", "_other") if side == 0 else ("_other", "_own")
+        return rows.withColumn("_other", F.explode(other)).select("id", "v", F.col(i).alias("i"), F.col(j).alias("j"), F.lit(side).alias("side"))
 
     def compare(group: pa.Table) -> pa.Table:
-        ids = group.column("id").to_numpy()
-        v = np.array(group.column("v").to_pylist(), np.float64)
-        norm = np.sqrt((v * v).sum(1))
-        v = np.where(norm[:, None] > 1e-6, v / np.maximum(norm, 1e-300)[:, None], 0.0)
-        left = group.column("left").to_numpy(zero_copy_only=False)
-        same = group.column("i")[0].as_py() == group.column("j")[0].as_py()
-        p, q = (np.arange(len(ids)),) * 2 if same else (np.flatnonzero(left), np.flatnonzero(~left))
-        sim = v[p] @ v[q].T
-        at = np.nonzero((sim >= low) & (sim < top) & ((ids[p][:, None] < ids[q][None, :]) | (not same)))
-        a, b = ids[p[at[0]]], ids[q[at[1]]]
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "sim": sim[at]})
+        group = group.combine_chunks()
+        side, (l, r) = group.column("side").to_numpy(), ({}, {})
+        l, r = (_by_size(*(group.filter(pa.array(side == k)).combine_chunks().column(c).combine_chunks() for c in ("id", "v"))) for k in (0, 1))
+        if own and group.column("i")[0].as_py() != group.column("j")[0].as_py():
+            both = _compared(l, r, low, top, False)
+            a, b = both.column(0).to_numpy(), both.column(1).to_numpy()
+            return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "sim": both.column(2)})
+        return pa.Table.from_batches([_compared(l, r, low, top, own)])
+
+    return dealt(left, nl, nr, 0).unionByName(dealt(right, nr, nl, 1)).groupBy("i", "j").applyInArrow(compare, out)
 
-    return dealt.groupBy("i", "j").applyInArrow(compare, "a long, b long, sim double")
+
+def pairs_above(vectors: DataFrame, low: float, high: float | None = None) -> DataFrame:
+    """a, b (a < b), sim of the pairs with low <= sim (< high); vectors: id long, v array<double>. Vectors of unlike or no length are never near.
+
+    A small table is broadcast; of a large one each vector is sent to a row of block pairs, and each pair of blocks is one matrix product. No pair below low leaves its task.
+    """
+    rows = vectors.select("id", "v")
+    return _joined(rows, rows, low, high, True)
 
 
 def candidates(locals_: DataFrame, others: DataFrame, threshold: float) -> DataFrame:
-    """local_id, other_id, sim of the pairs at or above threshold; both sides id, centroid. Compared in blocks."""
-    both = locals_.select((F.col("id") * 2).alias("id"), F.col("centroid").alias("v")).unionByName(others.select((F.col("id") * 2 + 1).alias("id"), F.col("centroid").alias("v")))
-    found = pairs_above(both.where(F.size("v") > 0), threshold).where("a % 2 <> b % 2")
-    odd = F.col("a") % 2 == 1
-    return found.select(F.expr("(CASE WHEN a % 2 = 1 THEN b ELSE a END) div 2").alias("local_id"), F.when(odd, F.expr("a div 2")).otherwise(F.expr("b div 2")).alias("other_id"), "sim")
+    """local_id, other_id, sim of the pairs at or above threshold; both sides id, centroid. A side is never compared with itself."""
+    left, right = (x.select("id", F.col("centroid").alias("v")) for x in (locals_, others))
+    return _joined(left, right, threshold, None, False).toDF("local_id", "other_id", "sim")
