@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 from voxframe.engine import Engine
+from voxframe.operators import store
 from voxframe.operators.inference import VECTOR, infer
 from voxframe.sources import config
 
@@ -57,6 +58,64 @@ def test_a_corpus_from_files_to_transcripts(spark, tmp_path):
     assert all(v.count() == 0 for v in e.tables().values()) and e.tables(1)["files"].count() == 0
 
 
+def test_arrival_order_and_the_end_of_a_batch(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/s", config.Settings(out_dir=f"file://{tmp_path}/out"))
+    seen = spark.createDataFrame([(f"/in/a/{k}.wav", 0, 1, 10, 5.0, 60.0, "en") for k in range(3)], "path string, track int, track_count int, size long, mtime double, duration double, language string")
+    e.enqueue(seen)
+    said = segments(spark, [(k, 0, f"t{k}", 0.0, 1.0, "speaker_00") for k in (1, 2)])
+    who = voices(spark, [(k, "speaker_00", A, 20.0, 1) for k in (1, 2)])
+    e.add(said, who)
+    assert e.speakers().count() == 2  # one batch sees a frozen store
+    assert e.finish() == {"moved": 1, "rendered": 0} and e.speakers().count() == 1
+    e.rollback(2)
+    e.add_in_order(said, who)
+    assert e.speakers().count() == 1 and [r.n_locals for r in e.speakers().collect()] == [2]
+    paths = e.paths("TXT", ["/in"])
+    assert {r.path for r in paths.collect()} == {f"a/{k}.txt" for k in range(3)}
+    assert {r.path for r in Engine(spark, e.root, config.Settings(mirror_tree=False)).paths("txt", ["/in"]).collect()} == {f"{k}.txt" for k in range(3)}
+    e.render("txt", paths)
+    local = e.tables()["locals"].agg(F.max("id")).head()[0]
+    e.split(local)
+    assert e.finish() == {"moved": 1, "rendered": 2}
+    files = e.tables()["files"]
+    e._commit(files=files.withColumn("status", F.when(F.col("id") == 3, "transcribing").otherwise(F.col("status"))))
+    assert e.requeue() == 1 and e.requeue() == 0 and e.tables()["files"].where("status = 'pending'").count() == 1
+    for bad in (lambda: e.name(77, "x"), lambda: e.merge(77, 1), lambda: e.merge(1, 77), lambda: Engine(spark, e.root).render("txt", paths)):
+        with pytest.raises(ValueError):
+            bad()
+    e.enroll("Zoe", "clip.wav", C, 9.0)
+    assert [tuple(r) for r in e.table_of("speakers").collect()][0][1:4] == ("Zoe", "1 clip", 0)
+    assert [(r.display, r.seconds) for r in e.table_of("enrollments").collect()] == [("Zoe", "9.0")]
+    assert e.table_of("dupes").count() == 0 and e.table_of("models").where("kind = 'transcription'").count() == 8
+    assert tuple(e.table_of("clear").head()) == (3, 2, 2, 1)
+
+
+def test_settings_decide(spark, tmp_path):
+    s = config.load('split_channels = true\nmax_split_channels = 2\nisolate = "always"\nembed_max_segments = 1\nhotwords = ["Ann", "Bo"]\ninitial_prompt = "Hi."\nbeam_size = 7\n')
+    e = Engine(spark, f"file://{tmp_path}/s", s)
+    media = spark.createDataFrame([("a", 2, "stereo", 0.1, 0.0, True), ("b", 4, "", 0.1, 0.9, False)], "path string, channels int, layout string, correlation double, noise_floor double, healthy boolean")
+    assert e.tracks(media).count() == 3 and Engine(spark, e.root).tracks(media).count() == 2
+    assert [r.isolate for r in e.isolation(media).orderBy("path").collect()] == [True, False]
+    turns = spark.createDataFrame([(1, 0, 0.0, 5.0, A), (1, 0, 6.0, 10.0, B)], "file_id long, speaker int, t_start double, t_end double, vector array<double>")
+    assert [(r.label, r.n_segments, r.total_dur, r.centroid) for r in e.voices(turns).collect()] == [("speaker_00", 1, 9.0, A)]
+    told = s.model_options()
+    assert told["prompt"] == "Hi. Ann, Bo." and told["beam_size"] == 7
+
+
+def test_versions_are_claimed_once(spark, tmp_path):
+    at, rows = f"file://{tmp_path}/s", spark.createDataFrame([(1,)], "x long")
+    store.commit({"t": rows}, at)
+    (tmp_path / "s" / "claims" / "v2").write_text("")  # another writer is about to put its mark
+    with pytest.raises(RuntimeError):
+        store.commit({"t": rows}, at)
+    assert store.last_version(spark, at) == 1 and store.abandon(spark, at) == 1
+    assert store.commit({"t": rows.union(rows)}, at) == 2 and store.rollback(spark, at, 1) == 3
+    assert store.current(spark, at)["t"].count() == 1 and store.current(spark, at, 2)["t"].count() == 2
+    assert store.backup(spark, at, f"{at}-copy") == 1 and store.current(spark, f"{at}-copy")["t"].count() == 1
+    with pytest.raises(ValueError):
+        store.backup(spark, at, f"{at}-copy")
+
+
 def test_settings():
     s = config.load('match_threshold = 0.7\nmin_speaker_speech = 5\nformats = ["SRT", "tsv"]\n')
     assert s.min_speaker_speech == 5.0 and config.load(config.save(s)) == s and not config.Settings().problems()

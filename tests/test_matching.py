@@ -72,3 +72,11 @@ def test_stream_in_order_of_arrival(spark, tmp_path):
     assert seen == [[0, 0], [1, 1], [2, 2]]
     last = events.latest_snapshot(spark, str(tmp_path / "log"), kind, "user_id", "event_id", ["stage"])
     assert {r.user_id: r.stage for r in last.collect()} == {1: "s2", 5: "x", 6: "x", 7: "x"}
+
+
+def test_lines_from_pieces(spark):
+    rows = [("a", 1, "one\ntw"), ("a", 2, "o"), ("a", 3, ""), ("a", 4, " \n\n  three \nfo"), ("b", 1, "x\n"), ("b", 2, None)]
+    got = events.joined_lines(spark.createDataFrame(rows, "source string, n long, text string"), "source", "n").orderBy("source", "line").collect()
+    assert [(r.source, r.text, r.open) for r in got] == [("a", "one", False), ("a", "two", False), ("a", "three", False), ("a", "fo", True), ("b", "x", False)]
+    log = spark.createDataFrame([], events.SCHEMA)
+    assert len(log.columns) == 31 and events.latest(log, "file_id", "event_id", ["kind", "stage"]).count() == 0

@@ -86,9 +86,9 @@ def test_targets(spark):
 def test_clips(spark):
     rows = [(1, 0.0, 4.0, 0.5, [1.0, 0.0]), (1, 2.0, 6.0, 0.5, [0.0, 1.0]), (1, 4.0, 8.0, 0.01, [0.0, 1.0]), (2, 0.0, 2.0, 0.5, [1.0, 0.0]), (3, 0.0, 4.0, 0.0, [1.0, 0.0]), (4, 0.0, 4.0, 0.5, None)]
     got = {r.clip: r for r in levels.analyse_clips(spark.createDataFrame(rows, "clip long, start double, end double, level double, vector array<double>")).collect()}
-    assert (got[1].windows, got[1].duration, round(got[1].coherence, 4), got[1].usable) == (2, 4.0, 0.7071, True) and got[1].problem.startswith("windows disagree")
-    assert got[2].problem == "only 2.0s of speech, needs 3.0s" and got[2].coherence == 1 and not got[2].usable
-    assert all((got[k].windows, got[k].problem) == (0, "no speech loud enough to embed") for k in (3, 4))
+    assert (got[1].windows, got[1].duration, round(got[1].coherence, 4), got[1].usable) == (2, 4.0, 0.7071, True) and got[1].problem == "mixed"
+    assert got[2].problem == "short" and got[2].coherence == 1 and not got[2].usable
+    assert all((got[k].windows, got[k].problem) == (0, "silent") for k in (3, 4))
 
 
 def test_files_written_whole(spark, tmp_path):

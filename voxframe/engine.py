@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxframe.functions import text as t
-from voxframe.operators import attribution, identity, matching, render, store
+from voxframe.functions import text
+from voxframe.operators import attribution, identity, ingest, levels, matching, render, store
+from voxframe.sources import models
 from voxframe.sources.config import Settings
 from voxframe.workspace import write_table
 
@@ -54,13 +55,62 @@ class Engine:
 
     def search(self, needle: str) -> DataFrame:
         """Segments with the words in their speaker or text, whatever the case of letters."""
-        rows = self._shown()
-        return rows.where(F.contains(F.lower(F.concat_ws(" ", "label", "text")), F.lower(F.lit(needle))))
+        return render.search(self._shown(), needle)
 
     def _shown(self) -> DataFrame:
         x = self.tables()
-        names = x["identities"].select(F.col("id").alias("global_id"), t.display_name(F.col("name"), F.col("id")).alias("_shown"))
-        return x["segments"].join(names, "global_id", "left").withColumn("label", F.coalesce("_shown", "local_label")).drop("_shown")
+        return identity.shown(x["segments"], x["identities"])
+
+    def table_of(self, what: str) -> DataFrame:
+        """Rows of a table as it is shown: speakers, enrollments, dupes, models, or the counts that clear() would delete."""
+        if what == "speakers":
+            n = F.when(F.col("enrolled"), F.concat(F.col("n_clips").cast("string"), F.when(F.col("n_clips") == 1, " clip").otherwise(" clips"))).otherwise("-")
+            return self.speakers().select("id", F.col("display").alias("name"), n.alias("enrolled"), F.col("n_files").alias("files"), F.col("n_locals").alias("clips"), text.duration(F.col("total_dur")).alias("speech"))
+        if what == "enrollments":
+            who = self.speakers().where("enrolled").select(F.col("id").alias("global_id"), "display")
+            return self.enrollments().join(who, "global_id").select("global_id", "display", F.col("id").alias("clip"), text.fixed(F.col("duration"), 1).alias("seconds"), "source").orderBy("global_id", "clip")
+        if what == "dupes":
+            names = self.speakers().select("id", "display")
+            left, right = (names.select(F.col("id").alias(f"{k}_id"), F.col("display").alias(k)) for k in ("left", "right"))
+            return self.dupes().join(left, "left_id").join(right, "right_id").select(text.fixed(F.col("similarity"), 3).alias("similarity"), "left_id", "left", "right_id", "right").orderBy(F.desc("similarity"), "left_id", "right_id")
+        if what == "models":
+            use = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in models.USES.items() for x in kv]), F.col("kind")), F.lit("voiceprint"))
+            return models.catalogue(self.spark).select("name", use.alias("kind"), F.expr("n_bytes div 1000000").alias("megabytes"))
+        x = self.tables()
+        return store.counts(x["files"], x["segments"], x["identities"], x["clips"]).select("files", "segments", "speakers", "named")
+
+    # --- plans of runs, from the settings
+
+    def tracks(self, media: DataFrame) -> DataFrame:
+        """A row a track of media (channels, layout, correlation)."""
+        s = self.settings
+        return ingest.expand_tracks(media, s.split_channels, s.max_split_channels, s.channel_independence)
+
+    def isolation(self, media: DataFrame) -> DataFrame:
+        """media with isolate, from noise_floor and healthy (whether the separator works)."""
+        s = self.settings
+        return media.withColumn("isolate", ingest.isolate(F.lit(s.isolate.lower()), F.coalesce("noise_floor", F.lit(0.0)), F.col("healthy"), s.isolate_auto_threshold))
+
+    def voices(self, turns: DataFrame) -> DataFrame:
+        """file_id, label, centroid, total_dur, n_segments from turns with vectors."""
+        s = self.settings
+        found = identity.voiceprints(turns, most=s.embed_max_segments, least=s.embed_min_segment)
+        return found.select("file_id", text.local_label(F.col("speaker")).alias("label"), "centroid", "total_dur", "n_segments")
+
+    def clips(self, spans: DataFrame) -> DataFrame:
+        """Analysis of reference clips from their windows; windows overlap by half."""
+        s = self.settings
+        return levels.analyse_clips(spans, window=s.enroll_window, hop=s.enroll_window / 2, least=s.enroll_min_clip)
+
+    def paths(self, fmt: str, roots: list[str]) -> DataFrame:
+        """file_id, path (below out_dir) of each file's transcript; with mirror_tree the folders below the roots that the inputs share are kept."""
+        files = self.tables()["files"]
+        root = F.lit(None).cast("string")
+        if self.settings.mirror_tree and roots:
+            shared = self.spark.createDataFrame([(roots,)], "p array<string>").select(text.common_root(F.transform("p", lambda x: F.concat(x, F.lit("/x"))))).head()[0]
+            root = F.lit(shared or None).cast("string")
+        at = text.output_path(F.lit("."), F.col("path"), F.col("track"), F.col("track_count"), F.lit(fmt), root if self.settings.mirror_tree and roots else None)
+        return files.select(F.col("id").alias("file_id"), F.substring(at, 3, 1 << 20).alias("path"))
 
     # --- runs
 
@@ -107,6 +157,42 @@ class Engine:
             files=store.update(x["files"], files.select(F.col("file_id").alias("id"), F.lit("done").alias("status")), "id", ["status"]),
         )
 
+    def add_in_order(self, segments: DataFrame, voices: DataFrame) -> None:
+        """As add(), a file at a time in order of their ids, the order of arrival: each is matched against the store that the ones before have left. The driver walks
+        the files of one arrival; what arrives later comes with the next call (streaming.events.drain)."""
+        segments, voices = write_table(segments, "segments"), write_table(voices, "voices")
+        for (file_id,) in segments.select("file_id").distinct().orderBy("file_id").collect():
+            self.add(segments.where(F.col("file_id") == file_id), voices.where(F.col("file_id") == file_id))
+
+    def finish(self, roots: list[str] | None = None) -> dict[str, int]:
+        """After a batch: clusters anew if the settings say so and, if anything moved, renders the files that have outputs again. Number of locals moved, of files rendered."""
+        if not self.settings.recluster_after_batch:
+            return {"moved": 0, "rendered": 0}
+        before = write_table(self.tables()["locals"].select("id", F.col("global_id").alias("_g")), "before")
+        self.recluster()
+        moved = self.tables()["locals"].join(before, "id").where(~F.col("global_id").eqNullSafe(F.col("_g"))).count()
+        rendered = 0
+        if moved:
+            outputs = write_table(self.tables()["outputs"], "outputs")
+            for (fmt,) in outputs.select("format").distinct().orderBy("format").collect():  # a handful of formats
+                rendered += self.render(fmt, outputs.where(F.col("format") == fmt).select("file_id", "path")).count()
+        return {"moved": moved, "rendered": rendered}
+
+    def requeue(self) -> int:
+        """Returns files that a cancelled run left between pending and done to the queue; their number."""
+        files = self.tables()["files"]
+        left = files.where(~F.col("status").isin("pending", "done", "failed", "skipped"))
+        n = left.count()
+        if n:
+            self._commit(files=store.update(files, left.select("id", F.lit("pending").alias("status")), "id", ["status"]))
+        return n
+
+    def backup(self, dest: str) -> int:
+        return store.backup(self.spark, self.root, dest)
+
+    def rollback(self, version: int) -> int:
+        return store.rollback(self.spark, self.root, version)
+
     def recluster(self) -> None:
         """Clusters all voices anew; identities left without use go."""
         x, s = self.tables(), self.settings
@@ -117,12 +203,7 @@ class Engine:
         ids = x["identities"]
         fresh = centre.join(ids.select("id"), "id", "left_anti").select("id", F.lit("").alias("name"), F.lit("").alias("notes"), F.lit(False).alias("enrolled"), "centroid")
         ids = store.update(ids, centre, "id", ["centroid"]).unionByName(fresh)
-        self._commit(identities=ids.join(identity.unused(ids, placed).select("id"), "id", "left_anti"), locals=placed, segments=self._relabelled(x["segments"], placed))
-
-    @staticmethod
-    def _relabelled(segments: DataFrame, locals_: DataFrame) -> DataFrame:
-        refs = locals_.select("file_id", F.col("label").alias("local_label"), "global_id")
-        return segments.drop("global_id").join(refs, ["file_id", "local_label"], "left").select(*segments.columns)
+        self._commit(identities=ids.join(identity.unused(ids, placed).select("id"), "id", "left_anti"), locals=placed, segments=identity.relabelled(x["segments"], placed))
 
     def render(self, fmt: str, paths: DataFrame | None = None, all_files: bool = False) -> DataFrame:
         """file_id, body of the files that are done (or all) and have segments; with paths (file_id, path) they are written below the settings' out_dir and recorded."""
@@ -138,6 +219,8 @@ class Engine:
             body = render.render(rows, fmt)
         if paths is None:
             return body
+        if not self.settings.out_dir:
+            raise ValueError("out_dir must be set to write transcripts")
         written = write_table(render.write_files(body, paths, self.settings.out_dir), "written")
         out = x["outputs"].join(written.select("file_id", F.lit(fmt).alias("format")), ["file_id", "format"], "left_anti").select(*x["outputs"].columns)
         self._commit(outputs=out.unionByName(written.select("file_id", F.lit(fmt).alias("format"), "path")))
@@ -153,10 +236,18 @@ class Engine:
 
     def _set(self, who: int, column: str, value: str) -> None:
         ids = self.tables()["identities"]
+        self._known(ids, who)
         self._commit(identities=ids.withColumn(column, F.when(F.col("id") == who, F.lit(value)).otherwise(F.col(column))))
 
+    @staticmethod
+    def _known(ids: DataFrame, *wanted: int) -> None:
+        found = {r.id for r in ids.where(F.col("id").isin(*wanted)).select("id").collect()}
+        if missing := sorted(set(wanted) - found):
+            raise ValueError(f"no speaker {missing[0]}")
+
     def merge(self, source: int, into: int) -> None:
         x = self.tables()
+        self._known(x["identities"], source, into)
         if source == into:
             return
         ids, loc, clips, dis = identity.merge_identities(x["identities"], x["locals"], x["clips"], x["dismissed"], source, into)
@@ -169,7 +260,7 @@ class Engine:
         ids, loc = identity.split_local(x["identities"].select("id", "name", "enrolled", "centroid"), x["locals"], local_id)
         ids = ids.join(x["identities"].select("id", "notes"), "id", "left")
         loc = loc.withColumn("similarity", F.when(F.col("id") == local_id, 1.0).otherwise(F.col("similarity")))
-        self._commit(identities=ids, locals=loc, segments=self._relabelled(x["segments"], loc))
+        self._commit(identities=ids, locals=loc, segments=identity.relabelled(x["segments"], loc))
 
     def enroll(self, who: str, source: str, centroid: list[float], duration: float) -> None:
         """Adds a clip to the identity named, or to a new one of that name; ValueError if the name has several bearers or the id none."""

@@ -124,3 +124,18 @@ def output_path(root: Column, source: Column, track: Column, tracks: Column, fmt
     stem = F.when(F.regexp_like(name, F.lit(r"^.+\.[^.]*$")), F.regexp_replace(name, r"\.[^.]*$", "")).otherwise(name)
     shown = F.concat(sanitise_filename(stem), F.when(tracks > 1, F.concat(F.lit(".track"), (track + 1).cast("string"))).otherwise(""), F.lit("."), lower(fmt))
     return F.concat(root, F.lit("/"), below, shown)
+
+
+# Tints of speakers, by their number. Fixed values.
+TINTS = ("#8caaee", "#e78284", "#a6d189", "#e5c890", "#ca9ee6", "#81c8be", "#ef9f76", "#85c1dc", "#f4b8e4", "#babbf1", "#eebebe", "#99d1db", "#e8a2af", "#c6d0f5", "#a5adce", "#f0a868")
+
+
+def colour(id_: Column) -> Column:
+    """The tint of an identity as #rrggbb, one of as many as there are, in turn; null below 0 and for null."""
+    return F.when(id_ >= 0, F.element_at(F.array(*[F.lit(x) for x in TINTS]), (id_ % len(TINTS) + 1).cast("int")))
+
+
+def prompt(start: Column, words: Column) -> Column:
+    """What a recogniser is told first: the prompt given, then the words that are expected, in a list that ends with a full stop."""
+    listed = F.concat(F.array_join(words, ", "), F.lit("."))
+    return F.when(F.size(words) == 0, start).when(start == "", listed).otherwise(F.concat(start, F.lit(" "), listed))

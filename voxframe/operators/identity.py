@@ -33,6 +33,72 @@ def report(identities: DataFrame, locals_: DataFrame, clips: DataFrame) -> DataF
     return r.select("id", display_name(F.col("name"), F.col("id")).alias("display"), "enrolled", *zero, F.coalesce("total_dur", F.lit(0.0)).alias("total_dur"))
 
 
+def with_vectors(rows: DataFrame) -> DataFrame:
+    """Rows whose centroid isn't null or empty."""
+    return rows.where(F.coalesce(F.size("centroid"), F.lit(0)) > 0)
+
+
+def enrolled(identities: DataFrame) -> DataFrame:
+    return identities.where("enrolled")
+
+
+def profiles(clips: DataFrame) -> DataFrame:
+    """global_id, clips, seconds of the clips that have a vector."""
+    return with_vectors(clips).groupBy("global_id").agg(F.count("*").alias("clips"), F.sum("duration").alias("seconds"))
+
+
+def globals_in_files(locals_: DataFrame) -> DataFrame:
+    """file_id, global_id: who is heard where, each once."""
+    return locals_.where("global_id is not null").select("file_id", "global_id").distinct()
+
+
+def files_of(locals_: DataFrame) -> DataFrame:
+    """global_id and the sorted array of its files."""
+    return locals_.where("global_id is not null").groupBy("global_id").agg(F.array_sort(F.collect_set("file_id")).alias("files"))
+
+
+def shared_files(locals_: DataFrame) -> DataFrame:
+    """a, b (a < b): identities that are heard in one file, each pair once. Rows grow with the square of the speakers of a file, not of the corpus."""
+    f = globals_in_files(locals_)
+    return f.select("file_id", F.col("global_id").alias("a")).join(f.select("file_id", F.col("global_id").alias("b")), "file_id").where("a < b").select("a", "b").distinct()
+
+
+def compare_files(locals_: DataFrame, pairs: DataFrame) -> DataFrame:
+    """a, b, shared (whether both are heard in one file), files (of either) for pairs of identities that are heard at all."""
+    f = files_of(locals_)
+    sides = [f.select(F.col("global_id").alias(k), F.col("files").alias(f"_{k}")) for k in ("a", "b")]
+    both = pairs.select("a", "b").join(sides[0], "a").join(sides[1], "b")
+    return both.select("a", "b", F.arrays_overlap("_a", "_b").alias("shared"), F.size(F.array_union("_a", "_b")).cast("long").alias("files"))
+
+
+def people_in_files(locals_: DataFrame) -> DataFrame:
+    """file_id, people (identities), labels (local speakers, known or not)."""
+    return locals_.groupBy("file_id").agg(F.countDistinct("global_id").alias("people"), F.countDistinct("label").alias("labels"))
+
+
+def speech_totals(turns: DataFrame) -> DataFrame:
+    """file_id, speaker, total_dur of all turns."""
+    return turns.groupBy("file_id", "speaker").agg(F.sum(F.col("t_end") - F.col("t_start")).alias("total_dur"))
+
+
+def cluster_totals(rows: DataFrame, key: str) -> DataFrame:
+    """key, members, total_dur."""
+    return rows.groupBy(key).agg(F.count("*").alias("members"), F.sum("total_dur").alias("total_dur"))
+
+
+def relabelled(segments: DataFrame, locals_: DataFrame) -> DataFrame:
+    """Segments with the global_id of their file's speaker of that label, null if it has none."""
+    refs = locals_.select("file_id", F.col("label").alias("local_label"), "global_id")
+    rows = segments.drop("global_id").join(refs, ["file_id", "local_label"], "left")
+    return rows.select(*dict.fromkeys([*segments.columns, "global_id"]))
+
+
+def shown(segments: DataFrame, identities: DataFrame) -> DataFrame:
+    """Segments with label: the name of their identity as shown, or the local label where the identity is unknown."""
+    names = identities.select(F.col("id").alias("global_id"), display_name(F.col("name"), F.col("id")).alias("_shown"))
+    return segments.join(names, "global_id", "left").withColumn("label", F.coalesce("_shown", "local_label")).drop("_shown")
+
+
 def weighted_centroids(vectors: DataFrame, key: str, v: str, weight: str) -> DataFrame:
     """key, pos, x: the mean of each component weighted by max(1, weight)-like weights (those not above 0 count 1), scaled to length 1. Sums are partial before the shuffle."""
     w = F.when(F.col(weight) > 0, F.col(weight)).otherwise(1.0)
@@ -75,7 +141,7 @@ def longest_turns(turns: DataFrame, most: int = 8, least: float = 3.0, relaxed:
 
 def voiceprints(turns: DataFrame, **choice) -> DataFrame:
     """file_id, speaker, n_segments, total_dur, centroid from turns with vectors; total_dur counts all turns. Speakers without a turn long enough are left out."""
-    total = turns.groupBy("file_id", "speaker").agg(F.sum(F.col("t_end") - F.col("t_start")).alias("total_dur"))
+    total = speech_totals(turns)
     chosen = longest_turns(turns, **choice).where("vector is not null").withColumn("_who", F.struct("file_id", "speaker"))
     n = chosen.groupBy("file_id", "speaker").agg(F.count("*").alias("n_segments"))
     centre = centroid_arrays(chosen, "_who", "vector", "dur").select("_who.file_id", "_who.speaker", "centroid")
@@ -97,9 +163,8 @@ def resolve_targets(asked: DataFrame, identities: DataFrame) -> DataFrame:
 def duplicate_candidates(identities: DataFrame, locals_: DataFrame, dismissed: DataFrame, low: float, high: float) -> DataFrame:
     """left_id, right_id, similarity of identities in the band that are not both enrolled, share no file and are not dismissed; left is first by enrolled, speech, id."""
     speech = usage(locals_).select("global_id", "total_dur")
-    found = pairs_above(identities.where(F.size("centroid") > 0).select("id", F.col("centroid").alias("v")), low, high)
-    files = locals_.where("global_id is not null").select("global_id", "file_id").distinct()
-    shared = files.alias("p").join(files.alias("q"), "file_id").where("p.global_id < q.global_id").select(F.col("p.global_id").alias("a"), F.col("q.global_id").alias("b")).distinct()
+    found = pairs_above(with_vectors(identities).select("id", F.col("centroid").alias("v")), low, high)
+    shared = shared_files(locals_)
     rank = identities.select("id", "enrolled").join(speech, F.col("id") == F.col("global_id"), "left").select("id", "enrolled", F.coalesce("total_dur", F.lit(0.0)).alias("d"))
     found = found.join(shared, ["a", "b"], "left_anti").join(dismissed.select(F.col("low").alias("a"), F.col("high").alias("b")), ["a", "b"], "left_anti")
     found = found.join(rank.select(F.col("id").alias("a"), F.col("enrolled").alias("ea"), F.col("d").alias("da")), "a").join(rank.select(F.col("id").alias("b"), F.col("enrolled").alias("eb"), F.col("d").alias("db")), "b").where("not (ea and eb)")

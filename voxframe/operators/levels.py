@@ -25,6 +25,34 @@ def nth(rows: DataFrame, key: str, value: str, at: dict[str, str]) -> DataFrame:
     return ranked.groupBy(key).agg(F.first("n").alias("n"), *[F.max(F.when(F.col("_k") == F.expr(e), F.col("_v"))).alias(name) for name, e in at.items()])
 
 
+def rms(samples: DataFrame, key: str, value: str) -> DataFrame:
+    """key, rms: the root of the mean square."""
+    return samples.groupBy(key).agg(F.sqrt(F.avg(F.col(value) * F.col(value))).alias("rms"))
+
+
+def channel_correlation(energies: DataFrame, key: str, a: str, b: str) -> DataFrame:
+    """key, correlation: |r| of the frame energies of two channels; 0 under 100 frames, 1 where a channel is constant."""
+    spread = F.var_pop(a) * F.var_pop(b) * F.count("*") * F.count("*")
+    rows = energies.groupBy(key).agg(F.count("*").alias("_n"), spread.alias("_s"), (F.covar_pop(a, b) * F.count("*")).alias("_c"))
+    return rows.select(key, F.when(F.col("_n") < 100, 0.0).when(F.col("_s") < 1e-6, 1.0).otherwise(F.least(F.lit(1.0), F.abs("_c") / F.sqrt("_s"))).alias("correlation"))
+
+
+def usable(duration: Column, least: float = LEAST_SPEECH) -> Column:
+    """Whether a clip has enough speech."""
+    return duration >= least
+
+
+def clip_duration(kept: Column, spans: Column, window: float = 4.0, hop: float = 2.0) -> Column:
+    """Seconds of the windows kept, overlaps counted once where there are several."""
+    return kept * F.when(spans > 1, min(1.0, hop / max(0.001, window))).otherwise(1.0)
+
+
+def usable_clips(clips: DataFrame) -> DataFrame:
+    """global_id, usable, seconds of clips that have enough speech."""
+    ok = usable(F.col("duration"))
+    return clips.groupBy("global_id").agg(F.count_if(ok).alias("usable"), F.coalesce(F.sum(F.when(ok, F.col("duration"))), F.lit(0.0)).alias("seconds"))
+
+
 def noise_floor(energies: DataFrame, key: str) -> DataFrame:
     """key, floor: the tenth over the middle of the sorted energies, 1 at most; 0 under 20 frames, 1 where the middle is silent."""
     e = nth(energies, key, "energy", {"p50": "n div 2", "p10": "n div 10"})
@@ -46,7 +74,7 @@ def windows(frames: Column, width: int, hop: int) -> Column:
 
 
 def analyse_clips(spans: DataFrame, *, window: float = 4.0, hop: float = 2.0, least: float = LEAST_SPEECH, coherent: float = COHERENT) -> DataFrame:
-    """clip, windows, duration, coherence, usable, problem: from rows clip, start, end, level, vector (null: not embedded), one a window.
+    """clip, windows, duration, coherence, usable, problem (silent: no window loud enough; short: too little speech; mixed: the windows differ): from rows clip, start, end, level, vector (null: not embedded), one a window.
 
     Windows below the clip's gate are left out. Duration counts overlaps once; coherence is the lowest cosine of a window with the clip's
     centroid, 1 for one window. A clip without a window kept has duration and coherence 0.
@@ -57,10 +85,9 @@ def analyse_clips(spans: DataFrame, *, window: float = 4.0, hop: float = 2.0, le
     centre = centroid_arrays(kept, "clip", "vector", "_w")
     near = kept.join(centre, "clip").groupBy("clip").agg(F.count("*").alias("windows"), F.sum("_w").alias("_kept"), F.min(cosine(F.col("vector"), F.col("centroid"))).alias("_low"))
     rows = n.join(near, "clip", "left").withColumn("windows", F.coalesce("windows", F.lit(0)))
-    duration = F.coalesce(F.col("_kept"), F.lit(0.0)) * F.when(F.col("_spans") > 1, min(1.0, hop / max(0.001, window))).otherwise(1.0)
+    duration = clip_duration(F.coalesce(F.col("_kept"), F.lit(0.0)), F.col("_spans"), window, hop)
     coherence = F.when(F.col("windows") == 0, 0.0).when(F.col("windows") == 1, 1.0).otherwise(F.least(F.lit(1.0), F.col("_low")))
     rows = rows.select("clip", "windows", duration.alias("duration"), coherence.alias("coherence"))
-    usable = (F.col("windows") > 0) & (F.col("duration") >= least)
-    short = F.format_string("only %.1fs of speech, needs %.1fs", F.col("duration"), F.lit(least))
-    problem = F.when(F.col("windows") == 0, "no speech loud enough to embed").when(~usable, short).when((F.col("windows") > 1) & (F.col("coherence") < coherent), "windows disagree with each other, check the clip holds one voice only").otherwise("")
-    return rows.withColumn("usable", usable).withColumn("problem", problem)
+    ok = (F.col("windows") > 0) & usable(F.col("duration"), least)
+    problem = F.when(F.col("windows") == 0, "silent").when(~ok, "short").when((F.col("windows") > 1) & (F.col("coherence") < coherent), "mixed").otherwise("")
+    return rows.withColumn("usable", ok).withColumn("problem", problem)

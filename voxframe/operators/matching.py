@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxframe.operators import store
-from voxframe.operators.identity import cluster, greedy
+from voxframe.operators.identity import cluster, cluster_totals, greedy
 from voxframe.operators.similarity import candidates
 
 
@@ -36,6 +36,31 @@ def resolve_batch(locals_: DataFrame, identities: DataFrame, clips: DataFrame, *
     return rows.groupBy("file_id").applyInPandas(one, "file_id long, local_id long, outcome string, global_id long, similarity double")
 
 
+def unresolved(locals_: DataFrame, clips: DataFrame, threshold: float = 0.55) -> DataFrame:
+    """Locals without a clip of an enrolled identity at or above the threshold."""
+    return locals_.join(candidates(locals_, clips, threshold).select(F.col("local_id").alias("id")).distinct(), "id", "left_anti")
+
+
+def below_floor(rows: DataFrame, floor: float) -> DataFrame:
+    """Unresolved locals that have too little speech for an identity of their own."""
+    return rows.where(F.col("total_dur") < floor)
+
+
+def by_name(voters: DataFrame, key: str = "cluster") -> DataFrame:
+    """key, by_name: the named identity of the member with most speech (ties: the first member); voters: id, key, global_id, named, total_dur."""
+    return voters.where("named").groupBy(key).agg(F.max_by("global_id", F.struct("total_dur", -F.col("id"))).alias("by_name"))
+
+
+def by_vote(voters: DataFrame, key: str = "cluster") -> DataFrame:
+    """key, by_vote: the identity that most members have (ties: the lowest)."""
+    return voters.groupBy(key, "global_id").count().groupBy(key).agg(F.max_by("global_id", F.struct("count", -F.col("global_id"))).alias("by_vote"))
+
+
+def outcomes(resolved: DataFrame) -> DataFrame:
+    """outcome, n of what resolve_batch gives."""
+    return resolved.groupBy("outcome").agg(F.count("*").alias("n"))
+
+
 def recluster(identities: DataFrame, locals_: DataFrame, *, threshold: float = 0.65, floor: float = 8.0) -> DataFrame:
     """id, cluster, global_id, reassigned of the locals that take part.
 
@@ -48,9 +73,7 @@ def recluster(identities: DataFrame, locals_: DataFrame, *, threshold: float = 0
     rows = rows.join(cluster(rows, threshold), "id")
     named = identities.select(F.col("id").alias("global_id"), (F.coalesce("name", F.lit("")) != "").alias("named"))
     voters = rows.where("global_id is not null").join(named, "global_id")
-    by_name = voters.where("named").groupBy("cluster").agg(F.max_by("global_id", F.struct("total_dur", -F.col("id"))).alias("by_name"))
-    by_vote = voters.groupBy("cluster", "global_id").count().groupBy("cluster").agg(F.max_by("global_id", F.struct("count", -F.col("global_id"))).alias("by_vote"))
-    claims = rows.groupBy("cluster").agg(F.count("*").alias("n")).join(by_name, "cluster", "left").join(by_vote, "cluster", "left").withColumn("claim", F.coalesce("by_name", "by_vote"))
+    claims = cluster_totals(rows, "cluster").select("cluster", F.col("members").alias("n")).join(by_name(voters), "cluster", "left").join(by_vote(voters), "cluster", "left").withColumn("claim", F.coalesce("by_name", "by_vote"))
     keeps = F.row_number().over(Window.partitionBy("claim").orderBy(F.desc("n"), "cluster")) == 1
     claims = claims.withColumn("own", F.when(F.col("claim").isNotNull() & keeps, F.col("claim")))
     fresh = store.mint(identities, claims.where("own is null").select("cluster"), ["cluster"]).withColumnRenamed("id", "fresh")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Stages in order, and levels of the log. Fixed values.
 STAGES = ("queued", "probing", "extracting", "isolating", "transcribing", "diarizing", "embedding", "resolving", "writing", "done", "failed", "skipped")
 LEVELS = ("debug", "info", "warn", "error")
+#: Lines of the log that are kept on show. Fixed value.
+TAIL = 5000
 
 
 def _name(number: Column, names: tuple[str, ...], other: str) -> Column:
@@ -22,6 +24,22 @@ def level_name(number: Column) -> Column:
     return _name(number, LEVELS, "info")
 
 
+def at_level(log: DataFrame, least: str, level: str = "level") -> DataFrame:
+    """Lines of a level (a number) or above."""
+    return log.where(F.col(level) >= LEVELS.index(least))
+
+
+def tail(log: DataFrame, order: str, n: int = TAIL) -> DataFrame:
+    """The last n lines, the latest first."""
+    return log.orderBy(F.desc(order)).limit(n)
+
+
+def running(finished: DataFrame, key: str, order: str, seconds: str) -> DataFrame:
+    """key, order, files, seconds so far after each file."""
+    by = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return finished.select(key, order, F.count("*").over(by).alias("files"), F.sum(seconds).over(by).alias("seconds"))
+
+
 def percent(stage: Column, fraction: Column) -> Column:
     """0 to 100 of a file by the number of its stage and the fraction of it (below 0: not known); 100 only when it is over."""
     first, last, over = STAGES.index("probing"), STAGES.index("writing"), [STAGES.index("done"), STAGES.index("skipped")]

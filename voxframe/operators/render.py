@@ -20,6 +20,16 @@ def _joined(rows: DataFrame, line: Column, order: str = "idx") -> DataFrame:
     return lines.groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "").alias("body"))
 
 
+def cues(segments: DataFrame) -> DataFrame:
+    """Segments with text and their number in the file from 1, _n."""
+    return segments.where(F.col("text") != "").withColumn("_n", F.row_number().over(Window.partitionBy("file_id").orderBy("idx")))
+
+
+def search(segments: DataFrame, needle: str) -> DataFrame:
+    """Segments with the words in their label or text, whatever the case of letters."""
+    return segments.where(F.contains(F.lower(F.concat_ws(" ", "label", "text")), F.lower(F.lit(needle))))
+
+
 def render(segments: DataFrame, fmt: str) -> DataFrame:
     """file_id, body. Segments with empty text are left out."""
     fmt = fmt.lower()
@@ -27,7 +37,7 @@ def render(segments: DataFrame, fmt: str) -> DataFrame:
     label, text = F.coalesce(F.col("label"), F.lit("")), F.col("text")
     times = [(t.timestamp(F.col("seg_start"), c), t.timestamp(F.col("seg_end"), c)) for c in (True, False)]
     if fmt == "srt":
-        rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("file_id").orderBy("idx")))
+        rows = cues(segments)
         head = F.when(label != "", F.concat(F.lit("["), label, F.lit("] "))).otherwise("")
         return _joined(rows, F.concat(F.col("_n").cast("string"), F.lit("\n"), times[0][0], F.lit(" --> "), times[0][1], F.lit("\n"), head, text, F.lit("\n\n")))
     if fmt == "vtt":

@@ -34,6 +34,15 @@ def update(rows: DataFrame, changes: DataFrame, key: str, columns: list[str]) ->
     return joined.select(*[F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in rows.columns])
 
 
+def columns(rows: DataFrame) -> DataFrame:
+    """name of each column."""
+    return rows.sparkSession.createDataFrame([(c,) for c in rows.columns], "name string")
+
+
+def has_column(rows: DataFrame, name: str) -> bool:
+    return name in rows.columns
+
+
 def delete(rows: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame:
     return rows.join(keys, on, "left_anti")
 
@@ -116,7 +125,8 @@ def last_version(spark: SparkSession, root: str) -> int | None:
 def commit(tables: dict[str, DataFrame], root: str) -> int:
     """Writes the tables as the next version and returns its number; tables not given are those of the version before, by reference.
 
-    A version holds once its mark is complete, so a commit that fails leaves the former one in place. Two writers of one version: the second fails.
+    A version holds once its mark is complete, so a commit that fails leaves the former one in place. Of two writers of one version the second
+    fails: each must create the version's claim, which the file system lets one of them do, after its tables are written.
     """
     spark = next(iter(tables.values())).sparkSession
     last = last_version(spark, root)
@@ -125,10 +135,54 @@ def commit(tables: dict[str, DataFrame], root: str) -> int:
     for name, rows in tables.items():
         paths[name] = f"v{version}-{tag}/{name}"
         rows.write.parquet(f"{root}/{paths[name]}")
+    return _put_mark(spark, root, version, paths)
+
+
+def _files(spark: SparkSession, at: str):
+    """The Hadoop file system and path of a URI."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def _put_mark(spark: SparkSession, root: str, version: int, paths: dict[str, str]) -> int:
+    fs, claim = _files(spark, f"{root}/claims/v{version}")
+    fs.mkdirs(claim.getParent())
+    if not fs.createNewFile(claim):
+        raise RuntimeError(f"version {version} of {root} has been claimed by another writer")
     spark.createDataFrame(sorted(paths.items()), "name string, path string").coalesce(1).write.json(f"{root}/marks/v{version}")
     return version
 
 
+def abandon(spark: SparkSession, root: str) -> int:
+    """Takes back claims without a complete mark, which a writer left that died between the two; their number. For use when no writer is at work."""
+    fs, at = _files(spark, f"{root}/claims")
+    last, n = last_version(spark, root) or 0, 0
+    for f in fs.listStatus(at) if fs.exists(at) else []:
+        if int(f.getPath().getName()[1:]) > last:
+            fs.delete(f.getPath(), True)
+            mark_fs, mark = _files(spark, f"{root}/marks/{f.getPath().getName()}")
+            mark_fs.delete(mark, True)
+            n += 1
+    return n
+
+
+def rollback(spark: SparkSession, root: str, version: int) -> int:
+    """Makes the tables of an earlier version the next one, by reference; its number."""
+    return _put_mark(spark, root, (last_version(spark, root) or 0) + 1, _mark(spark, root, version))
+
+
+def backup(spark: SparkSession, root: str, dest: str) -> int:
+    """Copies the last version to another folder as a store of its own; its version there. If that fails, dest goes."""
+    fs, at = _files(spark, dest)
+    if fs.exists(at):
+        raise ValueError(f"{dest} exists")
+    try:
+        return commit(current(spark, root), dest)
+    except Exception:
+        fs.delete(at, True)
+        raise
+
+
 def _mark(spark: SparkSession, root: str, version: int) -> dict[str, str]:
     return {r.name: r.path for r in spark.read.schema("name string, path string").json(f"{root}/marks/v{version}").collect()}
 

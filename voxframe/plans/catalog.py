@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from voxframe.functions import text as t
 from voxframe.functions import vectors as v
-from voxframe.operators import attribution, identity, matching, render, store
+from voxframe.operators import attribution, identity, levels, matching, progress, render, store, words
 from voxframe.operators.similarity import pairs_above
 from voxframe.plans import fixtures as fx
 from voxframe.plans.registry import ORACLE_SQL, QUERIES, query
+from voxframe.sources import wav
 from voxframe.streaming import events as stream
 
 MATCH, REVIEW, ENROL, CLUSTER, FLOOR = 0.65, 0.50, 0.55, 0.65, 8.0
@@ -21,10 +22,13 @@ VP, LOC, GS, ENR = (fx.VP,), (fx.VP, fx.LOC), (fx.VP, fx.LOC, fx.GS), (fx.VP, fx
 # --- scans, filters and orders of the store
 
 
-@query("sc2_media_files", "SELECT url, coalesce(lower(regexp_extract(url, '\\.[^./\\\\?#]+$')) IN ('.com', '.net', '.mp3', '.wav', '.flac'), false) AS is_media FROM pages")
+_KINDS = ("wav", "FLAC", "mp3", "m4a", "aac", "ogg", "opus", "wma", "aiff", "aif", "alac", "ape", "mka", "m4b", "amr", "caf", "wv", "dts", "mp4", "mkv", "mov", "avi", "webm", "m4v", "wmv", "flv", "mpg", "mpeg", "ts", "m2ts", "mts", "vob", "3gp", "ogv", "Asf", "rm", "txt", "wave", "html", "")
+
+
+@query("sc2_media_files", f"SELECT page_id, url || '.' || ({list(_KINDS)})[page_id % 40 + 1] AS path, page_id % 40 < 36 AS is_media FROM pages")
 def _(s, d):
-    kinds = (".com", ".net", ".mp3", ".wav", ".flac")
-    return fx.table(s, d, "pages").select("url", t.lower(F.regexp_extract("url", r"\.[^./\\?#]+$", 0)).isin(*kinds).alias("is_media"))
+    ending = F.element_at(F.array(*[F.lit(k) for k in _KINDS]), (F.col("page_id") % 40 + 1).cast("int"))
+    return fx.table(s, d, "pages").select("page_id", F.concat("url", F.lit("."), ending).alias("path")).withColumn("is_media", wav.is_media(F.col("path")))
 
 
 @query("sc7_files_by_status", "SELECT path, track, size, status FROM fl WHERE status = 'failed' ORDER BY path, track", (fx.FILES,))
@@ -52,20 +56,23 @@ def _(s, d):
     return fx.display(fx.gs(s, d)).select("id", "display")
 
 
-@query("pf6_speech_floor", f"SELECT id, total_dur FROM vp WHERE id % 11 = 0 AND total_dur < {FLOOR}", VP)
+UNRESOLVED = f"un AS (SELECT id, total_dur FROM vp WHERE id NOT IN (SELECT l.id FROM vp l, enr e WHERE round(list_cosine_similarity(l.centroid, e.centroid), 9) >= {ENROL}))"
+
+
+@query("pf6_speech_floor", f"SELECT id, total_dur FROM un WHERE total_dur < {FLOOR}", (*ENR, UNRESOLVED))
 def _(s, d):
-    return fx.vp(s, d).where(f"id % 11 = 0 and total_dur < {FLOOR}").select("id", "total_dur")
+    return matching.below_floor(matching.unresolved(fx.vp(s, d), fx.enr(s, d), ENROL), FLOOR).select("id", "total_dur")
 
 
 @query("pf7_enrolled_hold_out", "SELECT id, global_id FROM loc WHERE global_id NOT IN (SELECT id FROM gs WHERE enrolled)", GS)
 def _(s, d):
-    held = fx.gs(s, d).where("enrolled").select(F.col("id").alias("global_id"))
+    held = identity.enrolled(fx.gs(s, d)).select(F.col("id").alias("global_id"))
     return store.delete(fx.loc(s, d).select("id", "global_id"), held, "global_id")
 
 
 @query("pf8_transcript_search", "SELECT file_id, idx FROM seg WHERE contains(lower(local_label || ' ' || text), lower('_01 T'))", (fx.SEG,))
 def _(s, d):
-    return fx.seg(s, d).where(F.contains(F.lower(F.concat_ws(" ", "local_label", "text")), F.lower(F.lit("_01 T")))).select("file_id", "idx")
+    return render.search(fx.seg(s, d).withColumnRenamed("local_label", "label"), "_01 T").select("file_id", "idx")
 
 
 # --- joins and folds of transcripts
@@ -113,7 +120,7 @@ def _(s, d):
 
 @query("wn8_cue_numbers", "SELECT file_id, idx, row_number() OVER (PARTITION BY file_id ORDER BY idx) AS cue FROM seg WHERE text <> ''", (fx.SEG,))
 def _(s, d):
-    return fx.seg(s, d).where("text <> ''").select("file_id", "idx", F.row_number().over(Window.partitionBy("file_id").orderBy("idx")).alias("cue"))
+    return render.cues(fx.seg(s, d)).select("file_id", "idx", F.col("_n").alias("cue"))
 
 
 @query("wn2_longest_turns", """, x AS (SELECT file_id, speaker, t_start, t_end - t_start AS dur FROM trn), y AS (SELECT *, max(dur) OVER (PARTITION BY file_id, speaker) AS top FROM x),
@@ -125,7 +132,7 @@ def _(s, d):
 
 @query("ag6_speech_by_speaker", "SELECT file_id, speaker, round(sum(t_end - t_start), 6) AS total FROM trn GROUP BY ALL", (fx.SEG, fx.TRN))
 def _(s, d):
-    return fx.trn(s, d).groupBy("file_id", "speaker").agg(F.round(F.sum(F.col("t_end") - F.col("t_start")), 6).alias("total"))
+    return identity.speech_totals(fx.trn(s, d)).select("file_id", "speaker", F.round("total_dur", 6).alias("total"))
 
 
 TS = "printf('%02d:%02d:%02d{c}%03d', ms // 3600000, ms // 60000 % 60, ms // 1000 % 60, ms % 1000)"
@@ -161,7 +168,7 @@ def c(name: str) -> Column:
     return F.col(name)
 
 
-_scalar("fn1_trim", "documents", "doc_id", lambda: t.trim(F.concat(F.lit(" \t\n"), F.substring("text", 1, 40), F.lit("\r\x0b \f"))), "regexp_replace(chr(32) || chr(9) || chr(10) || substr(text, 1, 40) || chr(13) || chr(11) || chr(32) || chr(12), '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g')")
+_scalar("fn1_trim", "documents", "doc_id", lambda: t.trim(F.concat(F.lit(" \t\n"), "text", F.lit("\r\x0b \f"))), "regexp_replace(chr(32) || chr(9) || chr(10) || text || chr(13) || chr(11) || chr(32) || chr(12), '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g')")
 _scalar("fn2_lower", "documents", "doc_id", lambda: t.lower(c("text")), f"translate(text, '{t.UPPER}', '{t.LOWER}')")
 _scalar("fn3_starts_with", "documents", "doc_id", lambda: F.startswith("text", F.lit("The ")), "starts_with(text, 'The ')")
 _scalar("fn4_split", "documents", "doc_id", lambda: F.size(F.split("text", r"\.", -1)), "len(string_split(text, '.'))::INT")
@@ -179,8 +186,8 @@ _scalar("fn12_escape_json", "pages", "page_id", lambda: t.escape_json(F.concat("
 _scalar("fn13_escape_markdown", "documents", "doc_id", lambda: t.escape_markdown(c("text")), "regexp_replace(text, '([\\\\`*_{}\\[\\]()#+\\-.!|])', '\\\\\\1', 'g')")
 _scalar("fn14_seconds", "events", "event_id", lambda: F.format_string("%.1fs", c("event_id") / 3.0), "printf('%.1fs', event_id / 3.0::DOUBLE)")
 _scalar("fn15_general_number", "events", "event_id", lambda: t.general(c("event_id") * 7 / F.lit(15.0)), "printf('%g', event_id * 7 / 15::DOUBLE)")
-_scalar("fn26_colour", "events", "event_id", lambda: F.pmod(c("user_id"), F.lit(16)).cast("long"), "(user_id % 16)::BIGINT")
-_scalar("fn31_prompt", "documents", "doc_id", lambda: F.concat(c("lang"), F.lit(" "), F.concat_ws(", ", "source", "lang"), F.lit(".")), "lang || ' ' || concat_ws(', ', source, lang) || '.'")
+_scalar("fn26_colour", "events", "event_id", lambda: t.colour(c("user_id") - 3), f"CASE WHEN user_id >= 3 THEN ({list(t.TINTS)})[(user_id - 3) % 16 + 1] END")
+_scalar("fn31_prompt", "documents", "doc_id", lambda: t.prompt(F.when(c("doc_id") % 3 > 0, c("lang")).otherwise(""), F.when(c("doc_id") % 4 > 0, F.array("source", "lang")).otherwise(F.array().cast("array<string>"))), "CASE WHEN doc_id % 4 = 0 THEN CASE WHEN doc_id % 3 > 0 THEN lang ELSE '' END ELSE CASE WHEN doc_id % 3 > 0 THEN lang || ' ' ELSE '' END || concat_ws(', ', source, lang) || '.' END")
 
 
 @query("fn16_cosine", ", p AS (SELECT a.id, a.centroid AS x, b.centroid AS y FROM vp a JOIN vp b ON b.id = a.id + 1) SELECT id, round(list_cosine_similarity(x, y), 6) AS similarity FROM p", VP)
@@ -229,35 +236,37 @@ def _(s, d):
     return identity.weighted_centroids(fx.vp(s, d), "gt", "centroid", "total_dur").select("gt", "pos", F.round("x", 6).alias("x"))
 
 
-@query("ag14_channel_correlation", "SELECT user_id, round(CASE WHEN var_pop(value) * var_pop(event_id) <= 1e-6 THEN 1 ELSE abs(covar_pop(value, event_id)) / sqrt(var_pop(value) * var_pop(event_id)) END, 6) AS r FROM events GROUP BY user_id")
+FRAMES = """ch AS (SELECT user_id % 20 AS part, row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id) - 1 AS pos, value AS a, value * (event_id % 3) AS b FROM events),
+fe AS (SELECT part, pos // 4 AS frame, avg(abs(a)) AS a, avg(abs(b)) AS b FROM ch GROUP BY ALL HAVING count(*) = 4),
+cs AS (SELECT part, count(*) AS n, var_pop(a) * var_pop(b) * count(*) * count(*) AS s, covar_pop(a, b) * count(*) AS c FROM fe GROUP BY part)"""
+
+
+@query("ag14_channel_correlation", "SELECT part, round(CASE WHEN n < 100 THEN 0 WHEN s < 1e-6 THEN 1 ELSE least(1, abs(c) / sqrt(s)) END, 6) AS correlation FROM cs", (FRAMES,))
 def _(s, d):
-    e = fx.table(s, d, "events")
-    spread = F.var_pop("value") * F.var_pop("event_id")
-    g = e.groupBy("user_id").agg(spread.alias("spread"), F.covar_pop("value", "event_id").alias("c"))
-    return g.select("user_id", F.round(F.when(F.col("spread") <= 1e-6, 1.0).otherwise(F.abs("c") / F.sqrt("spread")), 6).alias("r"))
+    e = fx.table(s, d, "events").withColumn("part", F.col("user_id") % 20)
+    rows = e.select("part", (F.row_number().over(Window.partitionBy("part").orderBy("event_id")) - 1).alias("pos"), F.col("value").alias("a"), (F.col("value") * (F.col("event_id") % 3)).alias("b"))
+    left, right = (levels.frame_energy(rows, "part", "pos", k, 4).withColumnRenamed("energy", k) for k in ("a", "b"))
+    return levels.channel_correlation(left.join(right, ["part", "frame"]), "part", "a", "b").withColumn("correlation", F.round("correlation", 6))
 
 
 @query("ag11_rms", "SELECT user_id, round(sqrt(avg(value * value)), 6) AS rms FROM events GROUP BY user_id")
 def _(s, d):
-    return fx.table(s, d, "events").groupBy("user_id").agg(F.round(F.sqrt(F.avg(F.col("value") * F.col("value"))), 6).alias("rms"))
+    return levels.rms(fx.table(s, d, "events"), "user_id", "value").withColumn("rms", F.round("rms", 6))
 
 
 @query("ag13_order_statistics", "SELECT user_id, (list_sort(list(value)))[count(*) // 2 + 1] AS p50, (list_sort(list(value)))[count(*) // 10 + 1] AS p10 FROM events GROUP BY user_id")
 def _(s, d):
-    by = Window.partitionBy("user_id")
-    rows = fx.table(s, d, "events").select("user_id", "value", F.row_number().over(by.orderBy("value")).alias("k"), F.count("*").over(by).alias("n"))
-    return rows.groupBy("user_id").agg(F.max(F.when(F.col("k") == F.expr("n div 2 + 1"), F.col("value"))).alias("p50"), F.max(F.when(F.col("k") == F.expr("n div 10 + 1"), F.col("value"))).alias("p10"))
+    return levels.nth(fx.table(s, d, "events"), "user_id", "value", {"p50": "n div 2", "p10": "n div 10"}).select("user_id", "p50", "p10")
 
 
 @query("wn10_latest_state", "SELECT user_id, arg_max(event_type, event_id) AS stage, arg_max(value, event_id) AS value FROM events GROUP BY user_id")
 def _(s, d):
-    return fx.table(s, d, "events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("stage"), F.max_by("value", "event_id").alias("value"))
+    return stream.latest(fx.table(s, d, "events").withColumnRenamed("event_type", "stage"), "user_id", "event_id", ["stage", "value"])
 
 
 @query("wn9_running_progress", "SELECT user_id, event_id, count(*) OVER w AS files, round(sum(value) OVER w, 4) AS seconds FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)")
 def _(s, d):
-    by = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return fx.table(s, d, "events").select("user_id", "event_id", F.count("*").over(by).alias("files"), F.round(F.sum("value").over(by), 4).alias("seconds"))
+    return progress.running(fx.table(s, d, "events"), "user_id", "event_id", "value").withColumn("seconds", F.round("seconds", 4))
 
 
 DUPES = f"""gf AS (SELECT DISTINCT global_id, file_id FROM loc), td AS (SELECT global_id, sum(total_dur) AS d FROM loc GROUP BY global_id),
@@ -280,7 +289,7 @@ def _(s, d):
     return pairs_above(fx.vp(s, d).select("id", F.col("centroid").alias("v")), MATCH).withColumn("sim", F.round("sim", 6))
 
 
-@query("id3_enrolled_matches", f", x AS (SELECT l.id AS local_id, e.global_id, greatest(0, max(list_cosine_similarity(l.centroid, e.centroid))) AS s FROM vp l, enr e GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY local_id ORDER BY round(s, 9) DESC, global_id) AS n FROM x WHERE s >= {ENROL}) SELECT local_id, global_id, round(s, 6) AS similarity FROM r WHERE n = 1", ENR)
+@query("id3_enrolled_matches", f", x AS (SELECT l.id AS local_id, e.global_id, greatest(0, max(round(list_cosine_similarity(l.centroid, e.centroid), 9))) AS s FROM vp l, enr e GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY local_id ORDER BY s DESC, global_id) AS n FROM x WHERE s >= {ENROL}) SELECT local_id, global_id, round(s, 6) AS similarity FROM r WHERE n = 1", ENR)
 def _(s, d):
     return identity.best_enrolled(fx.vp(s, d), fx.enr(s, d), ENROL).withColumn("similarity", F.round("similarity", 6))
 
@@ -300,21 +309,21 @@ def _(s, d):
     return store.classify_files(fx.files(s, d), fx.scan(s, d))
 
 
-@query("sk15_unused_identities", ", g AS (SELECT id, name, enrolled FROM gs UNION ALL SELECT id + 1000, name, enrolled FROM gs) SELECT id, name, enrolled FROM g WHERE name = '' AND NOT enrolled AND id NOT IN (SELECT global_id FROM loc)", GS)
+@query("sk15_unused_identities", ", g AS (SELECT id, name, enrolled FROM gs UNION ALL SELECT id + " + fx.N + ", name, enrolled FROM gs) SELECT id, name, enrolled FROM g WHERE name = '' AND NOT enrolled AND id NOT IN (SELECT global_id FROM loc)", GS)
 def _(s, d):
     g = fx.gs(s, d).select("id", "name", "enrolled")
-    return identity.unused(g.unionByName(g.withColumn("id", F.col("id") + 1000)), fx.loc(s, d))
+    return identity.unused(g.unionByName(g.withColumn("id", F.col("id") + fx.voices(s, d))), fx.loc(s, d))
 
 
-@query("sk20_dismissed_pairs", "SELECT DISTINCT least(l_partkey, l_suppkey) AS low, greatest(l_partkey, l_suppkey) AS high FROM lineitem WHERE l_linenumber = 1")
+@query("sk20_dismissed_pairs", "SELECT DISTINCT least(l_partkey, l_suppkey) AS low, greatest(l_partkey, l_suppkey) AS high FROM lineitem")
 def _(s, d):
-    low, high = v.canonical_pair(F.col("l_partkey"), F.col("l_suppkey"))
-    return fx.table(s, d, "lineitem").where("l_linenumber = 1").select(low.alias("low"), high.alias("high")).distinct()
+    none = s.createDataFrame([], "low long, high long")
+    return store.dismiss(none, fx.table(s, d, "lineitem").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b")))
 
 
 @query("se3_globals_in_files", "SELECT DISTINCT file_id, global_id FROM loc", LOC)
 def _(s, d):
-    return fx.loc(s, d).select("file_id", "global_id").distinct()
+    return identity.globals_in_files(fx.loc(s, d))
 
 
 @query("id13_constrained_clusters")
@@ -339,13 +348,12 @@ def _(s, d):
 
 @query("sk8_assigned_segments", "SELECT s.file_id, s.idx, l.global_id FROM seg s LEFT JOIN (SELECT file_id, label, global_id FROM loc) l ON l.file_id = s.file_id AND l.label = s.local_label", (fx.SEG, *LOC))
 def _(s, d):
-    l = fx.loc(s, d).select("file_id", F.col("label").alias("local_label"), "global_id")
-    return fx.seg(s, d).select("file_id", "idx", "local_label").join(l, ["file_id", "local_label"], "left").select("file_id", "idx", "global_id")
+    return identity.relabelled(fx.seg(s, d).select("file_id", "idx", "local_label"), fx.loc(s, d)).select("file_id", "idx", "global_id")
 
 
 @query("ag19_people_in_files", "SELECT file_id, count(DISTINCT global_id) AS people, count(DISTINCT label) AS labels FROM loc GROUP BY file_id", LOC)
 def _(s, d):
-    return fx.loc(s, d).groupBy("file_id").agg(F.countDistinct("global_id").alias("people"), F.countDistinct("label").alias("labels"))
+    return identity.people_in_files(fx.loc(s, d))
 
 
 @query("st7_stream_latest_state", "SELECT user_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id")
@@ -379,58 +387,56 @@ def _(s, d):
     return store.last_wins(rows, ["user_id", "event_type"], F.col("event_id")).select("user_id", "event_type", "value")
 
 
-@query("id5_minted_identities", f", m AS (SELECT id FROM vp WHERE id % 11 = 0 AND total_dur >= {FLOOR}) SELECT id AS local_id, 200 + row_number() OVER (ORDER BY id) AS global_id FROM m", VP)
+@query("id5_minted_identities", f"SELECT id AS local_id, (SELECT max(id) FROM gs) + row_number() OVER (ORDER BY id) AS global_id FROM un WHERE total_dur >= {FLOOR}", (*ENR, UNRESOLVED))
 def _(s, d):
-    m = fx.vp(s, d).where(f"id % 11 = 0 and total_dur >= {FLOOR}").select(F.col("id").alias("local_id"))
+    m = matching.unresolved(fx.vp(s, d), fx.enr(s, d), ENROL).where(F.col("total_dur") >= FLOOR).select(F.col("id").alias("local_id"))
     return store.mint(fx.gs(s, d).select("id"), m, ["local_id"]).select("local_id", F.col("id").alias("global_id"))
 
 
 @query("jn6_shared_files", "SELECT DISTINCT p.global_id AS a, q.global_id AS b FROM loc p JOIN loc q ON p.file_id = q.file_id AND p.global_id < q.global_id", LOC)
 def _(s, d):
-    f = fx.loc(s, d).select("global_id", "file_id").distinct()
-    return f.select(F.col("global_id").alias("a"), "file_id").join(f.select(F.col("global_id").alias("b"), "file_id"), "file_id").where("a < b").select("a", "b").distinct()
+    return identity.shared_files(fx.loc(s, d))
 
 
 @query("jn10_named_segments", "SELECT s.file_id, s.idx, coalesce(CASE WHEN g.name <> '' THEN g.name ELSE printf('SPEAKER_%04d', g.id) END, s.local_label) AS speaker FROM seg s LEFT JOIN loc l ON l.file_id = s.file_id AND l.label = s.local_label LEFT JOIN gs g ON g.id = l.global_id", (fx.SEG, *GS))
 def _(s, d):
-    who = fx.loc(s, d).select("file_id", F.col("label").alias("local_label"), F.col("global_id").alias("id")).join(fx.display(fx.gs(s, d)).select("id", "display"), "id")
-    return fx.seg(s, d).select("file_id", "idx", "local_label").join(who, ["file_id", "local_label"], "left").select("file_id", "idx", F.coalesce("display", "local_label").alias("speaker"))
+    rows = identity.relabelled(fx.seg(s, d).select("file_id", "idx", "local_label"), fx.loc(s, d))
+    return identity.shown(rows, fx.gs(s, d)).select("file_id", "idx", F.col("label").alias("speaker"))
 
 
 @query("ag8_cluster_votes", ", n AS (SELECT gt, global_id, count(*) AS n FROM loc GROUP BY ALL) SELECT gt, global_id FROM n QUALIFY row_number() OVER (PARTITION BY gt ORDER BY n DESC, global_id) = 1", LOC)
 def _(s, d):
-    n = fx.loc(s, d).groupBy("gt", "global_id").agg(F.count("*").alias("n"))
-    return n.groupBy("gt").agg(F.max_by("global_id", F.struct("n", -F.col("global_id"))).alias("global_id"))
+    return matching.by_vote(fx.loc(s, d), "gt").withColumnRenamed("by_vote", "global_id")
 
 
 @query("wn3_sliding_windows", "SELECT doc_id, unnest(CASE WHEN n_chars <= 400 THEN [0] ELSE range(0, n_chars - 400 + 1, 150) END) AS start FROM documents")
 def _(s, d):
-    starts = F.when(F.col("n_chars") <= 400, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n_chars") - 400, F.lit(0).cast("long")), F.lit(150).cast("long")))
-    return fx.table(s, d, "documents").select("doc_id", F.explode(starts).alias("start"))
+    return fx.table(s, d, "documents").select("doc_id", F.explode(levels.windows(F.col("n_chars"), 400, 150)).alias("start"))
 
 
-@query("wn4_word_ends", "SELECT file_id, idx, w_pos, round(coalesce(lead(w_start) OVER (PARTITION BY file_id, idx ORDER BY w_pos), w_end), 6) AS w_end FROM wrd", (fx.SEG, fx.WRD))
+@query("wn4_word_ends", ", x AS (SELECT w.file_id, w.idx, w_pos, w_start, CASE WHEN w_pos % 3 = 0 THEN w_start ELSE w_end END AS e, seg_end FROM wrd w JOIN seg s ON s.file_id = w.file_id AND s.idx = w.idx) SELECT file_id, idx, w_pos, round(CASE WHEN e <= w_start THEN coalesce(lead(w_start) OVER (PARTITION BY file_id, idx ORDER BY w_pos), seg_end) ELSE e END, 6) AS w_end FROM x", (fx.SEG, fx.WRD))
 def _(s, d):
-    by = Window.partitionBy("file_id", "idx").orderBy("w_pos")
-    return fx.wrd(s, d).select("file_id", "idx", F.col("w_pos").cast("long").alias("w_pos"), F.round(F.coalesce(F.lead("w_start").over(by), "w_end"), 6).alias("w_end"))
+    rows = fx.wrd(s, d).join(fx.seg(s, d).select("file_id", "idx", "seg_end"), ["file_id", "idx"])
+    rows = rows.withColumn("w_end", F.when(F.col("w_pos") % 3 == 0, F.col("w_start")).otherwise(F.col("w_end")))
+    return words.fill_ends(rows, ["file_id", "idx"], "seg_end").select("file_id", "idx", F.col("w_pos").cast("long").alias("w_pos"), F.round("w_end", 6).alias("w_end"))
 
 
 @query("wn7_padded_chunks", "SELECT file_id, speaker, round(greatest(t_start - 0.3, 0), 6) AS a, round(least(t_end + 0.3, max(t_end) OVER (PARTITION BY file_id)), 6) AS b FROM trn", (fx.SEG, fx.TRN))
 def _(s, d):
-    end = F.max("t_end").over(Window.partitionBy("file_id"))
-    return fx.trn(s, d).select("file_id", "speaker", F.round(F.greatest(F.col("t_start") - 0.3, F.lit(0.0)), 6).alias("a"), F.round(F.least(F.col("t_end") + 0.3, end), 6).alias("b"))
+    a, b = words.padded(F.col("t_start"), F.col("t_end"), F.max("t_end").over(Window.partitionBy("file_id")))
+    return fx.trn(s, d).select("file_id", "speaker", F.round(a, 6).alias("a"), F.round(b, 6).alias("b"))
 
 
-@query("fn20_output_paths", "SELECT doc_id, '/out/' || source || '/' || doc_id || CASE WHEN doc_id % 3 > 0 THEN '.track' || (doc_id % 3 + 1) ELSE '' END || '.' || lower('SRT') AS path FROM documents")
+@query("fn20_output_paths", "SELECT doc_id, '/out/' || doc_id || CASE WHEN doc_id % 3 > 0 THEN '.track' || (doc_id % 3 + 1) ELSE '' END || '.srt' AS path FROM documents")
 def _(s, d):
-    track = F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit(".track"), (F.col("doc_id") % 3 + 1).cast("string"))).otherwise("")
-    stem = t.sanitise_filename(F.col("doc_id").cast("string"))
-    return fx.table(s, d, "documents").select("doc_id", F.concat(F.lit("/out/"), "source", F.lit("/"), stem, track, F.lit("."), t.lower(F.lit("SRT"))).alias("path"))
+    i = F.col("doc_id")
+    return fx.table(s, d, "documents").select("doc_id", t.output_path(F.lit("/out"), F.concat(F.lit("/in/"), "source", F.lit("/"), i.cast("string"), F.lit(".mp3")), i % 3, i % 3 + 1, F.lit("SRT")).alias("path"))
 
 
-@query("fn30_usable_clips", "SELECT id, duration, duration >= 3 AS usable FROM enr", ENR)
+@query("fn30_usable_clips", "SELECT id, duration * CASE WHEN id % 4 > 1 THEN 0.5::DOUBLE ELSE 1 END AS seconds, duration * CASE WHEN id % 4 > 1 THEN 0.5::DOUBLE ELSE 1 END >= 3 AS usable FROM enr", ENR)
 def _(s, d):
-    return fx.enr(s, d).select("id", "duration", (F.col("duration") >= 3).alias("usable"))
+    rows = fx.enr(s, d).select("id", levels.clip_duration(F.col("duration"), F.col("id") % 4).alias("seconds"))
+    return rows.withColumn("usable", levels.usable(F.col("seconds")))
 
 
 @query(
@@ -446,7 +452,7 @@ def _(s, d):
     return render.json(rows, files)
 
 
-@query("id10_split", ", l AS (SELECT id, CASE WHEN id = 44 + 1 THEN 201 ELSE global_id END AS global_id FROM loc) SELECT global_id, count(*) AS n FROM l GROUP BY global_id", GS)
+@query("id10_split", ", l AS (SELECT id, CASE WHEN id = 45 THEN (SELECT max(id) + 1 FROM gs) ELSE global_id END AS global_id FROM loc) SELECT global_id, count(*) AS n FROM l GROUP BY global_id", GS)
 def _(s, d):
     _ids, moved = identity.split_local(fx.gs(s, d), fx.loc(s, d), 45)
     return moved.groupBy("global_id").agg(F.count("*").alias("n"))

@@ -36,14 +36,14 @@ TRN = """trn AS (SELECT file_id, (idx % 3)::INT AS speaker, greatest(seg_start -
 
 
 def wrd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of even segments, timed by characters."""
-    s = seg(spark, sf_dir).where("idx % 2 = 0").select("file_id", "idx", "seg_start", F.posexplode(F.split("text", " ", -1)).alias("w_pos", "text"))
+    """Words of segments, timed by characters."""
+    s = seg(spark, sf_dir).select("file_id", "idx", "seg_start", F.posexplode(F.split("text", " ", -1)).alias("w_pos", "text"))
     by = Window.partitionBy("file_id", "idx").orderBy("w_pos").rowsBetween(Window.unboundedPreceding, 0)
     end = F.col("seg_start") + (F.sum(F.length("text") + 1).over(by)) / F.lit(15.0)
     return s.select("file_id", "idx", "w_pos", (end - (F.length("text") + 1) / F.lit(15.0)).alias("w_start"), end.alias("w_end"), "text")
 
 
-WRD = """wp AS (SELECT file_id, idx, seg_start, unnest(string_split(text, ' ')) AS text, generate_subscripts(string_split(text, ' '), 1) - 1 AS w_pos FROM seg WHERE idx % 2 = 0),
+WRD = """wp AS (SELECT file_id, idx, seg_start, unnest(string_split(text, ' ')) AS text, generate_subscripts(string_split(text, ' '), 1) - 1 AS w_pos FROM seg),
 wrd AS (SELECT file_id, idx, w_pos, seg_start + sum(length(text) + 1) OVER w / 15::DOUBLE - (length(text) + 1) / 15::DOUBLE AS w_start, seg_start + sum(length(text) + 1) OVER w / 15::DOUBLE AS w_end, text
   FROM wp WINDOW w AS (PARTITION BY file_id, idx ORDER BY w_pos ROWS UNBOUNDED PRECEDING))"""
 
@@ -65,27 +65,45 @@ vp AS (SELECT vec_id AS id, vec_id // 5 AS file_id, 'speaker_0' || (vec_id % 5)
   [x / sqrt(list_sum([y * y for y in m])) for x in m] AS centroid, (2 + vec_id * 7 % 40)::DOUBLE AS total_dur FROM vm)"""
 
 
+def voices(spark: SparkSession, sf_dir: str) -> int:
+    """Number of vectors; so many identities there are."""
+    return table(spark, sf_dir, "embeddings").count()
+
+
+N = "(SELECT count(*) FROM embeddings)"
+
+
 def loc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vp(spark, sf_dir).where("id % 11 <> 0").withColumn("global_id", F.col("id") % 200 + 1)
+    """Voices with an identity: many have a few, some none; one voice in 11 has none yet."""
+    return vp(spark, sf_dir).where("id % 11 <> 0").withColumn("global_id", F.col("id") * F.col("id") % voices(spark, sf_dir) + 1)
+
+
+LOC = f"loc AS (SELECT *, id * id % {N} + 1 AS global_id FROM vp WHERE id % 11 <> 0)"
 
 
-LOC = "loc AS (SELECT *, id % 200 + 1 AS global_id FROM vp WHERE id % 11 <> 0)"
+def _other(kept: F.Column) -> F.Column:
+    """The centroid, or a voice that nobody has."""
+    return F.when(kept, F.col("centroid")).otherwise(F.transform("centroid", lambda x, i: F.when(i % 2 == 0, x).otherwise(-x))).alias("centroid")
 
 
 def gs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = vp(spark, sf_dir).where("id < 200").select((F.col("id") + 1).alias("id"), "centroid")
+    """An identity for each vector. Of the labels' persons one third is enrolled, if its number divides by 5, and one third has changed its voice."""
     name = F.when(F.col("id") % 4 == 0, F.concat(F.lit("Person "), F.col("id"))).otherwise("")
-    return rows.select("id", name.alias("name"), (F.col("id") % 5 == 0).alias("enrolled"), "centroid")
+    rows = vp(spark, sf_dir).select((F.col("id") + 1).alias("id"), "gt", _other(F.col("gt") % 3 != 2))
+    return rows.select("id", name.alias("name"), ((F.col("id") % 5 == 0) & (F.col("gt") % 3 == 0)).alias("enrolled"), "centroid")
 
 
-GS = "gs AS (SELECT id + 1 AS id, CASE WHEN (id + 1) % 4 = 0 THEN 'Person ' || (id + 1) ELSE '' END AS name, (id + 1) % 5 = 0 AS enrolled, centroid FROM vp WHERE id < 200)"
+_OTHER = "[CASE WHEN i % 2 = 1 THEN x ELSE -x END for x, i in centroid]"
+GS = f"gs AS (SELECT id + 1 AS id, CASE WHEN (id + 1) % 4 = 0 THEN 'Person ' || (id + 1) ELSE '' END AS name, (id + 1) % 5 = 0 AND gt % 3 = 0 AS enrolled, CASE WHEN gt % 3 <> 2 THEN centroid ELSE {_OTHER} END AS centroid FROM vp)"
 
 
 def enr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vp(spark, sf_dir).where("id < 60").select("id", (5 * (1 + F.col("id") % 40)).alias("global_id"), (1 + F.col("id") % 9).cast("double").alias("duration"), "centroid")
+    """A clip for each vector, dealt to the identities whose number divides by 5; those of one third of the labels have the label's voice."""
+    many = max(1, voices(spark, sf_dir) // 5)
+    return vp(spark, sf_dir).select("id", (5 * (1 + F.col("id") % many)).alias("global_id"), (1 + F.col("id") % 9).cast("double").alias("duration"), _other(F.col("gt") % 3 == 0))
 
 
-ENR = "enr AS (SELECT id, 5 * (1 + id % 40) AS global_id, (1 + id % 9)::DOUBLE AS duration, centroid FROM vp WHERE id < 60)"
+ENR = f"enr AS (SELECT id, 5 * (1 + id % greatest(1, {N} // 5)) AS global_id, (1 + id % 9)::DOUBLE AS duration, CASE WHEN gt % 3 = 0 THEN centroid ELSE {_OTHER} END AS centroid FROM vp)"
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -121,7 +121,7 @@ cx AS (SELECT clip, pos, avg(x) AS x FROM (SELECT clip, unnest(range(64)) AS pos
 an AS (SELECT kp.clip, count(*) AS windows, sum(b - a) * CASE WHEN any_value(n) > 1 THEN 0.5::DOUBLE ELSE 1 END AS duration, CASE WHEN count(*) = 1 THEN 1 ELSE least(1, min(list_cosine_similarity(centroid, c))) END AS coherence FROM kp JOIN cc USING (clip) GROUP BY kp.clip)"""
 
 
-@query("id20_clip_analysis", "SELECT clip, windows, duration, round(coherence, 6) AS coherence, duration >= 3 AS usable, CASE WHEN duration < 3 THEN printf('only %.1fs of speech, needs 3.0s', duration) WHEN windows > 1 AND coherence < 0.72 THEN 'windows disagree with each other, check the clip holds one voice only' ELSE '' END AS problem FROM an", (fx.VP, CLIP))
+@query("id20_clip_analysis", "SELECT clip, windows, duration, round(coherence, 6) AS coherence, duration >= 3 AS usable, CASE WHEN duration < 3 THEN 'short' WHEN windows > 1 AND coherence < 0.72 THEN 'mixed' ELSE '' END AS problem FROM an", (fx.VP, CLIP))
 def _(s, d):
     i = F.col("id")
     spans = fx.vp(s, d).select(F.expr("id div 6").alias("clip"), (i % 6 * 2).cast("double").alias("start"), (i % 6 * 2 + 4).cast("double").alias("end"), F.when(i % 17 == 0, 1e-5).otherwise((i % 13 + 1) / 16.0).alias("level"), F.col("centroid").alias("vector"))
@@ -137,8 +137,7 @@ def _(s, d):
 
 @query("ag21_usable_clips", "SELECT global_id, count(*) FILTER (duration >= 3) AS usable, coalesce(sum(duration) FILTER (duration >= 3), 0::DOUBLE) AS seconds FROM enr GROUP BY global_id", (fx.VP, fx.ENR))
 def _(s, d):
-    ok = F.col("duration") >= levels.LEAST_SPEECH
-    return fx.enr(s, d).groupBy("global_id").agg(F.count_if(ok).alias("usable"), F.coalesce(F.sum(F.when(ok, F.col("duration"))), F.lit(0.0)).alias("seconds"))
+    return levels.usable_clips(fx.enr(s, d))
 
 
 # --- progress
@@ -189,14 +188,15 @@ def _(s, d):
     return progress.run_totals(fx.files(s, d).withColumn("duration", F.col("size").cast("double")), F.lit(64.0))
 
 
-@query("pf15_log_level", "SELECT event_id, event_type FROM events WHERE event_type <> 'view'")
+@query("pf15_log_level", "SELECT event_id, (['debug', 'info', 'warn', 'error'])[user_id % 4 + 1] AS level FROM events WHERE user_id % 4 >= 2")
 def _(s, d):
-    return fx.table(s, d, "events").where("event_type <> 'view'").select("event_id", "event_type")
+    log = fx.table(s, d, "events").select("event_id", (F.col("user_id") % 4).alias("level"))
+    return progress.at_level(log, "warn").select("event_id", progress.level_name(F.col("level")).alias("level"))
 
 
-@query("so6_log_tail", "SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 500")
+@query("so6_log_tail", "SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 5000")
 def _(s, d):
-    return fx.table(s, d, "events").select("event_id", "event_type").orderBy(F.desc("event_id")).limit(500)
+    return progress.tail(fx.table(s, d, "events").select("event_id", "event_type"), "event_id")
 
 
 # --- paths and vectors

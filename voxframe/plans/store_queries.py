@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxframe.functions import text as t
-from voxframe.operators import attribution, identity, render, store
+from voxframe.operators import attribution, identity, matching, render, store
 from voxframe.operators.similarity import pairs_above
 from voxframe.plans import fixtures as fx
 from voxframe.plans.registry import query
+from voxframe.sources import config, wav
 from voxframe.workspace import new_path
 
 VP, LOC, GS, ENR = (fx.VP,), (fx.VP, fx.LOC), (fx.VP, fx.LOC, fx.GS), (fx.VP, fx.LOC, fx.GS, fx.ENR)
@@ -17,9 +18,9 @@ VP, LOC, GS, ENR = (fx.VP,), (fx.VP, fx.LOC), (fx.VP, fx.LOC, fx.GS), (fx.VP, fx
 # --- lookups
 
 
-@query("sc1_discovered_paths", "SELECT DISTINCT path FROM (SELECT path FROM fl UNION ALL SELECT path FROM scan) WHERE path IS NOT NULL ORDER BY path", (fx.FILES, fx.SCAN))
+@query("sc1_discovered_paths", "SELECT DISTINCT path FROM (SELECT path FROM fl UNION ALL SELECT path FROM scan) WHERE ends_with(path, '.wav') ORDER BY path", (fx.FILES, fx.SCAN))
 def _(s, d):
-    return fx.files(s, d).select("path").union(fx.scan(s, d).select("path")).where("path is not null").distinct().orderBy("path")
+    return wav.media_paths(fx.files(s, d).select("path").union(fx.scan(s, d).select("path")))
 
 
 @query("sc8_file", "SELECT path, track, size, mtime, status FROM fl WHERE doc_id = 17", (fx.FILES,))
@@ -64,20 +65,21 @@ def _(s, d):
     return _dismissed(s, d).orderBy("low", "high")
 
 
-@query("sc17_columns", "SELECT column_name AS name FROM (DESCRIBE documents)")
+@query("sc17_columns", "SELECT column_name AS name, column_name IN ('text', 'lang') AS wanted FROM (DESCRIBE documents)")
 def _(s, d):
-    return s.createDataFrame([(c,) for c in fx.table(s, d, "documents").columns], "name string")
+    docs = fx.table(s, d, "documents")
+    return store.columns(docs).withColumn("wanted", F.col("name").isin(*[c for c in ("text", "lang", "nothing") if store.has_column(docs, c)]))
 
 
 @query("pf13_enrolled_only", "SELECT id, name FROM gs WHERE enrolled", GS)
 def _(s, d):
-    return fx.gs(s, d).where("enrolled").select("id", "name")
+    return identity.enrolled(fx.gs(s, d)).select("id", "name")
 
 
-@query("pf5_missing_centroids", "SELECT id FROM vp WHERE id % 9 <> 0", VP)
+@query("pf5_missing_centroids", "SELECT id FROM vp WHERE id % 9 > 1", VP)
 def _(s, d):
-    rows = fx.vp(s, d).withColumn("centroid", F.when(F.col("id") % 9 != 0, F.col("centroid")))
-    return rows.where(F.coalesce(F.size("centroid"), F.lit(0)) > 0).select("id")
+    rows = fx.vp(s, d).withColumn("centroid", F.when(F.col("id") % 9 > 1, F.col("centroid")).when(F.col("id") % 9 == 1, F.array().cast("array<double>")))
+    return identity.with_vectors(rows).select("id")
 
 
 @query("pf14_targets", ", q AS (SELECT unnest(['20', '007', '9999', 'person 8', 'PERSON 12', 'Nobody', 'person 4', '']) AS who), n AS (SELECT * FROM gs UNION ALL SELECT 1004, 'Person 4', false, NULL), m AS (SELECT who, count(n.id) AS c, min(n.id) AS id FROM q LEFT JOIN n ON CASE WHEN regexp_full_match(who, '[0-9]+') THEN n.id = TRY_CAST(who AS BIGINT) ELSE lower(n.name) = lower(who) END GROUP BY who) SELECT who, CASE WHEN c = 1 THEN 'join' WHEN c = 0 AND NOT regexp_full_match(who, '[0-9]+') THEN 'create' ELSE 'error' END AS action, CASE WHEN c = 1 THEN id END AS id FROM m", GS)
@@ -166,10 +168,8 @@ def _(s, d):
 
 @query("pf2_speaker_labels", "SELECT s.file_id, s.idx, coalesce(CASE WHEN g.name <> '' THEN g.name ELSE printf('SPEAKER_%04d', g.id) END, s.local_label) AS label FROM seg s LEFT JOIN loc l ON l.file_id = s.file_id AND l.label = s.local_label LEFT JOIN (SELECT * FROM gs WHERE id % 7 > 0) g ON g.id = l.global_id", (fx.SEG, *GS))
 def _(s, d):
-    refs = fx.loc(s, d).select("file_id", F.col("label").alias("local_label"), F.col("global_id").alias("id"))
-    known = fx.display(fx.gs(s, d).where("id % 7 > 0")).select("id", "display")
-    rows = fx.seg(s, d).select("file_id", "idx", "local_label").join(refs, ["file_id", "local_label"], "left").join(known, "id", "left")
-    return rows.select("file_id", "idx", F.coalesce("display", "local_label").alias("label"))
+    rows = identity.relabelled(fx.seg(s, d).select("file_id", "idx", "local_label"), fx.loc(s, d))
+    return identity.shown(rows, fx.gs(s, d).where("id % 7 > 0")).select("file_id", "idx", "label")
 
 
 @query("pf16_merge_direction", ", f AS (SELECT global_id, count(DISTINCT file_id) AS n FROM loc GROUP BY 1), p AS (SELECT a.id AS left_id, b.id AS right_id, a.name <> '' AS ln, b.name <> '' AS rn, coalesce(fa.n, 0) AS lf, coalesce(fb.n, 0) AS rf FROM gs a JOIN gs b ON b.id = a.id + 3 LEFT JOIN f fa ON fa.global_id = a.id LEFT JOIN f fb ON fb.global_id = b.id) SELECT left_id, right_id, CASE WHEN (rn AND NOT ln) OR (rn = ln AND rf > lf) THEN right_id ELSE left_id END AS into_id FROM p", GS)
@@ -182,31 +182,30 @@ def _(s, d):
 
 @query("ag7_files_of_identities", "SELECT global_id, list_sort(list(DISTINCT file_id))::VARCHAR AS files FROM loc GROUP BY global_id", LOC)
 def _(s, d):
-    ids = F.array_join(F.array_sort(F.collect_set("file_id")).cast("array<string>"), ", ")
-    return fx.loc(s, d).groupBy("global_id").agg(F.concat(F.lit("["), ids, F.lit("]")).alias("files"))
+    ids = F.array_join(F.col("files").cast("array<string>"), ", ")
+    return identity.files_of(fx.loc(s, d)).select("global_id", F.concat(F.lit("["), ids, F.lit("]")).alias("files"))
 
 
 @query("ag9_named_by_speech", "SELECT gt, global_id FROM loc JOIN gs ON gs.id = global_id AND name <> '' QUALIFY row_number() OVER (PARTITION BY gt ORDER BY total_dur DESC, loc.id) = 1", GS)
 def _(s, d):
-    named = fx.gs(s, d).where("name <> ''").select(F.col("id").alias("global_id"))
-    return fx.loc(s, d).join(named, "global_id").groupBy("gt").agg(F.max_by("global_id", F.struct("total_dur", -F.col("id"))).alias("global_id"))
+    named = fx.gs(s, d).select(F.col("id").alias("global_id"), (F.col("name") != "").alias("named"))
+    return matching.by_name(fx.loc(s, d).join(named, "global_id"), "gt").withColumnRenamed("by_name", "global_id")
 
 
 @query("ag17_cluster_totals", "SELECT gt, count(*) AS members, sum(total_dur) AS total_dur FROM vp GROUP BY gt", VP)
 def _(s, d):
-    return fx.vp(s, d).groupBy("gt").agg(F.count("*").alias("members"), F.sum("total_dur").alias("total_dur"))
+    return identity.cluster_totals(fx.vp(s, d), "gt")
 
 
 @query("id1_enrolled_profiles", "SELECT global_id, count(*) AS clips, sum(duration) AS seconds FROM enr WHERE id % 10 > 0 GROUP BY global_id", ENR)
 def _(s, d):
-    clips = fx.enr(s, d).withColumn("centroid", F.when(F.col("id") % 10 > 0, F.col("centroid")).otherwise(F.array().cast("array<double>")))
-    return clips.where(F.size("centroid") > 0).groupBy("global_id").agg(F.count("*").alias("clips"), F.sum("duration").alias("seconds"))
+    return identity.profiles(fx.enr(s, d).withColumn("centroid", F.when(F.col("id") % 10 > 0, F.col("centroid")).otherwise(F.array().cast("array<double>"))))
 
 
-@query("id8_folded_centroids", ", u AS (SELECT global_id, count(*) AS n, sum(total_dur) AS d FROM loc GROUP BY 1), m AS (SELECT id % 20 + 1 AS id, centroid, total_dur FROM vp WHERE id BETWEEN 40 AND 54), j AS (SELECT gs.id, coalesce(n, 0) AS n, coalesce(d, 0) AS d, gs.centroid AS c, m.centroid AS o, m.total_dur AS t FROM gs LEFT JOIN u ON u.global_id = gs.id LEFT JOIN m ON m.id = gs.id), x AS (SELECT id, CASE WHEN o IS NULL THEN n ELSE n + 1 END AS n_locals, d + coalesce(t, 0) AS total_dur, unnest(range(64)) AS pos, unnest([CASE WHEN o IS NULL THEN c[i] ELSE (c[i] * greatest(n, 1) + o[i]) / (greatest(n, 1) + 1) END for i in range(1, 65)]) AS x FROM j) SELECT id, n_locals, total_dur, pos::INT AS pos, round(x / sqrt(sum(x * x) OVER (PARTITION BY id)), 6) AS x FROM x", GS)
+@query("id8_folded_centroids", ", u AS (SELECT global_id, count(*) AS n, sum(total_dur) AS d FROM loc GROUP BY 1), m AS (SELECT (id + 3) % " + fx.N + " + 1 AS id, centroid, total_dur FROM vp WHERE total_dur >= 8), j AS (SELECT gs.id, coalesce(n, 0) AS n, coalesce(d, 0) AS d, gs.centroid AS c, m.centroid AS o, m.total_dur AS t FROM gs LEFT JOIN u ON u.global_id = gs.id LEFT JOIN m ON m.id = gs.id), x AS (SELECT id, CASE WHEN o IS NULL THEN n ELSE n + 1 END AS n_locals, d + coalesce(t, 0) AS total_dur, unnest(range(64)) AS pos, unnest([CASE WHEN o IS NULL THEN c[i] ELSE (c[i] * greatest(n, 1) + o[i]) / (greatest(n, 1) + 1) END for i in range(1, 65)]) AS x FROM j) SELECT id, n_locals, total_dur, pos::INT AS pos, round(x / sqrt(sum(x * x) OVER (PARTITION BY id)), 6) AS x FROM x", GS)
 def _(s, d):
     r = identity.report(fx.gs(s, d), fx.loc(s, d), fx.enr(s, d)).select("id", "n_locals", "total_dur")
-    found = fx.vp(s, d).where("id between 40 and 54").select((F.col("id") % 20 + 1).alias("global_id"), "centroid", "total_dur")
+    found = fx.vp(s, d).where("total_dur >= 8").select(((F.col("id") + 3) % fx.voices(s, d) + 1).alias("global_id"), "centroid", "total_dur")
     return identity.fold(fx.gs(s, d).select("id", "centroid").join(r, "id"), found).select("id", "n_locals", "total_dur", F.posexplode("centroid").alias("pos", "x")).withColumn("x", F.round("x", 6))
 
 
@@ -232,19 +231,19 @@ def _(s, d):
 
 @query("se2_shared_file_pairs", "SELECT a.id AS a, b.id AS b, len(list_intersect(fa.f, fb.f)) > 0 AS shared, len(list_distinct(list_concat(fa.f, fb.f))) AS files FROM gs a JOIN gs b ON b.id = a.id + 5 JOIN (SELECT global_id, list(DISTINCT file_id) AS f FROM loc GROUP BY 1) fa ON fa.global_id = a.id JOIN (SELECT global_id, list(DISTINCT file_id) AS f FROM loc GROUP BY 1) fb ON fb.global_id = b.id", GS)
 def _(s, d):
-    f = fx.loc(s, d).groupBy("global_id").agg(F.collect_set("file_id").alias("f"))
-    a = f.select(F.col("global_id").alias("a"), F.col("f").alias("fa"))
-    b = f.select((F.col("global_id") - 5).alias("a"), F.col("global_id").alias("b"), F.col("f").alias("fb"))
-    return a.join(b, "a").select("a", "b", F.arrays_overlap("fa", "fb").alias("shared"), F.size(F.array_union("fa", "fb")).cast("long").alias("files"))
+    pairs = fx.gs(s, d).select(F.col("id").alias("a"), (F.col("id") + 5).alias("b"))
+    return identity.compare_files(fx.loc(s, d), pairs)
 
 
-@query("se4_unknown_keys", "SELECT DISTINCT source AS key FROM documents EXCEPT SELECT lang FROM documents")
+@query("se4_unknown_keys", f"SELECT DISTINCT key FROM (SELECT source AS key FROM documents UNION ALL SELECT ({list(config.KEYS)})[doc_id % {len(config.KEYS)} + 1] FROM documents UNION ALL SELECT upper('model')) WHERE key NOT IN (SELECT unnest({list(config.KEYS)}))")
 def _(s, d):
     doc = fx.table(s, d, "documents")
-    return doc.select(F.col("source").alias("key")).distinct().subtract(doc.select(F.col("lang").alias("key")))
+    known = F.element_at(F.array(*[F.lit(k) for k in config.KEYS]), (F.col("doc_id") % len(config.KEYS) + 1).cast("int"))
+    keys = doc.select(F.col("source").alias("key")).union(doc.select(known)).union(s.createDataFrame([("MODEL",)], "key string"))
+    return config.unknown_keys(keys)
 
 
-@query("jn3_near_clips", "SELECT l.id AS local_id, e.global_id, round(max(list_cosine_similarity(l.centroid, e.centroid)), 6) AS similarity FROM vp l, enr e GROUP BY ALL HAVING max(list_cosine_similarity(l.centroid, e.centroid)) >= 0.55", ENR)
+@query("jn3_near_clips", "SELECT l.id AS local_id, e.global_id, round(max(list_cosine_similarity(l.centroid, e.centroid)), 6) AS similarity FROM vp l, enr e GROUP BY ALL HAVING max(round(list_cosine_similarity(l.centroid, e.centroid), 9)) >= 0.55", ENR)
 def _(s, d):
     from voxframe.operators.similarity import candidates
 

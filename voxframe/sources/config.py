@@ -1,4 +1,7 @@
-"""Settings of runs: read from TOML, checked, written back. Unknown keys are errors; whole numbers do for fractions."""
+"""Settings of runs: read from TOML, checked, written back. Unknown keys are errors; whole numbers do for fractions.
+
+What the engine decides with is used there; what models are told (model_options) is handed to the functions plugged into operators/inference.py.
+"""
 
 from __future__ import annotations
 
@@ -6,19 +9,50 @@ import json
 import tomllib
 from dataclasses import dataclass, field, fields
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from voxframe.operators.render import FORMATS
 
 
 @dataclass(frozen=True)
 class Settings:
     out_dir: str = ""
+    work_dir: str = ""
+    db_path: str = ""
+    model_dir: str = ""
+    keep_work: bool = False
     mirror_tree: bool = True
     formats: list[str] = field(default_factory=lambda: ["srt", "md", "json"])
     overwrite: bool = False
     recursive: bool = True
     language: str = ""
     model: str = "default"
+    backend: str = "whisper"
+    asr_accel: str = "auto"
+    translate: bool = False
     beam_size: int = 5
+    n_threads: int = 0
+    condition_on_previous_text: bool = False
+    temperature_fallback: bool = True
+    entropy_threshold: float = 2.4
+    logprob_threshold: float = -1.0
+    no_speech_threshold: float = 0.6
+    word_timestamps: bool = True
+    suppress_non_speech: bool = True
+    vad_filter: bool = True
+    hotwords: list[str] = field(default_factory=list)
+    initial_prompt: str = ""
+    isolate_model: str = ""
+    isolate_accel: str = "auto"
+    onnx_accel: str = "auto"
+    gpu_runtime: str = "prompt"
+    segmentation_model: str = ""
+    embedding_model: str = ""
+    min_speakers: int = -1
+    max_speakers: int = -1
+    diar_cluster_threshold: float = 0.5
+    decode_lookahead: int = 1
     isolate: str = "auto"
     isolate_auto_threshold: float = 0.28
     diarize: bool = True
@@ -38,6 +72,13 @@ class Settings:
     max_split_channels: int = 8
     channel_independence: float = 0.35
 
+    def model_options(self) -> dict:
+        """What models are told: recognition, diarization, isolation; the prompt ends with the words that are expected."""
+        words = ", ".join(self.hotwords) + "." if self.hotwords else ""
+        names = ("backend model language translate beam_size n_threads condition_on_previous_text temperature_fallback entropy_threshold logprob_threshold no_speech_threshold "
+                 "word_timestamps suppress_non_speech vad_filter segmentation_model embedding_model isolate_model num_speakers min_speakers max_speakers diar_cluster_threshold").split()
+        return {n: getattr(self, n) for n in names} | {"prompt": " ".join(x for x in (self.initial_prompt, words) if x)}
+
     def problems(self) -> list[str]:
         """What is wrong with the values; empty if nothing is."""
         found = [f"{n} must be between 0 and 1" for n in ("match_threshold", "cluster_threshold", "enroll_match_threshold") if not 0 < getattr(self, n) < 1]
@@ -57,6 +98,14 @@ class Settings:
         return found
 
 
+KEYS = tuple(sorted(f.name for f in fields(Settings)))
+
+
+def unknown_keys(keys: DataFrame, column: str = "key") -> DataFrame:
+    """The keys that name no setting, each once."""
+    return keys.select(column).where(~F.col(column).isin(*KEYS)).distinct()
+
+
 def load(text: str) -> Settings:
     """Settings from TOML; ValueError names unknown keys, wrong types and values out of range."""
     given = tomllib.loads(text)

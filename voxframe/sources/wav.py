@@ -1,8 +1,14 @@
-"""WAV audio: parsing of any PCM layout, a strict reader for 16 kHz mono, a writer, and a DataFrame decoder with its measures."""
+"""WAV audio: parsing of any PCM layout, a strict reader for 16 kHz mono, measures and samples of files as DataFrames, and a writer.
+
+Samples come in rows of a few seconds, so a recording of hours is never one row. Other formats are turned to WAV by an outside program (transcode).
+"""
 
 from __future__ import annotations
 
+import os
 import struct
+import subprocess
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +21,12 @@ from voxframe.workspace import small_batches
 # Fixed values of the RIFF format.
 PCM, FLOAT, EXTENSIBLE = 1, 3, 0xFFFE
 #: Extensions taken as media. Fixed values.
-MEDIA = frozenset(".wav .mp3 .flac .m4a .ogg .opus .aac .wma .mp4 .mkv .mov .avi .webm .aiff .aif".split())
+MEDIA = frozenset(
+    ".wav .flac .mp3 .m4a .aac .ogg .opus .wma .aiff .aif .alac .ape .mka .m4b .amr .caf .wv .dts "
+    ".mp4 .mkv .mov .avi .webm .m4v .wmv .flv .mpg .mpeg .ts .m2ts .mts .vob .3gp .ogv .asf .rm".split()
+)
+#: Neighbours on either side that a sample of another rate is made from.
+TAPS = 16
 
 
 def parse(data: bytes) -> tuple[np.ndarray, int]:
@@ -62,15 +73,50 @@ def parse_mono16k(data: bytes) -> np.ndarray:
     return x[0]
 
 
-def to_wav(samples: np.ndarray, rate: int) -> bytes:
-    """16-bit PCM of samples [channel, frame], cut to [-1, 1], rounded half away from zero."""
-    x = np.clip(np.atleast_2d(samples).astype(np.float64), -1, 1) * 32767
-    x = np.trunc(x + np.copysign(0.5, x)).astype("<i2")
-    body = np.ascontiguousarray(x.T).tobytes()
-    fmt = struct.pack("<HHIIHH", PCM, len(x), rate, rate * 2 * len(x), 2 * len(x), 16)
+def to_wav(samples: np.ndarray, rate: int, bits: int = 16, tag: int = PCM) -> bytes:
+    """PCM of 8, 16, 24 or 32 bits of samples [channel, frame], cut to [-1, 1], rounded half away from zero; or 32-bit float, as they are."""
+    x = np.atleast_2d(samples)
+    if (tag, bits) == (FLOAT, 32):
+        x = x.astype("<f4")
+    elif tag == PCM and bits in (8, 16, 24, 32):
+        y = np.clip(x.astype(np.float64), -1, 1) * ((1 << (bits - 1)) - 1)
+        y = np.trunc(y + np.copysign(0.5, y))
+        x = (y + 128).astype(np.uint8) if bits == 8 else y.astype("<i2" if bits == 16 else "<i4")
+    else:
+        raise ValueError(f"unknown layout: format {tag}, {bits} bits")
+    channels, body = len(x), np.ascontiguousarray(x.T)
+    body = np.ascontiguousarray(body[..., None].view(np.uint8)[..., :3]).tobytes() if bits == 24 else body.tobytes()
+    body += b"\0" * (len(body) & 1)
+    fmt = struct.pack("<HHIIHH", tag, channels, rate, rate * bits // 8 * channels, bits // 8 * channels, bits)
     return b"RIFF" + struct.pack("<I", 36 + len(body)) + b"WAVEfmt " + struct.pack("<I", 16) + fmt + b"data" + struct.pack("<I", len(body)) + body
 
 
+def resample(x: np.ndarray, rate: int, to: int) -> np.ndarray:
+    """float32 samples of one channel at another rate, by a windowed sinc that passes what both rates hold."""
+    if rate == to or not len(x):
+        return x.astype(np.float32)
+    cut = min(1.0, to / rate)
+    half = int(np.ceil(TAPS / cut))
+    padded, out = np.concatenate([np.zeros(half), x, np.zeros(half + 1)]), np.empty(max(1, round(len(x) * to / rate)), np.float32)
+    k = np.arange(-half + 1, half + 1)
+    for at in range(0, len(out), 1 << 14):
+        t = np.arange(at, min(at + (1 << 14), len(out))) * (rate / to)
+        d = k[None, :] - (t - np.floor(t))[:, None]
+        w = cut * np.sinc(cut * d) * (0.5 + 0.5 * np.cos(np.pi * np.clip(d / half, -1, 1)))
+        out[at : at + len(t)] = (padded[np.floor(t).astype(np.int64)[:, None] + k + half] * w).sum(1)
+    return out
+
+
+def picked(x: np.ndarray, rate: int, channel: int | None = None, start: float = 0.0, end: float | None = None, to: int | None = None) -> tuple[np.ndarray, int]:
+    """One channel of samples [channel, frame], or the mean of all, from start to end (if after it) in seconds, at another rate if asked."""
+    if channel is not None and not 0 <= channel < len(x):
+        raise ValueError(f"no channel {channel}")
+    stop = x.shape[1] if end is None or end <= start else round(end * rate)
+    x = x[:, max(0, round(start * rate)) : stop]
+    one = x[channel] if channel is not None else x.mean(0, dtype=np.float64)
+    return resample(one, rate, to or rate), to or rate
+
+
 def _energy(x: np.ndarray, frame: int) -> np.ndarray:
     n = len(x) // frame
     return np.abs(x[: n * frame].astype(np.float64)).reshape(n, frame).mean(1)
@@ -94,37 +140,98 @@ def channel_correlation(x: np.ndarray, rate: int) -> float:
     return 1.0 if spread < 1e-6 else float(min(1.0, abs((a * b).sum()) / spread**0.5))
 
 
+def is_media(path: F.Column) -> F.Column:
+    """Whether the path ends like a media file, in letters of any case."""
+    return F.lower(F.regexp_extract(path, r"\.[^./\\]+$", 0)).isin(*sorted(MEDIA))
+
+
+def media_paths(listed: DataFrame) -> DataFrame:
+    """path of the media files among the paths, sorted, once each."""
+    return listed.select("path").where(is_media(F.col("path"))).distinct().orderBy("path")
+
+
 def discover(spark: SparkSession, paths: list[str], recursive: bool = True) -> DataFrame:
     """path of the media files below the folders, sorted, once each; contents are not read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("ignoreMissingFiles", "true").load(paths)
-    kind = F.lower(F.regexp_extract("path", r"\.[^./\\]+$", 0))
-    return found.select("path").where(kind.isin(*sorted(MEDIA))).distinct().orderBy("path")
+    return media_paths(spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("ignoreMissingFiles", "true").load(paths))
 
 
-def decode(files: DataFrame) -> DataFrame:
-    """path, rate, channels, frames, duration, noise_floor, correlation, samples (array of channels), error: from rows path, content.
-
-    A file that can't be read gives a row with its error and nulls.
-    """
+def _rows(files: DataFrame, schema: pa.Schema, ddl: str, of) -> DataFrame:
+    """Rows that of() makes of (content), with path; a file that can't be read gives a row with its error and nulls."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1)):
-                row = dict.fromkeys(schema.names) | {"path": path}
                 try:
-                    x, rate = parse(content.as_buffer().to_pybytes() if content.is_valid else b"")
-                    row |= {"rate": rate, "channels": len(x), "frames": x.shape[1], "duration": x.shape[1] / rate, "noise_floor": noise_floor(x[0], rate), "correlation": channel_correlation(x, rate) if len(x) > 1 else None, "samples": x.tolist()}
+                    yield from of(path, content.as_buffer().to_pybytes() if content.is_valid else b"")
                 except (ValueError, struct.error, ZeroDivisionError) as e:
-                    row["error"] = str(e)
-                yield pa.RecordBatch.from_pylist([row], schema)
+                    yield pa.RecordBatch.from_pylist([dict.fromkeys(schema.names) | {"path": path, "error": str(e)}], schema)
 
-    schema = pa.schema([("path", pa.string()), ("rate", pa.int32()), ("channels", pa.int32()), ("frames", pa.int64()), ("duration", pa.float64()), ("noise_floor", pa.float64()), ("correlation", pa.float64()), ("samples", pa.list_(pa.list_(pa.float32()))), ("error", pa.string())])
     small_batches(files.sparkSession, 16)
-    return files.select("path", "content").mapInArrow(run, "path string, rate int, channels int, frames long, duration double, noise_floor double, correlation double, samples array<array<float>>, error string")
+    return files.select("path", "content").mapInArrow(run, ddl)
+
+
+def decode(files: DataFrame) -> DataFrame:
+    """path, rate, channels, frames, duration, noise_floor, correlation, error: from rows path, content."""
+    schema = pa.schema([("path", pa.string()), ("rate", pa.int32()), ("channels", pa.int32()), ("frames", pa.int64()), ("duration", pa.float64()), ("noise_floor", pa.float64()), ("correlation", pa.float64()), ("error", pa.string())])
+
+    def of(path: str, content: bytes) -> Iterator[pa.RecordBatch]:
+        x, rate = parse(content)
+        yield pa.RecordBatch.from_pylist([{"path": path, "rate": rate, "channels": len(x), "frames": x.shape[1], "duration": x.shape[1] / rate, "noise_floor": noise_floor(x[0], rate), "correlation": channel_correlation(x, rate) if len(x) > 1 else None, "error": None}], schema)
+
+    return _rows(files, schema, "path string, rate int, channels int, frames long, duration double, noise_floor double, correlation double, error string", of)
 
 
-def expand_tracks(files: DataFrame, max_channels: int = 8, independence: float = 0.35) -> DataFrame:
-    """A row a track (track, track_count) for stereo-like files whose channels differ; other files have one track."""
-    split = (F.col("channels") >= 2) & (F.col("channels") <= max_channels) & (F.col("correlation") < independence)
-    n = F.when(split, F.col("channels")).otherwise(1)
-    return files.withColumn("track_count", n).withColumn("track", F.explode(F.sequence(F.lit(0), n - 1)))
+def read_samples(files: DataFrame, *, channel: int | None = None, start: float = 0.0, end: float | None = None, rate: int | None = 16_000, seconds: float = 30.0) -> DataFrame:
+    """path, chunk, first (its first frame), rate, samples (array of float), error: one channel, or the mean of all, of a range of each file, in rows of so many seconds."""
+    schema = pa.schema([("path", pa.string()), ("chunk", pa.int32()), ("first", pa.int64()), ("rate", pa.int32()), ("samples", pa.list_(pa.float32())), ("error", pa.string())])
+
+    def of(path: str, content: bytes) -> Iterator[pa.RecordBatch]:
+        x, own = picked(*parse(content), channel, start, end, rate)
+        step = max(1, round(seconds * own))
+        for k, at in enumerate(range(0, max(1, len(x)), step)):
+            part = x[at : at + step]
+            samples = pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), pa.array(part, pa.float32()))
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([k], pa.int32()), pa.array([at], pa.int64()), pa.array([own], pa.int32()), samples, pa.nulls(1, pa.string())], schema=schema)
+
+    return _rows(files, schema, "path string, chunk int, first long, rate int, samples array<float>, error string", of)
+
+
+def write_files(chunks: DataFrame, root: str, bits: int = 16, tag: int = PCM) -> DataFrame:
+    """path, n_bytes of mono WAV files written below root, a folder that the executors share: from rows path (relative), chunk, rate, samples.
+
+    A file's chunks come to one task, and each file is renamed when it is whole.
+    """
+    base = root.removeprefix("file://")
+
+    def one(key: tuple, group: pa.Table) -> pa.Table:
+        group = group.sort_by("chunk")
+        x = group.column("samples").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        at, data = os.path.join(base, key[0].as_py()), to_wav(x, group.column("rate")[0].as_py(), bits, tag)
+        os.makedirs(os.path.dirname(at), exist_ok=True)
+        with open(f"{at}.{uuid.uuid4().hex}", "wb") as f:
+            f.write(data)
+        os.replace(f.name, at)
+        return pa.table({"path": [key[0].as_py()], "n_bytes": pa.array([len(data)], pa.int64())})
+
+    return chunks.select("path", "chunk", "rate", "samples").groupBy("path").applyInArrow(one, "path string, n_bytes long")
+
+
+def transcode(files: DataFrame, program: str = "ffmpeg", *, channel: int | None = None, start: float = 0.0, end: float | None = None, rate: int = 16_000, channels: int = 1) -> DataFrame:
+    """path, content (WAV), error of media files in any format that the program on the executors reads: from rows path, content. A file that fails gives its error."""
+    arguments = [program, "-nostdin", "-loglevel", "error", *(["-ss", str(start)] if start > 0 else []), "-i", "pipe:0", *(["-t", str(end - start)] if end and end > start else [])]
+    mix = f"pan=mono|c0=c{channel}," if channel is not None else ""
+    arguments += ["-vn", "-map", "0:a:0", "-af", f"{mix}aresample={rate}", "-ac", str(channels), "-ar", str(rate), "-c:a", "pcm_s16le", "-f", "wav", "pipe:1"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1)):
+                data, error = None, None
+                try:
+                    done = subprocess.run(arguments, input=content.as_buffer() if content.is_valid else b"", capture_output=True)
+                    data, error = (done.stdout, None) if done.returncode == 0 else (None, f"{program} failed: {done.stderr.decode(errors='replace').strip().splitlines()[:1]}")
+                except OSError as e:
+                    error = f"{program}: {e.strerror}"
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([data], pa.binary()), pa.array([error], pa.string())], ["path", "content", "error"])
+
+    small_batches(files.sparkSession, 4)
+    return files.select("path", "content").mapInArrow(run, "path string, content binary, error string")

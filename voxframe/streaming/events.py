@@ -4,13 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from voxframe.workspace import new_path
 
 
+#: An event of a run: its kind, and what that kind tells; the rest is null. Kinds: discovered, started, stage, segment, labelled, resolved, finished, progress, log,
+#: download, run_finished.
+SCHEMA = (
+    "event_id long, at double, kind string, file_id long, path string, track int, stage string, fraction double, detail string, idx long, text string, "
+    "seg_start double, seg_end double, local_label string, global_id long, similarity double, error string, wall_seconds double, audio_seconds double, outputs array<string>, "
+    "files_done int, files_total int, files_failed int, files_skipped int, audio_done double, audio_total double, realtime double, level int, bytes_done long, bytes_total long, cancelled boolean"
+)
+
+
+def joined_lines(pieces: DataFrame, source: str, order: str) -> DataFrame:
+    """source, line (from 0), text, open: lines put together from pieces of text that cut them anywhere; white space about them goes, empty ones are left out. The last
+    one is open if no line end has come yet. Pieces of a source are joined in order: a prefix count of line ends deals them to lines, so no text is gathered whole."""
+    rows = pieces.select(source, order, F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("_k", "_part"))
+    rows = rows.withColumn("line", F.sum(F.when(F.col("_k") > 0, 1).otherwise(0)).over(Window.partitionBy(source).orderBy(order, "_k")))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "_k", F.col("_part").alias("t")))), lambda x: x["t"]), "")
+    lines = rows.groupBy(source, "line").agg(F.trim(F.regexp_replace(text, r"^\s+|\s+$", "")).alias("text"))
+    last = F.max("line").over(Window.partitionBy(source))
+    return lines.withColumn("open", F.col("line") == last).where("text <> ''")
+
+
 def read_log(spark: SparkSession, path: str, schema: StructType, files_a_batch: int = 1) -> DataFrame:
     """A stream of the Parquet files below path, in order of their times."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(path)

@@ -27,9 +27,11 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset (tests, local mode) a temporary folder."""
+    """spark.checkpoint.dir of the session; where it is unset in local mode (tests) a temporary folder, which then becomes the setting. On a cluster it must be set."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="voxframe-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -67,7 +69,7 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int) -> None:
-    """Arrow batches of at most so many rows, for tables with long texts: bounds the memory of a Python worker."""
+    """Arrow batches of at most so many rows, for tables with long texts: bounds the memory of a Python worker. Lowers the session's setting for good, as plans run later."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > rows:
