@@ -326,21 +326,60 @@ def _(s, d):
     return identity.globals_in_files(fx.loc(s, d))
 
 
-@query("id13_constrained_clusters")
+CLUSTERS = f"""sp AS MATERIALIZED (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.centroid, b.centroid) AS s, a.file_id = b.file_id AS apart FROM cin a JOIN cin b ON a.id <> b.id),
+cc(step, id, c) AS (/* RECURSE: one merge a step */ SELECT 0, id, id FROM cin UNION ALL
+ (WITH m AS (SELECT x.c AS p, y.c AS q, round(avg(s), 9) AS s FROM cc x JOIN cc y ON x.c < y.c JOIN sp ON sp.a = x.id AND sp.b = y.id GROUP BY x.c, y.c HAVING round(avg(s), 9) >= {CLUSTER} AND NOT bool_or(apart)),
+  best AS (SELECT p, q FROM m ORDER BY s DESC, p, q LIMIT 1)
+  SELECT step + 1, id, CASE WHEN c = q THEN p ELSE c END FROM cc, best)),
+clu AS (SELECT id, arg_max(c, step) AS cluster FROM cc GROUP BY id)"""
+
+
+@query("id13_constrained_clusters", "SELECT id, cluster FROM clu", (*VP, "cin AS (SELECT id, file_id, centroid FROM vp)", CLUSTERS))
 def _(s, d):
     return identity.cluster(fx.vp(s, d), CLUSTER)
 
 
-@query("id4_file_resolution")
+RESOLVED = f"""s1 AS (SELECT l.id AS l, e.global_id AS g, max(round(list_cosine_similarity(l.centroid, e.centroid), 9)) AS s FROM vp l, enr e GROUP BY ALL HAVING max(round(list_cosine_similarity(l.centroid, e.centroid), 9)) >= {ENROL}),
+p1 AS (SELECT l, g, s FROM s1 QUALIFY row_number() OVER (PARTITION BY l ORDER BY s DESC, g) = 1),
+s2 AS MATERIALIZED (SELECT v.file_id, v.id AS l, gs.id AS g, round(list_cosine_similarity(v.centroid, gs.centroid), 9) AS s FROM vp v, gs WHERE NOT enrolled AND v.id NOT IN (SELECT l FROM p1) AND round(list_cosine_similarity(v.centroid, gs.centroid), 9) >= {MATCH}),
+gr(file_id, ls, gl, l, g, s) AS (/* RECURSE: one match a file and step */ SELECT DISTINCT file_id, []::BIGINT[], []::BIGINT[], NULL::BIGINT, NULL::BIGINT, NULL::DOUBLE FROM vp UNION ALL
+ (SELECT gr.file_id, list_append(ls, s2.l), list_append(gl, s2.g), s2.l, s2.g, s2.s FROM gr JOIN s2 ON s2.file_id = gr.file_id WHERE NOT list_contains(ls, s2.l) AND NOT list_contains(gl, s2.g) QUALIFY row_number() OVER (PARTITION BY gr.file_id ORDER BY s2.s DESC, s2.l, s2.g) = 1)),
+rs AS (SELECT v.file_id, v.id AS local_id, CASE WHEN p1.l IS NOT NULL THEN 'enrolled' WHEN gr.l IS NOT NULL THEN 'inferred' WHEN v.total_dur >= {FLOOR} THEN 'mint' ELSE 'below_floor' END AS outcome, coalesce(p1.g, gr.g) AS global_id, round(coalesce(p1.s, gr.s), 6) AS similarity
+ FROM vp v LEFT JOIN p1 ON p1.l = v.id LEFT JOIN gr ON gr.l = v.id)"""
+
+
+@query("id4_file_resolution", "SELECT * FROM rs", (*ENR, RESOLVED))
 def _(s, d):
-    return matching.resolve_batch(fx.vp(s, d), fx.gs(s, d), fx.enr(s, d), enrol=ENROL, match=MATCH, floor=FLOOR)
+    found = matching.resolve_batch(fx.vp(s, d), fx.gs(s, d), fx.enr(s, d), enrol=ENROL, match=MATCH, floor=FLOOR)
+    return found.withColumn("similarity", F.round("similarity", 6))
 
 
-@query("id14_recluster")
+@query("ag18_outcomes", "SELECT outcome, count(*) AS n FROM rs GROUP BY outcome", (*ENR, RESOLVED))
+def _(s, d):
+    return matching.outcomes(matching.resolve_batch(fx.vp(s, d), fx.gs(s, d), fx.enr(s, d), enrol=ENROL, match=MATCH, floor=FLOOR))
+
+
+RECLUSTERED = """ro AS (SELECT loc.*, cluster FROM loc JOIN clu USING (id)), vo AS (SELECT ro.*, name <> '' AS named FROM ro JOIN gs ON gs.id = global_id),
+bn AS (SELECT cluster, global_id AS g FROM vo WHERE named QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY total_dur DESC, id) = 1),
+bv AS (SELECT cluster, global_id AS g FROM (SELECT cluster, global_id, count(*) AS n FROM vo GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY n DESC, global_id) = 1),
+cl AS (SELECT c.cluster, c.n, coalesce(bn.g, bv.g) AS claim FROM (SELECT cluster, count(*) AS n FROM ro GROUP BY cluster) c LEFT JOIN bn ON bn.cluster = c.cluster LEFT JOIN bv ON bv.cluster = c.cluster),
+ow AS (SELECT cluster, CASE WHEN claim IS NOT NULL AND row_number() OVER (PARTITION BY claim ORDER BY n DESC, cluster) = 1 THEN claim END AS own FROM cl),
+ni AS (SELECT cluster, coalesce(own, (SELECT max(id) FROM gs) + row_number() OVER (PARTITION BY own IS NULL ORDER BY cluster)) AS g FROM ow),
+rc AS (SELECT ro.id, ro.cluster, ni.g AS global_id, ro.global_id <> ni.g AS reassigned FROM ro JOIN ni ON ni.cluster = ro.cluster)"""
+RECLUSTER = (*GS, "cin AS (SELECT id, file_id, centroid FROM loc WHERE global_id NOT IN (SELECT id FROM gs WHERE enrolled))", CLUSTERS, RECLUSTERED)
+
+
+@query("id14_recluster", "SELECT * FROM rc", RECLUSTER)
 def _(s, d):
     return matching.recluster(fx.gs(s, d), fx.loc(s, d), threshold=CLUSTER, floor=FLOOR)
 
 
+@query("id14_recluster_counts", "SELECT global_id, count(*) AS members, count(*) FILTER (reassigned) AS moved FROM rc GROUP BY global_id", RECLUSTER)
+def _(s, d):
+    found = matching.recluster(fx.gs(s, d), fx.loc(s, d), threshold=CLUSTER, floor=FLOOR)
+    return found.groupBy("global_id").agg(F.count("*").alias("members"), F.count_if("reassigned").alias("moved"))
+
+
 @query("id11_refreshed_enrollment", ", x AS (SELECT global_id, unnest(range(64)) AS pos, unnest(centroid) AS x, greatest(duration, 1) AS w FROM enr), m AS (SELECT global_id, pos, sum(x * w) / sum(w) AS x FROM x GROUP BY ALL) SELECT global_id, pos::INT AS pos, round(x / sqrt(sum(x * x) OVER (PARTITION BY global_id)), 6) AS x FROM m", ENR)
 def _(s, d):
     return identity.weighted_centroids(fx.enr(s, d), "global_id", "centroid", "duration").select("global_id", "pos", F.round("x", 6).alias("x"))

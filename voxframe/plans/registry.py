@@ -14,7 +14,7 @@ def query(name: str, sql: str | None = None, ctes: tuple[str, ...] = ()):
     def add(f: Callable[[SparkSession, str], DataFrame]):
         QUERIES[name] = f
         if sql:
-            ORACLE_SQL[name] = ("WITH " + ", ".join(ctes) + ("" if sql.startswith(",") else " ") if ctes else "") + sql
+            ORACLE_SQL[name] = (("WITH RECURSIVE " if any("UNION ALL" in c and "RECURSE" in c for c in ctes) else "WITH ") + ", ".join(ctes) + ("" if sql.startswith(",") else " ") if ctes else "") + sql
         return f
 
     return add

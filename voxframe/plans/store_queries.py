@@ -214,21 +214,6 @@ def _(s, d):
     return identity.refresh_enrolment(fx.gs(s, d), fx.enr(s, d).where("id % 3 > 0")).select("id", "enrolled")
 
 
-@query("id14_recluster_counts")
-def _(s, d):
-    from voxframe.operators.matching import recluster
-
-    return recluster(fx.gs(s, d), fx.loc(s, d)).groupBy("global_id").agg(F.count("*").alias("members"), F.count_if("reassigned").alias("moved"))
-
-
-@query("ag18_outcomes")
-def _(s, d):
-    from voxframe.operators.matching import resolve_batch
-
-    few = fx.gs(s, d).where("id <= 3"), fx.enr(s, d).where("id = 0")  # so that all four outcomes occur
-    return resolve_batch(fx.vp(s, d), *few).groupBy("outcome").agg(F.count("*").alias("n"))
-
-
 @query("se2_shared_file_pairs", "SELECT a.id AS a, b.id AS b, len(list_intersect(fa.f, fb.f)) > 0 AS shared, len(list_distinct(list_concat(fa.f, fb.f))) AS files FROM gs a JOIN gs b ON b.id = a.id + 5 JOIN (SELECT global_id, list(DISTINCT file_id) AS f FROM loc GROUP BY 1) fa ON fa.global_id = a.id JOIN (SELECT global_id, list(DISTINCT file_id) AS f FROM loc GROUP BY 1) fb ON fb.global_id = b.id", GS)
 def _(s, d):
     pairs = fx.gs(s, d).select(F.col("id").alias("a"), (F.col("id") + 5).alias("b"))
