@@ -17,6 +17,7 @@ import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -406,6 +407,12 @@ def fit(pages: list[tuple[str, list[str]]] | None = None, steps: int = 120, l2:
     return Model({f: float(theta[i]) for f, i in names.items()}, theta[-8:].reshape(2, 2, 2))
 
 
+@cache
+def fitted() -> Model:
+    """The model of the made-up pages, fitted once in a process."""
+    return fit()
+
+
 def _marginals(s: np.ndarray, pairs: np.ndarray, same: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Probability of main for each block, and of each label pair for each neighbours; pages stand side by side."""
     n, z = s.shape

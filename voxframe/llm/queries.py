@@ -28,7 +28,7 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = maintext.extract(table(spark, sf_dir, "pages"), maintext.fit(), keep=["page_id", "url"])
+    found = maintext.extract(table(spark, sf_dir, "pages"), maintext.fitted(), keep=["page_id", "url"])
     return found.select("page_id", "url", F.col("_vx_main").alias("text"), F.length("_vx_main").cast("long").alias("n_chars"))
 
 
@@ -50,7 +50,7 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.digest(pii.find(table(spark, sf_dir, "documents"), pii.fit(), keep=["doc_id"]))
+    return pii.digest(pii.find(table(spark, sf_dir, "documents"), pii.fitted(), keep=["doc_id"]))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
