@@ -31,7 +31,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = docs.withColumn("_vx_size", mixing.word_count())
     sizes = write_table(rows.select("doc_id", "source", "_vx_size"), "sizes")
     taken = mixing.mix(rows, sizes).where(F.col("_vx_copies") > 0)
-    return taken.withColumn("_vx_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_vx_copies")))).select(*docs.columns)
+    return taken.withColumn("_vx_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_vx_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
