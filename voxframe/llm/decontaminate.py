@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from voxframe.llm.batches import map_batches
 from voxframe.workspace import small_batches, write_table
 
 #: Bytes of a shard's text before it is searched; bytes of a text that are split into words at once; blocks of the test set in a pass.
@@ -184,7 +185,7 @@ def locate(docs: DataFrame, benchmark: DataFrame, *, keep: list[str] | None = No
             block = next(blocks, None)
         lengths = sorted({n for b in held for n in b.lengths})
         tests = [spark.sparkContext.broadcast(b) for b in held]
-        rows = rows.mapInArrow(_searcher(tests, lengths, block is None), out if block is None else mid)
+        rows = map_batches(rows, _searcher(tests, lengths, block is None), out if block is None else mid)
         if block is None:
             return rows
         rows = write_table(rows, "searched")

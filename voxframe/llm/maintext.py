@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from voxframe.llm.batches import map_batches
 from voxframe.workspace import small_batches
 
 # Fixed sets of HTML elements.
@@ -448,4 +449,4 @@ def extract(pages: DataFrame, model: Model, *, keep: list[str] | None = None, ht
             texts = [shared.value.text(t.as_py()) for t in b.column(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], [*b.schema.names[:-1], "_vx_main"])
 
-    return pages.select(*[F.col(f"`{c}`") for c in keep], F.col(html_col).cast("string").alias("_vx_html")).mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("_vx_main", T.StringType())]))
+    return map_batches(pages.select(*[F.col(f"`{c}`") for c in keep], F.col(html_col).cast("string").alias("_vx_html")), run, T.StructType([*kept.schema.fields, T.StructField("_vx_main", T.StringType())]))

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from voxframe.llm.batches import map_batches
 from voxframe.workspace import small_batches
 
 KINDS = ("email", "ip", "card", "phone")
@@ -374,7 +375,7 @@ def find(docs: DataFrame, model: Model, *, keep: list[str] | None = None, text_c
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(rows, kind)], [*b.schema.names[:-1], "_vx_spans"])
 
     spans = T.StructType.fromDDL(f"_vx_spans {SPANS}")
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).cast("string").alias("_vx_text")).mapInArrow(run, T.StructType([*kept.schema.fields, *spans.fields]))
+    return map_batches(docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).cast("string").alias("_vx_text")), run, T.StructType([*kept.schema.fields, *spans.fields]))
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxframe.llm.batches import map_batches
 from voxframe.operators.components import connected_components
 from voxframe.operators.joins import spread_join
 from voxframe.workspace import small_batches, write_table
@@ -190,4 +191,4 @@ def fingerprint_column(docs: DataFrame, text_col: str = "text", k: int = 3, seed
 
     small_batches(docs.sparkSession, 1000)
     text = F.col(f"`{text_col}`").cast("string").alias("_vx_text")
-    return docs.select(*[F.col(f"`{c}`") for c in docs.columns], text).mapInArrow(run, docs.select("*").withColumn("_vx_fp", F.lit(0).cast("long")).schema)
+    return map_batches(docs.select(*[F.col(f"`{c}`") for c in docs.columns], text), run, docs.select("*").withColumn("_vx_fp", F.lit(0).cast("long")).schema)

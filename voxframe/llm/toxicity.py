@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from voxframe.llm.batches import map_batches
 from voxframe.workspace import small_batches, write_table
 
 N_GRAMS, BUCKET_BITS = (3, 4, 5, 6), 19
@@ -154,4 +155,4 @@ def score(docs: DataFrame, model: Model, *, keep: list[str] | None = None, text_
             s = [shared.value.score(t.as_py()) for t in b.column(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64())], [*b.schema.names[:-1], "_vx_score"])
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).cast("string").alias("_vx_text")).mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("_vx_score", T.DoubleType())]))
+    return map_batches(docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).cast("string").alias("_vx_text")), run, T.StructType([*kept.schema.fields, T.StructField("_vx_score", T.DoubleType())]))
