@@ -90,6 +90,24 @@ def test_arrival_order_and_the_end_of_a_batch(spark, tmp_path):
     assert tuple(e.table_of("clear").head()) == (3, 2, 2, 1)
 
 
+def test_a_change_writes_the_parts_it_touches(spark, tmp_path):
+    at = f"file://{tmp_path}/s"
+    rows = spark.range(4000).select(F.col("id").alias("file_id"), F.lit("a").alias("x"))
+    store.commit({"t": rows}, at, {"t": "file_id"})
+    one = rows.where("file_id = 77")
+    parts = store.buckets_of(one, "file_id")
+    own = store.current(spark, at, only={"t": parts})["t"]
+    assert len(parts) == 1 and 0 < own.count() < 60
+    store.commit({"t": own.where("file_id <> 77").unionByName(one.withColumn("x", F.lit("b")))}, at, {"t": "file_id"}, {"t": parts})
+    assert len([p for p in (tmp_path / "s").glob("v2-*/t/_bucket=*")]) == 1
+    new = store.current(spark, at)["t"]
+    assert new.count() == 4000 and [r.file_id for r in new.where("x = 'b'").collect()] == [77] and store.current(spark, at, 1)["t"].where("x = 'b'").count() == 0
+    store.commit({"t": own.limit(0)}, at, {"t": "file_id"}, {"t": parts})  # a part may become empty
+    assert store.current(spark, at)["t"].count() == 4000 - own.count()
+    store.commit({"t": rows.limit(0)}, at, {"t": "file_id"})
+    assert store.current(spark, at)["t"].columns == ["file_id", "x"] and store.current(spark, at)["t"].count() == 0
+
+
 def test_settings_decide(spark, tmp_path):
     s = config.load('split_channels = true\nmax_split_channels = 2\nisolate = "always"\nembed_max_segments = 1\nhotwords = ["Ann", "Bo"]\ninitial_prompt = "Hi."\nbeam_size = 7\n')
     e = Engine(spark, f"file://{tmp_path}/s", s)

@@ -1,7 +1,8 @@
 """The store of a speech corpus and the verbs that work on it.
 
 A store is a folder that all executors share. Every change writes the tables it touches and then a mark that names the files of all
-tables, so readers see a whole version or the one before, and earlier versions can be read. Verbs that only read return DataFrames.
+tables, so readers see a whole version or the one before, and earlier versions can be read. Tables by file lie in parts, and a change of some files
+writes their parts only. Verbs that only read return DataFrames.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ TABLES = {
     "dismissed": "low long, high long",
     "outputs": "file_id long, format string, path string",
 }
+#: Tables that lie in parts, and by what.
+KEYS = {"files": "id", "segments": "file_id", "locals": "file_id", "outputs": "file_id"}
 
 
 class Engine:
@@ -32,11 +35,14 @@ class Engine:
         if store.last_version(spark, self.root) is None:
             self._commit(**{k: spark.createDataFrame([], v) for k, v in TABLES.items()})
 
-    def tables(self, version: int | None = None) -> dict[str, DataFrame]:
-        return store.current(self.spark, self.root, version)
+    def tables(self, version: int | None = None, parts: list[int] | None = None) -> dict[str, DataFrame]:
+        """The store's tables; with parts, those by file have just these parts."""
+        return store.current(self.spark, self.root, version, None if parts is None else dict.fromkeys(KEYS, parts))
 
-    def _commit(self, **changed: DataFrame) -> None:
-        store.commit({k: v.select(*[F.col(f.name).cast(f.dataType) for f in self.spark.createDataFrame([], TABLES[k]).schema]) for k, v in changed.items()}, self.root)
+    def _commit(self, parts: list[int] | None = None, **changed: DataFrame) -> None:
+        """With parts, of the tables by file just these parts are written."""
+        rows = {k: v.select(*[F.col(f.name).cast(f.dataType) for f in self.spark.createDataFrame([], TABLES[k]).schema]) for k, v in changed.items()}
+        store.commit(rows, self.root, KEYS, None if parts is None else dict.fromkeys(KEYS, parts))
 
     # --- reading
 
@@ -122,8 +128,10 @@ class Engine:
         known = todo.join(x.select("path", "track", "id"), ["path", "track"], "left").withColumn("status", F.lit("pending"))
         fresh = store.mint(x, known.where("id is null").drop("id"), ["path", "track"])
         cols = x.columns
-        kept = x.join(known.where("id is not null").select("id"), "id", "left_anti")
-        self._commit(files=kept.select(*cols).unionByName(known.where("id is not null").select(*cols)).unionByName(fresh.select(*cols)))
+        changed = write_table(known.where("id is not null").select(*cols).unionByName(fresh.select(*cols)), "changed")
+        parts = store.buckets_of(changed, "id")
+        kept = self.tables(parts=parts)["files"].join(changed.select("id"), "id", "left_anti")
+        self._commit(parts, files=kept.select(*cols).unionByName(changed))
         return self.tables()["files"].where("status = 'pending'").join(found, ["path", "track"])
 
     def add(self, segments: DataFrame, voices: DataFrame) -> None:
@@ -132,7 +140,9 @@ class Engine:
         Their former rows go. The voices are matched against the store as it was before, then segments take their speakers' identities.
         """
         x, s = self.tables(), self.settings
-        files = segments.select("file_id").distinct()
+        files = write_table(segments.select("file_id").distinct(), "added")
+        parts = store.buckets_of(files, "file_id")
+        own_parts = self.tables(parts=parts)
         ids = x["identities"]
         blank = voices.withColumn("global_id", F.lit(None).cast("long")).withColumn("similarity", F.lit(None).cast("double"))
         others = x["locals"].join(files, "file_id", "left_anti")
@@ -151,10 +161,11 @@ class Engine:
         folded = identity.centroid_arrays(before.unionByName(matched), "global_id", "centroid", "w").withColumnRenamed("global_id", "id")
         said = segments.join(placed.select("file_id", F.col("label").alias("local_label"), "global_id"), ["file_id", "local_label"], "left")
         self._commit(
+            parts,
             identities=store.update(ids, folded, "id", ["centroid"]).unionByName(own),
-            locals=others.unionByName(placed.select(*x["locals"].columns)),
-            segments=x["segments"].join(files, "file_id", "left_anti").unionByName(said.select(*x["segments"].columns)),
-            files=store.update(x["files"], files.select(F.col("file_id").alias("id"), F.lit("done").alias("status")), "id", ["status"]),
+            locals=own_parts["locals"].join(files, "file_id", "left_anti").unionByName(placed.select(*x["locals"].columns)),
+            segments=own_parts["segments"].join(files, "file_id", "left_anti").unionByName(said.select(*x["segments"].columns)),
+            files=store.update(own_parts["files"], files.select(F.col("file_id").alias("id"), F.lit("done").alias("status")), "id", ["status"]),
         )
 
     def add_in_order(self, segments: DataFrame, voices: DataFrame) -> None:
@@ -184,11 +195,12 @@ class Engine:
         left = files.where(~F.col("status").isin("pending", "done", "failed", "skipped"))
         n = left.count()
         if n:
-            self._commit(files=store.update(files, left.select("id", F.lit("pending").alias("status")), "id", ["status"]))
+            parts = store.buckets_of(left, "id")
+            self._commit(parts, files=store.update(self.tables(parts=parts)["files"], left.select("id", F.lit("pending").alias("status")), "id", ["status"]))
         return n
 
     def backup(self, dest: str) -> int:
-        return store.backup(self.spark, self.root, dest)
+        return store.backup(self.spark, self.root, dest, KEYS)
 
     def rollback(self, version: int) -> int:
         return store.rollback(self.spark, self.root, version)
@@ -222,8 +234,9 @@ class Engine:
         if not self.settings.out_dir:
             raise ValueError("out_dir must be set to write transcripts")
         written = write_table(render.write_files(body, paths, self.settings.out_dir), "written")
-        out = x["outputs"].join(written.select("file_id", F.lit(fmt).alias("format")), ["file_id", "format"], "left_anti").select(*x["outputs"].columns)
-        self._commit(outputs=out.unionByName(written.select("file_id", F.lit(fmt).alias("format"), "path")))
+        parts = store.buckets_of(written, "file_id")
+        out = self.tables(parts=parts)["outputs"].join(written.select("file_id", F.lit(fmt).alias("format")), ["file_id", "format"], "left_anti").select(*x["outputs"].columns)
+        self._commit(parts, outputs=out.unionByName(written.select("file_id", F.lit(fmt).alias("format"), "path")))
         return written
 
     # --- identities
@@ -250,10 +263,12 @@ class Engine:
         self._known(x["identities"], source, into)
         if source == into:
             return
-        ids, loc, clips, dis = identity.merge_identities(x["identities"], x["locals"], x["clips"], x["dismissed"], source, into)
+        parts = store.buckets_of(x["locals"].where(F.col("global_id") == source), "file_id")
+        own = self.tables(parts=parts)
+        ids, loc, clips, dis = identity.merge_identities(x["identities"], own["locals"], x["clips"], x["dismissed"], source, into)
         only = clips.where(F.col("global_id") == into)
         ids = ids.where(F.col("id") != into).unionByName(identity.refresh_enrolment(ids.where(F.col("id") == into), only))
-        self._commit(identities=ids, locals=loc, clips=clips, dismissed=dis, segments=identity.merge(x["segments"], source, into))
+        self._commit(parts, identities=ids, locals=loc, clips=clips, dismissed=dis, segments=identity.merge(own["segments"], source, into))
 
     def split(self, local_id: int) -> None:
         x = self.tables()

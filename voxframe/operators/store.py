@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from voxframe.functions.vectors import canonical_pair
 from voxframe.workspace import write_table
 
+#: Parts of a table that lies in parts; the mark's number for a table in one piece, or for the columns of one in parts.
+BUCKETS, WHOLE = 256, -1
+
 
 def classify_files(stored: DataFrame, seen: DataFrame) -> DataFrame:
     """path, track, action of each file seen: new; same (size equal, mtime within a second, done); redo (same but not done); changed."""
@@ -122,20 +125,43 @@ def last_version(spark: SparkSession, root: str) -> int | None:
     return max((int(n[1:]) for n in done), default=None)
 
 
-def commit(tables: dict[str, DataFrame], root: str) -> int:
+def bucket(key: str) -> Column:
+    """The part of a table that a row with this key lies in."""
+    return F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(BUCKETS)).cast("int")
+
+
+def buckets_of(rows: DataFrame, key: str) -> list[int]:
+    """The parts that the rows lie in: BUCKETS numbers at most."""
+    return [r[0] for r in rows.select(bucket(key)).distinct().collect()]
+
+
+def commit(tables: dict[str, DataFrame], root: str, keys: dict[str, str] | None = None, only: dict[str, list[int]] | None = None) -> int:
     """Writes the tables as the next version and returns its number; tables not given are those of the version before, by reference.
 
+    Tables with a key in keys lie in parts by it, and of those named in only, just these parts are written; the others stay, by reference.
     A version holds once its mark is complete, so a commit that fails leaves the former one in place. Of two writers of one version the second
     fails: each must create the version's claim, which the file system lets one of them do, after its tables are written.
     """
-    spark = next(iter(tables.values())).sparkSession
+    spark, keys, only = next(iter(tables.values())).sparkSession, keys or {}, only or {}
     last = last_version(spark, root)
-    paths = {} if last is None else _mark(spark, root, last)
+    marked = {} if last is None else _mark(spark, root, last)
     version, tag = (last or 0) + 1, uuid.uuid4().hex[:8]
     for name, rows in tables.items():
-        paths[name] = f"v{version}-{tag}/{name}"
-        rows.write.parquet(f"{root}/{paths[name]}")
-    return _put_mark(spark, root, version, paths)
+        path = f"v{version}-{tag}/{name}"
+        if name not in keys:
+            rows.write.parquet(f"{root}/{path}")
+            marked[name] = {WHOLE: path}
+            continue
+        parts, kept = rows.withColumn("_bucket", bucket(keys[name])), {}
+        if name in only and name in marked:
+            parts = parts.where(F.col("_bucket").isin(only[name]))
+            kept = {k: v for k, v in marked[name].items() if k not in only[name] and k != WHOLE}
+        parts.hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(f"{root}/{path}")
+        rows.limit(0).write.parquet(f"{root}/{path}-none")  # holds the columns where there are no rows
+        fs, at = _files(spark, f"{root}/{path}")
+        names = [f.getPath().getName() for f in fs.listStatus(at)]
+        marked[name] = kept | {int(n.partition("=")[2]): f"{path}/{n}" for n in names if n.startswith("_bucket=")} | {WHOLE: f"{path}-none"}
+    return _put_mark(spark, root, version, marked)
 
 
 def _files(spark: SparkSession, at: str):
@@ -144,12 +170,13 @@ def _files(spark: SparkSession, at: str):
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
-def _put_mark(spark: SparkSession, root: str, version: int, paths: dict[str, str]) -> int:
+def _put_mark(spark: SparkSession, root: str, version: int, marked: dict[str, dict[int, str]]) -> int:
     fs, claim = _files(spark, f"{root}/claims/v{version}")
     fs.mkdirs(claim.getParent())
     if not fs.createNewFile(claim):
         raise RuntimeError(f"version {version} of {root} has been claimed by another writer")
-    spark.createDataFrame(sorted(paths.items()), "name string, path string").coalesce(1).write.json(f"{root}/marks/v{version}")
+    rows = sorted((name, k, path) for name, parts in marked.items() for k, path in parts.items())
+    spark.createDataFrame(rows, "name string, bucket int, path string").coalesce(1).write.json(f"{root}/marks/v{version}")
     return version
 
 
@@ -171,28 +198,37 @@ def rollback(spark: SparkSession, root: str, version: int) -> int:
     return _put_mark(spark, root, (last_version(spark, root) or 0) + 1, _mark(spark, root, version))
 
 
-def backup(spark: SparkSession, root: str, dest: str) -> int:
+def backup(spark: SparkSession, root: str, dest: str, keys: dict[str, str] | None = None) -> int:
     """Copies the last version to another folder as a store of its own; its version there. If that fails, dest goes."""
     fs, at = _files(spark, dest)
     if fs.exists(at):
         raise ValueError(f"{dest} exists")
     try:
-        return commit(current(spark, root), dest)
+        return commit(current(spark, root), dest, keys)
     except Exception:
         fs.delete(at, True)
         raise
 
 
-def _mark(spark: SparkSession, root: str, version: int) -> dict[str, str]:
-    return {r.name: r.path for r in spark.read.schema("name string, path string").json(f"{root}/marks/v{version}").collect()}
+def _mark(spark: SparkSession, root: str, version: int) -> dict[str, dict[int, str]]:
+    out: dict[str, dict[int, str]] = {}
+    for r in spark.read.schema("name string, bucket int, path string").json(f"{root}/marks/v{version}").collect():  # BUCKETS rows a table at most
+        out.setdefault(r.name, {})[r.bucket] = r.path
+    return out
 
 
-def current(spark: SparkSession, root: str, version: int | None = None) -> dict[str, DataFrame]:
-    """The tables of the last version committed, or of an earlier one."""
+def current(spark: SparkSession, root: str, version: int | None = None, only: dict[str, list[int]] | None = None) -> dict[str, DataFrame]:
+    """The tables of the last version committed, or of an earlier one; of those named in only, just these parts."""
     version = last_version(spark, root) if version is None else version
     if version is None:
         raise ValueError(f"no version below {root}")
-    return {name: spark.read.parquet(f"{root}/{path}") for name, path in _mark(spark, root, version).items()}
+    out = {}
+    for name, parts in _mark(spark, root, version).items():
+        kept = (only or {}).get(name)
+        paths = [path for k, path in sorted(parts.items()) if kept is None or k in kept or k == WHOLE]
+        schema = spark.read.parquet(f"{root}/{parts[WHOLE]}").schema
+        out[name] = spark.read.schema(schema).parquet(*[f"{root}/{path}" for path in paths])
+    return out
 
 
 def counts(files: DataFrame, segments: DataFrame, identities: DataFrame, clips: DataFrame) -> DataFrame:
