@@ -107,3 +107,10 @@ def test_odd_tables(spark):
     assert mixing.mix(df).count() == 0
     twice = [(1, "a", "x y", None), (1, "a", "x y", None), (2, "b", "x", None)]
     assert len(run(spark, twice)[0]) == 3
+
+
+def test_repeated_rows_go_together(spark):
+    rows = [(i // 5, "a", "w " * (1 + i // 5 % 7), None) for i in range(1000)] + [(5000 + i, "b", "w w w", None) for i in range(300)]
+    out, by = run(spark, rows, weights=(1, 3))
+    assert len(out) == len(rows) and all(len({r._vx_copies for r in by["a"] if r.doc_id == i}) == 1 for i in range(200))
+    assert abs(sum(r.taken for r in by["a"]) - by["a"][0]._vx_target) <= 5 * 7

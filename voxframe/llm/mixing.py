@@ -9,7 +9,7 @@ nearer. A document of no words counts as one word for p. u is a hash of the docu
 Defined cases: a null source is a source of its own, last in order; null and empty texts have size 0 and are copied
 like others, taking no words; an empty table gives an empty table; repeated rows are separate documents that share
 a random number, and ties are broken by id, then size; other columns pass through, whatever their names are, but for
-names that begin with _vx_.
+names that begin with _vx_. Rows that agree in random number, id and size are taken together or left together.
 """
 
 from __future__ import annotations
@@ -87,7 +87,7 @@ def mix(rows: DataFrame, sizes: DataFrame | None = None, *, id_col: str = "doc_i
     sizes: the same rows with only id, source and size, if those are cheaper to read; sums are made from it.
     Shuffles: counts by source and size, sums by source and bucket of the rank axis, and an order of the few rows in the one
     bucket of each source where the sample ends (p is the probability of a rank below 1, so that is a bucket about 1, of about BUCKET_ROWS rows or fewer).
-    A source with a third of all rows is only ever summed.
+    A source with a third of all rows is only ever summed. The rows themselves are read once, with the last rank taken of each source beside them.
     """
     sizes = (rows if sizes is None else sizes).select(F.col(id_col).alias("_vx_id"), F.col(source).alias("_vx_source"), F.col(size).alias("_vx_s"))
     classes = write_table(sizes.groupBy("_vx_source", "_vx_s").agg(F.count("*").alias("_vx_k")), "classes")
@@ -107,18 +107,25 @@ def mix(rows: DataFrame, sizes: DataFrame | None = None, *, id_col: str = "doc_i
         sure = F.coalesce(F.col(s) >= F.col("_vx_z"), F.lit(False))
         p = F.least(F.coalesce("_vx_f", F.lit(0.0)) * F.greatest(F.col(s), F.lit(1)), F.lit(1.0))
         df = df.withColumn("_vx_sure", sure.cast("int")).withColumn("_vx_p", F.when(~sure & (p > 0), p))
-        df = df.withColumn("_vx_q", pareto_rank(uniform(key, seed), F.col("_vx_p")))
-        return df.withColumn("_vx_b", F.floor(F.col("_vx_q") / (1 + F.col("_vx_q")) * F.col("_vx_n")))
+        return df.withColumn("_vx_q", pareto_rank(uniform(key, seed), F.col("_vx_p")))
 
-    sums = ranked(sizes, plan, "_vx_source", "_vx_id", "_vx_s").where("_vx_q is not null").groupBy("_vx_rank", "_vx_b", "_vx_left").agg(F.sum("_vx_s").alias("_vx_w"))
+    bucket = F.floor((1 - 1 / (1 + F.col("_vx_q"))) * F.col("_vx_n"))
+    own = ranked(sizes, plan, "_vx_source", "_vx_id", "_vx_s").where("_vx_p is not null").withColumn("_vx_b", bucket)
+    sums = own.groupBy("_vx_rank", "_vx_b", "_vx_left").agg(F.sum("_vx_s").alias("_vx_w"))
     up_to = Window.partitionBy("_vx_rank").orderBy("_vx_b").rowsBetween(Window.unboundedPreceding, 0)
     sums = sums.withColumn("_vx_cum", F.sum("_vx_w").over(up_to)).where(F.col("_vx_cum") >= F.col("_vx_left"))
     edge = sums.groupBy("_vx_rank").agg(F.min_by(F.struct(F.col("_vx_b").alias("b"), (F.col("_vx_cum") - F.col("_vx_w")).alias("before")), "_vx_b").alias("_vx_edge"))
-    placed = ranked(rows, write_table(plan.join(edge, "_vx_rank", "left"), "edges"), source, id_col, size)
-    inside = F.col("_vx_edge").isNotNull() & (F.col("_vx_b") == F.col("_vx_edge.b"))
-    clear = placed.where(~F.coalesce(inside, F.lit(False))).withColumn("_vx_pick", F.when(F.col("_vx_q").isNotNull() & (F.col("_vx_edge").isNull() | (F.col("_vx_b") < F.col("_vx_edge.b"))), 1).otherwise(0))
-    order = Window.partitionBy("_vx_rank", "_vx_b").orderBy("_vx_q", id_col, size).rowsBetween(Window.unboundedPreceding, 0)
-    cum, rest = F.sum(size).over(order) + F.col("_vx_edge.before"), F.col("_vx_left")
-    near = placed.where(inside).withColumn("_vx_cum", cum).withColumn("_vx_pick", F.when((F.col("_vx_cum") <= rest) | (F.col("_vx_cum") - rest < rest - (F.col("_vx_cum") - F.col(size))), 1).otherwise(0))
-    both = clear.unionByName(near.drop("_vx_cum"))
-    return both.withColumn("_vx_copies", F.col("_vx_whole") + F.col("_vx_sure") + F.col("_vx_pick")).select(*[F.col(f"`{c}`") for c in rows.columns], "_vx_source_size", "_vx_target", "_vx_copies")
+    edge = write_table(edge, "edge")
+    # a row a source, as the plan; the rows of the edge's buckets are few, and alike ones are one
+    near = own.join(F.broadcast(edge) if few else edge, "_vx_rank").where(F.col("_vx_b") == F.col("_vx_edge.b"))
+    near = near.groupBy("_vx_rank", "_vx_left", "_vx_edge", "_vx_q", "_vx_id", "_vx_s").agg((F.count("*") * F.col("_vx_s")).alias("_vx_w"))
+    order = Window.partitionBy("_vx_rank").orderBy("_vx_q", "_vx_id", "_vx_s").rowsBetween(Window.unboundedPreceding, 0)
+    cum, rest = F.sum("_vx_w").over(order) + F.col("_vx_edge.before"), F.col("_vx_left")
+    near = near.withColumn("_vx_cum", cum).where((F.col("_vx_cum") <= rest) | (F.col("_vx_cum") - rest < rest - (F.col("_vx_cum") - F.col("_vx_w"))))
+    last = near.groupBy("_vx_rank").agg(F.max(F.struct(F.col("_vx_q").alias("q"), F.col("_vx_id").alias("i"), F.col("_vx_s").alias("s"))).alias("_vx_last"))
+    plan = write_table(plan.join(edge, "_vx_rank", "left").join(last, "_vx_rank", "left"), "edges")
+    at = F.struct(F.col("_vx_q").alias("q"), F.col(f"`{id_col}`").alias("i"), F.col(f"`{size}`").alias("s"))
+    inside = F.coalesce(at <= F.col("_vx_last"), F.lit(False))
+    pick = F.when(F.col("_vx_p").isNull(), 0).when(F.col("_vx_edge").isNull() | (F.col("_vx_b") < F.col("_vx_edge.b")) | ((F.col("_vx_b") == F.col("_vx_edge.b")) & inside), 1).otherwise(0)
+    placed = ranked(rows, plan, source, id_col, size).withColumn("_vx_b", bucket)
+    return placed.withColumn("_vx_copies", F.col("_vx_whole") + F.col("_vx_sure") + pick).select(*[F.col(f"`{c}`") for c in rows.columns], "_vx_source_size", "_vx_target", "_vx_copies")
