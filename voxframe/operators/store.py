@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from voxframe.functions.vectors import canonical_pair
 from voxframe.workspace import write_table
 
-#: Parts of a table that lies in parts; the mark's number for a table in one piece, or for the columns of one in parts.
-BUCKETS, WHOLE = 256, -1
+#: Parts of a table that lies in parts; the mark's numbers for a table in one piece, and for a table's schema.
+BUCKETS, WHOLE, SCHEMA = 256, -1, -2
 
 
 def classify_files(stored: DataFrame, seen: DataFrame) -> DataFrame:
@@ -148,19 +150,19 @@ def commit(tables: dict[str, DataFrame], root: str, keys: dict[str, str] | None
     version, tag = (last or 0) + 1, uuid.uuid4().hex[:8]
     for name, rows in tables.items():
         path = f"v{version}-{tag}/{name}"
+        schema = rows.schema.json()
         if name not in keys:
             rows.write.parquet(f"{root}/{path}")
-            marked[name] = {WHOLE: path}
+            marked[name] = schema, {WHOLE: path}
             continue
         parts, kept = rows.withColumn("_bucket", bucket(keys[name])), {}
         if name in only and name in marked:
             parts = parts.where(F.col("_bucket").isin(only[name]))
-            kept = {k: v for k, v in marked[name].items() if k not in only[name] and k != WHOLE}
+            kept = {k: v for k, v in marked[name][1].items() if k not in only[name]}
         parts.hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(f"{root}/{path}")
-        rows.limit(0).write.parquet(f"{root}/{path}-none")  # holds the columns where there are no rows
         fs, at = _files(spark, f"{root}/{path}")
         names = [f.getPath().getName() for f in fs.listStatus(at)]
-        marked[name] = kept | {int(n.partition("=")[2]): f"{path}/{n}" for n in names if n.startswith("_bucket=")} | {WHOLE: f"{path}-none"}
+        marked[name] = schema, kept | {int(n.partition("=")[2]): f"{path}/{n}" for n in names if n.startswith("_bucket=")}
     return _put_mark(spark, root, version, marked)
 
 
@@ -170,12 +172,12 @@ def _files(spark: SparkSession, at: str):
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
-def _put_mark(spark: SparkSession, root: str, version: int, marked: dict[str, dict[int, str]]) -> int:
+def _put_mark(spark: SparkSession, root: str, version: int, marked: dict[str, tuple[str, dict[int, str]]]) -> int:
     fs, claim = _files(spark, f"{root}/claims/v{version}")
     fs.mkdirs(claim.getParent())
     if not fs.createNewFile(claim):
         raise RuntimeError(f"version {version} of {root} has been claimed by another writer")
-    rows = sorted((name, k, path) for name, parts in marked.items() for k, path in parts.items())
+    rows = sorted((name, k, path) for name, (schema, parts) in marked.items() for k, path in [(SCHEMA, schema), *parts.items()])
     spark.createDataFrame(rows, "name string, bucket int, path string").coalesce(1).write.json(f"{root}/marks/v{version}")
     return version
 
@@ -210,11 +212,12 @@ def backup(spark: SparkSession, root: str, dest: str, keys: dict[str, str] | Non
         raise
 
 
-def _mark(spark: SparkSession, root: str, version: int) -> dict[str, dict[int, str]]:
+def _mark(spark: SparkSession, root: str, version: int) -> dict[str, tuple[str, dict[int, str]]]:
+    """For each table its schema and the paths of its parts."""
     out: dict[str, dict[int, str]] = {}
     for r in spark.read.schema("name string, bucket int, path string").json(f"{root}/marks/v{version}").collect():  # BUCKETS rows a table at most
         out.setdefault(r.name, {})[r.bucket] = r.path
-    return out
+    return {name: (parts.pop(SCHEMA), parts) for name, parts in out.items()}
 
 
 def current(spark: SparkSession, root: str, version: int | None = None, only: dict[str, list[int]] | None = None) -> dict[str, DataFrame]:
@@ -223,11 +226,10 @@ def current(spark: SparkSession, root: str, version: int | None = None, only: di
     if version is None:
         raise ValueError(f"no version below {root}")
     out = {}
-    for name, parts in _mark(spark, root, version).items():
-        kept = (only or {}).get(name)
-        paths = [path for k, path in sorted(parts.items()) if kept is None or k in kept or k == WHOLE]
-        schema = spark.read.parquet(f"{root}/{parts[WHOLE]}").schema
-        out[name] = spark.read.schema(schema).parquet(*[f"{root}/{path}" for path in paths])
+    for name, (schema, parts) in _mark(spark, root, version).items():
+        kept, kind = (only or {}).get(name), StructType.fromJson(json.loads(schema))
+        paths = [f"{root}/{path}" for k, path in sorted(parts.items()) if kept is None or k in kept or k == WHOLE]
+        out[name] = spark.read.schema(kind).parquet(*paths) if paths else spark.createDataFrame([], kind)
     return out
 
 
