@@ -13,7 +13,7 @@ from voxframe.functions.vectors import canonical_pair
 from voxframe.workspace import write_table
 
 #: Parts of a table that lies in parts; the mark's numbers for a table in one piece, and for a table's schema.
-BUCKETS, WHOLE, SCHEMA = 256, -1, -2
+BUCKETS, WHOLE, SCHEMA = 64, -1, -2
 
 
 def classify_files(stored: DataFrame, seen: DataFrame) -> DataFrame:

@@ -497,4 +497,4 @@ def _(s, d):
     return moved.groupBy("global_id").agg(F.count("*").alias("n"))
 
 
-from voxframe.plans import run_queries, store_queries  # noqa: E402,F401  they register their own
+from voxframe.plans import engine_queries, run_queries, store_queries  # noqa: E402,F401  they register their own
