@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxframe import files
 from voxframe.functions import text as t
 
 FORMATS = ("srt", "vtt", "txt", "tsv", "md", "json")
@@ -85,22 +84,15 @@ def markdown(blocks: DataFrame, files: DataFrame | None = None) -> DataFrame:
 
 
 def write_files(bodies: DataFrame, paths: DataFrame, root: str) -> DataFrame:
-    """file_id, path, n_bytes of the transcripts written below root, a folder that the executors share: rows file_id, body and file_id, path (relative).
+    """file_id, path, n_bytes of the transcripts written below root, the URI of a folder that the executors share: rows file_id, body and file_id, path (relative).
 
     Each is written under a name of its own and then renamed, so a reader never sees a part and a task that runs twice does no harm.
     """
-    base = root.removeprefix("file://")
+    base = root.rstrip("/")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = b.to_pylist()
-            for r in rows:
-                at, data = os.path.join(base, r["path"]), r["body"].encode()
-                os.makedirs(os.path.dirname(at), exist_ok=True)
-                with open(f"{at}.{uuid.uuid4().hex}", "wb") as f:
-                    f.write(data)
-                os.replace(f.name, at)
-                r["n_bytes"] = len(data)
-            yield pa.RecordBatch.from_pylist([{k: r[k] for k in ("file_id", "path", "n_bytes")} for r in rows], pa.schema([("file_id", pa.int64()), ("path", pa.string()), ("n_bytes", pa.int64())]))
+            rows = [{"file_id": r["file_id"], "path": r["path"], "n_bytes": files.write_whole(f"{base}/{r['path']}", [r["body"].encode()])} for r in b.to_pylist()]
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("file_id", pa.int64()), ("path", pa.string()), ("n_bytes", pa.int64())]))
 
     return bodies.join(paths, "file_id").select(F.col("file_id").cast("long"), "path", "body").mapInArrow(run, "file_id long, path string, n_bytes long")

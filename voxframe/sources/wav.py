@@ -5,10 +5,8 @@ Samples come in rows of a few seconds, so a recording of hours is never one row.
 
 from __future__ import annotations
 
-import os
 import struct
 import subprocess
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxframe import files as shared_files
 from voxframe.workspace import small_batches
 
 # Fixed values of the RIFF format.
@@ -197,21 +196,17 @@ def read_samples(files: DataFrame, *, channel: int | None = None, start: float =
 
 
 def write_files(chunks: DataFrame, root: str, bits: int = 16, tag: int = PCM) -> DataFrame:
-    """path, n_bytes of mono WAV files written below root, a folder that the executors share: from rows path (relative), chunk, rate, samples.
+    """path, n_bytes of mono WAV files written below root, the URI of a folder that the executors share: from rows path (relative), chunk, rate, samples.
 
     A file's chunks come to one task, and each file is renamed when it is whole.
     """
-    base = root.removeprefix("file://")
+    base = root.rstrip("/")
 
     def one(key: tuple, group: pa.Table) -> pa.Table:
         group = group.sort_by("chunk")
         x = group.column("samples").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        at, data = os.path.join(base, key[0].as_py()), to_wav(x, group.column("rate")[0].as_py(), bits, tag)
-        os.makedirs(os.path.dirname(at), exist_ok=True)
-        with open(f"{at}.{uuid.uuid4().hex}", "wb") as f:
-            f.write(data)
-        os.replace(f.name, at)
-        return pa.table({"path": [key[0].as_py()], "n_bytes": pa.array([len(data)], pa.int64())})
+        n = shared_files.write_whole(f"{base}/{key[0].as_py()}", [to_wav(x, group.column("rate")[0].as_py(), bits, tag)])
+        return pa.table({"path": [key[0].as_py()], "n_bytes": pa.array([n], pa.int64())})
 
     return chunks.select("path", "chunk", "rate", "samples").groupBy("path").applyInArrow(one, "path string, n_bytes long")
 
