@@ -30,8 +30,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as often as the mix takes them."""
     rows = docs.withColumn("_vx_size", mixing.word_count())
     sizes = write_table(rows.select("doc_id", "source", "_vx_size"), "sizes")
-    taken = mixing.mix(rows, sizes).where(F.col("_vx_copies") > 0)
-    return taken.withColumn("_vx_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_vx_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    taken = mixing.mix(rows, sizes)
+    # outer, so that no filter on the copies is pushed below the join, where sizes and ranks would be worked out once more
+    copies = F.explode_outer(F.when(F.col("_vx_copies") > 0, F.sequence(F.lit(1).cast("long"), F.col("_vx_copies"))))
+    return taken.withColumn("_vx_copy", copies).where("_vx_copy is not null").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
