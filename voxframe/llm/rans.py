@@ -15,11 +15,13 @@ import zlib
 
 import numpy as np
 
-from voxframe.llm.files import Held, Source
+from voxframe.files import Held, Source
 
 MAGIC, HEAD = b"VXTK0001", struct.Struct("<8sIIIQQQQQI")
 LANES, STEPS = 32, 512
 BLOCK = LANES * STEPS
+#: Blocks that are coded and decoded at once; bounds the memory.
+GROUP = 64
 _LOW, _32 = np.uint64(1 << 31), np.uint64(32)
 
 
@@ -58,10 +60,26 @@ def encode(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray) -> b
     """A whole file of documents; ids: those of all documents, in order."""
     ids = np.ascontiguousarray(ids, "<u4")
     symbols, f, bits = table(ids)
-    low, shift, n = np.cumsum(f) - f, np.uint64(bits), len(ids)
+    low, n = np.cumsum(f) - f, len(ids)
+    blocks = -(-n // BLOCK)
+    coded = [_coded(_places(symbols, ids[at * BLOCK : (at + GROUP) * BLOCK]), f, low, np.uint64(bits)) for at in range(0, blocks, GROUP)]
+    stream, n_words, x = (np.concatenate(c) if coded else np.empty(0, kind) for c, kind in zip(zip(*coded) if coded else ((), (), ()), ("<u4", np.int64, np.uint64)))
+    counts = np.minimum(BLOCK, n - np.arange(blocks) * BLOCK)
+    crc = [zlib.crc32(ids[i * BLOCK : (i + 1) * BLOCK].tobytes()) for i in range(blocks)]
+    points = (np.cumsum(n_words) - n_words).astype("<u8").tobytes() + counts.astype("<u4").tobytes() + np.array(crc, "<u4").tobytes() + x.astype("<u8").tobytes()
+    freq = zlib.compress(np.diff(symbols, prepend=0).astype("<u4").tobytes() + f.astype("<u4").tobytes(), 6)
+    null = np.array([d is None for d in doc_ids], np.uint8)
+    index = zlib.compress(np.array([d or 0 for d in doc_ids], "<i8").tobytes() + null.tobytes() + np.asarray(lengths).astype("<u8").tobytes(), 6)
+    body = freq + index + points
+    return HEAD.pack(MAGIC, bits, len(symbols), blocks, n, len(doc_ids), len(freq), len(index), len(stream), zlib.crc32(body)) + body + stream.tobytes()
+
+
+def _coded(places: np.ndarray, f: np.ndarray, low: np.ndarray, shift: np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words, number of words of each block, and states of a group of blocks, coded side by side."""
+    n = len(places)
     blocks = -(-n // BLOCK)
     at = np.zeros(blocks * BLOCK, np.int64)
-    at[:n] = _places(symbols, ids)
+    at[:n] = places
     at = at.reshape(blocks, STEPS, LANES).transpose(1, 0, 2).reshape(STEPS, blocks * LANES)
     live = (np.arange(blocks * BLOCK) < n).reshape(blocks, STEPS, LANES).transpose(1, 0, 2).reshape(STEPS, blocks * LANES)
     x = np.full(blocks * LANES, _LOW, np.uint64)
@@ -74,16 +92,7 @@ def encode(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray) -> b
         q = x // fs
         x = np.where(on, (q << shift) + (x - q * fs) + low[at[t]], x)
     by_block = sent.reshape(STEPS, blocks, LANES).transpose(1, 0, 2)
-    stream = words.reshape(STEPS, blocks, LANES).transpose(1, 0, 2)[by_block]
-    n_words = by_block.sum((1, 2))
-    counts = np.minimum(BLOCK, n - np.arange(blocks) * BLOCK)
-    crc = [zlib.crc32(ids[i * BLOCK : (i + 1) * BLOCK].tobytes()) for i in range(blocks)]
-    points = (np.cumsum(n_words) - n_words).astype("<u8").tobytes() + counts.astype("<u4").tobytes() + np.array(crc, "<u4").tobytes() + x.astype("<u8").tobytes()
-    freq = zlib.compress(np.diff(symbols, prepend=0).astype("<u4").tobytes() + f.astype("<u4").tobytes(), 6)
-    null = np.array([d is None for d in doc_ids], np.uint8)
-    index = zlib.compress(np.array([d or 0 for d in doc_ids], "<i8").tobytes() + null.tobytes() + np.asarray(lengths).astype("<u8").tobytes(), 6)
-    body = freq + index + points
-    return HEAD.pack(MAGIC, bits, len(symbols), blocks, n, len(doc_ids), len(freq), len(index), len(stream), zlib.crc32(body)) + body + stream.tobytes()
+    return words.reshape(STEPS, blocks, LANES).transpose(1, 0, 2)[by_block], by_block.sum((1, 2)), x
 
 
 class Reader:
@@ -118,7 +127,7 @@ class Reader:
         if start >= stop:
             return np.empty(0, "<u4")
         lo, hi = start // BLOCK, -(-stop // BLOCK)
-        ids = self._blocks(lo, hi)
+        ids = np.concatenate([self._blocks(at, min(hi, at + GROUP)) for at in range(lo, hi, GROUP)])
         for i in range(lo, hi):
             at = (i - lo) * BLOCK
             if zlib.crc32(ids[at : at + self.counts[i]].tobytes()) != self.crc[i]:

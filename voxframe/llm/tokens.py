@@ -25,11 +25,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from voxframe.llm import files, rans
+from voxframe import files
+from voxframe.llm import rans
 from voxframe.workspace import small_batches, write_table
 
 #: Ids in a file about, chunks in the cache at most, bytes of text encoded at once.
-FILE_IDS, CACHE, STEP = 4_000_000, 500_000, 6 << 20
+FILE_IDS, CACHE, STEP = 4_000_000, 250_000, 3 << 20
 #: Tasks that read files at most; each takes its share.
 READERS = 100_000
 #: Stands between chunks that the library encodes together; a space goes where an ASCII or Latin-1 letter meets ASCII punctuation.
