@@ -207,7 +207,7 @@ def best_enrolled(locals_: DataFrame, clips: DataFrame, threshold: float) -> Dat
     """local_id, global_id, similarity: the enrolled identity with the nearest clip; several locals may share one (ties: lowest id)."""
     near = candidates(locals_, clips, threshold).join(clips.select(F.col("id").alias("other_id"), "global_id"), "other_id")
     sims = near.groupBy("local_id", "global_id").agg(F.greatest(F.lit(0.0), F.max("sim")).alias("similarity"))
-    best = sims.groupBy("local_id").agg(F.max_by(F.struct("global_id", "similarity"), F.struct("similarity", -F.col("global_id"))).alias("m"))
+    best = sims.groupBy("local_id").agg(F.max_by(F.struct("global_id", "similarity"), F.struct(F.round("similarity", PLACES), -F.col("global_id"))).alias("m"))
     return best.select("local_id", "m.global_id", "m.similarity")
 
 
@@ -215,7 +215,7 @@ def greedy(pairs: Iterable[tuple[float, int, int]], shared: bool = False) -> dic
     """Local to (identity, similarity), by falling similarity; each local once, each identity once unless shared. Ties: lowest local, then identity."""
     taken: set[int] = set()
     out: dict[int, tuple[int, float]] = {}
-    for sim, a, g in sorted(pairs, key=lambda x: (-x[0], x[1], x[2])):
+    for sim, a, g in sorted(pairs, key=lambda x: (-round(x[0], PLACES), x[1], x[2])):
         if a not in out and (shared or g not in taken):
             out[a] = (g, sim)
             taken.add(g)

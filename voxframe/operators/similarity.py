@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 #: Vectors of a block; a task compares two blocks. Numbers of the smaller side that are broadcast at most; beyond, both sides are dealt in blocks.
 BLOCK, SMALL = 512, 1 << 22
-#: Places to which similarities are rounded, so that equal pairs tie whatever block they are compared in.
+#: Places to which similarities are rounded where their order decides, so that equal pairs tie whatever block they were compared in.
 PLACES = 9
 
 
@@ -34,7 +34,7 @@ def _compared(left: dict, right: dict, low: float, high: float, own: bool) -> pa
     for n in left.keys() & right.keys():
         (a, x), (b, y) = left[n], right[n]
         for at in range(0, len(a), BLOCK):
-            sim = np.round(x[at : at + BLOCK] @ y.T, PLACES)
+            sim = x[at : at + BLOCK] @ y.T
             hit = (sim >= low) & (sim < high)
             if own:
                 hit &= a[at : at + BLOCK, None] < b[None, :]

@@ -154,9 +154,9 @@ def _(s, d):
     return _codes(wav.read_samples(_recordings(s, d)[1], rate=None, seconds=0.01))
 
 
-@query("sc4_wav_range", "SELECT part, pos - 100 AS pos, code FROM rec WHERE pos BETWEEN 100 AND 179", (REC,))
+@query("sc4_wav_range", "SELECT part, pos - 10 AS pos, code FROM rec WHERE pos BETWEEN 10 AND 39", (REC,))
 def _(s, d):
-    return _codes(wav.read_samples(_recordings(s, d)[1], channel=0, start=100 / 8000, end=180 / 8000, rate=None))
+    return _codes(wav.read_samples(_recordings(s, d)[1], channel=0, start=10 / 8000, end=40 / 8000, rate=None))
 
 
 @query("sc5_wav_heads", "SELECT part, 8000 AS rate, 1 AS channels, count(*) AS frames, count(*) / 8000::DOUBLE AS duration FROM rec GROUP BY part", (REC,))

@@ -75,10 +75,10 @@ N = "(SELECT count(*) FROM embeddings)"
 
 def loc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Voices with an identity: many have a few, some none; one voice in 11 has none yet."""
-    return vp(spark, sf_dir).where("id % 11 <> 0").withColumn("global_id", F.col("id") * F.col("id") % voices(spark, sf_dir) + 1)
+    return vp(spark, sf_dir).where("id % 11 <> 0").withColumn("global_id", F.expr("id * id div 3") % voices(spark, sf_dir) + 1)
 
 
-LOC = f"loc AS (SELECT *, id * id % {N} + 1 AS global_id FROM vp WHERE id % 11 <> 0)"
+LOC = f"loc AS (SELECT *, id * id // 3 % {N} + 1 AS global_id FROM vp WHERE id % 11 <> 0)"
 
 
 def _other(kept: F.Column) -> F.Column:
