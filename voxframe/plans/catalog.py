@@ -15,6 +15,7 @@ from voxframe.plans import fixtures as fx
 from voxframe.plans.registry import ORACLE_SQL, QUERIES, query
 from voxframe.sources import wav
 from voxframe.streaming import events as stream
+from voxframe.workspace import write_table
 
 MATCH, REVIEW, ENROL, CLUSTER, FLOOR = 0.65, 0.50, 0.55, 0.65, 8.0
 VP, LOC, GS, ENR = (fx.VP,), (fx.VP, fx.LOC), (fx.VP, fx.LOC, fx.GS), (fx.VP, fx.LOC, fx.GS, fx.ENR)
@@ -277,10 +278,10 @@ sh AS (SELECT DISTINCT p.global_id AS a, q.global_id AS b FROM gf p JOIN gf q ON
 
 @query("jn5_duplicate_candidates", f"SELECT left_id, right_id, round(s, 6) AS similarity FROM pr ANTI JOIN sh ON sh.a = left_id AND sh.b = right_id WHERE s >= {REVIEW} AND s < {MATCH} AND (left_id + right_id) % 7 <> 0", (*GS, DUPES))
 def _(s, d):
-    g = fx.gs(s, d)
+    g, loc = write_table(fx.gs(s, d), "gs"), write_table(fx.loc(s, d).drop("centroid"), "loc")  # stored, as an engine has them
     low, high = g.select(F.col("id").alias("low"), (F.col("id") % 7).alias("r")), g.select(F.col("id").alias("high"), ((7 - F.col("id") % 7) % 7).alias("r"))
     ids = low.join(high, "r").where("low < high").select("low", "high")
-    found = identity.duplicate_candidates(g, fx.loc(s, d), ids, REVIEW, MATCH)
+    found = identity.duplicate_candidates(g, loc, ids, REVIEW, MATCH)
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
