@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxframe.llm import decontaminate, maintext, mixing, pii, simhash, suffixes, telephony, tokens, toxicity, warc
+from voxframe.llm import decontaminate, maintext, mixing, pii, simhash, spelling, suffixes, telephony, tokens, toxicity, warc
 from voxframe.workspace import new_path, write_table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -69,7 +69,11 @@ def op10_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.read(telephony.store(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_simhash_near_dedup, op3_main_text, op4_token_output, op5_warc, op6_source_mixing, op7_personal_data, op8_toxicity, op9_benchmark_decontamination, op10_telephony_audio)}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(spelling.vocabulary(table(spark, sf_dir, "documents"), typo=97))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_simhash_near_dedup, op3_main_text, op4_token_output, op5_warc, op6_source_mixing, op7_personal_data, op8_toxicity, op9_benchmark_decontamination, op10_telephony_audio, op11_spelling_variants)}
 
 ORACLE_SQL = {
     "op6_source_mixing": """
@@ -126,5 +130,18 @@ h AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(rang
 t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+""",
+    "op11_spelling_variants": """
+WITH RECURSIVE t AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i::BIGINT] || [0::BIGINT for _ in range(8)], lambda x, _: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS c FROM range(256) r(i))),
+r AS (SELECT coalesce(doc_id::VARCHAR, 'null') AS doc, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS w FROM documents),
+g AS (SELECT doc, w, count(*) AS k, hex(encode(doc || ':' || w)) AS x FROM r WHERE length(w) >= 5 GROUP BY doc, w),
+h AS (SELECT w, k, xor(list_reduce([4294967295::BIGINT] || [('0x' || substr(x, 2 * i + 1, 2))::BIGINT for i in range(len(x) // 2)], lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS c FROM g, t),
+v AS MATERIALIZED (SELECT word, sum(k)::BIGINT AS n FROM (SELECT CASE WHEN c % 97 = 0 THEN substr(w, 1, c % length(w)) || substr(w, c % length(w) + 2) ELSE w END AS word, k FROM h) WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+e AS MATERIALIZED (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS x FROM (SELECT word, unnest(range(length(word))) AS i FROM v)),
+p AS (SELECT a.word AS a, b.word AS b FROM e a JOIN e b USING (x, i) WHERE a.word <> b.word UNION SELECT e.word, x FROM e JOIN v o ON o.word = x UNION SELECT x, e.word FROM e JOIN v o ON o.word = x),
+m AS (SELECT a, count(*) AS n_near, min({'n': -v.n, 'w': v.word}) AS top FROM p JOIN v ON v.word = b GROUP BY a),
+f AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -top.n >= 2 * n THEN top.w END AS form, CASE WHEN -top.n >= 2 * n THEN -top.n END AS form_n FROM v LEFT JOIN m ON a = word),
+c AS (SELECT word, word AS root FROM f UNION ALL SELECT c.word, f.form FROM c JOIN f ON f.word = c.root WHERE f.form IS NOT NULL)
+SELECT f.*, c.root FROM f JOIN c ON c.word = f.word JOIN f z ON z.word = c.root WHERE z.form IS NULL
 """,
 }
