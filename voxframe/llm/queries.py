@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxframe.llm import decontaminate, maintext, mixing, pii, simhash, spelling, suffixes, telephony, tokens, toxicity, warc
+from voxframe.llm import alignment, decontaminate, maintext, mixing, pii, simhash, spelling, suffixes, telephony, tokens, toxicity, warc
 from voxframe.workspace import new_path, write_table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_LEVEL, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 #: Scores from here on are toxic.
 TOXIC_FROM = 0.3
 
@@ -73,7 +74,12 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group(spelling.vocabulary(table(spark, sf_dir, "documents"), typo=97))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_simhash_near_dedup, op3_main_text, op4_token_output, op5_warc, op6_source_mixing, op7_personal_data, op8_toxicity, op9_benchmark_decontamination, op10_telephony_audio, op11_spelling_variants)}
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.align(table(spark, sf_dir, "documents"), BYTE_LEVEL, PIECES, keep=["doc_id"], digest=True)
+    return found.select("doc_id", *[F.col(f"_vx_{c}").alias(c) for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")], F.col("_vx_groups").alias("groups_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_simhash_near_dedup, op3_main_text, op4_token_output, op5_warc, op6_source_mixing, op7_personal_data, op8_toxicity, op9_benchmark_decontamination, op10_telephony_audio, op11_spelling_variants, op13_token_alignment)}
 
 ORACLE_SQL = {
     "op6_source_mixing": """
