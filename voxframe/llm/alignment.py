@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxframe.llm.batches import map_batches
+from voxframe.llm.batches import map_batches, numbered
 from voxframe.workspace import small_batches, write_table
 
 #: Bytes of text in a chunk; units in the cache at most; tokens that are linked at once.
@@ -216,7 +216,6 @@ def align(docs: DataFrame, a_path: str, b_path: str, *, keep: list[str] | None =
     known = chunks.select("_vx_chunk", "a", "b").join(counts, ["a", "b"]).select(F.col("_vx_chunk").alias("chunk"), "a", "b", "n", "best")
     names = tokens.columns
     out = T.StructType([*tokens.schema.fields[:-3], *[T.StructField(*f) for f in _OUT]])
-    numbered = tokens.toDF(*[f"_{i}" for i in range(len(names))])
 
     def score(rows: pa.Table, pairs: pa.Table) -> pa.Table:
         pair = _pair(a_path, b_path)
@@ -230,7 +229,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, *, keep: list[str] | None =
 
     by = f"_{len(names) - 3}"
     plain = T.StructType([T.StructField(f"_{i}" if i < len(names) - 3 else f.name, f.dataType) for i, f in enumerate(out)])
-    scored = numbered.groupBy(by).cogroup(known.groupBy("chunk")).applyInArrow(score, plain)
+    scored = numbered(tokens).groupBy(by).cogroup(known.groupBy("chunk")).applyInArrow(score, plain)
     return scored.toDF(*[f.name for f in out])
 
 

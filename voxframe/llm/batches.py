@@ -16,4 +16,9 @@ def map_batches(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Itera
     def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return run(pa.RecordBatch.from_arrays(b.columns, names) for b in batches)
 
-    return rows.toDF(*[f"_{i}" for i in range(len(names))]).mapInArrow(renamed, schema)
+    return numbered(rows).mapInArrow(renamed, schema)
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows with columns _0, _1 and so on, for the same reason."""
+    return rows.toDF(*[f"_{i}" for i in range(len(rows.columns))])

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxframe.llm import alignment, decontaminate, maintext, mixing, pii, simhash, spelling, suffixes, telephony, tokens, toxicity, warc
+from voxframe.llm import alignment, decontaminate, maintext, mixing, passages, pii, simhash, spelling, suffixes, telephony, tokens, toxicity, warc
 from voxframe.workspace import new_path, write_table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -74,12 +74,18 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group(spelling.vocabulary(table(spark, sf_dir, "documents"), typo=97))
 
 
+def op12_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.dedup(table(spark, sf_dir, "documents"), keep=["doc_id"], longest=False)
+    gone = F.aggregate("_vx_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", F.col("_vx_n_words").alias("n_words"), gone.alias("n_removed"), F.sha2(F.col("_vx_kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = alignment.align(table(spark, sf_dir, "documents"), BYTE_LEVEL, PIECES, keep=["doc_id"], digest=True)
     return found.select("doc_id", *[F.col(f"_vx_{c}").alias(c) for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")], F.col("_vx_groups").alias("groups_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_simhash_near_dedup, op3_main_text, op4_token_output, op5_warc, op6_source_mixing, op7_personal_data, op8_toxicity, op9_benchmark_decontamination, op10_telephony_audio, op11_spelling_variants, op13_token_alignment)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_simhash_near_dedup, op3_main_text, op4_token_output, op5_warc, op6_source_mixing, op7_personal_data, op8_toxicity, op9_benchmark_decontamination, op10_telephony_audio, op11_spelling_variants, op12_repeated_passages, op13_token_alignment)}
 
 ORACLE_SQL = {
     "op6_source_mixing": """
@@ -149,5 +155,14 @@ m AS (SELECT a, count(*) AS n_near, min({'n': -v.n, 'w': v.word}) AS top FROM p
 f AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -top.n >= 2 * n THEN top.w END AS form, CASE WHEN -top.n >= 2 * n THEN -top.n END AS form_n FROM v LEFT JOIN m ON a = word),
 c AS (SELECT word, word AS root FROM f UNION ALL SELECT c.word, f.form FROM c JOIN f ON f.word = c.root WHERE f.form IS NOT NULL)
 SELECT f.*, c.root FROM f JOIN c ON c.word = f.word JOIN f z ON z.word = c.root WHERE z.form IS NULL
+""",
+    "op12_repeated_passages": """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(0, len(w) - 12)) AS p FROM d),
+h AS (SELECT doc_id, p, md5_number(array_to_string(w[p + 1 : p + 13], ' ')) AS m FROM p),
+f AS (SELECT m, min(doc_id) AS first FROM h GROUP BY m HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT doc_id, list(DISTINCT q) AS gone FROM (SELECT doc_id, unnest(range(p, p + 13)) AS q FROM h JOIN f USING (m) WHERE doc_id > first) GROUP BY doc_id),
+k AS (SELECT doc_id, string_agg(w[q + 1], ' ' ORDER BY q) AS kept FROM (SELECT doc_id, w, unnest(range(len(w))) AS q FROM d) a ANTI JOIN (SELECT doc_id, unnest(gone) AS q FROM g) b USING (doc_id, q) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN g USING (doc_id) LEFT JOIN k USING (doc_id)
 """,
 }
