@@ -5,7 +5,7 @@ a row a chunk. A window whose hash stands under two ids repeats; those alone are
 length asked for is reached. Below the shortest length that counts, a level need not test each of its windows: of those that lie in a window of the full length the smallest hash stands for them
 all, and as equal windows choose alike, whatever repeats is found by it. A last step that would go past that length overlaps its halves.
 
-The documents are dealt to their chunks by one shuffle that all levels of a plan share. What a level found goes back to the chunks that have it. Windows of the full length and beyond are
+The documents, their texts compressed, are dealt to their chunks by one shuffle that all levels of a plan share. What a level found goes back to the chunks that have it. Windows of the full length and beyond are
 compared by 96 bits, shorter ones by 64, as these only decide what is looked at next.
 
 Defined cases: null and empty texts have no words and stay as they are; a null id counts as the largest; documents with one id are none before the other, so they don't remove each other's
@@ -20,13 +20,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxframe.llm.batches import numbered
+from voxframe.llm.batches import map_batches, numbered
 from voxframe.llm.decontaminate import vocabulary
-from voxframe.workspace import write_table
+from voxframe.workspace import small_batches, write_table
 
 #: Bytes of text in a chunk about.
 CHUNK = 8 << 20
@@ -138,7 +139,21 @@ def _levels(chunk: Chunk, known: pa.Table, sizes: list[int]) -> Iterator[tuple[n
 
 def _ids_texts(rows: pa.Table) -> tuple[np.ndarray, list[bytes | None]]:
     texts = rows.column(rows.num_columns - 1)
-    return rows.column(rows.num_columns - 2).to_numpy(), [t.as_buffer().to_pybytes() if t.is_valid else None for t in texts]
+    unpacked = zstandard.ZstdDecompressor()
+    return rows.column(rows.num_columns - 2).to_numpy(), [unpacked.decompress(t.as_buffer()) if t.is_valid else None for t in texts]
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """The last column's texts compressed, as they are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            texts = pa.array([pack.compress(t.as_buffer()) if t.is_valid else None for t in b.column(b.num_columns - 1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], texts], b.schema.names)
+
+    small_batches(rows.sparkSession, 1000)
+    return map_batches(rows, run, T.StructType([*rows.schema.fields[:-1], T.StructField(rows.columns[-1], T.BinaryType())]))
 
 
 def _hashes(window: int, sizes: list[int]):
@@ -150,16 +165,20 @@ def _hashes(window: int, sizes: list[int]):
         head = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))) if len(x) else np.empty(0, np.int64)
         low, high = (f.reduceat(ids, head) if len(x) else ids for f in (np.minimum, np.maximum))
         at = rows.column(rows.num_columns - 3)[0].as_py() if rows.num_rows else 0
-        return pa.table({"chunk": pa.array(np.full(len(head), at), pa.int32()), "x": x[head].view(np.int64), "y": y[head].view(np.int64), "low": low, "high": high})
+        return pa.table({"chunk": pa.array(np.full(len(head), at), pa.int32()), "x": x[head].view(np.int64), "y": y[head].view(np.int64), "low": low, "gap": low ^ high})
 
     return run
 
 
 def _repeated(hashes: DataFrame, size: int, hits: bool) -> DataFrame:
     """The hashes that stand under two ids, in each chunk that has them (with hits: that has one that is not the smallest)."""
-    by = Window.partitionBy("x", "y")
-    rows = hashes.withColumn("first", F.min("low").over(by)).withColumn("last", F.max("high").over(by))
-    return rows.where(F.col("high") > F.col("first") if hits else F.col("last") > F.col("first")).select("chunk", F.lit(size).alias("size"), "x", "y", "first")
+    by, high = Window.partitionBy("x", "y"), F.col("low").bitwiseXOR(F.col("gap"))
+    rows = hashes.withColumn("first", F.min("low").over(by)).withColumn("last", F.max(high).over(by))
+    if hits:  # where all of a chunk's ids are larger, it needn't know the smallest
+        rows = rows.where(high > F.col("first")).withColumn("first", F.when(F.col("low") > F.col("first"), -1 << 63).otherwise(F.col("first")))
+    else:
+        rows = rows.where(F.col("last") > F.col("first"))
+    return rows.select("chunk", F.lit(size).alias("size"), "x", "y", "first")
 
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, window: int = 13, start: int = 7, longest: bool = True) -> DataFrame:
@@ -176,14 +195,16 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ke
     dealt = F.pmod(F.xxhash64(doc, text, F.spark_partition_id()), F.lit(n_chunks)).cast("int")  # so equal rows part, too
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], dealt.alias("_vx_chunk"), doc.alias("_vx_id"), text.alias("_vx_text"))
     kept = rows.schema.fields[:-3]
+    rows = _packed(rows)
     rows = numbered(write_table(rows, "texts") if longest else rows)
     by = rows.columns[-3]
     known, sizes = spark.createDataFrame([], _FOUND), lengths(window, start)
     level = 0
     while level < len(sizes):
         n = sizes[level]
-        hashes = rows.groupBy(by).cogroup(known.groupBy("chunk")).applyInArrow(_hashes(window, sizes[: level + 1]), "chunk int, x long, y long, low long, high long")
+        hashes = rows.groupBy(by).cogroup(known.groupBy("chunk")).applyInArrow(_hashes(window, sizes[: level + 1]), "chunk int, x long, y long, low long, gap long")
         found = _repeated(hashes, n, hits=not longest and n == window)
+        found = found if longest or n == window else found.withColumn("first", F.lit(0).cast("long"))
         level += 1
         if longest:
             found = write_table(found, "level")
