@@ -20,6 +20,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from voxframe.llm.batches import map_batches, numbered
 from voxframe.workspace import small_batches, write_table
 
 #: Bytes of text in a chunk; units in the cache at most; tokens that are linked at once.
-CHUNK, CACHE, STEP = 8 << 20, 300_000, 1 << 20
+CHUNK, CACHE, STEP = 8 << 20, 600_000, 1 << 19
 #: A space between visible characters; those beyond Latin letters are left whole.
 CUT = re.compile("(?<=[!-~¡-ɏ]) (?=[!-~¡-ɏ])")
 # The bytes that byte-level vocabularies write as themselves; the others are written as the code points from 256 on, in order.
@@ -79,41 +80,68 @@ class Pieces:
 
 
 class Pair:
-    """Both tokenizers, with a cache of units in two generations."""
+    """Both tokenizers, with a cache of units: each has a number, by which arrays know its ids."""
 
     def __init__(self, a_path: str, b_path: str):
         self.sides = ByteLevel(a_path), Pieces(b_path)
         self.lengths = [np.array([len(x) for x in side.bytes], np.int64) for side in self.sides]
         self.cuts = all(side.cuts for side in self.sides)
-        self.new: dict[str, tuple[bytes, bytes, bool]] = {}
-        self.old: dict[str, tuple[bytes, bytes, bool]] = {}
+        self.kind = "<u2" if max(map(len, self.lengths)) <= 1 << 16 else "<u4"
+        self._forget()
+
+    def _forget(self) -> None:
+        self.at: dict[str, int] = {}
+        self.good = np.empty(0, bool)  # whether a unit comes back from both sides
+        self.stop = [np.zeros(1, np.int64) for _ in self.sides]
+        self.ids = [np.empty(0, self.kind) for _ in self.sides]
 
     def _learn(self, units: list[str]) -> None:
+        good, stops, kept = [self.good], [[x] for x in self.stop], [[x] for x in self.ids]
         for at in range(0, len(units), 10_000):
             own = units[at : at + 10_000]
-            for unit, a, b in zip(own, *(side.encode(own) for side in self.sides)):
-                self.new[unit] = np.array(a, "<u4").tobytes(), np.array(b, "<u4").tobytes(), self._same(unit, a, b)
-
-    def _same(self, text: str, *ids: list[int]) -> bool:
-        data = b" " + text.encode()
-        return all(b"".join([side.bytes[i] for i in x]) == data for side, x in zip(self.sides, ids))
-
-    def encode(self, texts: list[str | None]) -> Iterator[tuple[bytes, bytes]]:
-        """Ids of A and of B as little-endian 32-bit integers; nothing for texts that don't come back."""
+            data = [b" " + u.encode() for u in own]
+            same = np.ones(len(own), bool)
+            for side, length, stop, all_ids in zip(self.sides, self.lengths, stops, kept):
+                ids = side.encode(own)
+                size = np.fromiter(map(len, ids), np.int64, len(ids))
+                flat = np.fromiter(chain.from_iterable(ids), np.int64, int(size.sum()))
+                stop.append(stop[-1][-1] + np.cumsum(size))
+                all_ids.append(flat.astype(self.kind))
+                back = b"".join([side.bytes[i] for i in flat.tolist()])
+                n = np.diff(np.append(0, np.cumsum(length[flat]))[np.append(0, np.cumsum(size))])
+                if back != b"".join(data) or n.tolist() != list(map(len, data)):
+                    same &= [b"".join([side.bytes[i] for i in x]) == d for x, d in zip(ids, data)]
+            good.append(same)
+        self.at.update(zip(units, range(len(self.at), len(self.at) + len(units))))
+        self.good = np.concatenate(good)
+        self.stop, self.ids = ([np.concatenate(x) for x in y] for y in (stops, kept))
+
+    def encode(self, texts: list[str | None]) -> list[pa.Array]:
+        """Ids of A and of B in little-endian integers, 16 bits wide if they suffice; nothing for texts that don't come back."""
         units = [(CUT.split(t) if self.cuts else [t]) if t else [] for t in texts]
-        if len(self.new) > CACHE // 2:
-            self.old, self.new = self.new, {}
-        missing = dict.fromkeys(u for us in units for u in us if u not in self.new)
-        for u in [u for u in missing if u in self.old]:
-            self.new[u] = self.old[u]
-            del missing[u]
-        self._learn(list(missing))
-        for text, us in zip(texts, units):
-            found = [self.new[u] for u in us]
-            a, b = b"".join([f[0] for f in found]), b"".join([f[1] for f in found])
-            if not all(f[2] for f in found) and not self._same(text, *(np.frombuffer(x, "<u4").tolist() for x in (a, b))):
-                a = b = b""
-            yield a, b
+        flat = list(chain.from_iterable(units))
+        new = dict.fromkeys([u for u in flat if u not in self.at])
+        if new and len(new) + len(self.at) > CACHE:
+            self._forget()
+            new = dict.fromkeys(flat)
+        if new:
+            self._learn(list(new))
+        at = np.fromiter(map(self.at.__getitem__, flat), np.int64, len(flat))
+        of = np.repeat(np.arange(len(texts)), [len(u) for u in units])
+        found, bad = [], np.unique(of[~self.good[at]]).tolist()
+        for stop, ids in zip(self.stop, self.ids):
+            size = stop[at + 1] - stop[at]
+            whole = ids[np.repeat(stop[at] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+            found.append((whole, np.append(0, np.cumsum(np.bincount(of, size, len(texts)).astype(np.int64)))))
+        # units that don't come back may yet do so together
+        lost = {k for k in bad if any(b"".join([side.bytes[i] for i in ids[stop[k] : stop[k + 1]].tolist()]) != b" " + texts[k].encode() for side, (ids, stop) in zip(self.sides, found))}
+        return [_binary(ids, stop, lost) for ids, stop in found]
+
+
+def _binary(ids: np.ndarray, stop: np.ndarray, lost: set[int]) -> pa.Array:
+    if lost:
+        return pa.array([b"" if k in lost else ids[i:j].tobytes() for k, (i, j) in enumerate(zip(stop.tolist(), stop[1:].tolist()))], pa.binary())
+    return pa.Array.from_buffers(pa.binary(), len(stop) - 1, [None, pa.py_buffer((stop * ids.itemsize).astype(np.int32).tobytes()), pa.py_buffer(ids.tobytes())])
 
 
 _pairs: dict[tuple[str, str], Pair] = {}
@@ -127,8 +155,8 @@ def _pair(a_path: str, b_path: str) -> Pair:
 
 
 def tokenized(docs: DataFrame, a_path: str, b_path: str, *, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
-    """The columns in keep (default: all), _vx_chunk, and the ids _vx_a and _vx_b as little-endian 32-bit integers; write it before it is used twice."""
-    small_batches(docs.sparkSession, 1000)
+    """The columns in keep (default: all), _vx_chunk, and the ids _vx_a and _vx_b as little-endian integers (Pair.kind); write it before it is used twice."""
+    small_batches(docs.sparkSession, 500)
     keep = docs.columns if keep is None else keep
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("_vx_text"))
     fields = [T.StructField("_vx_chunk", T.LongType()), T.StructField("_vx_a", T.BinaryType()), T.StructField("_vx_b", T.BinaryType())]
@@ -140,8 +168,7 @@ def tokenized(docs: DataFrame, a_path: str, b_path: str, *, keep: list[str] | No
             sizes = np.cumsum([len(t or "") for t in texts])
             chunk = (part << 32) + (seen + sizes) // CHUNK
             seen += int(sizes[-1]) if len(sizes) else 0
-            ids = list(pair.encode(texts))
-            new = [pa.array(chunk, pa.int64()), *(pa.array([x[k] for x in ids], pa.binary()) for k in (0, 1))]
+            new = [pa.array(chunk, pa.int64()), *pair.encode(texts)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *new], [*b.schema.names[:-1], *[f.name for f in fields]])
 
     return map_batches(rows, run, T.StructType([*rows.schema.fields[:-1], *fields]))
@@ -158,15 +185,16 @@ def linked(a_len: np.ndarray, b_len: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.repeat(np.arange(len(n)), n), of_b, cut, last[cut]
 
 
-def _steps(a: list[bytes], b: list[bytes]) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _steps(kind: str, a: list[bytes], b: list[bytes]) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Rows in steps of bounded size: which, all ids of A, of B, and where each row's end."""
-    size = np.array([len(x) + len(y) for x, y in zip(a, b)], np.int64) // 4
+    wide = int(kind[-1])
+    size = np.array([len(x) + len(y) for x, y in zip(a, b)], np.int64) // wide
     step = (np.cumsum(size) - size) // STEP
     for k in np.unique(step).tolist():
         at = np.flatnonzero(step == k)
         own = slice(int(at[0]), int(at[-1]) + 1)
-        ids = [np.frombuffer(b"".join(x[own]), "<u4").astype(np.int64) for x in (a, b)]
-        yield own, *ids, *(np.cumsum([len(r) // 4 for r in x[own]]) for x in (a, b))
+        ids = [np.frombuffer(b"".join(x[own]), kind).astype(np.int64) for x in (a, b)]
+        yield own, *ids, *(np.cumsum([len(r) // wide for r in x[own]]) for x in (a, b))
 
 
 def _keys(pair: Pair, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
@@ -192,7 +220,7 @@ def pair_counts(tokens: DataFrame, a_path: str, b_path: str) -> tuple[DataFrame,
                 for done in [x for x in held if x != c]:
                     yield flush(done)
                 at = pa.array(np.flatnonzero(chunk == c))
-                for _, a, b, *_ in _steps(*(batch.column(k).take(at).to_pylist() for k in (1, 2))):
+                for _, a, b, *_ in _steps(pair.kind, *(batch.column(k).take(at).to_pylist() for k in (1, 2))):
                     held.setdefault(c, []).append(np.unique(_keys(pair, a, b)[0], return_counts=True))
         for c in list(held):
             yield flush(c)
@@ -223,7 +251,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, *, keep: list[str] | None =
         order = np.argsort(key, kind="stable")
         key, n, best = key[order], pairs.column("n").to_numpy()[order], pairs.column("best").to_numpy()[order]
         a, b = (rows.column(rows.num_columns - k).to_pylist() for k in (2, 1))
-        found = [_scored(pair, key, n, best, digest, *step[1:]) for step in _steps(a, b)]
+        found = [_scored(pair, key, n, best, digest, *step[1:]) for step in _steps(pair.kind, a, b)]
         new = [pa.array(np.concatenate([f[k] for f in found]), pa.int64()) for k in range(6)] + [pa.array([g for f in found for g in f[6]], pa.string())]
         return pa.Table.from_arrays([*rows.columns[:-3], *new], names=[*rows.column_names[:-3], *[f[0] for f in _OUT]])
 
