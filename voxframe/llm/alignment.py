@@ -24,6 +24,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -155,20 +156,20 @@ def _pair(a_path: str, b_path: str) -> Pair:
 
 
 def tokenized(docs: DataFrame, a_path: str, b_path: str, *, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
-    """The columns in keep (default: all), _vx_chunk, and the ids _vx_a and _vx_b as little-endian integers (Pair.kind); write it before it is used twice."""
+    """The columns in keep (default: all), _vx_chunk, and the ids _vx_a and _vx_b as little-endian integers (Pair.kind), compressed; write it before it is used twice."""
     small_batches(docs.sparkSession, 500)
     keep = docs.columns if keep is None else keep
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("_vx_text"))
     fields = [T.StructField("_vx_chunk", T.LongType()), T.StructField("_vx_a", T.BinaryType()), T.StructField("_vx_b", T.BinaryType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, part, seen = _pair(a_path, b_path), TaskContext.get().partitionId(), 0
+        pair, part, seen, pack = _pair(a_path, b_path), TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=1)
         for b in batches:
             texts = b.column(b.num_columns - 1).to_pylist()
             sizes = np.cumsum([len(t or "") for t in texts])
             chunk = (part << 32) + (seen + sizes) // CHUNK
             seen += int(sizes[-1]) if len(sizes) else 0
-            new = [pa.array(chunk, pa.int64()), *pair.encode(texts)]
+            new = [pa.array(chunk, pa.int64()), *(pa.array([pack.compress(x.as_buffer()) for x in ids], pa.binary()) for ids in pair.encode(texts))]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *new], [*b.schema.names[:-1], *[f.name for f in fields]])
 
     return map_batches(rows, run, T.StructType([*rows.schema.fields[:-1], *fields]))
@@ -187,7 +188,8 @@ def linked(a_len: np.ndarray, b_len: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _steps(kind: str, a: list[bytes], b: list[bytes]) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Rows in steps of bounded size: which, all ids of A, of B, and where each row's end."""
-    wide = int(kind[-1])
+    wide, unpacked = int(kind[-1]), zstandard.ZstdDecompressor()
+    a, b = ([unpacked.decompress(x) for x in side] for side in (a, b))
     size = np.array([len(x) + len(y) for x, y in zip(a, b)], np.int64) // wide
     step = (np.cumsum(size) - size) // STEP
     for k in np.unique(step).tolist():
