@@ -60,6 +60,18 @@ def test_predicates_reach_the_source(spark, sf):
     assert len(reader.tests) == 1
 
 
+def test_predicates_on_what_payloads_tell(spark, tmp_path):
+    """Heads of others have no lengths, and may lack digests: rows are tested by what they show."""
+    (tmp_path / "x.warc").write_bytes(b"".join(foreign("resource", b, [("Content-Type", "a/b")]) for b in (b"", b"five5", b"eleven chars")))
+    for payload in ("verify", "full"):
+        whole = warc.read(spark, f"file://{tmp_path}", payload)
+        for test in ("payload_bytes > 5", "payload_bytes = 0", "payload_bytes is null", "payload_digest is not null", "payload_digest is null", "payload_bytes in (0, 12) and record_type = 'resource'"):
+            assert sorted(map(tuple, whole.where(test).collect()), key=repr) == sorted((tuple(r) for r in spark.createDataFrame(whole.collect(), whole.schema).where(test).collect()), key=repr), test
+    assert warc.read(spark, f"file://{tmp_path}").where("payload_bytes > 5").count() == 1
+    heads = warc.WarcReader({"path": "x", "payload": "none"})
+    assert list(heads.pushFilters([warc.GreaterThan(("payload_bytes",), 5)])) == []
+
+
 def test_empty_and_cut(spark):
     folder = new_path(spark, "w")
     assert warc.write(spark.createDataFrame([], "page_id long, url string, html string"), folder) == []

@@ -314,8 +314,10 @@ class WarcReader(DataSourceReader):
             raise ValueError("payload is none, verify or full; errors is column or raise")
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        # where payloads are read, their length and digest are worked out and a head's values say nothing about them
+        told = _FIELDS if self.payload == "none" else [c for c in _FIELDS if c not in ("payload_bytes", "payload_digest")]
         for f in filters:
-            if type(f) in _TESTS and len(f.attribute) == 1 and f.attribute[0] in _FIELDS:
+            if type(f) in _TESTS and len(f.attribute) == 1 and f.attribute[0] in told:
                 self.tests.append(f)
             else:
                 yield f
