@@ -43,6 +43,9 @@ def test_a_corpus_from_files_to_transcripts(spark, tmp_path):
     assert {r.id: (r.display, r.n_locals) for r in e.speakers().collect()} == {1: ("Ann", 2), 3: ("Zoe", 1)}
     e.recluster()
     assert {r.id for r in e.speakers().collect()} == {1, 3}
+    centre = e.tables()["identities"].where("id = 1").head().centroid
+    sims = {tuple(r.centroid): r.similarity for r in e.tables()["locals"].where("global_id = 1").collect()}
+    assert len(sims) == 2 and all(0.9 < s < 1 and s == pytest.approx(sum(a * b for a, b in zip(v, centre)) / sum(a * a for a in v) ** 0.5) for v, s in sims.items())
     local = e.tables()["locals"].where("label = 'speaker_00'").agg(F.max("id")).head()[0]
     e.split(local)
     assert e.speakers().count() == 3 and e.tables()["segments"].where("global_id = 4").count() == 1

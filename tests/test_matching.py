@@ -22,6 +22,13 @@ def test_resolution_in_order_of_similarity(spark):
     assert one[12] == ("enrolled", 2) and one[13] == ("mint", None) and one[10] == ("mint", None)
 
 
+def test_voices_without_a_vector_stay_local(spark):
+    none = spark.createDataFrame([], "id long, enrolled boolean, centroid array<double>")
+    loc = spark.createDataFrame([(1, 1, 60.0, None), (2, 1, 60.0, []), (3, 1, 60.0, unit(1, 0)), (4, 1, 1.0, None)], "id long, file_id long, total_dur double, centroid array<double>")
+    got = {r.local_id: (r.outcome, r.global_id) for r in matching.resolve_batch(loc, none, none.selectExpr("id", "id as global_id", "centroid")).collect()}
+    assert got == {1: ("no_vector", None), 2: ("no_vector", None), 3: ("mint", None), 4: ("no_vector", None)}
+
+
 def test_batch_against_plain_matching(spark, sf):
     loc, ids, clips = (f(spark, sf).toPandas() for f in (fx.vp, fx.gs, fx.enr))
     got = {r.local_id: (r.outcome, r.global_id) for r in matching.resolve_batch(fx.vp(spark, sf), fx.gs(spark, sf), fx.enr(spark, sf)).collect()}
@@ -43,7 +50,9 @@ def test_recluster_claims(spark):
     x, y, z = unit(1, 0.0, 0), unit(0, 1.0, 0), unit(0, 0, 1.0)
     rows = [(1, 1, 9.0, 1, x), (2, 2, 9.0, 1, x), (3, 3, 1.0, 2, x), (4, 4, 9.0, 1, y), (5, 5, 9.0, None, y), (6, 6, 9.0, 3, y), (7, 7, 2.0, None, y), (8, 8, 9.0, 1, z), (9, 9, 9.0, 4, z), (10, 10, 9.0, 4, z)]
     loc = spark.createDataFrame(rows, "id long, file_id long, total_dur double, global_id long, centroid array<double>")
-    got = {r.id: (r.global_id, r.reassigned) for r in matching.recluster(ids, loc).collect()}
+    found = matching.recluster(ids, loc).collect()
+    assert all(r.similarity == 1.0 for r in found)
+    got = {r.id: (r.global_id, r.reassigned) for r in found}
     assert got == {1: (2, True), 2: (2, True), 3: (2, False), 4: (1, False), 5: (1, True), 8: (4, True), 9: (4, False), 10: (4, False)}
 
 

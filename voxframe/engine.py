@@ -209,7 +209,7 @@ class Engine:
         """Clusters all voices anew; identities left without use go."""
         x, s = self.tables(), self.settings
         moved = write_table(matching.recluster(x["identities"], x["locals"], threshold=s.cluster_threshold, floor=s.min_speaker_speech), "moved")
-        placed = write_table(store.update(x["locals"], moved.select("id", "global_id"), "id", ["global_id"]), "locals")
+        placed = write_table(store.update(x["locals"], moved.select("id", "global_id", "similarity"), "id", ["global_id", "similarity"]), "locals")
         weights = placed.join(moved.select("id"), "id", "left_semi").select("global_id", "centroid", F.greatest(F.lit(1.0), F.col("total_dur")).alias("w"))
         centre = identity.centroid_arrays(weights, "global_id", "centroid", "w").withColumnRenamed("global_id", "id")
         ids = x["identities"]

@@ -6,30 +6,32 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxframe.functions.vectors import cosine
 from voxframe.operators import store
-from voxframe.operators.identity import cluster, cluster_totals, greedy
+from voxframe.operators.identity import centroid_arrays, cluster, cluster_totals, greedy
 from voxframe.operators.similarity import candidates
 
 
 def resolve_batch(locals_: DataFrame, identities: DataFrame, clips: DataFrame, *, enrol: float = 0.55, match: float = 0.65, floor: float = 8.0, collapse: bool = True) -> DataFrame:
-    """file_id, local_id, outcome (enrolled, inferred, mint, below_floor), global_id, similarity.
+    """file_id, local_id, outcome (enrolled, inferred, mint, below_floor, no_vector), global_id, similarity.
 
     All files are matched against one frozen store, so two files can't see each other's new identities. In a file, enrolled identities
     are dealt first by falling similarity (one may take several locals if collapse), then the others one to one; the rest are new, or
-    stay local under the speech floor.
+    stay local under the speech floor. A local without a vector is like nobody and stays local, too.
     """
     first = candidates(locals_, clips, enrol).join(clips.select(F.col("id").alias("other_id"), "global_id"), "other_id").groupBy("local_id", "global_id").agg(F.max("sim").alias("sim")).withColumn("stage", F.lit(1))
     second = candidates(locals_, identities.where("not enrolled"), match).select("local_id", F.col("other_id").alias("global_id"), "sim", F.lit(2).alias("stage"))
-    rows = locals_.select("file_id", F.col("id").alias("local_id"), "total_dur").join(first.unionByName(second), "local_id", "left")
+    voiced = (F.coalesce(F.size("centroid"), F.lit(0)) > 0).alias("voiced")
+    rows = locals_.select("file_id", F.col("id").alias("local_id"), "total_dur", voiced).join(first.unionByName(second), "local_id", "left")
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         pairs = {k: list(zip(g.sim, g.local_id, g.global_id)) for k, g in group.dropna(subset=["stage"]).groupby("stage")}
         enrolled = greedy(pairs.get(1, []), collapse)
         inferred = greedy([p for p in pairs.get(2, []) if p[1] not in enrolled])
         out = []
-        for i, dur in group.groupby("local_id").total_dur.first().items():
+        for i, dur, voiced in group.drop_duplicates("local_id")[["local_id", "total_dur", "voiced"]].itertuples(index=False):
             g, s = enrolled.get(i) or inferred.get(i) or (None, None)
-            kind = "enrolled" if i in enrolled else "inferred" if i in inferred else "mint" if floor <= 0 or dur >= floor else "below_floor"
+            kind = "enrolled" if i in enrolled else "inferred" if i in inferred else "no_vector" if not voiced else "mint" if floor <= 0 or dur >= floor else "below_floor"
             out.append((group.file_id.iloc[0], i, kind, g, s))
         return pd.DataFrame(out, columns=["file_id", "local_id", "outcome", "global_id", "similarity"]).astype({"global_id": "Int64", "similarity": "float64"})
 
@@ -62,7 +64,7 @@ def outcomes(resolved: DataFrame) -> DataFrame:
 
 
 def recluster(identities: DataFrame, locals_: DataFrame, *, threshold: float = 0.65, floor: float = 8.0) -> DataFrame:
-    """id, cluster, global_id, reassigned of the locals that take part.
+    """id, cluster, global_id, reassigned, similarity (to the centre of the cluster) of the locals that take part.
 
     Locals of enrolled identities and unresolved ones under the speech floor are held out. A cluster keeps the named identity of its member with
     most speech, else the one most members have (ties: lowest id); of clusters that claim one identity the larger keeps it (ties: the first), the
@@ -78,5 +80,7 @@ def recluster(identities: DataFrame, locals_: DataFrame, *, threshold: float = 0
     claims = claims.withColumn("own", F.when(F.col("claim").isNotNull() & keeps, F.col("claim")))
     fresh = store.mint(identities, claims.where("own is null").select("cluster"), ["cluster"]).withColumnRenamed("id", "fresh")
     ids = claims.join(fresh, "cluster", "left").select("cluster", F.coalesce("own", "fresh").alias("new_id"))
-    out = rows.join(ids, "cluster")
-    return out.select("id", "cluster", F.col("new_id").alias("global_id"), (~F.col("global_id").eqNullSafe(F.col("new_id"))).alias("reassigned"))
+    weighted = rows.select("cluster", "centroid", F.greatest(F.lit(1.0), F.col("total_dur")).alias("w"))
+    centre = centroid_arrays(weighted, "cluster", "centroid", "w").select("cluster", F.col("centroid").alias("_centre"))
+    out = rows.join(ids, "cluster").join(centre, "cluster")
+    return out.select("id", "cluster", F.col("new_id").alias("global_id"), (~F.col("global_id").eqNullSafe(F.col("new_id"))).alias("reassigned"), cosine(F.col("centroid"), F.col("_centre")).alias("similarity"))

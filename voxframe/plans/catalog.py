@@ -276,11 +276,10 @@ pr AS (SELECT a.id AS left_id, b.id AS right_id, list_cosine_similarity(a.centro
 sh AS (SELECT DISTINCT p.global_id AS a, q.global_id AS b FROM gf p JOIN gf q ON p.file_id = q.file_id AND p.global_id <> q.global_id)"""
 
 
-@query("jn5_duplicate_candidates", f"SELECT left_id, right_id, round(s, 6) AS similarity FROM pr ANTI JOIN sh ON sh.a = left_id AND sh.b = right_id WHERE s >= {REVIEW} AND s < {MATCH} AND (left_id + right_id) % 7 <> 0", (*GS, DUPES))
+@query("jn5_duplicate_candidates", f"SELECT left_id, right_id, round(s, 6) AS similarity FROM pr ANTI JOIN sh ON sh.a = left_id AND sh.b = right_id WHERE s >= {REVIEW} AND s < {MATCH} AND abs(left_id - right_id) > 12", (*GS, DUPES))
 def _(s, d):
     g, loc = write_table(fx.gs(s, d), "gs"), write_table(fx.loc(s, d).drop("centroid"), "loc")  # stored, as an engine has them
-    low, high = g.select(F.col("id").alias("low"), (F.col("id") % 7).alias("r")), g.select(F.col("id").alias("high"), ((7 - F.col("id") % 7) % 7).alias("r"))
-    ids = low.join(high, "r").where("low < high").select("low", "high")
+    ids = g.select(F.col("id").alias("low"), F.explode(F.sequence(F.col("id") + 1, F.col("id") + 12)).alias("high"))
     found = identity.duplicate_candidates(g, loc, ids, REVIEW, MATCH)
     return found.withColumn("similarity", F.round("similarity", 6))
 
@@ -340,24 +339,24 @@ def _(s, d):
     return identity.cluster(fx.vp(s, d), CLUSTER)
 
 
-RESOLVED = f"""s1 AS (SELECT l.id AS l, e.global_id AS g, max(round(list_cosine_similarity(l.centroid, e.centroid), 9)) AS s FROM vp l, enr e GROUP BY ALL HAVING max(round(list_cosine_similarity(l.centroid, e.centroid), 9)) >= {ENROL}),
+RESOLVED = f"""s1 AS (SELECT l.id AS l, e.global_id AS g, max(round(list_cosine_similarity(l.centroid, e.centroid), 9)) AS s FROM vp l, enr e WHERE l.id % 17 <> 3 GROUP BY ALL HAVING max(round(list_cosine_similarity(l.centroid, e.centroid), 9)) >= {ENROL}),
 p1 AS (SELECT l, g, s FROM s1 QUALIFY row_number() OVER (PARTITION BY l ORDER BY s DESC, g) = 1),
-s2 AS MATERIALIZED (SELECT v.file_id, v.id AS l, gs.id AS g, round(list_cosine_similarity(v.centroid, gs.centroid), 9) AS s FROM vp v, gs WHERE NOT enrolled AND v.id NOT IN (SELECT l FROM p1) AND round(list_cosine_similarity(v.centroid, gs.centroid), 9) >= {MATCH}),
+s2 AS MATERIALIZED (SELECT v.file_id, v.id AS l, gs.id AS g, round(list_cosine_similarity(v.centroid, gs.centroid), 9) AS s FROM vp v, gs WHERE v.id % 17 <> 3 AND NOT enrolled AND v.id NOT IN (SELECT l FROM p1) AND round(list_cosine_similarity(v.centroid, gs.centroid), 9) >= {MATCH}),
 gr(file_id, ls, gl, l, g, s) AS (/* RECURSE: one match a file and step */ SELECT DISTINCT file_id, []::BIGINT[], []::BIGINT[], NULL::BIGINT, NULL::BIGINT, NULL::DOUBLE FROM vp UNION ALL
  (SELECT gr.file_id, list_append(ls, s2.l), list_append(gl, s2.g), s2.l, s2.g, s2.s FROM gr JOIN s2 ON s2.file_id = gr.file_id WHERE NOT list_contains(ls, s2.l) AND NOT list_contains(gl, s2.g) QUALIFY row_number() OVER (PARTITION BY gr.file_id ORDER BY s2.s DESC, s2.l, s2.g) = 1)),
-rs AS (SELECT v.file_id, v.id AS local_id, CASE WHEN p1.l IS NOT NULL THEN 'enrolled' WHEN gr.l IS NOT NULL THEN 'inferred' WHEN v.total_dur >= {FLOOR} THEN 'mint' ELSE 'below_floor' END AS outcome, coalesce(p1.g, gr.g) AS global_id, round(coalesce(p1.s, gr.s), 6) AS similarity
+rs AS (SELECT v.file_id, v.id AS local_id, CASE WHEN p1.l IS NOT NULL THEN 'enrolled' WHEN gr.l IS NOT NULL THEN 'inferred' WHEN v.id % 17 = 3 THEN 'no_vector' WHEN v.total_dur >= {FLOOR} THEN 'mint' ELSE 'below_floor' END AS outcome, coalesce(p1.g, gr.g) AS global_id, round(coalesce(p1.s, gr.s), 6) AS similarity
  FROM vp v LEFT JOIN p1 ON p1.l = v.id LEFT JOIN gr ON gr.l = v.id)"""
 
 
 @query("id4_file_resolution", "SELECT * FROM rs", (*ENR, RESOLVED))
 def _(s, d):
-    found = matching.resolve_batch(fx.vp(s, d), fx.gs(s, d), fx.enr(s, d), enrol=ENROL, match=MATCH, floor=FLOOR)
+    found = matching.resolve_batch(fx.heard(s, d), fx.gs(s, d), fx.enr(s, d), enrol=ENROL, match=MATCH, floor=FLOOR)
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
 @query("ag18_outcomes", "SELECT outcome, count(*) AS n FROM rs GROUP BY outcome", (*ENR, RESOLVED))
 def _(s, d):
-    return matching.outcomes(matching.resolve_batch(fx.vp(s, d), fx.gs(s, d), fx.enr(s, d), enrol=ENROL, match=MATCH, floor=FLOOR))
+    return matching.outcomes(matching.resolve_batch(fx.heard(s, d), fx.gs(s, d), fx.enr(s, d), enrol=ENROL, match=MATCH, floor=FLOOR))
 
 
 RECLUSTERED = """ro AS (SELECT loc.*, cluster FROM loc JOIN clu USING (id)), vo AS (SELECT ro.*, name <> '' AS named FROM ro JOIN gs ON gs.id = global_id),
@@ -366,13 +365,15 @@ bv AS (SELECT cluster, global_id AS g FROM (SELECT cluster, global_id, count(*)
 cl AS (SELECT c.cluster, c.n, coalesce(bn.g, bv.g) AS claim FROM (SELECT cluster, count(*) AS n FROM ro GROUP BY cluster) c LEFT JOIN bn ON bn.cluster = c.cluster LEFT JOIN bv ON bv.cluster = c.cluster),
 ow AS (SELECT cluster, CASE WHEN claim IS NOT NULL AND row_number() OVER (PARTITION BY claim ORDER BY n DESC, cluster) = 1 THEN claim END AS own FROM cl),
 ni AS (SELECT cluster, coalesce(own, (SELECT max(id) FROM gs) + row_number() OVER (PARTITION BY own IS NULL ORDER BY cluster)) AS g FROM ow),
-rc AS (SELECT ro.id, ro.cluster, ni.g AS global_id, ro.global_id <> ni.g AS reassigned FROM ro JOIN ni ON ni.cluster = ro.cluster)"""
+cw AS (SELECT cluster, pos, sum(x * w) / sum(w) AS x FROM (SELECT cluster, greatest(total_dur, 1) AS w, unnest(range(64)) AS pos, unnest(centroid) AS x FROM ro) GROUP BY ALL),
+cv AS (SELECT cluster, list(x ORDER BY pos) AS c FROM cw GROUP BY cluster),
+rc AS (SELECT ro.id, ro.cluster, ni.g AS global_id, ro.global_id <> ni.g AS reassigned, round(list_cosine_similarity(ro.centroid, cv.c), 6) AS similarity FROM ro JOIN ni ON ni.cluster = ro.cluster JOIN cv ON cv.cluster = ro.cluster)"""
 RECLUSTER = (*GS, "cin AS (SELECT id, file_id, centroid FROM loc WHERE global_id NOT IN (SELECT id FROM gs WHERE enrolled))", CLUSTERS, RECLUSTERED)
 
 
 @query("id14_recluster", "SELECT * FROM rc", RECLUSTER)
 def _(s, d):
-    return matching.recluster(fx.gs(s, d), fx.loc(s, d), threshold=CLUSTER, floor=FLOOR)
+    return matching.recluster(fx.gs(s, d), fx.loc(s, d), threshold=CLUSTER, floor=FLOOR).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("id14_recluster_counts", "SELECT global_id, count(*) AS members, count(*) FILTER (reassigned) AS moved FROM rc GROUP BY global_id", RECLUSTER)

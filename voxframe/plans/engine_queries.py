@@ -78,7 +78,7 @@ def _(s, d):
 
 @query("id7_store_added", ", mi AS (SELECT local_id, (SELECT max(id) FROM gs) + row_number() OVER (ORDER BY local_id) AS g FROM rs WHERE outcome = 'mint') SELECT rs.local_id + 1 AS id, rs.file_id, coalesce(global_id, g) AS global_id, CASE WHEN g IS NOT NULL THEN 1 ELSE similarity END AS similarity FROM rs LEFT JOIN mi ON mi.local_id = rs.local_id", (*ENR, catalog.RESOLVED))
 def _(s, d):
-    e, v = _engine(s, d, False), fx.vp(s, d)
+    e, v = _engine(s, d, False), fx.heard(s, d)
     said = v.groupBy("file_id").agg(F.min("label").alias("local_label")).select("file_id", F.lit(0).cast("long").alias("idx"), F.lit("hello").alias("text"), F.lit(0.0).alias("seg_start"), F.lit(1.0).alias("seg_end"), "local_label")
     e.add(said, v.select("file_id", "label", "centroid", "total_dur", F.lit(1).cast("long").alias("n_segments")))
     return e.tables()["locals"].select("id", "file_id", "global_id", F.round("similarity", 6).alias("similarity"))
