@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxframe.functions import text
-from voxframe.operators import attribution, identity, ingest, levels, matching, render, store
+from voxframe.operators import arrival, attribution, identity, ingest, levels, matching, render, store
 from voxframe.sources import models
 from voxframe.sources.config import Settings
 from voxframe.workspace import write_table
@@ -139,6 +139,14 @@ class Engine:
 
         Their former rows go. The voices are matched against the store as it was before, then segments take their speakers' identities.
         """
+        self._add(segments, voices, False)
+
+    def add_in_order(self, segments: DataFrame, voices: DataFrame) -> None:
+        """As add() of one file after another in order of their ids, the order of arrival: each is matched against the store that the ones before have left. All files come with one
+        commit, and the work is split by who depends on whom (operators.arrival); what arrives later comes with the next call (streaming.events.drain)."""
+        self._add(write_table(segments, "segments"), write_table(voices, "voices"), True)
+
+    def _add(self, segments: DataFrame, voices: DataFrame, in_order: bool) -> None:
         x, s = self.tables(), self.settings
         files = write_table(segments.select("file_id").distinct(), "added")
         parts = store.buckets_of(files, "file_id")
@@ -147,34 +155,36 @@ class Engine:
         blank = voices.withColumn("global_id", F.lit(None).cast("long")).withColumn("similarity", F.lit(None).cast("double"))
         others = x["locals"].join(files, "file_id", "left_anti")
         new = write_table(store.mint(x["locals"], blank, ["file_id", "label"]), "voices")
-        found = matching.resolve_batch(new, ids.where("size(centroid) > 0"), x["clips"].where("size(centroid) > 0"), enrol=s.enroll_match_threshold, match=s.match_threshold, floor=s.min_speaker_speech, collapse=s.enroll_collapse)
-        found = write_table(found.drop("file_id").withColumnRenamed("local_id", "id"), "resolved")
-        minted = store.mint(ids, found.where("outcome = 'mint'").select(F.col("id").alias("local_id")), ["local_id"])
-        minted = write_table(minted.select("local_id", F.col("id").alias("_fresh")), "minted")
-        placed = new.drop("global_id", "similarity").join(found, "id").join(minted.withColumnRenamed("local_id", "id"), "id", "left")
-        placed = placed.withColumn("global_id", F.coalesce("_fresh", "global_id")).withColumn("similarity", F.when(F.col("_fresh").isNotNull(), 1.0).otherwise(F.col("similarity")))
+        options = {"enrol": s.enroll_match_threshold, "match": s.match_threshold, "floor": s.min_speaker_speech, "collapse": s.enroll_collapse}
+        known, clips = identity.with_vectors(ids), identity.with_vectors(x["clips"])
+        if in_order:
+            found, moved = arrival.resolve_in_order(new, known, clips, x["locals"].select("file_id", "global_id"), **options)
+            moved = write_table(moved, "moved")
+        else:
+            found = matching.resolve_batch(new, known, clips, **options).drop("file_id").withColumn("minted_by", F.when(F.col("outcome") == "mint", F.col("local_id")))
+        found = write_table(found.withColumnRenamed("local_id", "id"), "resolved")
+        minted = store.mint(ids, found.where("outcome = 'mint'").select(F.col("id").alias("minted_by")), ["minted_by"])
+        minted = write_table(minted.select("minted_by", F.col("id").alias("_fresh")), "minted")
+        placed = new.drop("global_id", "similarity").join(found, "id").join(minted, "minted_by", "left")
+        placed = placed.withColumn("global_id", F.coalesce("_fresh", "global_id")).withColumn("similarity", F.when(F.col("outcome") == "mint", 1.0).otherwise(F.col("similarity")))
         placed = write_table(placed, "placed")
         own = placed.where("outcome = 'mint'").select(F.col("global_id").alias("id"), F.lit("").alias("name"), F.lit("").alias("notes"), F.lit(False).alias("enrolled"), "centroid")
-        n = others.where("global_id is not null").groupBy("global_id").agg(F.count("*").cast("double").alias("w"))
-        matched = placed.where("outcome = 'inferred'").select("global_id", "centroid", F.lit(1.0).alias("w"))
-        before = ids.select(F.col("id").alias("global_id"), "centroid").join(n, "global_id", "left").withColumn("w", F.greatest(F.lit(1.0), F.coalesce("w", F.lit(1.0)))).join(matched.select("global_id").distinct(), "global_id", "left_semi")
-        folded = identity.centroid_arrays(before.unionByName(matched), "global_id", "centroid", "w").withColumnRenamed("global_id", "id")
+        if in_order:
+            folded = moved.join(minted, "minted_by", "left").select(F.coalesce("_fresh", "global_id").alias("id"), "centroid")
+        else:
+            n = others.where("global_id is not null").groupBy("global_id").agg(F.count("*").cast("double").alias("w"))
+            matched = placed.where("outcome = 'inferred'").select("global_id", "centroid", F.lit(1.0).alias("w"))
+            before = ids.select(F.col("id").alias("global_id"), "centroid").join(n, "global_id", "left").withColumn("w", F.greatest(F.lit(1.0), F.coalesce("w", F.lit(1.0)))).join(matched.select("global_id").distinct(), "global_id", "left_semi")
+            folded = identity.centroid_arrays(before.unionByName(matched), "global_id", "centroid", "w").withColumnRenamed("global_id", "id")
         said = segments.join(placed.select("file_id", F.col("label").alias("local_label"), "global_id"), ["file_id", "local_label"], "left")
         self._commit(
             parts,
-            identities=store.update(ids, folded, "id", ["centroid"]).unionByName(own),
+            identities=store.update(ids.unionByName(own), folded, "id", ["centroid"]),
             locals=own_parts["locals"].join(files, "file_id", "left_anti").unionByName(placed.select(*x["locals"].columns)),
             segments=own_parts["segments"].join(files, "file_id", "left_anti").unionByName(said.select(*x["segments"].columns)),
             files=store.update(own_parts["files"], files.select(F.col("file_id").alias("id"), F.lit("done").alias("status")), "id", ["status"]),
         )
 
-    def add_in_order(self, segments: DataFrame, voices: DataFrame) -> None:
-        """As add(), a file at a time in order of their ids, the order of arrival: each is matched against the store that the ones before have left. The driver walks
-        the files of one arrival; what arrives later comes with the next call (streaming.events.drain)."""
-        segments, voices = write_table(segments, "segments"), write_table(voices, "voices")
-        for (file_id,) in segments.select("file_id").distinct().orderBy("file_id").collect():
-            self.add(segments.where(F.col("file_id") == file_id), voices.where(F.col("file_id") == file_id))
-
     def finish(self, roots: list[str] | None = None) -> dict[str, int]:
         """After a batch: clusters anew if the settings say so and, if anything moved, renders the files that have outputs again. Number of locals moved, of files rendered."""
         if not self.settings.recluster_after_batch:

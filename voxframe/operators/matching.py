@@ -38,6 +38,18 @@ def resolve_batch(locals_: DataFrame, identities: DataFrame, clips: DataFrame, *
     return rows.groupBy("file_id").applyInPandas(one, "file_id long, local_id long, outcome string, global_id long, similarity double")
 
 
+def enrolled_matches(locals_: DataFrame, clips: DataFrame, threshold: float = 0.55, collapse: bool = True) -> DataFrame:
+    """local_id, global_id, sim of the locals that enrolled identities take: in each file by falling similarity, an identity once unless collapse. Clips don't move, so no order of files matters."""
+    near = candidates(locals_, clips, threshold).join(clips.select(F.col("id").alias("other_id"), "global_id"), "other_id").groupBy("local_id", "global_id").agg(F.max("sim").alias("sim"))
+    rows = near.join(locals_.select(F.col("id").alias("local_id"), "file_id"), "local_id")
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        taken = greedy(zip(group.sim, group.local_id, group.global_id), collapse)
+        return pd.DataFrame([(i, g, s) for i, (g, s) in taken.items()], columns=["local_id", "global_id", "sim"])
+
+    return rows.groupBy("file_id").applyInPandas(one, "local_id long, global_id long, sim double")
+
+
 def unresolved(locals_: DataFrame, clips: DataFrame, threshold: float = 0.55) -> DataFrame:
     """Locals without a clip of an enrolled identity at or above the threshold."""
     return locals_.join(candidates(locals_, clips, threshold).select(F.col("local_id").alias("id")).distinct(), "id", "left_anti")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from voxframe.functions import text as t
 from voxframe.functions import vectors as v
-from voxframe.operators import attribution, identity, levels, matching, progress, render, store, words
+from voxframe.operators import arrival, attribution, identity, levels, matching, progress, render, store, words
 from voxframe.operators.similarity import pairs_above
 from voxframe.plans import fixtures as fx
 from voxframe.plans.registry import ORACLE_SQL, QUERIES, query
@@ -359,6 +359,24 @@ def _(s, d):
     return matching.outcomes(matching.resolve_batch(fx.heard(s, d), fx.gs(s, d), fx.enr(s, d), enrol=ENROL, match=MATCH, floor=FLOOR))
 
 
+_PICKS = [f"k{n} AS (SELECT l, g, s FROM c {'WHERE ' + ' AND '.join(f'l NOT IN (SELECT l FROM k{j}) AND g NOT IN (SELECT g FROM k{j})' for j in range(1, n)) if n > 1 else ''} ORDER BY s DESC, l, g LIMIT 1)" for n in range(1, 6)]
+ARRIVED = f"""ar(f, ids, said) AS (/* RECURSE: one file a step, of five voices at most */ SELECT -1::BIGINT, []::STRUCT(g BIGINT, n BIGINT, c DOUBLE[])[], []::STRUCT(l BIGINT, outcome VARCHAR, g BIGINT, s DOUBLE)[] UNION ALL
+ (WITH i AS (SELECT f, unnest(ids) AS i FROM ar), v AS (SELECT ar.f, vp.id, vp.centroid, vp.total_dur FROM ar JOIN vp ON vp.file_id = ar.f + 1),
+  c AS (SELECT v.id AS l, i.i.g AS g, round(list_cosine_similarity(v.centroid, i.i.c), 9) AS s FROM v JOIN i ON i.f = v.f WHERE v.id % 17 <> 3 AND round(list_cosine_similarity(v.centroid, i.i.c), 9) >= {MATCH}), {", ".join(_PICKS)},
+  m AS ({" UNION ALL ".join(f"SELECT l, g, s FROM k{n}" for n in range(1, 6))}),
+  w AS (SELECT v.id, v.centroid, m.g, m.s, CASE WHEN m.l IS NOT NULL THEN 'inferred' WHEN v.id % 17 = 3 THEN 'no_vector' WHEN v.total_dur >= {FLOOR} THEN 'mint' ELSE 'below_floor' END AS outcome FROM v LEFT JOIN m ON m.l = v.id),
+  u AS (SELECT i.i.g AS g, i.i.n + (w.g IS NOT NULL)::BIGINT AS n, i.i.c AS c, CASE WHEN w.g IS NOT NULL THEN [i.i.c[p] * i.i.n + w.centroid[p] for p in range(1, 65)] END AS x FROM i LEFT JOIN w ON w.g = i.i.g),
+  a AS (SELECT {{'g': g, 'n': n, 'c': CASE WHEN x IS NULL THEN c ELSE [y / sqrt(list_sum([z * z for z in x])) for y in x] END}} AS r FROM u UNION ALL SELECT {{'g': id, 'n': 1::BIGINT, 'c': centroid}} FROM w WHERE outcome = 'mint')
+  SELECT ar.f + 1, (SELECT list(r) FROM a), (SELECT list({{'l': id, 'outcome': outcome, 'g': coalesce(g, CASE WHEN outcome = 'mint' THEN id END), 's': CASE WHEN outcome = 'mint' THEN 1 ELSE s END}}) FROM w) FROM ar WHERE ar.f < (SELECT max(file_id) FROM vp)))"""
+
+
+@query("st3_arrival_order", "SELECT x.l AS local_id, x.outcome AS outcome, x.g AS minted_by, round(x.s, 6) AS similarity FROM (SELECT unnest(said) AS x FROM ar)", (fx.VP, ARRIVED))
+def _(s, d):
+    none = s.createDataFrame([], "id long, global_id long, file_id long, enrolled boolean, centroid array<double>")
+    found, _moved = arrival.resolve_in_order(fx.heard(s, d), none, none, none.select("file_id", "global_id"), enrol=ENROL, match=MATCH, floor=FLOOR)
+    return found.select("local_id", "outcome", "minted_by", F.round("similarity", 6).alias("similarity"))
+
+
 RECLUSTERED = """ro AS (SELECT loc.*, cluster FROM loc JOIN clu USING (id)), vo AS (SELECT ro.*, name <> '' AS named FROM ro JOIN gs ON gs.id = global_id),
 bn AS (SELECT cluster, global_id AS g FROM vo WHERE named QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY total_dur DESC, id) = 1),
 bv AS (SELECT cluster, global_id AS g FROM (SELECT cluster, global_id, count(*) AS n FROM vo GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY n DESC, global_id) = 1),
