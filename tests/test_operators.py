@@ -67,7 +67,8 @@ def test_a_key_with_half_of_all_rows_is_spread(spark):
 
 @pytest.mark.parametrize("small", [0, 1 << 22])
 def test_similarity_joins(spark, monkeypatch, small):
-    monkeypatch.setattr(similarity, "BLOCK", 16)
+    monkeypatch.setattr(similarity, "STEP", 16)
+    monkeypatch.setattr(similarity, "TILE", 100)
     monkeypatch.setattr(similarity, "SMALL", small)
     x = np.random.default_rng(1).normal(size=(70, 5))
     x[3], x[9] = 0, x[8]
@@ -115,6 +116,19 @@ def test_clusters_against_plain_ones(spark):
         assert all(len({files[i] for i in s}) == len(s) for s in by.values())
 
 
+@pytest.mark.parametrize(("average", "threshold"), [(True, 0.6), (False, 0.5)])
+def test_large_components_in_rounds(spark, monkeypatch, average, threshold):
+    """Rounds of joins give what one task gives, with ties (repeated vectors, equal angles) and cannot-links."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.integers(-1, 2, (50, 4)), rng.normal(size=(40, 4))]).astype(float) + [1.2, 0, 0, 0]
+    x = x[np.abs(x).sum(1) > 0]
+    df = spark.createDataFrame([(100 - i, int(f), r.tolist()) for i, (f, r) in enumerate(zip(rng.integers(0, 25, len(x)), x))], "id long, file_id long, centroid array<double>")
+    whole = {r.id: r.cluster for r in identity.cluster(df, threshold, average).collect()}
+    monkeypatch.setattr(identity, "LARGE", 5)
+    assert {r.id: r.cluster for r in identity.cluster(df, threshold, average).collect()} == whole
+    assert len(whole) == len(x) and 3 < len(set(whole.values())) < len(x) // 2
+
+
 def test_greedy_takes_the_nearest_first():
     assert identity.greedy([(0.7, 1, 9), (0.9, 2, 9), (0.6, 1, 8)]) == {2: (9, 0.9), 1: (8, 0.6)}
     assert identity.greedy([(0.72, 1, 9), (0.69, 2, 9)], shared=True) == {1: (9, 0.72), 2: (9, 0.69)}

@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from voxframe.functions.text import display_name, lower
 from voxframe.functions.vectors import l2_normalise
+from voxframe.operators import linkage
 from voxframe.operators.components import connected_components
 from voxframe.operators.similarity import PLACES, candidates, pairs_above
+from voxframe.workspace import write_table
 
 
 def usage(locals_: DataFrame) -> DataFrame:
@@ -251,10 +253,16 @@ def agglomerate(v: np.ndarray, files: list[int], threshold: float, average: bool
     return out
 
 
+#: Members of a component up to which one task clusters it, with a matrix of their number squared.
+LARGE = 4096
+
+
 def cluster(locals_: DataFrame, threshold: float, average: bool = True) -> DataFrame:
-    """id, cluster (lowest id in it). No merge crosses a component of the graph of pairs at or above the threshold, so each component is clustered on its own."""
-    links = pairs_above(locals_.select("id", F.col("centroid").alias("v")), threshold)
-    parts = connected_components(links).withColumnRenamed("node", "id")
+    """id, cluster (lowest id in it). No merge crosses a component of the graph of pairs at or above the threshold, so each component is clustered on its own:
+    in a task, or, with more than LARGE members, in rounds of joins (operators.linkage) that give the same."""
+    links = write_table(pairs_above(locals_.select("id", F.col("centroid").alias("v")), threshold), "links")
+    parts = write_table(connected_components(links).withColumnRenamed("node", "id"), "parts")
+    large = write_table(parts.groupBy("component").count().where(F.col("count") > LARGE).select("component"), "large")
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("id")
@@ -266,8 +274,13 @@ def cluster(locals_: DataFrame, threshold: float, average: bool = True) -> DataF
         return pd.DataFrame({"id": group["id"], "cluster": [first[k] for k in c]})
 
     rows = locals_.join(parts, "id", "left")
-    grouped = rows.where("component is not null").groupBy("component").applyInPandas(one, "id long, cluster long")
-    return grouped.unionByName(rows.where("component is null").select("id", F.col("id").alias("cluster")))
+    alone = rows.where("component is null").select("id", F.col("id").alias("cluster"))
+    if large.isEmpty():
+        return rows.where("component is not null").groupBy("component").applyInPandas(one, "id long, cluster long").unionByName(alone)
+    inside = write_table(parts.join(large, "component", "left_semi").select("id"), "inside")
+    small = rows.where("component is not null").join(large, "component", "left_anti").groupBy("component").applyInPandas(one, "id long, cluster long")
+    big = linkage.merge_rounds(locals_.join(inside, "id", "left_semi"), links.join(inside.withColumnRenamed("id", "a"), "a", "left_semi"), threshold, average)
+    return small.unionByName(big).unionByName(alone)
 
 
 def merge_into(left: Column, left_name: Column, left_files: Column, right: Column, right_name: Column, right_files: Column) -> Column:

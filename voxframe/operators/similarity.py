@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -10,8 +11,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Vectors of a block; a task compares two blocks. Numbers of the smaller side that are broadcast at most; beyond, both sides are dealt in blocks.
-BLOCK, SMALL = 512, 1 << 22
+#: Numbers of the right side that are broadcast at most; beyond, both sides are dealt in tiles of about so many numbers (32 MB), and a task compares two of them.
+#: Vectors of either tile that are multiplied at once.
+SMALL, TILE, STEP = 1 << 22, 1 << 22, 2048
 #: Places to which similarities are rounded where their order decides, so that equal pairs tie whatever block they were compared in.
 PLACES = 9
 
@@ -33,19 +35,19 @@ def _compared(left: dict, right: dict, low: float, high: float, own: bool) -> pa
     found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
     for n in left.keys() & right.keys():
         (a, x), (b, y) = left[n], right[n]
-        for at in range(0, len(a), BLOCK):
-            sim = x[at : at + BLOCK] @ y.T
+        for at, to in product(range(0, len(a), STEP), range(0, len(b), STEP)):
+            sim = x[at : at + STEP] @ y[to : to + STEP].T
             hit = (sim >= low) & (sim < high)
             if own:
-                hit &= a[at : at + BLOCK, None] < b[None, :]
+                hit &= a[at : at + STEP, None] < b[None, to : to + STEP]
             i, j = np.nonzero(hit)
-            found.append((a[at : at + BLOCK][i], b[j], sim[i, j]))
+            found.append((a[at : at + STEP][i], b[to : to + STEP][j], sim[i, j]))
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["a", "b", "sim"])
 
 
 def _joined(left: DataFrame, right: DataFrame, low: float, high: float | None, own: bool) -> DataFrame:
     top, out = math.inf if high is None else high, "a long, b long, sim double"
-    n_right, size = right.agg(F.count("*"), F.coalesce(F.sum(F.size("v")), F.lit(0))).first()
+    size = right.agg(F.coalesce(F.sum(F.size("v")), F.lit(0))).first()[0]
     if size <= SMALL:  # so the broadcast is of SMALL numbers at most
         rows = right.toArrow().combine_chunks()
         whole = _by_size(rows.column("id").combine_chunks(), rows.column("v").combine_chunks()) if rows.num_rows else {}
@@ -56,8 +58,8 @@ def _joined(left: DataFrame, right: DataFrame, low: float, high: float | None, o
                 yield _compared(_by_size(b.column(0), b.column(1)), shared.value, low, top, own)
 
         return left.mapInArrow(run, out)
-    n_left = n_right if own else left.count()
-    nl, nr = max(1, math.ceil(n_left / BLOCK)), max(1, math.ceil(n_right / BLOCK))
+    numbers = size if own else left.agg(F.coalesce(F.sum(F.size("v")), F.lit(0))).first()[0]
+    nl, nr = max(1, math.ceil(numbers / TILE)), max(1, math.ceil(size / TILE))
 
     def dealt(rows: DataFrame, n: int, others: int, side: int) -> DataFrame:
         rows = rows.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("_own"))
@@ -84,7 +86,7 @@ def _joined(left: DataFrame, right: DataFrame, low: float, high: float | None, o
 def pairs_above(vectors: DataFrame, low: float, high: float | None = None) -> DataFrame:
     """a, b (a < b), sim of the pairs with low <= sim (< high); vectors: id long, v array<double>. Vectors of unlike or no length are never near.
 
-    A small table is broadcast; of a large one each vector is sent to a row of block pairs, and each pair of blocks is one matrix product. No pair below low leaves its task.
+    A small table is broadcast; of a large one each vector is sent to a row of pairs of tiles, so the shuffle falls with the size of a tile, and each pair is compared in matrix products of bounded size. No pair below low leaves its task.
     """
     rows = vectors.select("id", "v")
     return _joined(rows, rows, low, high, True)
