@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxframe.functions import text
 from voxframe.operators import arrival, attribution, identity, ingest, levels, matching, render, store
@@ -17,8 +18,8 @@ from voxframe.sources.config import Settings
 from voxframe.workspace import write_table
 
 TABLES = {
-    "files": "id long, path string, track int, track_count int, size long, mtime double, status string, duration double, language string",
-    "segments": "file_id long, idx long, text string, seg_start double, seg_end double, local_label string, global_id long",
+    "files": "id long, path string, track int, track_count int, size long, mtime double, status string, duration double, language string, error string",
+    "segments": "file_id long, idx long, text string, seg_start double, seg_end double, local_label string, global_id long, avg_logprob float, no_speech float, words array<struct<start:float,end:float,probability:float,text:string>>",
     "locals": "id long, file_id long, label string, centroid array<double>, total_dur double, n_segments long, global_id long, similarity double",
     "identities": "id long, name string, notes string, enrolled boolean, centroid array<double>",
     "clips": "id long, global_id long, source string, duration double, centroid array<double>",
@@ -29,6 +30,10 @@ TABLES = {
 KEYS = {"files": "id", "segments": "file_id", "locals": "file_id", "outputs": "file_id"}
 
 
+def _filled(rows: DataFrame, schema: T.StructType) -> DataFrame:
+    return rows.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in schema if f.name not in rows.columns])
+
+
 class Engine:
     def __init__(self, spark: SparkSession, root: str, settings: Settings | None = None) -> None:
         self.spark, self.root, self.settings = spark, root.rstrip("/"), settings or Settings()
@@ -36,8 +41,9 @@ class Engine:
             self._commit(**{k: spark.createDataFrame([], v) for k, v in TABLES.items()})
 
     def tables(self, version: int | None = None, parts: list[int] | None = None) -> dict[str, DataFrame]:
-        """The store's tables; with parts, those by file have just these parts."""
-        return store.current(self.spark, self.root, version, None if parts is None else dict.fromkeys(KEYS, parts))
+        """The store's tables; with parts, those by file have just these parts. Columns that a store of an older form lacks are null."""
+        found = store.current(self.spark, self.root, version, None if parts is None else dict.fromkeys(KEYS, parts))
+        return {k: _filled(v, self.spark.createDataFrame([], TABLES[k]).schema) if k in TABLES else v for k, v in found.items()}
 
     def _commit(self, parts: list[int] | None = None, **changed: DataFrame) -> None:
         """With parts, of the tables by file just these parts are written."""
@@ -125,7 +131,7 @@ class Engine:
         x = self.tables()["files"]
         found = store.classify_files(x, seen).where(F.lit(self.settings.overwrite) | (F.col("action") != "same"))
         todo = seen.join(found, ["path", "track"])
-        known = todo.join(x.select("path", "track", "id"), ["path", "track"], "left").withColumn("status", F.lit("pending"))
+        known = todo.join(x.select("path", "track", "id"), ["path", "track"], "left").withColumn("status", F.lit("pending")).withColumn("error", F.lit(""))
         fresh = store.mint(x, known.where("id is null").drop("id"), ["path", "track"])
         cols = x.columns
         changed = write_table(known.where("id is not null").select(*cols).unionByName(fresh.select(*cols)), "changed")
@@ -135,7 +141,7 @@ class Engine:
         return self.tables()["files"].where("status = 'pending'").join(found, ["path", "track"])
 
     def add(self, segments: DataFrame, voices: DataFrame) -> None:
-        """Stores the results of files: segments (as the table, without global_id) and voices (file_id, label, centroid, total_dur, n_segments).
+        """Stores the results of files: segments (as the table, without global_id; avg_logprob, no_speech and words may be left out) and voices (file_id, label, centroid, total_dur, n_segments).
 
         Their former rows go. The voices are matched against the store as it was before, then segments take their speakers' identities.
         """
@@ -176,15 +182,22 @@ class Engine:
             matched = placed.where("outcome = 'inferred'").select("global_id", "centroid", F.lit(1.0).alias("w"))
             before = ids.select(F.col("id").alias("global_id"), "centroid").join(n, "global_id", "left").withColumn("w", F.greatest(F.lit(1.0), F.coalesce("w", F.lit(1.0)))).join(matched.select("global_id").distinct(), "global_id", "left_semi")
             folded = identity.centroid_arrays(before.unionByName(matched), "global_id", "centroid", "w").withColumnRenamed("global_id", "id")
-        said = segments.join(placed.select("file_id", F.col("label").alias("local_label"), "global_id"), ["file_id", "local_label"], "left")
+        known_columns = _filled(segments, x["segments"].drop("global_id").schema)
+        said = known_columns.join(placed.select("file_id", F.col("label").alias("local_label"), "global_id"), ["file_id", "local_label"], "left")
         self._commit(
             parts,
             identities=store.update(ids.unionByName(own), folded, "id", ["centroid"]),
             locals=own_parts["locals"].join(files, "file_id", "left_anti").unionByName(placed.select(*x["locals"].columns)),
             segments=own_parts["segments"].join(files, "file_id", "left_anti").unionByName(said.select(*x["segments"].columns)),
-            files=store.update(own_parts["files"], files.select(F.col("file_id").alias("id"), F.lit("done").alias("status")), "id", ["status"]),
+            files=store.update(own_parts["files"], files.select(F.col("file_id").alias("id"), F.lit("done").alias("status"), F.lit("").alias("error")), "id", ["status", "error"]),
         )
 
+    def fail(self, failed: DataFrame) -> None:
+        """Notes files that a run couldn't do (id, error): their status and the reason; what is stored of them stays. The next enqueue() takes them up again."""
+        failed = write_table(failed.groupBy("id").agg(F.min("error").alias("error"), F.lit("failed").alias("status")), "failed")
+        parts = store.buckets_of(failed, "id")
+        self._commit(parts, files=store.update(self.tables(parts=parts)["files"], failed, "id", ["status", "error"]))
+
     def finish(self, roots: list[str] | None = None) -> dict[str, int]:
         """After a batch: clusters anew if the settings say so and, if anything moved, renders the files that have outputs again. Number of locals moved, of files rendered."""
         if not self.settings.recluster_after_batch:

@@ -52,16 +52,28 @@ def render(segments: DataFrame, fmt: str) -> DataFrame:
 
 
 def json(segments: DataFrame, files: DataFrame) -> DataFrame:
-    """file_id, body: segments as above with global_id (null: -1) and local_label; files: file_id, source, track, track_count, duration, language, model. Numbers have six digits."""
+    """file_id, body: segments as above with global_id (null: -1), local_label and, where known, avg_logprob, no_speech and words (functions.packed.WORDS); files: file_id, source, track, track_count, duration, language, model. Numbers have six digits."""
     rows = segments.where(F.col("text") != "")
 
     def quoted(c: Column) -> Column:
         return F.concat(F.lit('"'), t.escape_json(F.coalesce(c, F.lit(""))), F.lit('"'))
 
+    def number(name: str) -> Column:
+        return t.general(F.coalesce(F.col(name), F.lit(0.0)).cast("double")) if name in rows.columns else F.lit("0")
+
+    def word(w: Column) -> Column:
+        times = [F.concat(F.lit(f'"{name}": '), t.general(w[name].cast("double")), F.lit(", ")) for name in ("start", "end", "probability")]
+        return F.concat(F.lit("        {"), *times, F.lit('"text": '), quoted(w["text"]), F.lit("}"))
+
+    words = F.lit("")
+    if "words" in rows.columns:
+        said = F.concat(F.lit(',\n      "words": [\n'), F.array_join(F.transform("words", word), ",\n"), F.lit("\n      ]"))
+        words = F.when(F.size("words") > 0, said).otherwise("")
+
     def member(name: str, value: Column, last: bool = False) -> Column:
         return F.concat(F.lit(f'      "{name}": '), value, F.lit("" if last else ",\n"))
 
-    parts = [member("start", t.general(F.col("seg_start"))), member("end", t.general(F.col("seg_end"))), member("speaker", quoted(F.col("label"))), member("speaker_id", F.coalesce("global_id", F.lit(-1)).cast("string")), member("local_label", quoted(F.col("local_label"))), member("text", quoted(F.col("text")), True)]
+    parts = [member("start", t.general(F.col("seg_start"))), member("end", t.general(F.col("seg_end"))), member("speaker", quoted(F.col("label"))), member("speaker_id", F.coalesce("global_id", F.lit(-1)).cast("string")), member("local_label", quoted(F.col("local_label"))), member("avg_logprob", number("avg_logprob")), member("no_speech", number("no_speech")), member("text", quoted(F.col("text")), True), words]
     body = rows.select("file_id", F.struct("idx", F.concat(F.lit("    {\n"), *parts, F.lit("\n    }")).alias("line")).alias("x")).groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), ",\n").alias("segments"))
     head = [("source", quoted(F.col("source"))), ("track", F.col("track").cast("string")), ("track_count", F.col("track_count").cast("string")), ("duration", t.general(F.col("duration"))), ("language", quoted(F.col("language"))), ("model", quoted(F.col("model")))]
     top = F.concat(F.lit("{\n"), *[F.concat(F.lit(f'  "{k}": '), v, F.lit(",\n")) for k, v in head], F.lit('  "segments": [\n'), F.coalesce("segments", F.lit("")), F.lit("\n  ]\n}\n"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from voxframe.functions import packed
 from voxframe.functions import text as t
 from voxframe.functions import vectors as v
 from voxframe.operators import arrival, attribution, identity, levels, matching, progress, render, store, words
@@ -498,19 +499,42 @@ def _(s, d):
     return rows.withColumn("usable", levels.usable(F.col("seconds")))
 
 
+def _quoted(x: str) -> str:
+    return f"""'"' || replace(replace(replace(replace(replace({x}, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r'), chr(9), chr(92) || 't') || '"'"""
+
+
+_MEMBERS = [("start", "printf('%g', seg_start)"), ("end", "printf('%g', seg_end)"), ("speaker", _quoted("local_label")), ("speaker_id", "'-1'"), ("local_label", _quoted("local_label")), ("avg_logprob", "printf('%g', avg_logprob::DOUBLE)"), ("no_speech", "printf('%g', no_speech::DOUBLE)")]
+_SEGMENT = "'    {' || chr(10) || " + "".join(f"""'      "{k}": ' || {v} || ',' || chr(10) || """ for k, v in _MEMBERS) + f"""'      "text": ' || {_quoted("text")} || coalesce(words, '') || chr(10) || '    }}'"""
+
+
 @query(
     "rn6_json",
-    """, x AS (SELECT *, replace(replace(replace(replace(replace(text, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r'), chr(9), chr(92) || 't') AS e FROM seg WHERE text <> ''),
-y AS (SELECT file_id, string_agg('    {' || chr(10) || '      "start": ' || printf('%g', seg_start) || ',' || chr(10) || '      "end": ' || printf('%g', seg_end) || ',' || chr(10) || '      "speaker": "' || local_label || '",' || chr(10) || '      "speaker_id": -1,' || chr(10) || '      "local_label": "' || local_label || '",' || chr(10) || '      "text": "' || e || '"' || chr(10) || '    }', ',' || chr(10) ORDER BY idx) AS s, max(seg_end) AS d FROM x GROUP BY file_id)
-SELECT file_id, '{' || chr(10) || '  "source": "/in/' || file_id || '.wav",' || chr(10) || '  "track": 0,' || chr(10) || '  "track_count": 1,' || chr(10) || '  "duration": ' || printf('%g', d) || ',' || chr(10) || '  "language": "",' || chr(10) || '  "model": "",' || chr(10) || '  "segments": [' || chr(10) || s || chr(10) || '  ]' || chr(10) || '}' || chr(10) AS body FROM y""",
-    (fx.SEG,),
+    f""", sw AS (SELECT file_id, idx, ',' || chr(10) || '      "words": [' || chr(10) || string_agg('        {{"start": ' || printf('%g', w.a::DOUBLE) || ', "end": ' || printf('%g', w.b::DOUBLE) || ', "probability": ' || printf('%g', w.p::DOUBLE) || ', "text": ' || {_quoted("w.t")} || '}}', ',' || chr(10) ORDER BY k) || chr(10) || '      ]' AS words
+  FROM (SELECT file_id, idx, unnest(words) AS w, generate_subscripts(words, 1) AS k FROM told) GROUP BY file_id, idx),
+y AS (SELECT file_id, string_agg({_SEGMENT}, ',' || chr(10) ORDER BY idx) AS s, max(seg_end) AS d FROM (SELECT t.* EXCLUDE (words), sw.words FROM told t LEFT JOIN sw ON sw.file_id = t.file_id AND sw.idx = t.idx WHERE text <> '') GROUP BY file_id)
+SELECT file_id, '{{' || chr(10) || '  "source": "/in/' || file_id || '.wav",' || chr(10) || '  "track": 0,' || chr(10) || '  "track_count": 1,' || chr(10) || '  "duration": ' || printf('%g', d) || ',' || chr(10) || '  "language": "",' || chr(10) || '  "model": "",' || chr(10) || '  "segments": [' || chr(10) || s || chr(10) || '  ]' || chr(10) || '}}' || chr(10) AS body FROM y""",
+    (fx.SEG, fx.WRD, fx.TOLD),
 )
 def _(s, d):
-    rows = fx.seg(s, d).withColumn("label", F.col("local_label")).withColumn("global_id", F.lit(None).cast("long"))
+    rows = fx.told(s, d).withColumn("label", F.col("local_label")).withColumn("global_id", F.lit(None).cast("long"))
     files = rows.where("text <> ''").groupBy("file_id").agg(F.max("seg_end").alias("duration")).select("file_id", F.concat(F.lit("/in/"), "file_id", F.lit(".wav")).alias("source"), F.lit(0).alias("track"), F.lit(1).alias("track_count"), "duration", F.lit("").alias("language"), F.lit("").alias("model"))
     return render.json(rows, files)
 
 
+@query(
+    "fn27_packed_words",
+    """, b AS (SELECT file_id, idx, (4 + list_sum([16 + octet_length(encode(w.t)) for w in words]))::BIGINT AS n_bytes, unnest(words) AS w, generate_subscripts(words, 1) AS k FROM told),
+c AS (SELECT *, 4 + sum(16 + octet_length(encode(w.t))) OVER (PARTITION BY file_id, idx ORDER BY k) AS stop FROM b)
+SELECT file_id, idx, any_value(n_bytes) AS n_bytes, count(*) FILTER (stop <= n_bytes * 2 // 3) AS n_words, round(coalesce(sum(w.b::DOUBLE) FILTER (stop <= n_bytes * 2 // 3), 0), 3) AS ends, coalesce(string_agg(w.t, ' ' ORDER BY k) FILTER (stop <= n_bytes * 2 // 3), '') AS text FROM c GROUP BY file_id, idx""",
+    (fx.SEG, fx.WRD, fx.TOLD),
+)
+def _(s, d):
+    blobs = fx.told(s, d).where("words is not null").select("file_id", "idx", packed.pack_words("words").alias("blob"))
+    cut = blobs.select("file_id", "idx", F.octet_length("blob").cast("long").alias("n_bytes"), packed.unpack_words(F.substring("blob", F.lit(1), (F.octet_length("blob") * 2 / 3).cast("int"))).alias("w"))
+    ends = F.aggregate("w", F.lit(0.0), lambda x, w: x + w["end"].cast("double"))
+    return cut.select("file_id", "idx", "n_bytes", F.size("w").cast("long").alias("n_words"), F.round(ends, 3).alias("ends"), F.array_join(F.transform("w", lambda w: w["text"]), " ").alias("text"))
+
+
 @query("id10_split", ", l AS (SELECT id, CASE WHEN id = 45 THEN (SELECT max(id) + 1 FROM gs) ELSE global_id END AS global_id FROM loc) SELECT global_id, count(*) AS n FROM l GROUP BY global_id", GS)
 def _(s, d):
     _ids, moved = identity.split_local(fx.gs(s, d), fx.loc(s, d), 45)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from voxframe.engine import KEYS, TABLES, Engine
+from voxframe.engine import KEYS, TABLES, Engine, _filled
 from voxframe.operators import identity, store
 from voxframe.plans import catalog
 from voxframe.plans import fixtures as fx
@@ -29,7 +29,7 @@ def _engine(s: SparkSession, d: str, voices: bool = True, **changed: DataFrame)
         "clips": e.withColumn("source", F.concat(F.lit("clip "), F.col("id").cast("string"))),
     } | changed
     empty = ["dismissed", "outputs"] + ([] if voices else ["segments", "locals"])
-    tables = {k: s.createDataFrame([], v) if k in empty else rows[k].select(*[F.col(f.name).cast(f.dataType) for f in s.createDataFrame([], v).schema]) for k, v in TABLES.items()}
+    tables = {k: s.createDataFrame([], v) if k in empty else _filled(rows[k], (schema := s.createDataFrame([], v).schema)).select(*[F.col(f.name).cast(f.dataType) for f in schema]) for k, v in TABLES.items()}
     store.commit(tables, root, KEYS)
     return Engine(s, root)
 

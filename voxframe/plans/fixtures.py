@@ -48,6 +48,19 @@ wrd AS (SELECT file_id, idx, w_pos, seg_start + sum(length(text) + 1) OVER w / 1
   FROM wp WINDOW w AS (PARTITION BY file_id, idx ORDER BY w_pos ROWS UNBOUNDED PRECEDING))"""
 
 
+def told(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments with what a recognizer tells of them; every fourth has no words."""
+    w = wrd(spark, sf_dir).where("idx % 4 <> 3").withColumn("probability", (F.col("w_pos") % 9 + 1) / F.lit(11.0))
+    word = F.struct("w_pos", *[F.col(c).cast("float").alias(k) for c, k in (("w_start", "start"), ("w_end", "end"), ("probability", "probability"))], "text")
+    words = w.groupBy("file_id", "idx").agg(F.transform(F.array_sort(F.collect_list(word)), lambda x: F.struct(x["start"], x["end"], x["probability"], x["text"])).alias("words"))
+    told = seg(spark, sf_dir).withColumn("avg_logprob", (-(F.col("idx") % 7) / F.lit(9.0)).cast("float")).withColumn("no_speech", ((F.col("file_id") % 5) / F.lit(7.0)).cast("float"))
+    return told.join(words, ["file_id", "idx"], "left")
+
+
+TOLD = """tw AS (SELECT file_id, idx, list({'a': w_start::FLOAT, 'b': w_end::FLOAT, 'p': ((w_pos % 9 + 1) / 11::DOUBLE)::FLOAT, 't': text} ORDER BY w_pos) AS words FROM wrd WHERE idx % 4 <> 3 GROUP BY file_id, idx),
+told AS (SELECT seg.*, (-(seg.idx % 7) / 9::DOUBLE)::FLOAT AS avg_logprob, ((seg.file_id % 5) / 7::DOUBLE)::FLOAT AS no_speech, words FROM seg LEFT JOIN tw ON tw.file_id = seg.file_id AND tw.idx = seg.idx)"""
+
+
 def vp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, file_id, label, gt, centroid, total_dur: mixtures of a label's first vector and the own one."""
     e = table(spark, sf_dir, "embeddings")
