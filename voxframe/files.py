@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterable, Iterator
 
 from pyarrow import fs
 
@@ -15,16 +16,33 @@ def resolve(uri: str) -> tuple[fs.FileSystem, str]:
     return (fs.LocalFileSystem(), uri) if uri.startswith("/") else fs.FileSystem.from_uri(uri)
 
 
-def write_whole(uri: str, chunks: list[bytes]) -> int:
+def write_whole(uri: str, chunks: Iterable[bytes]) -> int:
     """Writes under a name of its own, then renames: a lost or repeated task leaves one whole file. Returns its size."""
     where, path = resolve(uri)
     where.create_dir(os.path.dirname(path), recursive=True)
     own = f"{path}.{uuid.uuid4().hex}.tmp"
+    size = 0
     with where.open_output_stream(own, compression=None) as out:
         for c in chunks:
             out.write(c)
+            size += len(c)
     where.move(own, path)
-    return sum(map(len, chunks))
+    return size
+
+
+def blocks(uri: str, size: int = 4 << 20) -> Iterator[bytes]:
+    """The bytes of a file, some at a time."""
+    where, path = resolve(uri)
+    with where.open_input_stream(path, compression=None) as f:
+        while block := f.read(size):
+            yield block
+
+
+def remove(uri: str) -> None:
+    """A folder and what is in it, if there is one."""
+    where, path = resolve(uri)
+    if where.get_file_info(path).type == fs.FileType.Directory:
+        where.delete_dir(path)
 
 
 def read_whole(uri: str) -> bytes:

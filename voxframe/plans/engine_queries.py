@@ -10,7 +10,7 @@ from voxframe.operators import identity, store
 from voxframe.plans import catalog
 from voxframe.plans import fixtures as fx
 from voxframe.plans.registry import query
-from voxframe.sources import models, wav
+from voxframe.sources import models, wav, wavsource
 from voxframe.streaming import events
 from voxframe.workspace import new_path
 
@@ -124,15 +124,13 @@ def _(s, d):
 REC = "rec AS (SELECT user_id % 20 AS part, row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id) - 1 AS pos, floor(least(value / 1000, 1) * 32767 + 0.5)::BIGINT AS code FROM events)"
 
 
-def _recordings(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """What write_files says, and path, content of the files written."""
+def _recordings(s: SparkSession, d: str) -> tuple[DataFrame, str]:
+    """What write_files says, and the folder of the files written."""
     e, root = fx.table(s, d, "events").withColumn("part", F.col("user_id") % 20), new_path(s, "wav")
     rows = e.select("part", "event_id", F.least(F.col("value") / 1000, F.lit(1.0)).cast("float").alias("x"), ((F.row_number().over(Window.partitionBy("part").orderBy("event_id")) - 1) / 64).cast("int").alias("chunk"))
     samples = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "x"))), lambda r: r["x"])
     chunks = rows.groupBy("part", "chunk").agg(samples.alias("samples")).select(F.concat(F.col("part").cast("string"), F.lit(".wav")).alias("path"), "chunk", F.lit(8000).alias("rate"), "samples")
-    written = wav.write_files(chunks, root)
-    written = written.sparkSession.createDataFrame(written.collect(), written.schema)  # a row a recording, 20 of them
-    return written, s.read.format("binaryFile").load(f"{root}/*.wav")
+    return wav.write_files(chunks, root), root
 
 
 def _part() -> F.Column:
@@ -151,14 +149,15 @@ def _(s, d):
 
 @query("sc6_wav_samples", "SELECT part, pos, code FROM rec", (REC,))
 def _(s, d):
-    return _codes(wav.read_samples(_recordings(s, d)[1], rate=None, seconds=0.01))
+    return _codes(wavsource.read(s, _recordings(s, d)[1], seconds=0.01, partition_bytes=4096).where("channel = 0"))
 
 
 @query("sc4_wav_range", "SELECT part, pos - 10 AS pos, code FROM rec WHERE pos BETWEEN 10 AND 39", (REC,))
 def _(s, d):
-    return _codes(wav.read_samples(_recordings(s, d)[1], channel=0, start=10 / 8000, end=40 / 8000, rate=None))
+    return _codes(wavsource.read(s, _recordings(s, d)[1], channel=0, start=10 / 8000, end=40 / 8000))
 
 
 @query("sc5_wav_heads", "SELECT part, 8000 AS rate, 1 AS channels, count(*) AS frames, count(*) / 8000::DOUBLE AS duration FROM rec GROUP BY part", (REC,))
 def _(s, d):
-    return wav.decode(_recordings(s, d)[1]).select(_part(), "rate", "channels", "frames", "duration")
+    heads = wavsource.read(s, _recordings(s, d)[1], samples=False)
+    return heads.select(_part(), "rate", "channels", "frames", (F.col("frames") / F.col("rate")).alias("duration"))

@@ -7,7 +7,9 @@ from __future__ import annotations
 
 import struct
 import subprocess
+import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,10 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxframe import files as shared_files
-from voxframe.workspace import small_batches
+from voxframe.workspace import small_batches, write_table
 
 # Fixed values of the RIFF format.
 PCM, FLOAT, EXTENSIBLE = 1, 3, 0xFFFE
+LAYOUTS = frozenset([(PCM, 8), (PCM, 16), (PCM, 24), (PCM, 32), (FLOAT, 32)])
 #: Extensions taken as media. Fixed values.
 MEDIA = frozenset(
     ".wav .flac .mp3 .m4a .aac .ogg .opus .wma .aiff .aif .alac .ape .mka .m4b .amr .caf .wv .dts "
@@ -44,13 +47,14 @@ def parse(data: bytes) -> tuple[np.ndarray, int]:
         elif name == b"data":
             if fmt is None:
                 raise ValueError("data before format")
-            return _samples(body, *fmt), fmt[2]
+            return samples_of(body, *fmt), fmt[2]
     raise ValueError("no data")
 
 
-def _samples(body: bytes, tag: int, channels: int, rate: int, bits: int) -> np.ndarray:
+def samples_of(body: bytes, tag: int, channels: int, rate: int, bits: int) -> np.ndarray:
+    """float32 samples [channel, frame] of raw frames."""
     width = bits // 8
-    if channels < 1 or (tag, bits) not in {(PCM, 8), (PCM, 16), (PCM, 24), (PCM, 32), (FLOAT, 32)}:
+    if channels < 1 or (tag, bits) not in LAYOUTS:
         raise ValueError(f"unknown layout: format {tag}, {bits} bits, {channels} channels")
     body = body[: len(body) // (width * channels) * width * channels]
     if tag == FLOAT:
@@ -72,8 +76,8 @@ def parse_mono16k(data: bytes) -> np.ndarray:
     return x[0]
 
 
-def to_wav(samples: np.ndarray, rate: int, bits: int = 16, tag: int = PCM) -> bytes:
-    """PCM of 8, 16, 24 or 32 bits of samples [channel, frame], cut to [-1, 1], rounded half away from zero; or 32-bit float, as they are."""
+def raw(samples: np.ndarray, bits: int = 16, tag: int = PCM) -> bytes:
+    """Frames of PCM of 8, 16, 24 or 32 bits of samples [channel, frame], cut to [-1, 1], rounded half away from zero; or 32-bit float, as they are."""
     x = np.atleast_2d(samples)
     if (tag, bits) == (FLOAT, 32):
         x = x.astype("<f4")
@@ -83,29 +87,49 @@ def to_wav(samples: np.ndarray, rate: int, bits: int = 16, tag: int = PCM) -> by
         x = (y + 128).astype(np.uint8) if bits == 8 else y.astype("<i2" if bits == 16 else "<i4")
     else:
         raise ValueError(f"unknown layout: format {tag}, {bits} bits")
-    channels, body = len(x), np.ascontiguousarray(x.T)
-    body = np.ascontiguousarray(body[..., None].view(np.uint8)[..., :3]).tobytes() if bits == 24 else body.tobytes()
-    body += b"\0" * (len(body) & 1)
+    body = np.ascontiguousarray(x.T)
+    return np.ascontiguousarray(body[..., None].view(np.uint8)[..., :3]).tobytes() if bits == 24 else body.tobytes()
+
+
+def wav_head(size: int, rate: int, channels: int, bits: int, tag: int) -> bytes:
+    """What stands before so many bytes of frames."""
     fmt = struct.pack("<HHIIHH", tag, channels, rate, rate * bits // 8 * channels, bits // 8 * channels, bits)
-    return b"RIFF" + struct.pack("<I", 36 + len(body)) + b"WAVEfmt " + struct.pack("<I", 16) + fmt + b"data" + struct.pack("<I", len(body)) + body
+    padded = size + (size & 1)
+    return b"RIFF" + struct.pack("<I", 36 + padded) + b"WAVEfmt " + struct.pack("<I", 16) + fmt + b"data" + struct.pack("<I", padded)
 
 
-def resample(x: np.ndarray, rate: int, to: int) -> np.ndarray:
-    """float32 samples of one channel at another rate, by a windowed sinc that passes what both rates hold."""
-    if rate == to or not len(x):
-        return x.astype(np.float32)
-    cut = min(1.0, to / rate)
-    half = int(np.ceil(TAPS / cut))
-    padded, out = np.concatenate([np.zeros(half), x, np.zeros(half + 1)]), np.empty(max(1, round(len(x) * to / rate)), np.float32)
-    k = np.arange(-half + 1, half + 1)
-    for at in range(0, len(out), 1 << 14):
-        t = np.arange(at, min(at + (1 << 14), len(out))) * (rate / to)
+def to_wav(samples: np.ndarray, rate: int, bits: int = 16, tag: int = PCM) -> bytes:
+    """A whole file of samples [channel, frame]."""
+    body = raw(samples, bits, tag)
+    return wav_head(len(body), rate, len(np.atleast_2d(samples)), bits, tag) + body + b"\0" * (len(body) & 1)
+
+
+def reach(rate: int, to: int) -> int:
+    """Neighbours on either side that a sample is made from."""
+    return int(np.ceil(TAPS / min(1.0, to / rate)))
+
+
+def resampled(x: np.ndarray, at: int, rate: int, to: int, first: int, last: int) -> np.ndarray:
+    """Samples first to last at another rate, by a windowed sinc that passes what both rates hold; x: what is known of one channel from its frame at on, the rest counts as silence."""
+    cut, half = min(1.0, to / rate), reach(rate, to)
+    out, k = np.empty(last - first, np.float32), np.arange(-half + 1, half + 1)
+    padded = np.concatenate([np.zeros(1), x, np.zeros(1)])
+    for start in range(first, last, 1 << 14):
+        t = np.arange(start, min(start + (1 << 14), last)) * (rate / to)
         d = k[None, :] - (t - np.floor(t))[:, None]
         w = cut * np.sinc(cut * d) * (0.5 + 0.5 * np.cos(np.pi * np.clip(d / half, -1, 1)))
-        out[at : at + len(t)] = (padded[np.floor(t).astype(np.int64)[:, None] + k + half] * w).sum(1)
+        place = np.clip(np.floor(t).astype(np.int64)[:, None] + k - at + 1, 0, len(x) + 1)
+        out[start - first : start - first + len(t)] = (padded[place] * w).sum(1)
     return out
 
 
+def resample(x: np.ndarray, rate: int, to: int) -> np.ndarray:
+    """float32 samples of one channel at another rate."""
+    if rate == to or not len(x):
+        return x.astype(np.float32)
+    return resampled(x, 0, rate, to, 0, max(1, round(len(x) * to / rate)))
+
+
 def picked(x: np.ndarray, rate: int, channel: int | None = None, start: float = 0.0, end: float | None = None, to: int | None = None) -> tuple[np.ndarray, int]:
     """One channel of samples [channel, frame], or the mean of all, from start to end (if after it) in seconds, at another rate if asked."""
     if channel is not None and not 0 <= channel < len(x):
@@ -198,17 +222,36 @@ def read_samples(files: DataFrame, *, channel: int | None = None, start: float =
 def write_files(chunks: DataFrame, root: str, bits: int = 16, tag: int = PCM) -> DataFrame:
     """path, n_bytes of mono WAV files written below root, the URI of a folder that the executors share: from rows path (relative), chunk, rate, samples.
 
-    A file's chunks come to one task, and each file is renamed when it is whole.
+    Each row is written as a part by the task that has it; then a recording's parts, in order of chunk, are copied behind a head in blocks of bounded size, and the file is renamed when it is whole. So
+    no task holds a recording, a lost task's parts are passed over, and a job that fails leaves no file of its own and no part.
     """
-    base = root.rstrip("/")
+    base, spark = root.rstrip("/"), chunks.sparkSession
+    staging = f"{base}/_parts-{uuid.uuid4().hex}"
+    schema = pa.schema([("path", pa.string()), ("chunk", pa.int64()), ("rate", pa.int64()), ("part", pa.string()), ("n", pa.int64())])
 
-    def one(key: tuple, group: pa.Table) -> pa.Table:
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for path, chunk, rate, samples in zip(*(b.column(k) for k in range(4))):
+                x = samples.values.to_numpy(zero_copy_only=False) if samples.is_valid else np.empty(0, np.float32)
+                part = f"{staging}/{uuid.uuid4().hex}"
+                rows.append({"path": path.as_py(), "chunk": chunk.as_py(), "rate": rate.as_py(), "part": part, "n": shared_files.write_whole(part, [raw(x, bits, tag)])})
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    def whole(key: tuple, group: pa.Table) -> pa.Table:
         group = group.sort_by("chunk")
-        x = group.column("samples").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        n = shared_files.write_whole(f"{base}/{key[0].as_py()}", [to_wav(x, group.column("rate")[0].as_py(), bits, tag)])
+        size = sum(group.column("n").to_pylist())
+        blocks = (block for part in group.column("part").to_pylist() for block in shared_files.blocks(part))
+        n = shared_files.write_whole(f"{base}/{key[0].as_py()}", chain([wav_head(size, group.column("rate")[0].as_py(), 1, bits, tag)], blocks, [b"\0" * (size & 1)]))
         return pa.table({"path": [key[0].as_py()], "n_bytes": pa.array([n], pa.int64())})
 
-    return chunks.select("path", "chunk", "rate", "samples").groupBy("path").applyInArrow(one, "path string, n_bytes long")
+    small_batches(spark, 64)
+    try:
+        rows = chunks.select("path", F.col("chunk").cast("long"), F.col("rate").cast("long"), F.col("samples").cast("array<float>"))
+        listed = write_table(rows.mapInArrow(parts, "path string, chunk long, rate long, part string, n long"), "parts")
+        return write_table(listed.groupBy("path").applyInArrow(whole, "path string, n_bytes long"), "written")
+    finally:
+        shared_files.remove(staging)
 
 
 def transcode(files: DataFrame, program: str = "ffmpeg", *, channel: int | None = None, start: float = 0.0, end: float | None = None, rate: int = 16_000, channels: int = 1) -> DataFrame:
