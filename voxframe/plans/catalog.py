@@ -15,6 +15,7 @@ from voxframe.operators.similarity import pairs_above
 from voxframe.plans import fixtures as fx
 from voxframe.plans.registry import ORACLE_SQL, QUERIES, query
 from voxframe.sources import wav
+from voxframe.streaming import amend
 from voxframe.streaming import events as stream
 from voxframe.workspace import write_table
 
@@ -421,6 +422,40 @@ def _(s, d):
     return stream.latest_snapshot(s, f"{d}/event[s].parquet", fx.table(s, d, "events").schema, "user_id", "event_id", ["event_type", "value"])
 
 
+_LOG_COLUMNS = ["event_id", "kind", "idx", "text", "seg_start", "seg_end", "local_label", "global_id", "similarity"]
+
+
+def _event_log(s: SparkSession, d: str) -> DataFrame:
+    """What a run tells of the conversations: text first, labels and identities later, some of them twice."""
+    seg, at = fx.seg(s, d), F.col("file_id") * 100_000
+    none = {"text": "string", "seg_start": "double", "seg_end": "double", "local_label": "string", "global_id": "long", "similarity": "double", "idx": "long"}
+
+    def told(rows: DataFrame, kind: str, number: Column, **values: Column) -> DataFrame:
+        return rows.select("file_id", *[(number.alias(k) if k == "event_id" else F.lit(kind).alias(k) if k == "kind" else values.get(k, F.lit(None)).cast(none[k]).alias(k)) for k in _LOG_COLUMNS])
+
+    c = {k: F.col(k) for k in ("idx", "text", "seg_start", "seg_end", "local_label")}
+    who = seg.select("file_id", "local_label").distinct().withColumn("n", F.substring("local_label", -1, 1).cast("long"))
+    parts = [told(seg, "segment", at + c["idx"], **{k: v for k, v in c.items() if k != "local_label"}), told(seg.where("idx % 5 <> 4"), "labelled", at + 10_000 + c["idx"], idx=c["idx"], local_label=c["local_label"]), told(seg.where("idx % 3 = 0"), "segment", at + 20_000 + c["idx"], **(c | {"text": F.concat("text", F.lit("."))}))]
+    parts += [told(who, "resolved", at + k * 1000 + F.col("n"), local_label=c["local_label"], global_id=F.col("file_id") * 10 + F.col("n") + k, similarity=F.lit(k / 64)) for k in (30, 40)]
+    events = parts[0]
+    for p in parts[1:]:
+        events = events.unionByName(p)
+    n = events.groupBy("file_id").agg(F.count("*").alias("n"))
+    return events.unionByName(told(n, "finished", at + 90_000, idx=F.col("n")))
+
+
+@query(
+    "st2_amended_segments",
+    """SELECT s.file_id, s.idx, CASE WHEN s.idx % 3 = 0 THEN text || '.' ELSE text END AS text, seg_start, seg_end, l.label AS local_label,
+ CASE WHEN l.label IS NOT NULL THEN s.file_id * 10 + right(l.label, 1)::BIGINT + 40 END AS global_id, CASE WHEN l.label IS NOT NULL THEN 40 / 64::DOUBLE END AS similarity,
+ CASE WHEN l.label IS NOT NULL THEN s.file_id * 100000 + 40000 + right(l.label, 1)::BIGINT WHEN s.idx % 3 = 0 THEN s.file_id * 100000 + 20000 + s.idx ELSE s.file_id * 100000 + s.idx END AS revision
+ FROM seg s JOIN (SELECT file_id, idx, CASE WHEN idx % 5 <> 4 OR idx % 3 = 0 THEN local_label END AS label FROM seg) l ON l.file_id = s.file_id AND l.idx = s.idx""",
+    (fx.SEG,),
+)
+def _(s, d):
+    return amend.followed(s, write_table(_event_log(s, d), "events"))
+
+
 # --- more of the store, windows and scalar functions
 
 

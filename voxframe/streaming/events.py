@@ -42,10 +42,10 @@ def latest(events: DataFrame, key: str, order: str, columns: list[str]) -> DataF
     return last.select(key, "_last.*")
 
 
-def drain(stream: DataFrame, each: Callable[[DataFrame, int], None], mode: str = "append") -> None:
-    """Runs the stream over all that is there, a batch at a time and in order, then stops; its checkpoint is in the shared folder."""
+def drain(stream: DataFrame, each: Callable[[DataFrame, int], None], mode: str = "append", checkpoint: str | None = None) -> None:
+    """Runs the stream over all that is there, a batch at a time and in order, then stops; its checkpoint is in the shared folder, or where it is told to be: then a later call goes on from there."""
     spark = stream.sparkSession
-    writer = stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", new_path(spark, "stream")).trigger(availableNow=True)
+    writer = stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", checkpoint or new_path(spark, "stream")).trigger(availableNow=True)
     writer.start().awaitTermination()
 
 
