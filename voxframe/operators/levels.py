@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from voxframe.functions.vectors import cosine
 from voxframe.operators.identity import centroid_arrays
+from voxframe.operators.joins import spread_join
+from voxframe.workspace import write_table
 
 # Thresholds of the gate and of clips. Fixed values.
 QUIET, RATIO, LEAST_SPEECH, COHERENT = 2e-4, 0.12, 3.0, 0.72
@@ -18,11 +20,71 @@ def frame_energy(samples: DataFrame, key: str, pos: str, value: str, frame: int)
     return rows.where(F.col("_n") == frame).drop("_n")
 
 
+#: Values of a key that are sorted in one task at most; beyond, counts of BUCKETS ranges narrow down where the wanted ones are.
+SORTED, BUCKETS = 100_000, 1024
+
+
+def _bare(rows: DataFrame, key: str, value: str) -> DataFrame:
+    return rows.select(F.col(key).alias("_key"), F.col(value).alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan(F.col("_v").cast("double")))
+
+
 def nth(rows: DataFrame, key: str, value: str, at: dict[str, str]) -> DataFrame:
-    """key and, for each name, the element of the sorted values at the position (from 0) that an expression over n gives."""
-    by = Window.partitionBy(key)
-    ranked = rows.select(key, F.col(value).alias("_v"), (F.row_number().over(by.orderBy(value)) - 1).alias("_k"), F.count("*").over(by).alias("n"))
-    return ranked.groupBy(key).agg(F.first("n").alias("n"), *[F.max(F.when(F.col("_k") == F.expr(e), F.col("_v"))).alias(name) for name, e in at.items()])
+    """key, n and, for each name, the element of the n sorted values at the position (from 0) that an expression over n gives; nulls and NaN are left out, other values are finite.
+
+    A key with more than SORTED values is never sorted: between the bounds of what is looked for, values are counted by ranges, with partial counts before the shuffle, and the range
+    that holds the position gives the next bounds, until it has one value or few enough to sort.
+    """
+    values = _bare(rows, key, value)
+    sizes = write_table(values.groupBy("_key").agg(F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")), "sizes")
+    hot = sizes.where(F.col("n") > SORTED)
+    wanted = F.array(*[F.struct(F.lit(name).alias("name"), F.expr(e).cast("long").alias("k")) for name, e in at.items()])
+    if hot.isEmpty():
+        found = _sorted(values.join(sizes.select("_key", F.explode(wanted).alias("w")), "_key").select("_key", "w.name", "w.k", "_v"))
+    else:
+        cool = values.join(F.broadcast(hot.select("_key")), "_key", "left_anti")  # there are fewer hot keys than values over SORTED
+        small = _sorted(cool.join(sizes.where(F.col("n") <= SORTED).select("_key", F.explode(wanted).alias("w")), "_key").select("_key", "w.name", "w.k", "_v"))
+        found = small.unionByName(_narrowed(values, hot.select("_key", F.explode(wanted).alias("w"), "lo", "hi", "n").select("_key", "w.name", "w.k", "lo", "hi", "n")))
+    wide = found.groupBy("_key").agg(*[F.max(F.when(F.col("name") == name, F.col("_v"))).alias(name) for name in at])
+    return sizes.select("_key", "n").join(wide, "_key").withColumnRenamed("_key", key)
+
+
+def _sorted(rows: DataFrame) -> DataFrame:
+    """_key, name, _v: of rows _key, name, k, _v the one at place k."""
+    ranked = rows.withColumn("_k", F.row_number().over(Window.partitionBy("_key", "name").orderBy("_v")) - 1)
+    return ranked.where(F.col("_k") == F.col("k")).select("_key", "name", "_v")
+
+
+def _between(values: DataFrame, targets: DataFrame) -> DataFrame:
+    """_key, name, k, lo, hi, _v: the values between the bounds of each target of their key; hot keys are spread."""
+    one = write_table(targets.groupBy("_key").agg(F.collect_list(F.struct("name", "k", "lo", "hi")).alias("_targets"), F.max("n").alias("_n")), "targets")
+    total = one.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    met = spread_join(values, one, "_key", "_n", total).select("_key", "_v", F.explode("_targets").alias("t"))
+    return met.select("_key", "t.*", "_v").where((F.col("_v") >= F.col("lo")) & (F.col("_v") <= F.col("hi")))
+
+
+def _narrowed(values: DataFrame, targets: DataFrame) -> DataFrame:
+    done = []
+    whole = write_table(targets.withColumn("left", F.col("n")), "targets")
+    while True:
+        few = (F.col("lo") == F.col("hi")) | (F.col("left") <= SORTED)
+        done.append(whole.where(few))
+        whole = whole.where(~few)
+        if whole.isEmpty():
+            break
+        half = lambda c: F.col(c).cast("double") / 2  # noqa: E731  so that no difference is too large
+        share = (half("_v") - half("lo")) / (half("hi") - half("lo"))
+        rows = _between(values, whole).withColumn("_b", F.least(F.lit(BUCKETS - 1), F.floor(share * BUCKETS)))
+        counts = rows.groupBy("_key", "name", "k", "_b").agg(F.count("*").alias("c"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+        before = F.sum("c").over(Window.partitionBy("_key", "name").orderBy("_b")) - F.col("c")
+        at = counts.withColumn("_before", before).where((F.col("k") >= F.col("_before")) & (F.col("k") < F.col("_before") + F.col("c")))
+        at = at.join(whole.select("_key", "name", "n"), ["_key", "name"])
+        whole = write_table(at.select("_key", "name", (F.col("k") - F.col("_before")).alias("k"), "lo", "hi", "n", F.col("c").alias("left")), "targets")
+    ends = done[0]
+    for d in done[1:]:
+        ends = ends.unionByName(d)
+    alone = ends.where(F.col("lo") == F.col("hi")).select("_key", "name", F.col("lo").alias("_v"))
+    rest = ends.where(F.col("lo") < F.col("hi"))
+    return alone.unionByName(_sorted(_between(values, rest).select("_key", "name", "k", "_v")))
 
 
 def rms(samples: DataFrame, key: str, value: str) -> DataFrame:
