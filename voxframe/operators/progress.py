@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxframe.operators import scans
+
 # Stages in order, and levels of the log. Fixed values.
 STAGES = ("queued", "probing", "extracting", "isolating", "transcribing", "diarizing", "embedding", "resolving", "writing", "done", "failed", "skipped")
 LEVELS = ("debug", "info", "warn", "error")
@@ -36,8 +38,7 @@ def tail(log: DataFrame, order: str, n: int = TAIL) -> DataFrame:
 
 def running(finished: DataFrame, key: str, order: str, seconds: str) -> DataFrame:
     """key, order, files, seconds so far after each file."""
-    by = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return finished.select(key, order, F.count("*").over(by).alias("files"), F.sum(seconds).over(by).alias("seconds"))
+    return scans.running(finished.select(key, order, seconds), key, [order], {"files": F.lit(1).cast("long"), "_seconds": seconds}).select(key, order, "files", F.col("_seconds").alias("seconds"))
 
 
 def percent(stage: Column, fraction: Column) -> Column:

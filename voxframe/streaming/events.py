@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from voxframe.workspace import new_path
+from voxframe.operators import scans
+from voxframe.operators.joins import spread_join
+from voxframe.workspace import new_path, write_table
 
 
 #: An event of a run: its kind, and what that kind tells; the rest is null. Kinds: discovered, started, stage, segment, labelled, resolved, finished, progress, log,
@@ -22,13 +24,13 @@ SCHEMA = (
 
 def joined_lines(pieces: DataFrame, source: str, order: str) -> DataFrame:
     """source, line (from 0), text, open: lines put together from pieces of text that cut them anywhere; white space about them goes, empty ones are left out. The last
-    one is open if no line end has come yet. Pieces of a source are joined in order: a prefix count of line ends deals them to lines, so no text is gathered whole."""
+    one is open if no line end has come yet. Pieces of a source are joined in order: a prefix count of line ends, in ranges side by side, deals them to lines, so no text is gathered whole. A null source has none."""
     rows = pieces.select(source, order, F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("_k", "_part"))
-    rows = rows.withColumn("line", F.sum(F.when(F.col("_k") > 0, 1).otherwise(0)).over(Window.partitionBy(source).orderBy(order, "_k")))
+    rows = scans.running(rows, source, [order, "_k"], {"line": F.when(F.col("_k") > 0, 1).otherwise(0)})
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "_k", F.col("_part").alias("t")))), lambda x: x["t"]), "")
-    lines = rows.groupBy(source, "line").agg(F.trim(F.regexp_replace(text, r"^\s+|\s+$", "")).alias("text"))
-    last = F.max("line").over(Window.partitionBy(source))
-    return lines.withColumn("open", F.col("line") == last).where("text <> ''")
+    lines = write_table(rows.groupBy(source, "line").agg(F.trim(F.regexp_replace(text, r"^\s+|\s+$", "")).alias("text")), "lines")
+    last = lines.groupBy(source).agg(F.max("line").alias("_last"), F.count("*").alias("_n"))
+    return spread_join(lines.where("text <> ''"), last, source, "_n", lines.count()).select(source, "line", "text", (F.col("line") == F.col("_last")).alias("open"))
 
 
 def read_log(spark: SparkSession, path: str, schema: StructType, files_a_batch: int = 1) -> DataFrame:
