@@ -1,4 +1,7 @@
+import time
+
 import pytest
+from pyspark import InheritableThread
 from pyspark.sql import functions as F
 from voxframe.engine import Engine
 from voxframe.operators import store
@@ -93,6 +96,41 @@ def test_arrival_order_and_the_end_of_a_batch(spark, tmp_path):
     assert tuple(e.table_of("clear").head()) == (3, 2, 2, 1)
 
 
+def test_a_run_is_cancelled(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/s")
+    seen = spark.createDataFrame([(f"/in/{k}.wav", 0, 1, 10, 5.0, 60.0, "en") for k in range(3)], "path string, track int, track_count int, size long, mtime double, duration double, language string")
+    e.enqueue(seen)
+    e.add(segments(spark, [(1, 0, "first", 0.0, 1.0, "speaker_00")]), voices(spark, [(1, "speaker_00", A, 20.0, 1)]))
+    e.begin(spark.createDataFrame([(2,), (3,)], "id long"))
+    before, caught = store.last_version(spark, e.root), []
+
+    def slow(batches):
+        import time
+
+        time.sleep(25)
+        yield from batches
+
+    def work():
+        try:
+            with e.run("night"):
+                said = segments(spark, [(2, 0, "never", 0.0, 1.0, "speaker_00")])
+                e.add(said.mapInArrow(slow, said.schema), voices(spark, [(2, "speaker_00", B, 20.0, 1)]))
+        except Exception as x:
+            caught.append(x)
+
+    thread = InheritableThread(target=work)
+    thread.start()
+    time.sleep(4)
+    assert e.cancel("night") == 2
+    thread.join(60)
+    assert not thread.is_alive() and len(caught) == 1
+    assert store.last_version(spark, e.root) == before + 1  # the files in flight went back, nothing else
+    assert [r.text for r in e.tables()["segments"].collect()] == ["first"] and {r.id: r.status for r in e.tables()["files"].collect()} == {1: "done", 2: "pending", 3: "pending"}
+    assert e.cancel("night") == 0
+    with pytest.raises(ValueError):
+        e.split(99)
+
+
 def test_a_change_writes_the_parts_it_touches(spark, tmp_path):
     at = f"file://{tmp_path}/s"
     rows = spark.range(4000).select(F.col("id").alias("file_id"), F.lit("a").alias("x"))

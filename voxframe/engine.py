@@ -7,6 +7,10 @@ writes their parts only. Verbs that only read return DataFrames.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from threading import Event
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +41,7 @@ def _filled(rows: DataFrame, schema: T.StructType) -> DataFrame:
 class Engine:
     def __init__(self, spark: SparkSession, root: str, settings: Settings | None = None) -> None:
         self.spark, self.root, self.settings = spark, root.rstrip("/"), settings or Settings()
+        self._runs: dict[str, Event] = {}
         if store.last_version(spark, self.root) is None:
             self._commit(**{k: spark.createDataFrame([], v) for k, v in TABLES.items()})
 
@@ -212,6 +217,35 @@ class Engine:
                 rendered += self.render(fmt, outputs.where(F.col("format") == fmt).select("file_id", "path")).count()
         return {"moved": moved, "rendered": rendered}
 
+    @contextmanager
+    def run(self, name: str) -> Iterator[None]:
+        """What is done inside, by this thread, can be cancelled by name from another."""
+        ended = self._runs[name] = Event()
+        context = self.spark.sparkContext
+        context.setJobGroup(self._group(name), name, interruptOnCancel=True)
+        try:
+            yield
+        finally:
+            for key in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
+                context.setLocalProperty(key, None)
+            ended.set()
+
+    def _group(self, name: str) -> str:
+        return f"voxframe {self.root} {name}"
+
+    def begin(self, files: DataFrame) -> None:
+        """Notes that the files (id) are being worked on."""
+        parts = store.buckets_of(files, "id")
+        changed = files.select("id", F.lit("transcribing").alias("status"), F.lit("").alias("error"))
+        self._commit(parts, files=store.update(self.tables(parts=parts)["files"], changed, "id", ["status", "error"]))
+
+    def cancel(self, name: str) -> int:
+        """Stops the jobs of a run and returns the files that were in flight to the queue; their number. As a change shows only when it is whole, the store is that of the last one."""
+        ended = self._runs.get(name)
+        while ended and not ended.wait(0.2):  # a job that begins after the others were stopped is stopped, too
+            self.spark.sparkContext.cancelJobGroup(self._group(name))
+        return self.requeue()
+
     def requeue(self) -> int:
         """Returns files that a cancelled run left between pending and done to the queue; their number."""
         files = self.tables()["files"]
@@ -294,11 +328,17 @@ class Engine:
         self._commit(parts, identities=ids, locals=loc, clips=clips, dismissed=dis, segments=identity.merge(own["segments"], source, into))
 
     def split(self, local_id: int) -> None:
+        """Gives a local an identity of its own; just the part of its file is written."""
         x = self.tables()
-        ids, loc = identity.split_local(x["identities"].select("id", "name", "enrolled", "centroid"), x["locals"], local_id)
+        parts = store.buckets_of(x["locals"].where(F.col("id") == local_id), "file_id")
+        if not parts:
+            raise ValueError(f"no local {local_id}")
+        ids, moved = identity.split_local(x["identities"].select("id", "name", "enrolled", "centroid"), x["locals"], local_id)
         ids = ids.join(x["identities"].select("id", "notes"), "id", "left")
-        loc = loc.withColumn("similarity", F.when(F.col("id") == local_id, 1.0).otherwise(F.col("similarity")))
-        self._commit(identities=ids, locals=loc, segments=identity.relabelled(x["segments"], loc))
+        own = self.tables(parts=parts)
+        new = write_table(moved.where(F.col("id") == local_id).select("id", "global_id", F.lit(1.0).alias("similarity")), "split")
+        loc = store.update(own["locals"], new, "id", ["global_id", "similarity"])
+        self._commit(parts, identities=ids, locals=loc, segments=identity.relabelled(own["segments"], loc))
 
     def enroll(self, who: str, source: str, centroid: list[float], duration: float) -> None:
         """Adds a clip to the identity named, or to a new one of that name; ValueError if the name has several bearers or the id none."""
