@@ -81,6 +81,23 @@ def test_growth_ends_at_the_length_and_at_most_doubles():
         assert all(x[1] == y[0] for x, y in zip(steps, steps[1:])) and len(steps) <= 12
 
 
+def test_a_rank_names_the_pair_of_former_ranks():
+    r = random.Random(6)
+    raw = bytes(r.choice(b"ab") for _ in range(30)) * 40 + bytes(r.randrange(256) for _ in range(3000))
+    for length in (100, 300):
+        steps = []
+        for core, longer in [(0, s.GRAM), *s.growth(length)]:
+            steps += [longer - core] if core else []
+            at = np.arange(len(raw) - longer + 1)
+            names = list(zip(*(x.tolist() for x in s.ranks(raw, at, steps))))
+            strings = [raw[p : p + longer] for p in at]
+            assert len(set(names)) == len(set(strings)) == len(set(zip(names, strings)))
+            if core:
+                first, last = s.ranks(raw, at, steps[:-1]), s.ranks(raw, at + steps[-1], steps[:-1])
+                pairs = list(zip(*(x.tolist() for x in (*first, *last))))
+                assert len(set(pairs)) == len(set(names)) == len(set(zip(pairs, names)))
+
+
 def test_a_passage_in_every_document_is_spread(spark):
     """One passage in all documents: few of its rows reach the task of its rank."""
     r = random.Random(3)

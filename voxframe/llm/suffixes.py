@@ -13,12 +13,12 @@ length - w + 1 bytes, and it's the core that has the rank.
    once drop out. Of units that agree in all bytes that they cover, all but the first repeat at all positions.
 2. The first ones of units that share their anchor with an unlike unit go on, with the bytes that they cover. Each round splits a unit, at places counted from the
    anchor, into units whose cores are up to twice as long (growth()), ranks a core by the pair (rank of its first bytes, rank of its last bytes, at the
-   offset by which it grows), sorts the pairs and drops what is alone.
+   offset by which it grows; both ranks are of the round before), sorts the pairs and drops what is alone.
 3. In the last round a unit is one position and the core its string: all but the first of equal pairs repeat.
 
-Ranks are names, so that a rank is had from the bytes at hand without a join: 64 bits of XXH3 each, joined with one half each of 128 bits
-of the whole core, so that unlike cores are taken as equal only if 128 bits agree by chance; covers are compared by XXH3's 128 bits, too. The
-hash of grams only chooses anchors and deals units; a collision there costs time, not truth.
+Ranks are names of 128 bits in place of places in the sort, so that both ranks of a pair are had from the bytes at hand without a join: a gram's rank is
+a hash of its words, and a longer core's rank names the pair of ranks of the round before, and nothing else (ranks()). Unlike cores are taken as equal only if 128
+bits agree by chance; covers are compared by XXH3's 128 bits. The hash that chooses anchors only deals units; a collision there costs time, not truth.
 
 A task first settles what repeats, or is sure to go on, inside its batch and under keys that it has met: a large group of copies, or a passage in many
 unlike texts, sends a few rows a task, not a row a copy, to where its rank is sorted, and the others are dealt by their place. Sorts spill; a rank's rows stream through the scan, none are collected.
@@ -48,7 +48,10 @@ CROWD = 8
 OPEN = np.int64(-(2**63))
 START, COUNT, ANCHOR = np.int64(32), np.int64(12), np.int64(1)
 LONGEST = 1 << 19
+#: Units ranked at once: what fits a processor's cache.
+BLOCK = 1 << 13
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_FACTORS = np.random.default_rng(2).integers(0, 2**64, (2, 8), dtype=np.uint64) | np.uint64(1)
 
 
 def packed(start: np.ndarray, count: np.ndarray, anchor: np.ndarray | int = 0, known: int = 0) -> np.ndarray:
@@ -153,9 +156,23 @@ def ranges_of(texts: list[bytes], length: int, piece: int = PIECE) -> Iterator[t
         yield g[anchor[first]].view(np.int64), cover[:, 0], cover[:, 1], p[:, 0], p[:, 1] + first - p[:, 2], count, anchor[first] - first
 
 
+def _named(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A name of 128 bits for each row of 64-bit words: two sums with unlike odd factors, mixed."""
+    one, two = (_mixed(sum(w * f for w, f in zip(words, fs))) for fs in _FACTORS)
+    return one, two
+
+
+def ranks(raw: bytes | pa.Buffer, at: np.ndarray, steps: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks, in two halves, of the cores that begin at these bytes and have grown by steps: each names the pair of ranks, in the round before, of the core's first and last bytes."""
+    if steps:
+        return _named([*ranks(raw, at, steps[:-1]), *ranks(raw, at + steps[-1], steps[:-1])])
+    words = np.ndarray(max(0, len(raw) - 7), "<u8", raw, strides=(1,))
+    return _named([_mixed(words[at + i] + f) for i, f in zip((*range(0, GRAM - 8, 8), GRAM - 8), _FACTORS[0])])
+
+
 def units_of(at: np.ndarray, covers: pa.Array, length: int, core: int, longer: int) -> tuple[np.ndarray, ...]:
-    """The units into which packed ranges split when their cores grow from core to longer bytes: ranks of the cores' first and last `core` bytes, each
-    joined with half a name of the whole core, the range that the unit comes from, its packed range, and what it covers (in the last round nothing). covers: bytes of each range."""
+    """The units into which packed ranges split when their cores grow from core to longer bytes: the two halves of the core's rank, the range that
+    the unit comes from, its packed range, and what it covers (in the last round nothing). covers: bytes of each range."""
     width = length - longer + 1
     start, count, far = unpacked(at)
     low, high = (far - count + 1) // width, far // width
@@ -166,12 +183,11 @@ def units_of(at: np.ndarray, covers: pa.Array, length: int, core: int, longer: i
     begin = anchor - cell * width
     first, last = np.maximum(start[k], begin - width + 1), np.minimum((start + count - 1)[k], begin)
     offsets = np.frombuffer(covers.buffers()[1], np.int32, len(covers) + 1, 4 * covers.offset).astype(np.int64)
-    view, shift, name = memoryview(covers.buffers()[2] or b""), (offsets[:-1] - start)[k], xxhash.xxh3_64_intdigest
-    i, c = (begin + shift).tolist(), cell.tolist()
-    one = np.array([name(view[x : x + core], 2 * q) for x, q in zip(i, c)], np.uint64)
-    two = np.array([name(view[x + longer - core : x + longer], 2 * q + 1) for x, q in zip(i, c)], np.uint64)
-    whole = np.frombuffer(b"".join([xxhash.xxh3_128_digest(view[x : x + longer], q) for x, q in zip(i, c)]), np.uint64).reshape(-1, 2)
-    one, two = ((x * _ODD ^ y).view(np.int64) for x, y in ((one, whole[:, 0]), (two, whole[:, 1])))
+    raw, shift = covers.buffers()[2] or b"", (offsets[:-1] - start)[k]
+    view, steps = memoryview(raw), [y - x for x, y in growth(length) if y <= longer]
+    names = [ranks(raw, x, steps) for x in np.split(begin + shift, range(BLOCK, len(k), BLOCK))]
+    # equal strings at unlike distances from their anchors are no equals
+    one, two = ((np.concatenate(x) + cell.astype(np.uint64) * _ODD).view(np.int64) for x in zip(*names))
     held = [None] * len(k) if longer == length else [bytes(view[x:y]) for x, y in zip((first + shift).tolist(), (last + length + shift).tolist())]
     return one, two, k, packed(first, last - first + 1, anchor - first), pa.array(held, pa.binary())
 
