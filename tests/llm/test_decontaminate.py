@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+from pyspark.sql import functions as F
 from voxframe.llm import decontaminate as d
 
 
@@ -59,7 +60,7 @@ def test_odd_rows(spark, monkeypatch):
 
 
 def test_longest_matches():
-    block, known = d.Block([("i", " ".join(f"w{k}" for k in range(30)))], 10), d.vocabulary()
+    block, known = d.Block.of([("i", " ".join(f"w{k}" for k in range(30)))], 10), d.vocabulary()
     docs = [d.numbers(t, known) for t in ("none of it", "x " + " ".join(f"w{k}" for k in range(5, 25)) + " y", "")]
     found = d.SuffixArray(docs, known, [10]).search(block)
     assert [x.tolist() for x in found] == [[1], [0], [5], [1], [20]]
@@ -82,9 +83,30 @@ def test_words_come_in_pieces(monkeypatch):
     assert [w for part in d.words_of(text) for w in part] == whole and len(list(d.words_of(text))) > 5
 
 
-def test_more_blocks_than_a_pass_takes(spark, sf, monkeypatch):
+def test_many_blocks_are_files_of_tasks(spark, sf, monkeypatch):
     docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
     want = result(d.locate(docs, bench, keep=["doc_id"]))
-    monkeypatch.setattr(d, "MAX_BLOCKS", 3)
-    assert len(list(d.blocks_of(bench, "item_id", "text", 600))) > 6
+    made = d.blocks_of(bench, "item_id", "text", 10, 600)
+    items = [i for r in made.collect() for i in d.Block.unpacked(d.files.read_whole(r.path), 10).ids]
+    assert made.count() > 6 and sorted(items) == sorted(str(r.item_id) for r in bench.collect())
+    monkeypatch.setattr(d, "SHARD", 1 << 18)
     assert result(d.locate(docs, bench, block_bytes=600)) == want
+
+
+def test_a_block_comes_back_whole():
+    for items in (ITEMS, [], [("x", None)], [("y", "wort " * 30 + "Ärger")]):
+        block = d.Block.of([(str(i), t) for i, t in items], 10)
+        again = d.Block.unpacked(block.packed(), 10)
+        for name in ("ids", "words", "lengths"):
+            assert getattr(block, name) == getattr(again, name)
+        for name in ("numbers", "size", "item", "place", "window"):
+            assert getattr(block, name).tolist() == getattr(again, name).tolist()
+
+
+def test_a_test_set_larger_than_a_block(spark):
+    """Some 40 MB of items in blocks of 4 MB: repeated items, and each item's text in one document."""
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(120)), lambda k: F.substring(F.sha1(F.concat(F.col("id").cast("string"), F.lit(":"), k.cast("string"))), 1, 8)))
+    bench = spark.range(40_000).select(F.col("id").alias("item_id"), text.alias("text"))
+    docs = bench.where("item_id % 997 = 0").select(F.col("item_id").alias("doc_id"), F.concat(F.lit("before it "), "text", F.lit(" after it")).alias("text"))
+    found = {r.doc_id: r._vx_matches for r in d.locate(docs, bench.unionByName(bench.where("item_id % 3 = 0")), block_bytes=4 << 20).collect()}
+    assert len(found) == 41 and all([tuple(x) for x in m] == [(str(i), 0, 2, 120)] for i, m in found.items())

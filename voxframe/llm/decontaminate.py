@@ -5,31 +5,34 @@ place of a pair of shorter ranks among the sorted pairs) up to the window, and s
 ranked by binary search at each length, as long as it is found, and all places of its window are read off the array; places that follow one another
 on the same diagonal are joined to the longest verbatim matches. To a search for windows an order by more words makes no difference.
 
-The test set is broadcast in blocks of bounded bytes, up to MAX_BLOCKS of them in a pass; a task holds one of several at a time. A larger test set takes more passes over the documents.
+The test set is never in the driver: tasks number its words and write it, in blocks of bounded bytes, as files in the shared folder, and hand back their paths and
+the lengths of their windows. The documents are read once, whatever the size of the test set; a task searches its shard for one block after the other and holds one at a time.
 
 Defined cases: null and empty texts have no words and no match; items without words match nothing; items of fewer words than the
-window are one window; repeated items are found once by id, a null id reads "null"; repeated documents are each searched; an empty table on either side
+window are one window; a window that an item repeats counts where it begins first, so a match over such a window comes in pieces; repeated items are found once by id, a null id reads "null"; repeated documents are each searched; an empty table on either side
 gives no matches; long texts are numbered in pieces; columns kept are passed through, whatever their names are, but for _vx_matches and _vx_n_words.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from voxframe import files
 from voxframe.llm.batches import map_batches
-from voxframe.workspace import small_batches, write_table
+from voxframe.workspace import new_path, small_batches, write_table
 
-#: Bytes of a shard's text before it is searched; bytes of a text that are split into words at once; blocks of the test set in a pass.
-SHARD, PIECE, MAX_BLOCKS = 8 << 20, 1 << 20, 64
+#: Bytes of a shard's text before it is searched; bytes of a text that are split into words at once.
+SHARD, PIECE = 8 << 20, 1 << 20
 _WORD_CHARS = bytes(range(0x30, 0x3A)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
 #: Lower case, and a space for whatever is no part of a word.
 _MAP = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c in _WORD_CHARS else 0x20 for c in range(256))
@@ -70,19 +73,38 @@ def _joined(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 class Block:
     """A block of the test set: its words, the items' words as numbers (0 after each item) and their windows."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int):
+    def __init__(self, ids: list[str], words: list[bytes], of: np.ndarray, size: np.ndarray, window: int):
+        """of: the items' words as numbers from 1 on, a 0 after each item; size: how many words each item has."""
+        self.ids, self.words, self.numbers, self.size = ids, words, of.astype(np.int64), size.astype(np.int64)
+        self.item = np.repeat(np.arange(len(size)), self.size + 1)
+        start = np.cumsum(self.size + 1) - self.size - 1
+        self.place = np.arange(len(self.numbers)) - start[self.item]
+        n = np.minimum(self.size, window)[self.item]
+        self.window = np.where((n > 0) & (self.place + n <= self.size[self.item]), n, 0)  # words of the window that begins here, or 0
+        self.lengths = sorted(set(self.window[self.window > 0].tolist()))
+
+    @classmethod
+    def of(cls, items: list[tuple[str, str | None]], window: int) -> Block:
         known, items = vocabulary(), list(dict.fromkeys(items))
-        self.ids = [item for item, _ in items]
         texts = [numbers(text, known) for _, text in items]
-        self.words = list(known)
-        self.numbers, start = _joined(texts)
         size = np.array([len(t) for t in texts], np.int64)
-        self.sizes = np.minimum(size, window)  # words of each item's windows
-        self.item = np.repeat(np.arange(len(texts)), size + 1) if texts else np.zeros(1, np.int64)
-        self.place = np.arange(len(self.numbers)) - (start[self.item] if texts else 0)
-        n = self.sizes[self.item] if texts else np.zeros(1, np.int64)
-        self.window = np.where((n > 0) & (self.place + n <= (size[self.item] if texts else 0)), n, 0)  # words of the window that begins here, or 0
-        self.lengths = sorted(set(self.window[self.window > 0].tolist()))
+        return cls([i for i, _ in items], list(known), _joined(texts)[0][: (size + 1).sum()], size, window)
+
+    def packed(self) -> bytes:
+        """What the rest is worked out from."""
+        words, ids = (pa.array(x, t) for x, t in ((self.words, pa.binary()), (self.ids, pa.string())))
+        arrays = [words, ids, pa.array(self.size.astype(np.int32)), pa.array(self.numbers.astype(np.int32))]
+        row = pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in arrays], ["words", "ids", "size", "numbers"])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, row.schema) as out:
+            out.write_batch(row)
+        return zstandard.compress(sink.getvalue())
+
+    @classmethod
+    def unpacked(cls, data: bytes, window: int) -> Block:
+        row = pa.ipc.open_stream(zstandard.decompress(data)).read_next_batch()
+        words, ids, size, of = (c.values for c in row.columns)
+        return cls(ids.to_pylist(), words.to_pylist(), of.to_numpy(), size.to_numpy(), window)
 
 
 class SuffixArray:
@@ -155,55 +177,67 @@ class SuffixArray:
         return doc, item[head], word[head], place[head] - self.start[doc], place[last] + size[last] - place[head]
 
 
-def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
-    """The test set in blocks of about block_bytes; rows come one partition at a time."""
-    block, n = [], 0
-    for item, text in benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col(text_col).cast("string")).toLocalIterator():
-        block.append((item, text))
-        n += len(text or "") + 40
-        if n >= block_bytes:
-            yield block
-            block, n = [], 0
-    if block:
-        yield block
+def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_bytes: int) -> DataFrame:
+    """path, lengths (words of its windows): the test set in files of about block_bytes of text each, written by tasks."""
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")).alias("item"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    size = items.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 40)).first()[0] or 0
+    folder = new_path(spark, "blocks")
+
+    def written(items: list[tuple[str, str | None]]) -> tuple[str, list[int]]:
+        block = Block.of(items, window)
+        path = f"{folder}/{uuid.uuid4().hex}"
+        files.write_whole(path, [block.packed()])
+        return path, block.lengths
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, made = [], 0, []
+        for b in batches:
+            for item, text in zip(b.column(0), b.column(1)):
+                held.append((item.as_py(), text.as_py()))
+                n += len(held[-1][1] or "") + 40
+                if n >= block_bytes:
+                    made.append(written(held))
+                    held, n = [], 0
+        if held:
+            made.append(written(held))
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in made], pa.string()), pa.array([x for _, x in made], pa.list_(pa.int32()))], ["path", "lengths"])
+
+    dealt = items.distinct().repartition(max(1, -(-size // block_bytes)))
+    return write_table(dealt.mapInArrow(run, "path string, lengths array<int>"), "blocks_made")
 
 
 def locate(docs: DataFrame, benchmark: DataFrame, *, keep: list[str] | None = None, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = 16 << 20) -> DataFrame:
     """The columns in keep (default: all), _vx_n_words and _vx_matches (longest verbatim matches: item, first word in the item, first word in the document, words)."""
-    spark = docs.sparkSession
-    small_batches(spark, 1000)
+    small_batches(docs.sparkSession, 1000)
     keep = docs.columns if keep is None else keep
-    kept = docs.select(*[F.col(f"`{c}`") for c in keep]).schema
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).cast("string").alias("_vx_text"), F.lit(None).cast(MATCHES).alias("_vx_matches"))
-    n_words = T.StructField("_vx_n_words", T.IntegerType())
-    mid, blocks = rows.schema, blocks_of(benchmark, item_col, item_text, block_bytes)
-    out, block = T.StructType([*kept.fields, n_words, mid["_vx_matches"]]), next(blocks, [])
-    while True:
-        held = []
-        while block is not None and len(held) < MAX_BLOCKS:
-            held.append(Block(block, window))
-            block = next(blocks, None)
-        lengths = sorted({n for b in held for n in b.lengths})
-        tests = [spark.sparkContext.broadcast(b) for b in held]
-        rows = map_batches(rows, _searcher(tests, lengths, block is None), out if block is None else mid)
-        if block is None:
-            return rows
-        rows = write_table(rows, "searched")
-        for b in tests:
-            b.destroy()
-
-
-def _searcher(tests: list[Broadcast], lengths: list[int], last: bool):
+    kept = [F.col(f"`{c}`") for c in keep]
+    out = T.StructType([*docs.select(*kept).schema.fields, T.StructField("_vx_n_words", T.IntegerType()), T.StructField("_vx_matches", T.DataType.fromDDL(MATCHES))])
+    made = blocks_of(benchmark, item_col, item_text, window, block_bytes)
+    lengths = sorted(r[0] for r in made.select(F.explode("lengths")).distinct().collect())  # window of them at most
+    paths = [r.path for r in made.where(F.size("lengths") > 0).select("path").orderBy("path").toLocalIterator()]  # a path for each block_bytes of the test set
+    return map_batches(docs.select(*kept, F.col(f"`{text_col}`").cast("string").alias("_vx_text")), _searcher(paths, lengths, window), out)
+
+
+def _searcher(paths: list[str], lengths: list[int], window: int):
+    only: list[Block] = []  # a single block is read once a task
+
     def opened() -> Iterator[Block]:
-        for b in tests:
-            # one of several is read anew for each shard and not kept, so that a task holds one at a time
-            yield b.value if len(tests) == 1 or not b._path else b.load_from_path(b._path)
+        if only:
+            yield from only
+            return
+        for path in paths:
+            block = Block.unpacked(files.read_whole(path), window)
+            if len(paths) == 1:
+                only.append(block)
+            yield block
 
     def flush(held: list[pa.RecordBatch], docs: list[np.ndarray], known: dict) -> Iterator[pa.RecordBatch]:
         array, found = SuffixArray(docs, known, lengths), []
         for block in opened():
             doc, item, *rest = array.search(block)
             found.append((doc, pa.array(block.ids, pa.string()).take(pa.array(item)), *rest))
+        found = found or [(np.empty(0, np.int64), pa.array([], pa.string()), *(np.empty(0, np.int64),) * 3)]
         doc = np.concatenate([f[0] for f in found])
         order = np.argsort(doc, kind="stable")
         parts = [pa.concat_arrays([f[1] for f in found]).take(pa.array(order)), *(pa.array(np.concatenate([f[k] for f in found])[order], pa.int32()) for k in (2, 3, 4))]
@@ -211,21 +245,14 @@ def _searcher(tests: list[Broadcast], lengths: list[int], last: bool):
         new = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.StructArray.from_arrays(parts, ["item", "item_pos", "doc_pos", "n_words"])).cast(_MATCH)
         at = 0
         for b in held:
-            own, old = new.slice(at, b.num_rows), b.column(b.num_columns - 1)
-            if old.null_count < len(old):
-                own = pa.array([[*(x or []), *y] for x, y in zip(old.to_pylist(), own.to_pylist())], _MATCH)
-            arrays, names = b.columns[:-2], b.schema.names[:-2]
-            if last:
-                arrays, names = [*arrays, pa.array([len(w) for w in docs[at : at + b.num_rows]], pa.int32())], [*names, "_vx_n_words"]
-            else:
-                arrays, names = [*arrays, b.column(b.num_columns - 2)], [*names, "_vx_text"]
-            yield pa.RecordBatch.from_arrays([*arrays, own], [*names, "_vx_matches"])
+            n_words = pa.array([len(w) for w in docs[at : at + b.num_rows]], pa.int32())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], n_words, new.slice(at, b.num_rows)], [*b.schema.names[:-1], "_vx_n_words", "_vx_matches"])
             at += b.num_rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, docs, size, known = [], [], 0, vocabulary()
         for b in batches:
-            docs += [numbers(t.as_buffer().to_pybytes() if t.is_valid else None, known) for t in b.column(b.num_columns - 2)]
+            docs += [numbers(t.as_buffer().to_pybytes() if t.is_valid else None, known) for t in b.column(b.num_columns - 1)]
             held.append(b)
             size += b.nbytes
             if size >= SHARD:
