@@ -81,3 +81,12 @@ def test_null_and_repeated_ids_link_by_fingerprint(spark, monkeypatch):
     assert got == dict(zip(rows, [1, 1, 1, 7, 7, 7, None, None, 9]))
     kept = simhash.keep_one(docs).collect()
     assert sorted(r.doc_id or -1 for r in kept) == [-1, 1, 7, 9]
+
+
+def test_of_rows_with_one_id_and_one_fingerprint_the_same_stays(spark):
+    rows = [(1, "Alpha beta gamma delta", 1), (1, "alpha  beta gamma delta", 2), (1, "alpha beta\tgamma delta", 3), (1, "alpha beta\tgamma delta", 4), (2, None, 5), (None, "", 6)]
+    kept = set()
+    for k in range(4):
+        df = spark.createDataFrame(rows[k:] + rows[:k], "doc_id long, text string, `a.b` int").repartition(1 + k)
+        kept.add(tuple(sorted(tuple(r) for r in simhash.keep_one(df).collect())))
+    assert len(kept) == 1 and [r[0] for r in kept.pop()] == [1, 2]

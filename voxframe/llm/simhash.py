@@ -169,7 +169,8 @@ def hex16(fp: str) -> F.Column:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that lead their group of near copies (smallest id), once each; rows with a null id stay only if no other row is near."""
+    """The rows of docs that lead their group of near copies (smallest id), once each; rows with a null id stay only if no other row is near.
+    Of rows with that id and one fingerprint the one with the smallest hash of its text stays, then the smallest text, then the smallest hash of the row."""
     rows = fingerprint_column(docs, text_col)
     rows = write_table(rows, "simhash")
     nodes = write_table(rows.groupBy("_vx_fp").agg(F.min(F.col(f"`{id_col}`").cast("long")).alias("first")).withColumnRenamed("_vx_fp", "fp"), "nodes")
@@ -178,7 +179,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     leads = nodes.join(linked.select("fp"), "fp", "left_anti").select("fp", "first").unionByName(best.select("s.fp", "s.first"))
     leads = leads.select(F.col("fp").alias("_vx_lead"), F.col("first").alias("_vx_first"))
     led = rows.join(leads, (F.col("_vx_fp") == F.col("_vx_lead")) & F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_vx_first")))
-    return led.dropDuplicates(["_vx_fp"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    text, own = F.col(f"`{text_col}`").cast("string"), F.struct(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(docs.columns)])
+    best = led.groupBy("_vx_fp").agg(F.min_by(own, F.struct(F.xxhash64(text), text, F.xxhash64(F.to_json(own)))).alias("_vx_row"))
+    return best.select(*[F.col(f"_vx_row._{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def fingerprint_column(docs: DataFrame, text_col: str = "text", k: int = 3, seed: int = 42) -> DataFrame:
