@@ -7,7 +7,7 @@ writes their parts only. Verbs that only read return DataFrames.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from threading import Event
 
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxframe.functions import text
-from voxframe.operators import arrival, attribution, identity, ingest, levels, matching, render, store
+from voxframe.operators import arrival, attribution, identity, ingest, levels, matching, render, sampled, store
 from voxframe.sources import models
 from voxframe.sources.config import Settings
 from voxframe.workspace import write_table
@@ -119,6 +119,11 @@ class Engine:
         s = self.settings
         return levels.analyse_clips(spans, window=s.enroll_window, hop=s.enroll_window / 2, least=s.enroll_min_clip)
 
+    def recorded_clips(self, chunks: DataFrame, load: Callable[[], Callable[[dict], list[dict]]]) -> DataFrame:
+        """The same from samples: clip, first, samples at 16 kHz; load() gives the voiceprint model."""
+        s = self.settings
+        return sampled.analyse(chunks, "clip", load, window=s.enroll_window, hop=s.enroll_window / 2, least=s.enroll_min_clip)
+
     def paths(self, fmt: str, roots: list[str]) -> DataFrame:
         """file_id, path (below out_dir) of each file's transcript; with mirror_tree the folders below the roots that the inputs share are kept."""
         files = self.tables()["files"]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxframe.engine import KEYS, TABLES, Engine, _filled
-from voxframe.operators import identity, store
+from voxframe.operators import identity, sampled, store
 from voxframe.plans import catalog
 from voxframe.plans import fixtures as fx
 from voxframe.plans.registry import query
@@ -161,3 +161,33 @@ def _(s, d):
 def _(s, d):
     heads = wavsource.read(s, _recordings(s, d)[1], samples=False)
     return heads.select(_part(), "rate", "channels", "frames", (F.col("frames") / F.col("rate")).alias("duration"))
+
+
+WIN = """wb AS (SELECT part, unnest(CASE WHEN count(*) <= 16 THEN [0] ELSE range(0, count(*) - 16 + 1, 8) END) AS a FROM rec GROUP BY part),
+wq AS (SELECT part, a, (pos - a) // 4 AS q, sum((code / 32768::DOUBLE) ** 2) AS e, count(*) AS n FROM wb JOIN rec USING (part) WHERE pos >= a AND pos < a + 16 GROUP BY ALL),
+wl AS (SELECT part, a, sum(n) AS n, sqrt(sum(e) / sum(n)) AS level, list(e ORDER BY q) AS v FROM wq GROUP BY part, a)"""
+
+
+@query("wn3_sample_windows", "SELECT part, a AS begin, n::BIGINT AS n, round(level, 6) AS level FROM wl", (REC, WIN))
+def _(s, d):
+    chunks = wavsource.read(s, _recordings(s, d)[1], seconds=0.01).where("channel = 0").select(_part(), "first", "samples")
+    found = sampled.windows_of(chunks, "part", 16, 8)
+    return found.select("part", "begin", F.size("samples").cast("long").alias("n"), F.round(sampled.rms_of("samples"), 6).alias("level"))
+
+
+def quarters():
+    """A stand-in for a voiceprint model: the energies of a window's quarters."""
+    return lambda row: [{"vector": [sum(x * x for x in row["samples"][k : k + 4]) for k in range(0, len(row["samples"]), 4)]}]
+
+
+SAMPLED = """ld AS (SELECT part, count(*) AS n, coalesce((list_sort(list(level) FILTER (level >= 2e-4)))[floor((count(*) FILTER (level >= 2e-4) - 1) * 0.9::DOUBLE)::INT + 1], 0) AS loud FROM wl GROUP BY part),
+kp AS (SELECT wl.part, a, wl.n AS size, v, ld.n FROM wl JOIN ld USING (part) WHERE level >= greatest(loud * 0.12::DOUBLE, 2e-4)),
+cx AS (SELECT part, pos, avg(x) AS x FROM (SELECT part, unnest(range(len(v))) AS pos, unnest(v) AS x FROM kp) GROUP BY ALL), cc AS (SELECT part, list(x ORDER BY pos) AS c FROM cx GROUP BY part),
+an AS (SELECT part, count(*) AS windows, sum(size) / 8 * CASE WHEN any_value(n) > 1 THEN 0.5::DOUBLE ELSE 1 END AS duration, CASE WHEN count(*) = 1 THEN 1 ELSE least(1, min(list_cosine_similarity(v, c))) END AS coherence FROM kp JOIN cc USING (part) GROUP BY part)"""
+
+
+@query("id20_clips_from_samples", "SELECT part, windows, round(duration, 6) AS duration, round(coherence, 4) AS coherence, duration >= 3 AS usable, CASE WHEN duration < 3 THEN 'short' WHEN windows > 1 AND coherence < 0.72 THEN 'mixed' ELSE '' END AS problem FROM an", (REC, WIN, SAMPLED))
+def _(s, d):
+    chunks = wavsource.read(s, _recordings(s, d)[1], seconds=0.01).where("channel = 0").select(_part(), "first", "samples")
+    found = sampled.analyse(chunks, "part", quarters, rate=8, window=2.0, hop=1.0)
+    return found.withColumn("duration", F.round("duration", 6)).withColumn("coherence", F.round("coherence", 4))
