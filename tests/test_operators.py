@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from voxframe.functions import text as t
 from voxframe.functions import vectors as v
-from voxframe.operators import attribution, identity, render, similarity, store
+from voxframe.operators import attribution, components, identity, render, similarity, store
 from voxframe.operators.components import connected_components
 from voxframe.operators.joins import spread_join
 
@@ -52,6 +52,14 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_links_in_few_files_take_few_rounds(spark, monkeypatch):
+    step, rounds = components._large_star, []
+    monkeypatch.setattr(components, "_large_star", lambda *a: rounds.append(1) or step(*a))
+    links = spark.range(0, 600, 1, 2).selectExpr("(id * 7) % 601 as a", "(id * 7 + 7) % 601 as b")
+    assert {r.component for r in connected_components(links).collect()} == {0}
+    assert len(rounds) <= 2
+
+
 def test_a_key_with_half_of_all_rows_is_spread(spark):
     big = spark.range(0, 20_000, 1, 8).select(F.when(F.col("id") % 2 == 0, -7).when(F.col("id") % 40 == 1, None).otherwise(F.col("id")).alias("k"), "id")
     side = big.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("least"))
