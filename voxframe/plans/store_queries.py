@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from voxframe.functions import text as t
 from voxframe.operators import attribution, identity, matching, render, store
-from voxframe.operators.similarity import pairs_above
+from voxframe.operators.similarity import near_identities, pairs_above
 from voxframe.plans import fixtures as fx
 from voxframe.plans.registry import query
 from voxframe.sources import config, wav
@@ -230,19 +230,14 @@ def _(s, d):
 
 @query("jn3_near_clips", "SELECT l.id AS local_id, e.global_id, round(max(list_cosine_similarity(l.centroid, e.centroid)), 6) AS similarity FROM vp l, enr e GROUP BY ALL HAVING max(list_cosine_similarity(l.centroid, e.centroid)) >= 0.55", ENR)
 def _(s, d):
-    from voxframe.operators.similarity import candidates
-
-    clips = fx.enr(s, d)
-    near = candidates(fx.vp(s, d), clips, 0.55).join(clips.select(F.col("id").alias("other_id"), "global_id"), "other_id")
-    return near.groupBy("local_id", "global_id").agg(F.round(F.max("sim"), 6).alias("similarity"))
+    near = near_identities(fx.vp(s, d), fx.enr(s, d), 0.55)
+    return near.select("local_id", "global_id", F.round("similarity", 6).alias("similarity"))
 
 
 @query("id15_review_band", "SELECT a.id AS a, b.id AS b FROM vp a JOIN vp b ON a.id < b.id AND a.file_id <> b.file_id WHERE list_cosine_similarity(a.centroid, b.centroid) >= 0.5 AND list_cosine_similarity(a.centroid, b.centroid) < 0.65", VP)
 def _(s, d):
-    rows = fx.vp(s, d)
-    files = rows.select("id", "file_id")
-    found = pairs_above(rows.select("id", F.col("centroid").alias("v")), 0.5, 0.65).join(files.select(F.col("id").alias("a"), F.col("file_id").alias("fa")), "a").join(files.select(F.col("id").alias("b"), F.col("file_id").alias("fb")), "b")
-    return found.where("fa <> fb").select("a", "b")
+    rows = fx.vp(s, d).select("id", "file_id", F.col("centroid").alias("v"))
+    return pairs_above(rows, 0.5, 0.65, F.array("file_id"), lambda x, y: x[..., 0] != y[..., 0]).select("a", "b")
 
 
 # --- transcripts
