@@ -60,6 +60,18 @@ def test_links_in_few_files_take_few_rounds(spark, monkeypatch):
     assert len(rounds) <= 2
 
 
+def test_stars_take_no_round(spark, monkeypatch):
+    step, rounds = components._large_star, []
+    monkeypatch.setattr(components, "_large_star", lambda *a: rounds.append(1) or step(*a))
+    monkeypatch.setattr(components, "_joined", lambda df: components.write_table(df, "cc"))  # as if no task held two links
+    stars = [(x, x % 5) for x in range(5, 300)]
+    got = connected_components(spark.createDataFrame(stars + stars[:9] + [(b, a) for a, b in stars[20:40]], "a long, b long"))
+    assert {r.node: r.component for r in got.collect()} == {x: x % 5 for x in range(300)} and not rounds
+    path = [(i, i + 1) for i in range(60)] + [(100, 99)]
+    got = connected_components(spark.createDataFrame(path, "a long, b long"))
+    assert sorted(map(tuple, got.collect())) == [*((i, 0) for i in range(61)), (99, 99), (100, 99)] and rounds
+
+
 def test_a_key_with_half_of_all_rows_is_spread(spark):
     big = spark.range(0, 20_000, 1, 8).select(F.when(F.col("id") % 2 == 0, -7).when(F.col("id") % 40 == 1, None).otherwise(F.col("id")).alias("k"), "id")
     side = big.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("least"))
