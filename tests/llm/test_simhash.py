@@ -90,3 +90,27 @@ def test_of_rows_with_one_id_and_one_fingerprint_the_same_stays(spark):
         df = spark.createDataFrame(rows[k:] + rows[:k], "doc_id long, text string, `a.b` int").repartition(1 + k)
         kept.add(tuple(sorted(tuple(r) for r in simhash.keep_one(df).collect())))
     assert len(kept) == 1 and [r[0] for r in kept.pop()] == [1, 2]
+
+
+def broadcast(df):
+    """The lines of df's plan that stand below a broadcast."""
+    lines, depth, out = df._jdf.queryExecution().executedPlan().toString().splitlines(), None, []
+    for line in lines:
+        at = len(line) - len(line.lstrip(" :+-"))
+        if depth is not None and at <= depth:
+            depth = None
+        if depth is not None:
+            out.append(line)
+        elif "BroadcastExchange" in line:
+            depth = at
+    return out
+
+
+def test_exploded_keys_are_never_broadcast(spark, monkeypatch):
+    nodes = simhash.write_table(spark.range(3000).selectExpr("xxhash64(id div 100) ^ (id % 100) fp", "id node"), "nodes")
+    few = simhash.links(nodes)
+    assert "Generate explode([0,1,2" in few._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(simhash, "FEW", 8)
+    many = simhash.links(nodes)  # with keys that blocks compare
+    assert broadcast(many)
+    assert not [x for d in (few, many) for x in broadcast(d) if "explode([0,1,2" in x]

@@ -108,7 +108,8 @@ def links(nodes: DataFrame, max_bits: int = 3) -> DataFrame:
     if hot:
         t = t.join(many.select("key"), "key", "left_anti")
     close = F.bit_count(F.col("fp").bitwiseXOR(F.col("t_fp"))) <= max_bits
-    found = asked.join(t, "key").where((F.col("node") > F.col("t_node")) & close).select(F.col("node").alias("a"), F.col("t_node").alias("b"))
+    # a merge by hint: Spark sizes exploded rows as those they come from, and would broadcast the 66 keys of each fingerprint
+    found = asked.hint("merge").join(t, "key").where((F.col("node") > F.col("t_node")) & close).select(F.col("node").alias("a"), F.col("t_node").alias("b"))
     return found.unionByName(_hot_links(table, asked, many, max_bits)) if hot else found
 
 
@@ -116,6 +117,7 @@ def _hot_links(table: DataFrame, asked: DataFrame, many: DataFrame, max_bits: in
     q = asked.join(many.select("key", "n"), "key")
     q_sizes = q.groupBy("key").agg(F.count("*").alias("nq"))
     grid = many.join(q_sizes, "key").select("key", F.ceil(F.col("n") / BLOCK).alias("ct"), F.ceil(F.col("nq") / BLOCK).alias("cq"))
+    grid = write_table(grid, "grid")  # so that its size is known, and it is what a join broadcasts
 
     def dealt(rows: DataFrame, own: str, other: str, side: int) -> DataFrame:
         rows = rows.join(grid, "key").withColumn("own", F.pmod(F.xxhash64("fp"), F.col(own)))
