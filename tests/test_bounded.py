@@ -69,3 +69,50 @@ def test_a_matrix_of_equals_is_clustered_without_a_list_of_its_pairs():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert set(got) == {0, 1} and peak < 8 * 400 * 400 * 5
+
+
+def clusters(x, files, threshold):
+    want = identity.agglomerate(x, files.tolist(), threshold)
+    first = {c: i for i, c in reversed(list(enumerate(want)))}
+    return {i: first[c] for i, c in enumerate(want)}
+
+
+def test_a_component_too_large_for_a_matrix_stays_in_its_task(spark, monkeypatch):
+    x, files = made()
+    df, want = table(spark, x, files), clusters(x, files, 0.8)
+    monkeypatch.setattr(identity, "LARGE", 5)
+    with monkeypatch.context() as m:
+        m.setattr(identity.linkage, "merge_rounds", None)
+        assert {r.id: r.cluster for r in identity.cluster(df, 0.8).collect()} == want
+    monkeypatch.setattr(identity, "HELD", 20)  # numbers; beyond, rounds of joins
+    rounds = identity.linkage.merge_rounds
+    asked = []
+    monkeypatch.setattr(identity.linkage, "merge_rounds", lambda *a: asked.append(1) or rounds(*a))
+    assert {r.id: r.cluster for r in identity.cluster(df, 0.8).collect()} == want and asked
+
+
+@pytest.mark.parametrize("n, files", [(0, 1), (1, 1), (300, 20), (300, 400)])
+def test_clusters_by_means_are_those_of_the_matrix(n, files):
+    x, files = made(n, files)
+    assert identity.linkage.by_means(x, files.tolist(), 0.8) == identity.agglomerate(x, files.tolist(), 0.8)
+
+
+def test_clusters_by_means_need_no_matrix(monkeypatch):
+    import tracemalloc
+
+    monkeypatch.setattr(identity.linkage, "SOUGHT", 1 << 14)
+    tracemalloc.start()
+    got = identity.linkage.by_means(np.ones((2000, 1)), [i // 2 for i in range(2000)], 0.5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(got) == {0, 1} and peak < 8 * 2000 * 2000 / 4
+
+
+def test_what_a_forest_has_linked_is_not_listed_again(monkeypatch):
+    monkeypatch.setattr(similarity, "STEP", 16)
+    seen, stars = [], similarity.stars
+    monkeypatch.setattr(similarity, "stars", lambda u, v: seen.append(len(u)) or stars(u, v))
+    rows = pa.table({"id": range(100), "v": [[1.0, 0.0]] * 100, "x": pa.array([[]] * 100, pa.list_(pa.int64()))})
+    side = similarity._by_size(rows)
+    assert sum(len(b) for b in similarity._forest(0.5)(side, side, True, False)) == 99
+    assert sum(seen) < 2000  # of 4,950 pairs
