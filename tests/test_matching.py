@@ -89,3 +89,19 @@ def test_lines_from_pieces(spark):
     assert [(r.source, r.text, r.open) for r in got] == [("a", "one", False), ("a", "two", False), ("a", "three", False), ("a", "fo", True), ("b", "x", False)]
     log = spark.createDataFrame([], events.SCHEMA)
     assert len(log.columns) == 31 and events.latest(log, "file_id", "event_id", ["kind", "stage"]).count() == 0
+
+
+def test_recluster_clusters_once(spark, sf, monkeypatch):
+    rows_out, cluster = spark.sparkContext.accumulator(0), matching.cluster
+
+    def counted(rows, threshold):
+        def tell(batches):
+            for b in batches:
+                rows_out.add(len(b))
+                yield b
+
+        found = cluster(rows, threshold)
+        return found.mapInArrow(tell, found.schema)
+
+    monkeypatch.setattr(matching, "cluster", counted)
+    assert len(matching.recluster(fx.gs(spark, sf), fx.loc(spark, sf)).collect()) == rows_out.value
