@@ -116,3 +116,21 @@ def test_what_a_forest_has_linked_is_not_listed_again(monkeypatch):
     side = similarity._by_size(rows)
     assert sum(len(b) for b in similarity._forest(0.5)(side, side, True, False)) == 99
     assert sum(seen) < 2000  # of 4,950 pairs
+
+
+def test_candidates_leave_the_tasks_that_compare_as_they_are(spark, monkeypatch):
+    x, files = made()
+    ids = spark.createDataFrame([(i + 5, i % 7 == 0, r.tolist()) for i, r in enumerate(x)], "id long, enrolled boolean, centroid array<double>")
+    loc = spark.createDataFrame([(i + 5, int(f), float(i % 4)) for i, f in enumerate(files)], "global_id long, file_id long, total_dur double")
+    gone = spark.createDataFrame([(5 + i, 6 + i) for i in range(0, 58)], "low long, high long")
+    place = {i: (i % 7 != 0, -(i % 4), i) for i in range(60)}
+    want = set()
+    for i, j in itertools.combinations(range(60), 2):
+        if 0.6 <= x[i] @ x[j] < 0.95 and files[i] != files[j] and (i % 7 or j % 7) and j != i + 1 and (i + j) % 3:
+            want.add(tuple(k + 5 for k in sorted((i, j), key=place.get)))
+    for tile in (1, 1 << 14):
+        monkeypatch.setattr(similarity, "LEAST", tile)
+        found = identity.duplicate_candidates(ids, loc, gone, 0.6, 0.95, lambda a, b: (a + b - 10) % 3 != 0)
+        assert {(r.left_id, r.right_id) for r in found.collect()} == want and want
+        above = found._jdf.queryExecution().executedPlan().toString().split("FlatMapGroups")[0]
+        assert "Join" not in above and "Exchange" not in above
